@@ -79,11 +79,17 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, independent of where it stands."""
+def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pre, inv) with hash of [a, b) = mix((pre[b] - pre[a]) * inv[a])."""
     p, inv = _powers(len(buf) + 1)
     pre = np.zeros(len(buf) + 1, U64)
     np.cumsum((buf.astype(U64) + U64(1)) * p[: len(buf)], out=pre[1:])
+    return pre, inv
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, independent of where it stands."""
+    pre, inv = prefix_hashes(buf)
     return mix((pre[ends] - pre[starts]) * inv[starts])
 
 

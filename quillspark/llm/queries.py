@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, language, licenses, quality, toxicity, urlfilter
+from . import capfilter, chat, language, licenses, neardup, packing, pieces, quality, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,21 @@ def op7_urls(spark, sf_dir):
     return urlfilter.judge(pages, urlfilter.listed_hosts(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_licenses, op4_language, op5_toxicity, op6_chat, op7_urls)}
+def op2_neardup(spark, sf_dir):
+    return neardup.group(_read(spark, sf_dir, "documents"))
+
+
+def op8_embeddings(spark, sf_dir):
+    return capfilter.link(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_pieces(spark, sf_dir):
+    return pieces.sample(_read(spark, sf_dir, "documents"), digest=True)
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op3_licenses, op4_language, op5_toxicity, op6_chat, op7_urls, op8_embeddings, op9_pieces, op10_packing)}
 ORACLES = {"op3_licenses": licenses.oracle(), "op6_chat": chat.ORACLE, "op7_urls": urlfilter.oracle()}
