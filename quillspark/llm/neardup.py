@@ -18,7 +18,8 @@ Grouping, without all pairs inside a bucket:
  3. in buckets that still hold several components, shingles that no other document there has bound a
     member's similarity; members that cannot reach the threshold leave, the rest is verified against
     the four most central members;
- 4. only pairs of members of different components that the bound still allows are verified one by one.
+ 4. only pairs of members of different components that a second bound (by what either shares with the
+    most central member) still allows are verified one by one, each in the first bucket both share.
 Verified links are exact Jaccard similarities >= the threshold, so the components are those of the link
 graph over all candidate pairs.
 
@@ -199,15 +200,13 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _check(similarity):
     def run(batches):
         for b in batches:
-            keep, kept = [], None
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            common, linked, kept = [], [], None
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if kept is None or kept[0] != x:
                     kept = (x, _unpack(x))
-                m, total = 0, (len(x) + len(y)) // 5
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
-                    m = _overlap(kept[1], _unpack(y))
-                keep.append(m > 0 and m >= similarity * (total - m) - 1e-9)
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                m, total = _overlap(kept[1], _unpack(y)), (len(x) + len(y)) // 5
+                common.append(m), linked.append(m > 0 and m >= similarity * (total - m) - 1e-9)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "m", "ok"])
 
     return run
 
@@ -222,12 +221,16 @@ def _rare(batches):
             yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(vals).astype(np.int64))], names=["id", "v"])
 
 
-def verify(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose exact similarity reaches the threshold."""
+def overlaps(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, m, ok): common elements of each pair, and whether its exact similarity reaches the threshold."""
     one = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
     rows = edges.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return cut(rows.mapInArrow(_check(similarity), "a long, b long"))
+    return cut(rows.mapInArrow(_check(similarity), "a long, b long, m long, ok boolean"))
+
+
+def verify(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    return overlaps(edges, sets, similarity).where("ok").select("a", "b")
 
 
 def _with_comps(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -277,14 +280,24 @@ def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("bucket").orderBy("u", "rep"))
-    hubs = rows.withColumn("rn", rank).where(F.col("rn") <= HUBS).select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    star = rows.join(hubs, "bucket").where("comp <> ca").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-    found = verify(star, sets, similarity)
-    rest = cut(_with_comps(rows.drop("comp"), links.unionAll(found)).where("comp is not null"))
+    hubs = rows.withColumn("rn", rank).where(F.col("rn") <= HUBS).select("bucket", "rn", F.col("rep").alias("h"), F.col("comp").alias("ch"))
+    star = rows.join(hubs, "bucket").where("rep <> h and (rn = 1 or comp <> ch)").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+    seen = overlaps(star, sets, similarity)
+    found = seen.where("ok").select("a", "b")
+    rest = cut(_with_comps(rows.drop("comp"), links.unionAll(found)))
     if rest.isEmpty():
         return found
-    y = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "most")])
-    pair = rest.join(y, "bucket").where("rep < rep2 and comp <> comp2 and n + n2 <= least(most, most2) + 0.000001")
+    # common shingles of two members are shared with the hub, or outside it and not rare: at most min(m1, m2) + min(r1, r2)
+    rest = rest.join(hubs.where("rn = 1").select("bucket", "h"), "bucket").withColumns({"a": F.least("h", "rep"), "b": F.greatest("h", "rep")})
+    rest = rest.join(seen.select("a", "b", "m"), ["a", "b"], "left").withColumn("m", F.coalesce("m", "n"))
+    rest = rest.withColumn("r", F.greatest(F.lit(0), F.col("n") - F.col("m") - F.col("u")))
+    # a pair is taken up in the first bucket that both share
+    own = rest.groupBy("rep").agg(F.collect_set("bucket").alias("own"))
+    rest = cut(rest.join(own, "rep").select("bucket", "rep", "n", "comp", "m", "r", "own"))
+    y = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "m", "r", "own")])
+    bound = F.lit((1 + similarity) / similarity) * (F.least("m", "m2") + F.least("r", "r2")) + 1e-6
+    far = (F.col("n") + F.col("n2") <= bound) & F.expr("rep < rep2 and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket")
+    pair = rest.join(y, "bucket").where(far)
     return found.unionAll(verify(pair.select(F.col("rep").alias("a"), F.col("rep2").alias("b")), sets, similarity))
 
 
