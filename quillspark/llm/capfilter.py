@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import cut, table
+from .store import arrow, cut, table
 
 COSINE = 0.93
 BLOCKS, WORDS, SEED = 2, 1024, 20240229
@@ -152,7 +152,7 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     good = rows.where("ok")
     classes = cut(good.groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")))
     unique = good.join(classes.select(F.col("id").alias("vec_id"), "label", "d1", "d2", "w"), ["vec_id", "label", "d1", "d2"]).dropDuplicates(["vec_id", "label"])
-    named = table(unique.select("embedding", F.col("vec_id").alias("id"), "label", "w").mapInArrow(_filters, f"id long, label string, w long, x {dict(vectors.dtypes)['embedding']}, filters array<int>"), "cap-filters")
+    named = table(unique.select("embedding", F.col("vec_id").alias("id"), "label", "w").transform(arrow, _filters, f"id long, label string, w long, x {dict(vectors.dtypes)['embedding']}, filters array<int>"), "cap-filters")
 
     spread = named.select("id", "label", F.size("x").alias("dim"), F.explode("filters").alias("f"))
     blocks = spread.groupBy("label", "dim", "f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1")
@@ -161,7 +161,7 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     member = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     member = member.select("id", "w", "x", "filters", "f", "block", "i", "j", F.xxhash64("label", "dim", "f", "i", "j").alias("task"))
-    parts = member.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(cosine), "id long, links long, root long")
+    parts = member.repartition("task").sortWithinPartitions("task").transform(arrow, _compare(cosine), "id long, links long, root long")
     parts = table(parts, "cap-links")
     degree = parts.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(parts.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
+from .store import arrow
 from .quality import filter_rows
 
 BITS = 15
@@ -67,7 +68,7 @@ def _count(batches):
 
 def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages in order, log p[bucket, language]) from rows (text, lang); null texts or languages are skipped."""
-    rows = train.where("text is not null and lang is not null").select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = train.where("text is not null and lang is not null").select("text", "lang").transform(arrow, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     counts = np.full((1 << BITS, len(names)), SMOOTHING)
     if names:
@@ -100,9 +101,8 @@ def infer(buf, offs, logp) -> tuple[np.ndarray, np.ndarray]:
     docs, langs = len(offs) - 1, logp.shape[1]
     if not len(s):
         return np.zeros((docs, langs)), np.zeros((docs, langs), bool)
-    c = np.zeros((len(buf) + 1, langs))
-    np.cumsum(logp[_buckets(buf)], axis=0, out=c[1:])
-    ll = c[e] - c[s]
+    grams = np.concatenate([logp[_buckets(buf)], np.zeros((1, langs), np.float32)])
+    ll = np.add.reduceat(grams, np.column_stack([s, e]).ravel(), axis=0)[::2]
     like = np.exp(ll - ll.max(axis=1, keepdims=True)).astype(np.float32)
     doc = K.doc_of(first)
     share, _ = _em(like, doc, first, np.full((docs, langs), 1 / langs, np.float32), ROUNDS)
@@ -151,7 +151,7 @@ def training_fold(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """One row per document: main language, its share, and the selected set with shares."""
     model = docs.sparkSession.sparkContext.broadcast(fit(train))
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("text").rlike(LETTER).alias("lettered")).mapInArrow(_predict(model), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.col("text").rlike(LETTER).alias("lettered")).transform(arrow, _predict(model), SCHEMA)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

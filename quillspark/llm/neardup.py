@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .graph import bitmap, components, in_bitmap, slot
-from .store import cut, table
+from .store import arrow, cut, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -226,7 +226,7 @@ def overlaps(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
     rows = edges.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return cut(rows.mapInArrow(_check(similarity), "a long, b long, m long, ok boolean"))
+    return cut(rows.transform(arrow, _check(similarity), "a long, b long, m long, ok boolean"))
 
 
 def verify(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -246,7 +246,7 @@ def group(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = rows.select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), "text").alias("d2"))
-    sig = table(signed.mapInArrow(_sign(weighting), "doc_id long, n long, bands array<long>, d1 long, d2 long"), "dart-signatures")
+    sig = table(signed.transform(arrow, _sign(weighting), "doc_id long, n long, bands array<long>, d1 long, d2 long"), "dart-signatures")
     reps = cut(sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     alone = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
     entries = alone.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket")).distinct()
@@ -254,7 +254,7 @@ def group(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set
     members = table(entries.join(shared, "bucket").select("bucket", "rep", "n", "hub"), "dart-buckets")
     wanted = members.select("rep").distinct()
     words = spark.sparkContext.broadcast(bitmap(wanted))
-    picked = rows.select("doc_id", "text", slot("doc_id").alias("s")).mapInArrow(_sets(words, weighting), "id long, sh binary")
+    picked = rows.select("doc_id", "text", slot("doc_id").alias("s")).transform(arrow, _sets(words, weighting), "id long, sh binary")
     sets = table(picked.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "dart-sets")
 
     links = verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, similarity)
@@ -270,7 +270,7 @@ def group(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set
 
 def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
     """Steps 3 and 4: further verified links between components that share a bucket."""
-    rare = sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_rare, "id long, v long")
+    rare = sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").transform(arrow, _rare, "id long, v long")
     single = rare.groupBy("v").agg(F.count("*").alias("c"), F.min("id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
     rows = left.join(single, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # m <= n - u common shingles; similarity needs m >= (n1 + n2) * s / (1 + s)
@@ -318,7 +318,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 b = b.filter(pa.array(hit == inside))
                 yield pa.record_batch([b.column(i) for i in range(at)], names=names)
 
-        return docs.withColumn("__slot", slot(F.col("doc_id").cast("long"))).mapInArrow(run, schema)
+        return docs.withColumn("__slot", slot(F.col("doc_id").cast("long"))).transform(arrow, run, schema)
 
     checked = part(True)
     again = checked.dropDuplicates(["doc_id", "text"]) if not doubt.where("kept").isEmpty() else checked

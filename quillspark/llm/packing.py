@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import kernels as K
-from .store import table
+from .store import arrow, table
 
 SIZE, SALTS, END = 2048, 64, 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -192,7 +192,7 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int,
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     spark, path = docs.sparkSession, path or vocabulary_path()
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, size), PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow, _pieces(path, size), PIECES)
     pieces = table(pieces, "pack-pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).toArrow()
     n = np.zeros((size + 1, SALTS), np.int64)
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
             yield pa.record_batch([*(b.column(i) for i in range(5)), pa.array(seq), pa.array(runs[at, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.withColumn("rn", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rn").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rn").transform(arrow, place, PIECES + ", sequence_id long, offset long")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels as K
+from .store import arrow
 
 BITS = 16
 #: At most so many trusted documents fit the target model; the raw model uses every document.
@@ -66,7 +67,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log p_target - log p_raw for each bucket (2**BITS doubles); zeros without trusted documents."""
     ids = trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").limit(MAX_TRUSTED).distinct()
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("good"))
-    rows = marked.mapInArrow(_count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    rows = marked.transform(arrow, _count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = rows["bucket"].to_numpy()
     raw[at], good[at] = rows["raw"].to_numpy(), rows["good"].to_numpy()
@@ -120,7 +121,7 @@ def _score(model, threshold: float):
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base measures, ratio and verdict."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model, threshold), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrow, _score(model, threshold), SCHEMA)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -144,4 +145,4 @@ def filter_rows(docs: DataFrame, score, keep: str) -> DataFrame:
             for verdict in score(iter([pair])):
                 yield b.filter(pc.fill_null(verdict.column(verdict.schema.get_field_index(keep)), False))
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).transform(arrow, run, schema)

@@ -34,6 +34,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow that also runs f over no rows at all when a partition is empty."""
+#: Rows of an Arrow batch, so that a Python worker holds a few MB of texts at a time.
+BATCH_ROWS = 1_000
+
+
+def arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df.mapInArrow(f, schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
+from .store import arrow
 
 #: Labelled training documents per class, at most.
 MAX_EACH = 1_000
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EACH) for k in (0, 1)]
     ids = pick[0].unionAll(pick[1]).withColumnsRenamed({"doc_id": "_l", "toxic": "_toxic"})
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_l")).select("text", "_toxic").mapInArrow(_gather, "toxic int, words binary, starts binary").toArrow().to_pydict()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_l")).select("text", "_toxic").transform(arrow, _gather, "toxic int, words binary, starts binary").toArrow().to_pydict()
     toxic = np.array(rows["toxic"], np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
@@ -224,4 +225,4 @@ def training_fold(labels: DataFrame) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: score, predicted, toxic tokens and their byte offsets (``start-end`` joined by commas)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrow, _score(model), SCHEMA)
