@@ -52,7 +52,7 @@ class Run:
 
     def stage(self, name: str, df_of, params: dict | None = None, parent: str = "") -> tuple[DataFrame, str]:
         """Reuse the stage if its latest record is complete and made from the same request, parameters and parent; else run it."""
-        sig = signature({"request": self.request, "stage": name, "params": params or {}, "parent": parent})
+        sig = signature({"request": signature(self.request), "stage": name, "params": params or {}, "parent": parent})
         path = f"{self.folder}/{name}-{sig[:16]}"
         last = self._manifest().where((F.col("stage") == name)).orderBy(F.desc("_ord")).limit(1).collect()
         if last and last[0].status in ("completed", "reused") and last[0].signature == sig:
