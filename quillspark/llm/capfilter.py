@@ -156,7 +156,10 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     spread = named.select("id", "label", F.size("x").alias("dim"), F.explode("filters").alias("f"))
     blocks = spread.groupBy("label", "dim", "f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1")
-    member = named.withColumn("dim", F.size("x")).withColumn("f", F.explode("filters")).join(blocks, ["label", "dim", "f"])
+    # only numbers meet in this join; a vector then goes to the directions that others share, and knows only those
+    shared = spread.join(blocks, ["label", "dim", "f"]).groupBy("id", "label").agg(F.collect_list(F.struct("f", "nb")).alias("own"))
+    member = named.drop("filters").join(shared, ["id", "label"])
+    member = member.select("id", "label", "w", "x", F.size("x").alias("dim"), F.transform("own", lambda o: o["f"]).alias("filters"), F.explode("own").alias("o")).select("*", "o.f", "o.nb").drop("o")
     block = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     member = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
