@@ -8,8 +8,8 @@ are compared exactly, in double precision.
 
 Equal vectors are collapsed first and counted with their number. A bucket is dealt into blocks of about
 BLOCK vectors and every pair of blocks is a task of its own, so a hot bucket spreads. A task multiplies
-its two blocks, counts a link only in the smallest direction that both ends share (so once), and
-returns per vector its links and the smallest id it reaches inside the task: output is linear in the
+its two blocks (many small buckets are taken in one vectorised step), counts a link only in the smallest
+direction that both ends share (so once), and returns per vector its links and the smallest id it reaches inside the task: output is linear in the
 input, whatever the number of links. Components are then formed from these.
 
 Recall of the filters at the threshold is about 0.99 with the defaults; every reported link is exact.
@@ -35,6 +35,8 @@ BLOCKS, WORDS, SEED = 2, 1024, 20240229
 #: Directions a vector is decoded to, on average.
 FILTERS = 96
 BLOCK = 512
+#: Groups of at most so many vectors are compared together in one vectorised step.
+SMALL = 32
 
 
 @lru_cache(8)
@@ -85,60 +87,118 @@ def _filters(batches):
         yield pa.record_batch([*b.columns[1:], b.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["id", "label", "w", "x", "filters"])
 
 
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+
+
+def _spread(values, lengths, rows):
+    """(index into rows, value): the lists of the given rows, one after the other."""
+    n, begin = lengths[rows], np.cumsum(lengths) - lengths
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[rows], n)
+    return np.repeat(np.arange(len(rows)), n), values[at]
+
+
+def _pairs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (a, b), a < b, of rows inside the groups that begin at begin."""
+    pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    rows, k = pos + np.repeat(begin, size), np.repeat(size, size) - 1 - pos
+    a = np.repeat(rows, k)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+
+
+def _small(cosine, t, x, begin, size):
+    """Links of many groups of at most SMALL rows at once; x holds the unit vector of each row."""
+    ids, w, f, side, cross = (t[c].to_numpy() for c in ("id", "w", "f", "block", "cross"))
+    a, b = _pairs(begin, size)
+    ok = (f[a] == f[b]) & (~cross[a] | (side[a] != side[b]))
+    a, b = a[ok], b[ok]
+    ok = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+    a, b = a[ok], b[ok]
+    if not len(a):
+        return None
+    values, lengths = _ragged(t["before"])
+    (i, u), (j, v) = _spread(values, lengths, a), _spread(values, lengths, b)
+    span = WORDS**BLOCKS
+    first = np.ones(len(a), bool)
+    first[np.intersect1d(i * span + u, j * span + v, assume_unique=True) // span] = False
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, a[first], w[b[first]])
+    np.add.at(links, b[first], w[a[first]])
+    root, keep = ids.copy(), np.zeros(len(ids), bool)
+    keep[a] = keep[b] = True
+    while True:
+        least, was = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        if (was == root).all():
+            return ids[keep], links[keep], root[keep]
+
+
+def _large(cosine, t, x):
+    """Links of one group of up to two blocks."""
+    ids, w, f, side, cross = (t[c].to_numpy() for c in ("id", "w", "f", "block", "cross"))
+    link = (x @ x.T >= cosine) & (f[:, None] == f[None])
+    np.fill_diagonal(link, False)
+    if cross[0]:
+        link &= side[:, None] != side[None]
+    if not link.any():
+        return None
+    values, lengths = _ragged(t["before"])
+    known, at = np.unique(values, return_inverse=True)
+    has = np.zeros((len(ids), len(known)), np.float32)
+    has[np.repeat(np.arange(len(ids)), lengths), at] = 1
+    links = (link & (has @ has.T == 0)) @ w
+    root = ids.copy()
+    while True:
+        new = np.minimum(root, np.where(link, root[None], np.iinfo(np.int64).max).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    keep = link.any(axis=1)
+    return ids[keep], links[keep].astype(np.int64), root[keep]
+
+
 def _compare(cosine):
-    def one(rows):
-        """rows: record batches of one task."""
-        t = pa.Table.from_batches(rows)
-        ids, w, side = t["id"].to_numpy(), t["w"].to_numpy(), t["block"].to_numpy()
-        if len(ids) < 2:
-            return None
-        (_, x), *_ = _matrix(t["x"].combine_chunks())
-        lists, own = t["filters"].to_pylist(), int(t["f"][0].as_py())
-        i, j = int(t["i"][0].as_py()), int(t["j"][0].as_py())
-        link = x @ x.T >= cosine
-        np.fill_diagonal(link, False)
-        if i != j:
-            link &= side[:, None] != side[None]
-        if not link.any():
-            return None
-        low = sorted({f for fs in lists for f in fs if f < own})
-        first = link
-        if low:
-            at = {f: k for k, f in enumerate(low)}
-            has = np.zeros((len(ids), len(low)), np.float32)
-            for r, fs in enumerate(lists):
-                has[r, [at[f] for f in fs if f < own]] = 1
-            first = link & (has @ has.T == 0)
-        links = first @ w
-        root = ids.copy()
-        while True:
-            new = np.minimum(root, np.where(link, root[None], np.iinfo(np.int64).max).min(axis=1))
-            if (new == root).all():
-                break
-            root = new
-        keep = link.any(axis=1)
-        return ids[keep], links[keep].astype(np.int64), root[keep]
+    def whole(t: pa.Table):
+        """Links of the groups of t, which are all complete."""
+        key = t["task"].to_numpy()
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        for g in np.flatnonzero(size > SMALL):
+            own = t.slice(begin[g], size[g])
+            yield _large(cosine, own, _matrix(own["x"].combine_chunks())[0][1])
+        few = (size > 1) & (size <= SMALL)
+        if few.any():
+            rows = t.filter(pa.array(np.repeat(few, size)))
+            begin, size = np.cumsum(size[few]) - size[few], size[few]
+            for at, x in _matrix(rows["x"].combine_chunks()):  # a group's vectors have one dimension
+                own = np.isin(begin, at)
+                n = size[own]
+                yield _small(cosine, rows.take(pa.array(at)), x, np.cumsum(n) - n, n)
 
     def run(batches):
-        key, held = None, []
+        held: list = []  # rows of the last group so far
 
-        def emit():
-            got = one(held) if held else None
-            if got is not None:
-                yield pa.record_batch([pa.array(c) for c in got], names=["id", "links", "root"])
+        def emit(tables):
+            for got in whole(pa.concat_tables(tables)) if tables else ():
+                if got is not None:
+                    yield pa.record_batch([pa.array(c) for c in got], names=["id", "links", "root"])
 
-        for b in batches:
-            if not b.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = b.column(b.schema.get_field_index("task")).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if key is not None and keys[lo] != key:
-                    yield from emit()
-                    held = []
-                key = keys[lo]
-                held.append(b.slice(lo, hi - lo))
-        yield from emit()
+            t = pa.Table.from_batches([batch])
+            key = t["task"].to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # keys are sorted
+            if held and (last or held[0]["task"][0].as_py() != key[0]):
+                yield from emit([*held, t.slice(0, last)])
+                held = []
+            elif last:
+                yield from emit([t.slice(0, last)])
+            held.append(t.slice(last))
+        yield from emit(held)
 
     return run
 
@@ -157,13 +217,15 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spread = named.select("id", "label", F.size("x").alias("dim"), F.explode("filters").alias("f"))
     blocks = spread.groupBy("label", "dim", "f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1")
     # only numbers meet in this join; a vector then goes to the directions that others share, and knows only those
-    shared = spread.join(blocks, ["label", "dim", "f"]).groupBy("id", "label").agg(F.collect_list(F.struct("f", "nb")).alias("own"))
+    shared = spread.join(blocks, ["label", "dim", "f"]).groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("f", "nb"))).alias("own"))
     member = named.drop("filters").join(shared, ["id", "label"])
-    member = member.select("id", "label", "w", "x", F.size("x").alias("dim"), F.transform("own", lambda o: o["f"]).alias("filters"), F.explode("own").alias("o")).select("*", "o.f", "o.nb").drop("o")
+    # with each direction go the smaller ones of the vector: a link counts in the smallest that both ends share
+    member = member.select("id", "label", "w", "x", F.size("x").alias("dim"), F.transform("own", lambda o: o["f"]).alias("filters"), F.posexplode("own").alias("at", "o"))
+    member = member.withColumn("before", F.slice("filters", F.lit(1), F.col("at"))).select("id", "label", "w", "x", "dim", "before", "o.f", "o.nb")
     block = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     member = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    member = member.select("id", "w", "x", "filters", "f", "block", "i", "j", F.xxhash64("label", "dim", "f", "i", "j").alias("task"))
+    member = member.select("id", "w", "x", "before", "f", "block", (F.col("i") != F.col("j")).alias("cross"), F.xxhash64("label", "dim", "f", "i", "j").alias("task"))
     parts = member.repartition("task").sortWithinPartitions("task").transform(arrow, _compare(cosine), "id long, links long, root long")
     parts = table(parts, "cap-links")
     degree = parts.groupBy("id").agg(F.sum("links").alias("links"))
