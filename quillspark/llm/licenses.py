@@ -1,11 +1,15 @@
 """Operator 3 [native]: licence scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (lower case, every run of other characters
-than a-z and 0-9 becomes one space) and looked up in a table of known licence sentences. The sequence
-of identifiers is matched against ordered rules; a rule claims each occurrence of its sequence, so a
-later, shorter rule only sees what is left.
+A text is normalised as a whole (lower case, every run of other characters than a-z and 0-9 becomes
+one space), so line ends, comment marks and the full stop of "v. 2.0" do not part a sentence. Known
+licence sentences are found in it as sequences of whole words, wherever they stand; where several fit,
+the leftmost and then the longest counts. The sequence of identifiers is matched against ordered rules;
+a rule claims each occurrence of its sequence, so a later, shorter rule only sees what is left.
 
-All of it is built-in expressions in one map-only stage. Texts without any cue word are not split.
+The DuckDB SQL looks up whole unwrapped sentences only: it states the same results where licence
+sentences stand on lines of their own, as in the supplied tables.
+
+All of it is built-in expressions in one map-only stage. Texts without any cue word are not searched.
 
 Edge cases: null and empty texts give no sentence and no licence. Repeated rows are answered one by
 one; other columns are neither read nor returned.
@@ -79,9 +83,10 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=None) -
     sentences, rules = sentences or SENTENCES, rules or RULES
     table = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
     low = F.lower("text")
-    pieces = F.split(F.regexp_replace(low, r"([.!?;:])[\s]+", "$1\n"), "\n")
-    plain = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    known = F.filter(F.transform(F.filter(plain, lambda s: s.isin(*sentences.values())), lambda s: F.element_at(table, s)), lambda i: i.isNotNull())
+    plain = F.regexp_replace(low, "[^a-z0-9]+", " ")
+    # longest first, as an alternation takes the first that fits
+    any_of = r"\b(" + "|".join(sorted(sentences.values(), key=len, reverse=True)) + r")\b"
+    known = F.transform(F.regexp_extract_all(plain, F.lit(any_of), F.lit(1)), lambda s: F.element_at(table, s))
     out = docs.select("doc_id", F.when(_cue(low), known).otherwise(F.array().cast("array<string>")).alias("ids"))
     out = out.select("doc_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     left = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
@@ -103,7 +108,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=None) -
 
 
 def oracle(sentences=None, rules=None) -> str:
-    """The same in DuckDB SQL."""
+    """Unwrapped sentences in DuckDB SQL."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     table = "MAP {" + ", ".join(f"'{v}': '{k}'" for k, v in sentences.items()) + "}"
     values = ", ".join(f"'{v}'" for v in sentences.values())
