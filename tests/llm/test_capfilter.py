@@ -63,3 +63,25 @@ def test_recall_at_the_threshold():
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
     hit = [len(np.intersect1d(a, b)) > 0 for a, b in zip(capfilter.decode(x), capfilter.decode(y))]
     assert np.mean(hit) >= 0.95
+
+
+def test_recall_of_uneven_vectors():
+    r = np.random.default_rng(6)
+    cases = {"ordered": 1 / np.arange(1, 65), "padded": np.arange(64) < 32, "last": np.arange(64) >= 48, "two": np.ones(2), "eight": np.ones(8)}
+    cases |= {share: np.repeat(np.sqrt([share, 1 - share]), 32) for share in (0.8, 0.9, 0.95)}
+    centres = r.standard_normal((4, 64))
+    for name, scale in (cases | {"sparse": None, "clustered": None}).items():
+        if name == "clustered":
+            x = centres[r.integers(0, 4, 400)] + 0.12 * r.standard_normal((400, 64))
+        elif name == "sparse":
+            x = r.standard_normal((400, 64)) * (np.argsort(r.random((400, 64)), axis=1) < 3)
+        else:
+            x = r.standard_normal((400, len(scale))) * scale
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = r.standard_normal(x.shape) * (1 if scale is None else scale)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
+        found = capfilter.decode(x)
+        assert min(map(len, found)) >= capfilter.LEAST, name
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(found, capfilter.decode(y))]) >= 0.95, name
