@@ -76,18 +76,53 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max_by(F.struct("status", "value", "expires_at"), "updated_at").alias("r")).select("key", "created_at", "updated_at", "r.*")
 
 
-def best_title(df: DataFrame, authority: DataFrame, least=0.90, without_context=0.95) -> DataFrame:
-    """Best authority row per title of five characters or more: candidates share a rare title word, then similarity decides.
-
-    Blocking on a title's longest word keeps the join an equi-join; the largest block is what the data has of that word."""
-    def block(c):
-        words = F.split(T.title(c), " ")
-        return F.reduce(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-
-    left = df.where(F.length(T.strip("title")) >= 5).withColumn("_b", block("title"))
-    right = authority.select(F.col("_ord").alias("a_ord"), F.col("title").alias("a_title"), F.col("year").alias("a_year"), block("title").alias("_b"))
-    pair = left.join(right, "_b").withColumn("similarity", similarity("title", "a_title"))
-    context = (T.text("publication_year") != "") & (T.text("a_year") != "")
-    pair = pair.where(~context | (F.col("publication_year") == F.col("a_year"))).where(F.col("similarity") >= F.when(context, least).otherwise(without_context))
+def _pieces(length: Column, least: float) -> Column:
+    """Length of the pieces of an authority title of which at least one stands unbroken in every title of ratio >= least.
+
+    A ratio of least means at most (1 - least) * (sum of the lengths) unmatched characters, each of which breaks one piece
+    at most, and a length of (2 / least - 1) times the other at most."""
+    longest = F.floor(length * (2 / least - 1) + 1e-9)
+    return F.floor(length / (F.floor((length + longest) * (1 - least) + 1e-9) + 1)).cast("int")
+
+
+def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """All pairs (left with text _x, right with text _y) that can reach the ratio; no pair that reaches it is missed.
+
+    Pieces of _y are looked up among the substrings of _x of their length; lengths, the shift of the piece and the edit
+    distance then bound the ratio. Only numbers meet in the lookup, and only texts that have a counterpart of fitting length."""
+    over, least_by = 2 / least - 1, lambda n, m: (n + m) * (least / 2) - 1e-9
+    left, right = left.withColumn("_n", F.length("_x")).where("_n > 0"), right.withColumn("_m", F.length("_y")).where("_m > 0")
+    n, m, q = F.col("_n"), F.col("_m"), F.col("_q")
+    # lengths that occur on both sides and can reach the ratio, with the length of the pieces
+    spans = right.select("_m").distinct().withColumn("_q", _pieces(m, least)).withColumn("_n", F.explode(F.sequence(F.ceil(m / over - 1e-9).cast("int"), F.floor(m * over + 1e-9).cast("int"))))
+    spans = spans.join(left.select("_n").distinct(), "_n")
+    last = lambda size: F.greatest(size - q + 1, F.lit(1))
+    a = left.select("_ord", "_n", "_x").join(F.broadcast(spans.select("_n", "_q").distinct()), "_n").withColumn("_i", F.explode(F.sequence(F.lit(1), last(n))))
+    a = a.select("_ord", "_n", "_i", F.xxhash64("_q", F.col("_x").substr(F.col("_i"), q)).alias("_g"))
+    b = right.join(F.broadcast(spans.select("_m", "_q").distinct()), "_m").withColumn("_j", F.explode(F.sequence(F.lit(1), last(m), F.greatest(q, F.lit(1)))))
+    b = b.select("a_ord", "_m", "_q", "_j", F.xxhash64("_q", F.col("_y").substr(F.col("_j"), q)).alias("_g"))
+    half, shift = least_by(n, m), F.col("_i") - F.col("_j")
+    near = (n >= half) & (m >= half) & ((q == 0) | ((shift <= n - half) & (-shift <= m - half)))
+    pair = a.join(b, "_g").where(near).select("_ord", "a_ord").distinct().join(left, "_ord").join(right, "a_ord")
+    bound = F.floor((n + m) * (1 - least) + 1e-9).cast("int")
+    return pair.withColumn("_k", bound).where(F.expr("levenshtein(_x, _y, _k) >= 0")).drop("_k", "_n", "_m")
+
+
+def best_title(df: DataFrame, authority: DataFrame, least=0.90, without_context=0.95, journals=0.80) -> DataFrame:
+    """Best authority row per title of five characters or more, as the similarity decides.
+
+    A row with a year or a journal has context: it needs ``least``, others ``without_context``. Years that are both filled must
+    be equal, journals that are both filled similar; the first authority row wins a tie. Journal columns are optional on both sides."""
+    blank = F.lit("")
+    own = {c: T.strip(c) if c in df.columns else blank for c in ("publication_year", "journal")}
+    left = df.where(F.length(T.strip("title")) >= 5).select("_ord", title_text("title").alias("_x"), own["publication_year"].alias("_year"), own["journal"].alias("_journal"))
+    theirs = T.strip("journal") if "journal" in authority.columns else blank
+    right = authority.select(F.col("_ord").alias("a_ord"), F.col("title").alias("a_title"), title_text("title").alias("_y"), T.strip("year").alias("a_year"), theirs.alias("a_journal"))
+    pair = title_candidates(left, right, min(least, without_context))
+    pair = pair.where((F.col("_year") == "") | (F.col("a_year") == "") | (F.col("_year") == F.col("a_year")))
+    pair = pair.withColumn("similarity", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(ratio(F.col("_x"), F.col("_y"))))
+    context = (F.col("_year") != "") | (F.col("_journal") != "")
+    pair = pair.where(F.col("similarity") >= F.when(context, least).otherwise(without_context))
+    pair = pair.where((F.col("_journal") == "") | (F.col("a_journal") == "") | (similarity("_journal", "a_journal") >= journals))
     best = pair.groupBy("_ord").agg(F.min_by(F.struct("a_ord", "a_title", "similarity", F.when((F.col("similarity") >= 0.97) & context, "high").otherwise("medium").alias("match_confidence")), F.struct(-F.col("similarity"), F.col("a_ord"))).alias("m"))
     return df.join(best.select("_ord", "m.*"), "_ord", "left")

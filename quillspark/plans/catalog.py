@@ -234,8 +234,8 @@ def incremental_reuse(spark, sf):
 
 @query()
 def title_best_match(spark, sf):
-    docs = candidates(spark, sf).select("_ord", F.substring("title", 1, 60).alias("title"), "publication_year")
-    b = _t(spark, sf, "benchmark").select(F.col("item_id").alias("_ord"), F.substring("text", 1, 60).alias("title"), F.lit("").alias("year"))
+    docs = candidates(spark, sf).select("_ord", "title", "publication_year", "journal")
+    b = _t(spark, sf, "benchmark").select(F.col("item_id").alias("_ord"), F.col("text").alias("title"), F.lit("").alias("year"))
     return V.best_title(docs, b).select("_ord", "a_ord", "similarity", "match_confidence")
 
 
