@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import concepts as C, status as S, text as T
 from ..operators import dedupe as D, metrics as M, probe as P, queue as Q, report as R, tables as B, triage as G, verify as V
+from ..sources import payloads as J
 from ..sources.candidates import BRIDGE, candidates, web_leads
 
 QUERIES: dict = {}
@@ -349,12 +350,18 @@ def json_flatten(spark, sf):
 
 @query("SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z ]', '', 'g') AS rebuilt FROM documents")
 def inverted_text_rebuild(spark, sf):
-    from ..sources.payloads import rebuild_abstract
+    """The first 200 characters, as its SQL says; inverted_text_rebuild_whole has no such limit."""
+    return _rebuilt(_t(spark, sf, "documents"), F.substring("text", 1, 200))
 
-    df = _t(spark, sf, "documents").select("doc_id", F.split(F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^a-z ]", ""), " ", -1).alias("w"))
-    pairs = F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("p")))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.transform(F.filter(pairs, lambda y: y["w"] == x), lambda y: y["p"]))))
-    return df.select("doc_id", rebuild_abstract(index).alias("rebuilt"))
+
+@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS rebuilt FROM documents")
+def inverted_text_rebuild_whole(spark, sf):
+    return _rebuilt(_t(spark, sf, "documents"), F.col("text"))
+
+
+def _rebuilt(docs, text) -> DataFrame:
+    df = docs.select("doc_id", F.split(F.regexp_replace(F.lower(text), "[^a-z ]", ""), " ", -1).alias("w"))
+    return df.select("doc_id", J.inverted_index("w").alias("index")).select("doc_id", J.rebuild_abstract("index").alias("rebuilt"))
 
 
 @query("SELECT DISTINCT lang, source, 'q' || lpad(CAST(dense_rank() OVER (ORDER BY lang) AS VARCHAR), 3, '0') AS query_id FROM documents")

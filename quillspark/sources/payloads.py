@@ -29,6 +29,26 @@ def rebuild_abstract(index) -> Column:
     return F.coalesce(T.once(F.array_sort(F.flatten(words)), spaced), F.lit(""))
 
 
+def inverted_index(df: DataFrame, key: str, words) -> DataFrame:
+    """key and the inverted index of its array of words: each word with its positions, by one aggregation over all words.
+
+    key is unique; a null array gives no row."""
+    return df.select(key, F.posexplode(words).alias("p", "w")).groupBy(key, "w").agg(F.sort_array(F.collect_list("p")).alias("p")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("index"))
+
+
+def inverted_index(words) -> Column:
+    """Map of each word of an array to its positions: one sort by word and position, then one pass over the runs of a word."""
+
+    def runs(a):
+        n = F.size(a)
+        begin = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(a, i)["w"] != F.get(a, i - 1)["w"]))
+        entry = lambda b: lambda i, k: F.struct(F.get(a, i)["w"].alias("w"), F.transform(F.slice(a, i + 1, F.coalesce(F.get(b, k + 1), n) - i), lambda x: x["p"]).alias("p"))
+        return F.map_from_entries(T.once(begin, lambda b: F.transform(b, entry(b))))
+
+    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p")))
+    return F.when(F.size(words) > 0, T.once(F.array_sort(pairs), runs))
+
+
 def openalex(df: DataFrame, column="payload") -> DataFrame:
     r = df.select(*[c for c in df.columns if c != column], F.posexplode(F.from_json(column, f"STRUCT<results: ARRAY<{WORK}>>")["results"]).alias("pos", "w"))
     return r.select(*[c for c in r.columns if c not in ("w",)], T.text("w.title").alias("title"), T.doi("w.doi").alias("doi"), T.text(F.col("w.publication_year").cast("string")).alias("publication_year"), T.text("w.primary_location.source.display_name").alias("journal"), T.text("w.type").alias("article_type"), _names(F.transform("w.authorships", lambda a: a["author"]["display_name"])).alias("authors"), F.coalesce(rebuild_abstract("w.abstract_inverted_index"), F.lit("")).alias("abstract"), T.first_filled("w.primary_location.landing_page_url", "w.doi", "w.id").alias("landing_page_url"))
