@@ -4,7 +4,8 @@ Sequences are sentences (words up to a line end or a word that ends in . ! ?). T
 toxic. Potentials: a weight for the hashed word (ASCII lower case, punctuation at the ends dropped),
 a bias and a 2 x 2 transition matrix. Labels exist per document only, so tokens are labelled first: in
 documents marked toxic the words whose log-odds between toxic and clean documents exceed ``LOG_ODDS``
-are toxic tokens, all others are clean. The field is then trained on those sentences by gradient
+are toxic tokens, all others are clean, if their log-likelihood ratio reaches a level, which is the one
+of ``LEVELS`` with the best F1 over held-out folds of the training documents. The field is then trained on those sentences by gradient
 ascent of the conditional likelihood. Scoring runs forward-backward over every sentence of every
 document; the marginals give token spans (marginal >= 0.5) with byte offsets, and a logistic function
 of the document's largest marginal and of the sum of its marginals gives the score.
@@ -18,6 +19,8 @@ one class only, every score is 0. Repeated rows are scored one by one; other col
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,7 +31,9 @@ from .store import arrow
 #: Labelled training documents per class, at most.
 MAX_EACH = 1_000
 BITS = 22
-LOG_ODDS, LEAST_G2 = 1.5, 40.0
+LOG_ODDS = 1.5
+#: Levels of the log-likelihood ratio to choose from, lowest first, which wins a tie; 10.83 is p = 0.001.
+LEVELS, FOLDS = (10.83, 15.13, 20.0, 40.0), 3
 #: Words of a training document beyond this are split over further sequences, not dropped.
 LONGEST = 256
 STEPS, RATE, DECAY = 40, 0.5, 1e-5
@@ -162,22 +167,49 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     words = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["words"]]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-    starts = np.concatenate([np.frombuffer(x, np.int32) + f for x, f in zip(rows["starts"], first)]).astype(np.int64)
-    bucket = np.concatenate(words)
+    starts = [np.frombuffer(x, np.int32) for x in rows["starts"]]
+    fold = np.array([zlib.crc32(x) % FOLDS for x in rows["words"]])  # copies of a text share a fold
+    return _learn(words, starts, toxic, max(LEVELS, key=lambda level: _held_out(words, starts, toxic, fold, level)))
+
+
+def _joined(words, starts):
+    """(first, starts, bucket) of all documents, one after the other."""
+    first = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
+    return first, np.concatenate([x + f for x, f in zip(starts, first)]).astype(np.int64), np.concatenate(words)
+
+
+def _held_out(words, starts, toxic, fold, level) -> float:
+    """F1 of the toxic class, each fold judged by a model of the others."""
+    found = np.zeros(len(toxic), bool)
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(own) and len(rest) and toxic[rest].min() != toxic[rest].max():
+            m = _learn([words[i] for i in rest], [starts[i] for i in rest], toxic[rest], level)
+            first, begin, bucket = _joined([words[i] for i in own], [starts[i] for i in own])
+            p, _, _ = marginals(m["w"], m["trans"], bucket, begin)
+            top, total = _doc_features(p, first)
+            found[own] = m["c"][0] + m["c"][1] * top + m["c"][2] * total >= 0
+    return 2 * int((found & (toxic == 1)).sum()) / (int(found.sum()) + int(toxic.sum()))
+
+
+def _learn(words, starts, toxic, level) -> dict:
+    """Model of documents (buckets of words, sequence starts, 0 or 1)."""
+    first, starts, bucket = _joined(words, starts)
     doc = K.doc_of(first)
     # in how many different contexts (word before, word, word after) a word stands, so copies of a document count once
     padded = np.concatenate([[0], bucket + 1, [0]]).astype(np.uint64)
     context = K.mix(K.mix(K.mix(padded[:-2]) + padded[1:-1]) + padded[2:])
 
+    used, idx = np.unique(bucket, return_inverse=True)
+
     def contexts(mask):
         _, at = np.unique(context[mask], return_index=True)
-        return np.bincount(bucket[mask][at], minlength=1 << BITS), max(1, len(at))
+        return np.bincount(idx[mask][at], minlength=len(used)), max(1, len(at))
 
     (c1, n1), (c0, n0) = contexts(toxic[doc] == 1), contexts(toxic[doc] == 0)
     odds = np.log((c1 + 0.1) / n1) - np.log((c0 + 0.1) / n0)
-    bad = (odds >= LOG_ODDS) & (_g2(c1, c0, n1, n0) >= LEAST_G2)
-    gold = (bad[bucket] & (toxic[doc] == 1)).astype(np.int64)
+    bad = (odds >= LOG_ODDS) & (_g2(c1, c0, n1, n0) >= level)
+    gold = (bad[idx] & (toxic[doc] == 1)).astype(np.int64)
     w, trans = train(bucket, starts, gold)
     p, _, _ = marginals(w, trans, bucket, starts)
     x = np.column_stack([np.ones(len(toxic)), *_doc_features(p, first)])
