@@ -1,17 +1,19 @@
-"""Operator 10: best-fit packing in bulk-synchronous steps.
+"""Operator 10: best-fit packing over the histogram of lengths.
 
 Documents are encoded (byte-level BPE) and end with id 0. A document longer than a sequence is cut into
 pieces of SIZE tokens of which the first may be shorter; full pieces are sequences of their own, so one
 piece of a document at most (shorter than SIZE) has to be packed.
 
 Packing is best-fit by decreasing length. Lengths are integers below SIZE, so documents of one length
-and sequences with one gap are classes, held run-length encoded; at most SIZE of each exist. One step
+and sequences with one gap are classes, held run-length encoded; at most SIZE of each exist. The sweep is
+one sequential best fit on the driver over this histogram, in place of distributed sweeps in rounds with
+conflicts resolved by rank: gaps are never a distributed table. One step
 takes the longest class left and sweeps the gaps upward from its successor (the least gap that
 is large enough): the documents with the lowest ranks of the class take the sequences of that gap, the
 others go on to the next gap, and what finds none opens new sequences; then the gaps are updated. Ranks
 within a length come from the range order of (length, salt, doc_id) and are computed in parallel: a hot
 length is spread over SALTS parts whose counts give the offsets. Each piece finds its place by its own
-rank. So all large work is distributed; the driver sees at most SIZE * SALTS counts.
+rank. So all work per document is distributed; the driver sees at most SIZE * SALTS counts.
 
 Edge cases: null text is empty and packs as the single id 0. Repeated rows are packed one by one; null
 ids are packed too (ranked first). An empty table gives no row. Special-token strings in a text are
