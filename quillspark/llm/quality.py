@@ -32,7 +32,7 @@ THRESHOLD = -0.11
 
 _SYM = np.zeros(256, bool)
 _SYM[[ord(c) for c in "#*$%&|<>"]] = True
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
 
 def _grams(buf, offs):
@@ -65,7 +65,7 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log p_target - log p_raw for each bucket (2**BITS doubles); zeros without trusted documents."""
-    ids = trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").limit(MAX_TRUSTED).distinct()
+    ids = trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct().orderBy(F.xxhash64("_t"), "_t").limit(MAX_TRUSTED)
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("good"))
     rows = marked.transform(arrow, _count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -110,9 +110,9 @@ def _score(model, threshold: float):
                 grams = n + np.diff(at)
                 llr = (K.sums(ratio[uni], first) + K.sums(ratio[bi], at)) / np.maximum(1, grams)
                 failed = (n < 50) | (100 * rep > 50 * n)
-                out.append([n, chars, symbols, dup, rep, failed, llr, ~failed & (llr >= threshold)])
+                out.append([n, chars, symbols, dup, rep, failed, ~failed & (llr >= threshold), llr])
             cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 8
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
             yield pa.record_batch([ids, *(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run

@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(out: DataFrame, folds: int, fold: int, first: list[str]) -> DataFrame:
+    """doc_id, held_out and the columns of ``first``, then the others."""
+    mark = F.expr(f"coalesce(crc32(cast(doc_id as string)) % {folds} = {fold}, false)").alias("held_out")
+    return out.select("doc_id", mark, *first, *[c for c in out.columns if c not in ("doc_id", *first)])
+
+
 def op1_quality(spark, sf_dir):
     return quality.judge(_read(spark, sf_dir, "documents"), quality.trusted_ids(_read(spark, sf_dir, "labels")))
 
@@ -22,21 +28,22 @@ def op3_licenses(spark, sf_dir):
 def op4_language(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     out = language.identify(docs, language.training_fold(docs))
-    return out.withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 4 = 2"))
+    return _held_out(out, 4, 2, ["lang_pred", "score"])
 
 
 def op5_toxicity(spark, sf_dir):
     out = toxicity.score(_read(spark, sf_dir, "documents"), toxicity.training_fold(_read(spark, sf_dir, "labels")))
-    return out.withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 5 = 0"))
+    return _held_out(out, 5, 0, ["score", "predicted"])
 
 
 def op6_chat(spark, sf_dir):
     return chat.collapse(_read(spark, sf_dir, "conversations"))
 
 
-def op7_urls(spark, sf_dir):
+def op7_urls(spark, sf_dir, blocklist: DataFrame | None = None):
+    """``blocklist``: column key, for instance from urlfilter.read_list; else the hosts with a label of an ad server."""
     pages = _read(spark, sf_dir, "pages")
-    return urlfilter.judge(pages, urlfilter.listed_hosts(pages))
+    return urlfilter.judge(pages, urlfilter.listed_hosts(pages) if blocklist is None else blocklist)
 
 
 def op2_neardup(spark, sf_dir):

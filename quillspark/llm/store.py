@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this driver, for ``clean``.
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only where the setting is absent (local tests) one is made."""
@@ -27,19 +30,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again, for tables of which later steps need some columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder as Parquet (in one folder for each value of ``by``) and read again, for tables of which later steps need some columns."""
+    path = new_path(df.sparkSession, name)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate tables and checkpoints of this session; call it when the results are written.
+
+    Data frames returned by the operators read them, so they cannot be used afterwards. Returns the number of folders."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    paths = [*_WRITTEN, *([sc.getCheckpointDir()] if sc.getCheckpointDir() else [])]
+    n = 0
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        n += bool(at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True))
+    _WRITTEN.clear()
+    if sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return n
+
+
 #: Rows of an Arrow batch, so that a Python worker holds a few MB of texts at a time.
 BATCH_ROWS = 1_000
 
 
 def arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows."""
+    """mapInArrow in batches of at most BATCH_ROWS rows.
+
+    Spark reads the limit when the lazy result runs, so it stays set in the session; a smaller limit of the caller's is left."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:

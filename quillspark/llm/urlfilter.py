@@ -1,29 +1,38 @@
 """Operator 7 [native]: URL rules and exact blocklist membership by a cascade of Bloom filters.
 
-The universe is every distinct host of the corpus, the listed keys are a part of it. Level 1 encodes
-the listed keys; level 2 encodes the unlisted keys that pass level 1; level 3 the listed keys that
-pass level 2; and so on until a level has no false positive. A key is then decided by the first level
-that it does not pass: exact for every key of the universe, in a map-only scan without a join.
-
-Each level is one aggregated row of 64-bit words, read as a scalar subquery. The size is checked: over
-MAX_BITS for the listed keys membership is answered by a shuffled semi-join instead, also exactly.
-
-Edge cases: a null url or one without ``://`` has empty host and path, no rule, verdict allow. Null
-listed hosts are ignored. Repeated rows are answered one by one; other columns are not read.
+The universe is every distinct host of the corpus, the listed keys are the part of it that the list
+names. Level 1 encodes the listed keys; level 2 encodes the unlisted keys that pass level 1; level 3 the
+listed keys that pass level 2; and so on until a level has no false positive. A key is then decided by
+the first level that it does not pass: exact for every key of the universe, in scans without a join.
+
+Size: keys are dealt by hash over shards, as many as keep the first two levels of a shard within
+SHARD_BITS bits (2 MB). A shard has its own cascade, whose levels are one row of 64-bit words each, read
+as scalar subqueries by the pass over that shard's pages. So a task holds the words of one shard however
+long the list or the universe is; passes read disjoint parts of the pages.
+
+Hashing: the salt of a level and probe is hashed before the key, so it seeds the hash of the key, and keys
+that collide under one salt part under the next. If a level of MAX_LEVELS still has false positives an
+error is raised instead of an inexact answer.
+
+Edge cases: a null url or one without ``://`` has empty host and path, no rule, and is judged as the
+empty host. Null listed hosts are ignored, repeated ones count once, an empty list lists nothing.
+Repeated rows are answered one by one; other columns are not read. An empty table gives no row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .store import cut
+from .store import cut, new_path, table
 
 BITS_PER_KEY, HASHES = 10, 4
-MAX_BITS = 1 << 28
+#: Share of unlisted keys that pass a level of that size, rounded up.
+PASSING = 0.013
+SHARD_BITS = 1 << 24
 MAX_LEVELS = 64
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Hosts with one of these labels are on the blocklist that the query passes.
+#: Hosts with one of these labels are on the blocklist that the query passes where no list is given.
 LISTED_LABELS = ("ads", "ad", "ads-track", "adserver", "track", "tracker", "click", "promo")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +45,8 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def rule_match(host: Column, path: Column, rules) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, or nulls."""
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
     rule, verdict = F, F
     for kind, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -43,8 +54,16 @@ def rule_match(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _salted(salt: int, key: Column) -> Column:
+    return F.xxhash64(F.lit(salt), key)
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(_salted(-1, key), F.lit(shards)).cast("int")
+
+
 def _spots(key: Column, m: int, level: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + j)), F.lit(m)) for j in range(HASHES)]
+    return [F.pmod(_salted(level * HASHES + j, key), F.lit(m)) for j in range(HASHES)]
 
 
 def _passes(key: Column, m: int, level: int, bits: Column) -> Column:
@@ -67,50 +86,72 @@ def _level(keys: DataFrame, n: int, level: int) -> tuple[int, DataFrame]:
 
 
 class Cascade:
-    """Exact membership of ``listed`` within ``universe`` (both: one column ``key``, distinct, not null)."""
+    """Exact membership in the keys marked ``in`` among all keys of one shard (columns key and in; keys distinct)."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
-        keys = cut(universe.select("key").join(listed.select("key").withColumn("in", F.lit(True)), "key", "left").select("key", F.coalesce("in", F.lit(False)).alias("in")))
-        self.levels, side = [], True
-        current, other = keys.where("in"), keys.where("not in")
+    def __init__(self, keys: DataFrame):
+        self.levels = []
+        current, other = keys.where("in").select("key"), keys.where("not in").select("key")
         n = current.count()
-        self.fits = n * BITS_PER_KEY <= MAX_BITS
-        while self.fits and n and len(self.levels) < MAX_LEVELS:
-            m, bits = _level(current, n, len(self.levels))
+        while n:
+            level = len(self.levels)
+            if level == MAX_LEVELS:
+                raise RuntimeError(f"{n} keys cannot be told apart in {MAX_LEVELS} levels")
+            m, bits = _level(current, n, level)
             self.levels.append((m, bits))
             # what passes although it is on the other side goes into the next level
-            wrong = cut(other.where(_passes(F.col("key"), m, len(self.levels) - 1, bits.scalar())))
-            current, other, side = wrong, current, not side
+            wrong = cut(other.where(_passes(F.col("key"), m, level, bits.scalar())))
+            current, other = wrong, current
             n = current.count()
 
     def contains(self, key: Column) -> Column:
-        out = F.lit(False) if not self.levels else None
-        for i in reversed(range(len(self.levels))):
-            m, bits = self.levels[i]
+        out = F.lit(len(self.levels) % 2 == 1)
+        for i, (m, bits) in reversed(list(enumerate(self.levels))):
             # not passing an even level means unlisted, not passing an odd level means listed
-            inner = F.lit(i % 2 == 0) if out is None else out
-            out = F.when(~_passes(key, m, i, bits.scalar()), F.lit(i % 2 == 1)).otherwise(inner)
+            out = F.when(~_passes(key, m, i, bits.scalar()), F.lit(i % 2 == 1)).otherwise(out)
         return out
 
 
+def marked(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """key, in: the distinct keys of the universe, and whether the list has them; one aggregation, no join."""
+    both = universe.select("key", F.lit(False).alias("l")).unionAll(listed.select("key", F.lit(True))).where("key is not null")
+    return both.groupBy("key").agg(F.bool_or("l").alias("in"), F.bool_or(~F.col("l")).alias("seen")).where("seen").select("key", "in")
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """key: the hosts of a text file, one a line; blank lines and lines that begin with # are left out."""
+    line = F.translate(F.trim("value"), _UPPER, _LOWER)
+    return spark.read.text(path).select(line.alias("key")).where("key <> '' and not startswith(key, '#')")
+
+
 def listed_hosts(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
     host, _ = host_path(F.col("url"))
     return pages.select(host.alias("key")).where(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, labels)))).distinct()
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, shard_bits: int = SHARD_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed: the rule decides, else membership of the host in ``listed`` (column key)."""
+    spark = pages.sparkSession
     host, path = host_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct()
-    listed = listed.select("key").where("key is not null").distinct()
-    cascade = Cascade(universe, listed)
-    if cascade.fits:
-        rows = rows.withColumn("listed", cascade.contains(F.col("host")))
-    else:
-        rows = rows.join(listed.select(F.col("key").alias("host"), F.lit(True).alias("_in")), "host", "left").select("page_id", "host", "path", F.coalesce("_in", F.lit(False)).alias("listed"))
-    rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
+    rows = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    keys = table(marked(rows.select(F.col("host").alias("key")), listed), "url-keys")
+    n = dict(keys.groupBy("in").count().collect())
+    first_two = max(n.get(True, 0), int(n.get(False, 0) * PASSING)) * BITS_PER_KEY
+    shards = max(1, -(-first_two // shard_bits))
+
+    def judged(part: DataFrame, own: DataFrame) -> DataFrame:
+        rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
+        part = part.withColumn("listed", Cascade(own).contains(F.col("host")))
+        return part.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
+
+    if shards == 1:
+        return judged(rows, keys)
+    keys = table(keys.withColumn("shard", _shard(F.col("key"), shards)), "url-key-shards", by="shard")
+    rows = table(rows.withColumn("shard", _shard(F.col("host"), shards)), "url-shards", by="shard")
+    out = new_path(spark, "url-verdicts")
+    for s in range(shards):
+        done = judged(rows.where(F.col("shard") == s).drop("shard"), keys.where(F.col("shard") == s).drop("shard"))
+        done.write.mode("append").parquet(out)
+    return spark.read.schema(done.schema).parquet(out)
 
 
 def oracle(rules=RULES, labels=LISTED_LABELS) -> str:
