@@ -29,10 +29,10 @@ BITMAP_BITS = 26
 
 
 def bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Fixed-size bitmap (2**bits bits) of the hashed values of the one column of ``ids``.
+    """Fixed-size bitmap (2**bits bits) of the hashed values of the columns of ``ids``.
 
     It only spares work: what it lets through is checked exactly afterwards. Its size never grows."""
-    h = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << bits))
+    h = slot(*ids.columns, bits=bits)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     rows = ids.select(F.shiftright(h, 6).cast("int").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -45,5 +45,5 @@ def in_bitmap(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (words[h >> 6] >> (h & 63)) & 1 == 1
 
 
-def slot(column, bits: int = BITMAP_BITS):
-    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+def slot(*columns, bits: int = BITMAP_BITS):
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << bits))

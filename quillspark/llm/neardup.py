@@ -1,53 +1,65 @@
 """Operator 2: near-duplicates by DartMinHash signatures.
 
 Elements are hashed five-word shingles (a text of one to four words is one shingle). Each element owns a
-region weight x rank; darts are thrown into it by hashing: the region is tiled with cells (weight unit
-by dyadic rank interval) whose number of darts is Poisson with the cell's area, decided by the hash of
-(element, cell). A dart's coordinate is a hash; in each of K coordinates the dart of least rank stays.
-Two documents agree in a coordinate with probability equal to the weighted Jaccard similarity. The
-rank bound is t / weight of the document with t = K ln K + 2K expected darts, doubled where a
-coordinate stays empty, so long documents touch few cells an element.
-
-``weighting='set'`` gives every distinct shingle weight 1 (the query's choice, plain Jaccard);
-``'count'`` weighs a shingle by its number of occurrences.
+region weight x rank; darts are thrown into it by hashing: the region is tiled with cells (dyadic weight
+interval by dyadic rank interval, of area 1 at most) whose number of darts is Poisson with the cell's area,
+decided by the hash of (element, cell). A dart has a place in its cell and a coordinate, both hashes; it
+counts if it lies under the element's weight, and in each of K coordinates the dart of least rank stays.
+Two documents agree in a coordinate with probability equal to the weighted Jaccard similarity, the sum of
+the smaller weights over the sum of the larger ones. The rank bound is t / total weight of the document
+with t = K ln K + 2K expected darts, doubled where a coordinate stays empty, so long documents touch few
+cells an element.
+
+``weighting``: 'count' weighs a shingle by its number of occurrences (the query's choice), 'set' by 1; a
+function of (hashes, occurrences) gives any positive real weights, for instance inverse document
+frequencies. Weights count to 2**-LOW; scale them so that usual ones are about 1.
 
 Grouping, without all pairs inside a bucket:
- 1. equal texts are one class with the smallest id as representative (128-bit digest, map-side combine);
- 2. representatives with equal band hashes share a bucket; each is verified against the bucket's
-    smallest member, and components are formed from the verified links;
+ 1. equal texts are one class (128-bit digest, map-side combine) with a number of its own;
+ 2. classes with equal band hashes share a bucket; each is verified against the bucket's first member, and
+    components are formed from the verified links;
  3. in buckets that still hold several components, shingles that no other document there has bound a
     member's similarity; members that cannot reach the threshold leave, the rest is verified against
     the four most central members;
  4. only pairs of members of different components that a second bound (by what either shares with the
     most central member) still allows are verified one by one, each in the first bucket both share.
-Verified links are exact Jaccard similarities >= the threshold, so the components are those of the link
-graph over all candidate pairs.
+Verified links are weighted Jaccard similarities >= the threshold, computed from the 64-bit hashes and
+weights of all shingles, so the components are those of the link graph over all candidate pairs.
+
+Hot buckets: a fixed table of SLOTS numbers says over how many parts the buckets of a slot are dealt;
+members are dealt by hash, what is known of a bucket (a row or HUBS rows) goes to each of its parts, and
+the pairs of step 4 to pairs of parts.
 
-Edge cases: rows without doc_id are left out. Null, empty and wordless texts are classes of their own
-(kept, never grouped). Rows that repeat an id are answered one by one and grouped by text. Empty tables
-give no row. Other columns are ignored.
+Edge cases: ``group`` leaves rows without doc_id out, the stage lets them pass. Null, empty and wordless
+texts are classes of their own (kept, never grouped). Rows that repeat an id are answered one by one and
+keyed by (id, text), so two texts of one id are two documents. Empty tables give no row. Other columns are
+ignored by ``group`` and kept by the stage.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import kernels as K
 from .graph import bitmap, components, in_bitmap, slot
 from .store import arrow, cut, table
 
-WORDS, SIMILARITY = 5, 0.8
+WORDS, SIMILARITY, WEIGHTING = 5, 0.8, "count"
 BANDS, ROWS = 16, 4
 COORDS = BANDS * ROWS
 #: Rank cells: below 2**-FINE, dyadic up to 1, then one per unit.
 FINE = 8
+#: Weight tiles for real weights: below 2**-LOW, then dyadic; whole numbers begin with one tile up to 1.
+LOW = 16
 HUBS = 4
+#: Buckets are dealt over parts of about PART members (BLOCK where pairs are compared), MOST_PARTS at most.
+SLOTS, PART, BLOCK, MOST_PARTS = 1 << 16, 1_024, 256, 4_096
 
 
-def shingles(buf, offs, k: int = WORDS, weighting: str = "set"):
-    """(hash, first): the elements of each document, sorted within it. Repeats: dropped for 'set', numbered for 'count'."""
+def shingles(buf, offs, k: int = WORDS, weighting=WEIGHTING):
+    """(hash, weight, first): the distinct elements of each document, sorted within it."""
     s, e, wf = K.words(buf, offs)
     h = K.span_hashes(buf, s, e)
     sh, _, first = K.windows(h, wf, k)
@@ -62,16 +74,13 @@ def shingles(buf, offs, k: int = WORDS, weighting: str = "set"):
             sh, doc = np.concatenate([sh, K.mix(x + np.uint64(j))]), np.concatenate([doc, short])
     order = np.lexsort((sh, doc))
     sh, doc = sh[order], doc[order]
-    if len(sh):
-        new = np.ones(len(sh), bool)
-        new[1:] = (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])
-        if weighting == "set":
-            sh, doc = sh[new], doc[new]
-        else:
-            at = np.arange(len(sh))
-            nth = at - np.maximum.accumulate(np.where(new, at, 0))
-            sh = np.where(nth > 0, K.mix(sh + nth.astype(np.uint64)), sh)
-    return sh, np.searchsorted(doc, np.arange(len(offs)))
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(sh))).astype(float)
+    sh, doc = sh[at], doc[at]
+    weight = np.ones(len(sh)) if weighting == "set" else times if weighting == "count" else np.asarray(weighting(sh, times), float)
+    return sh, weight, np.searchsorted(doc, np.arange(len(offs)))
 
 
 def _poisson_cdf(area: float) -> np.ndarray:
@@ -87,8 +96,8 @@ _UNIT = 2.0**-64
 _CDF = {w: _poisson_cdf(w) for w in [2.0**-i for i in range(FINE + 1)]}
 
 
-def darts(key: np.ndarray, theta: np.ndarray):
-    """Darts of rank < theta in the unit-weight region of each element: (element index, rank, id)."""
+def _tile(key: np.ndarray, theta: np.ndarray):
+    """Darts of rank < theta in the region of weight 1 of each element: (element index, rank, id)."""
     at, ranks, ids = [], [], []
     top = float(theta.max()) if len(theta) else 0.0
     cells = [(0.0, 2.0**-FINE)] + [(2.0 ** (q - FINE), 2.0 ** (q - FINE)) for q in range(FINE)]
@@ -116,16 +125,32 @@ def darts(key: np.ndarray, theta: np.ndarray):
     return np.concatenate(at), np.concatenate(ranks), np.concatenate(ids)
 
 
-def signatures(sh: np.ndarray, first: np.ndarray, k: int = COORDS) -> np.ndarray:
+def darts(key: np.ndarray, weight: np.ndarray, theta: np.ndarray, low: int = 0):
+    """Darts of rank < theta under the weight of each element: (element index, rank, id).
+
+    A weight tile of width w is a region of weight 1 with ranks times w. The first tile is [0, 2**-low)."""
+    at, ranks, ids = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)]
+    begin, width, nth = 0.0, 2.0**-low, 0
+    while len(own := np.flatnonzero(weight > begin)):
+        i, r, g = _tile(K.mix(key[own] + np.uint64(0x7A11 * (nth + 1))), theta[own] * width)
+        place = begin + width * (K.mix(g ^ np.uint64(0x5EED)).astype(np.float64) * _UNIT)
+        ok = place < weight[own[i]]
+        at.append(own[i[ok]]), ranks.append(r[ok] / width), ids.append(g[ok])
+        begin, width, nth = begin + width, width * (2 if nth else 1), nth + 1
+    return np.concatenate(at), np.concatenate(ranks), np.concatenate(ids)
+
+
+def signatures(sh: np.ndarray, weight: np.ndarray, first: np.ndarray, k: int = COORDS, low: int = 0) -> np.ndarray:
     """K dart ids for each document; documents without elements get zeros."""
     docs, n = len(first) - 1, np.diff(first)
     sig = np.zeros((docs, k), np.uint64)
+    total = K.sums(weight, first)
     todo, t = np.flatnonzero(n > 0), k * np.log(k) + 2 * k
     while len(todo):
         size = n[todo]
         of = np.repeat(np.arange(len(todo)), size)
         pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[todo], size)
-        at, rank, ids = darts(sh[pos], (t / size)[of])
+        at, rank, ids = darts(sh[pos], weight[pos], (t / total[todo])[of], low)
         cell = of[at] * k + (K.mix(ids ^ np.uint64(0xC0FFEE)) % np.uint64(k)).astype(np.int64)
         order = np.lexsort((rank, cell))
         cell, ids = cell[order], ids[order]
@@ -150,17 +175,21 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _low(weighting) -> int:
+    return 0 if weighting in ("set", "count") else LOW
+
+
 def _sign(weighting):
     def run(batches):
         for b in batches:
-            sizes, bands = [], []
+            total, bands = [np.zeros(0)], [np.zeros((0, BANDS), np.int64)]
             for lo, hi, buf, offs in K.chunks(b.column(1)):
-                sh, first = shingles(buf, offs, WORDS, weighting)
-                sizes.append(np.diff(first))
-                bands.append(band_hashes(signatures(sh, first)))
-            flat = np.concatenate(bands).ravel() if bands else np.zeros(0, np.int64)
+                sh, weight, first = shingles(buf, offs, WORDS, weighting)
+                total.append(K.sums(weight, first))
+                bands.append(band_hashes(signatures(sh, weight, first, low=_low(weighting))))
+            flat = np.concatenate(bands).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.record_batch([b.column(0), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), lists, b.column(2), b.column(3)], names=["doc_id", "n", "bands", "d1", "d2"])
+            yield pa.record_batch([b.column(0), pa.array(np.concatenate(total)), lists, b.column(2), b.column(3)], names=["doc_id", "n", "bands", "d1", "d2"])
 
     return run
 
@@ -168,158 +197,216 @@ def _sign(weighting):
 def _sets(words, weighting):
     def run(batches):
         for b in batches:
-            keep = in_bitmap(words.value, b.column(2).to_numpy())
-            b = b.filter(pa.array(keep))
-            out = []
+            b = b.filter(pa.array(in_bitmap(words.value, b.column(4).to_numpy())))
+            sets, weights = [], []
             for lo, hi, buf, offs in K.chunks(b.column(1)):
-                sh, first = shingles(buf, offs, WORDS, weighting)
-                low = (sh >> np.uint64(24)).astype(np.uint64)  # 40 bits, still sorted
-                out += [np.ascontiguousarray(low[first[d] : first[d + 1]].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for d in range(hi - lo)]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["id", "sh"])
+                sh, weight, first = shingles(buf, offs, WORDS, weighting)
+                for d in range(hi - lo):
+                    own = weight[first[d] : first[d + 1]]
+                    sets.append(sh[first[d] : first[d + 1]].tobytes())
+                    weights.append(b"" if (own == 1).all() else own.tobytes())
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], names=["rep", "d1", "d2", "sh", "wt"])
 
     return run
 
 
-def _unpack(x: bytes) -> np.ndarray:
-    a = np.zeros((len(x) // 5, 8), np.uint8)
-    a[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return a.view(np.uint64).ravel()
+def _unpack(x: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    sh = np.frombuffer(x, np.uint64)
+    return sh, np.frombuffer(w, np.float64) if w else np.ones(len(sh))
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two sorted arrays without repeats."""
-    if len(a) > len(b):
+def _overlap(a, b) -> float:
+    """Sum of the smaller weights of the common values of two (sorted values without repeats, weights)."""
+    if len(a[0]) > len(b[0]):
         a, b = b, a
-    if not len(b):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+    if not len(a[0]):
+        return 0.0
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    hit = b[0][at] == a[0]
+    return float(np.minimum(a[1][hit], b[1][at[hit]]).sum())
 
 
 def _check(similarity):
     def run(batches):
         for b in batches:
             common, linked, kept = [], [], None
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if kept is None or kept[0] != x:
-                    kept = (x, _unpack(x))
-                m, total = _overlap(kept[1], _unpack(y)), (len(x) + len(y)) // 5
-                common.append(m), linked.append(m > 0 and m >= similarity * (total - m) - 1e-9)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "m", "ok"])
+            for x, v, y, w in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                if kept is None or kept[0] is not x:
+                    kept = (x, _unpack(x, v))
+                other = _unpack(y, w)
+                m = _overlap(kept[1], other)
+                common.append(m), linked.append(m > 0 and m >= similarity * (kept[1][1].sum() + other[1].sum() - m) - 1e-9)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(common, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "m", "ok"])
 
     return run
 
 
-def _rare(batches):
+def _elements(batches):
     for b in batches:
-        ids, vals = [], []
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = _unpack(x)
-            ids.append(np.full(len(v), i, np.int64)), vals.append(v)
-        if ids:
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(vals).astype(np.int64))], names=["id", "v"])
+        for k, x, w in zip(*(b.column(i).to_pylist() for i in range(3))):
+            sh, weight = _unpack(x, w)
+            yield pa.record_batch([pa.array(np.full(len(sh), k)), pa.array(sh.view(np.int64)), pa.array(weight)], names=["k", "v", "w"])
 
 
 def overlaps(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, m, ok): common elements of each pair, and whether its exact similarity reaches the threshold."""
-    one = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
-    rows = edges.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return cut(rows.transform(arrow, _check(similarity), "a long, b long, m long, ok boolean"))
+    """(a, b, m, ok): common weight of each pair, and whether its exact similarity reaches the threshold."""
+    one = sets.select(F.col("k").alias("a"), F.col("sh").alias("x"), F.col("wt").alias("v"))
+    two = sets.select(F.col("k").alias("b"), F.col("sh").alias("y"), F.col("wt").alias("w"))
+    rows = edges.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "v", "y", "w")
+    return cut(rows.transform(arrow, _check(similarity), "a long, b long, m double, ok boolean"))
 
 
 def verify(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return overlaps(edges, sets, similarity).where("ok").select("a", "b")
 
 
-def _with_comps(members: DataFrame, links: DataFrame) -> DataFrame:
+class Parts:
+    """Over how many parts the members of a bucket are dealt: one number for each of SLOTS slots of buckets.
+
+    A bucket that shares its slot with a hot one is dealt like that one, which costs copies of its known row only."""
+
+    def __init__(self, counts: DataFrame, size: int):
+        """counts: bucket, c."""
+        spark = counts.sparkSession
+        hot = counts.where(F.col("c") > size).select(self._slot(), F.least(F.ceil(F.col("c") / size), F.lit(MOST_PARTS)).cast("int").alias("n"))
+        rows = hot.unionAll(spark.range(SLOTS).select(F.col("id").cast("int"), F.lit(1))).groupBy("s").agg(F.max("n").alias("n"))
+        self.table = cut(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "n"))), lambda x: x["n"]).alias("n")))
+
+    @staticmethod
+    def _slot() -> Column:
+        return F.pmod(F.xxhash64("bucket"), F.lit(SLOTS)).cast("int").alias("s")
+
+    def number(self) -> Column:
+        return F.get(self.table.scalar(), self._slot())
+
+    def of(self) -> Column:
+        return F.pmod(F.xxhash64("k"), self.number()).cast("int")
+
+    def deal(self, members: DataFrame) -> DataFrame:
+        """Members (bucket, k) with their part."""
+        return members.withColumn("part", self.of())
+
+    def every(self, known: DataFrame) -> DataFrame:
+        """What is known of a bucket, for each of its parts."""
+        return known.withColumn("part", F.explode(F.sequence(F.lit(0), self.number() - 1)))
+
+    def join(self, members: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+        return self.deal(members).join(self.every(known), ["bucket", "part", *more]).drop("part")
+
+
+def _with_comps(members: DataFrame, links: DataFrame, parts: Parts) -> DataFrame:
     """Members of buckets that hold more than one component."""
-    comps = components(links).select(F.col("id").alias("rep"), "comp")
-    rows = members.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    comps = components(links).select(F.col("id").alias("k"), "comp")
+    rows = members.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return rows.join(mixed, "bucket")
+    return parts.join(rows, mixed)
 
 
-def group(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """doc_id, class_id (smallest id of the class) and kept, one row per row of docs with an id."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting=WEIGHTING) -> DataFrame:
+    """doc_id, d1, d2 (digest of the text), class_id and kept, one row per row of docs with an id.
+
+    One (id, text) of a class is kept: the smallest id, of its texts the one with the smallest digest."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = rows.select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), "text").alias("d2"))
-    sig = table(signed.transform(arrow, _sign(weighting), "doc_id long, n long, bands array<long>, d1 long, d2 long"), "dart-signatures")
-    reps = cut(sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    alone = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
-    entries = alone.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket")).distinct()
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = table(entries.join(shared, "bucket").select("bucket", "rep", "n", "hub"), "dart-buckets")
-    wanted = members.select("rep").distinct()
-    words = spark.sparkContext.broadcast(bitmap(wanted))
-    picked = rows.select("doc_id", "text", slot("doc_id").alias("s")).transform(arrow, _sets(words, weighting), "id long, sh binary")
-    sets = table(picked.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "dart-sets")
-
-    links = verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, similarity)
-    left = cut(_with_comps(members, links).select("bucket", "rep", "n", "comp"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), "text").alias("d2"))
+    sig = table(rows.transform(arrow, _sign(weighting), "doc_id long, n double, bands array<long>, d1 long, d2 long"), "dart-signatures")
+    # texts are numbered in a written table, so the numbers hold whatever is computed again
+    first = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    reps = table(first.withColumn("k", F.monotonically_increasing_id()), "dart-texts")
+    copies, reps = Parts(reps.select(F.col("d1").alias("bucket"), "c"), PART), reps.drop("c")
+    own = sig.select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "bands").join(reps, ["rep", "d1", "d2"]).dropDuplicates(["k"])
+    entries = table(own.select("k", "n", F.explode("bands").alias("bucket")).distinct(), "dart-entries")
+    shared = cut(entries.groupBy("bucket").agg(F.min("k").alias("hub"), F.count("*").alias("c")).where("c > 1"))
+    parts = Parts(shared, PART)
+    members = table(parts.join(entries, shared.select("bucket", "hub")).select("bucket", "k", "n", "hub"), "dart-buckets")
+    wanted = reps.join(members.select("k").distinct(), "k")
+    words = spark.sparkContext.broadcast(bitmap(wanted.select("rep", "d1")))
+    picked = rows.withColumn("s", slot("doc_id", "d1")).transform(arrow, _sets(words, weighting), "rep long, d1 long, d2 long, sh binary, wt binary")
+    sets = table(picked.join(wanted, ["rep", "d1", "d2"]).select("k", "sh", "wt").dropDuplicates(["k"]), "dart-sets")
+
+    links = verify(members.where("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")), sets, similarity)
+    left = cut(_with_comps(members, links, parts).select("bucket", "k", "n", "comp"))
     if not left.isEmpty():
-        links = cut(links.unionAll(_cross(left, sets, similarity, links)))
-    comps = components(links).select(F.col("id").alias("rep"), "comp")
-    classes = reps.join(comps, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("class_id"))
-    out = sig.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    own = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", own.alias("class_id"), (own == F.col("doc_id")).alias("kept"))
+        links = cut(links.unionAll(_cross(left, sets, similarity, links, parts)))
+    named = reps.join(components(links).select(F.col("id").alias("k"), "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    best = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.min_by(F.struct("d1", "d2"), F.struct("rep", "d1", "d2")).alias("best"))
+    named = named.join(best, "comp").select(F.col("d1").alias("bucket"), "d2", "class_id", "best")
+    worded = copies.join(sig.where("n > 0").select("doc_id", "d1", F.col("d1").alias("bucket"), "d2", F.col("doc_id").alias("k")), named, "d2")
+    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("best") == F.struct("d1", "d2"))
+    alone = sig.where("n <= 0").select("doc_id", "d1", "d2", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return worded.select("doc_id", "d1", "d2", "class_id", kept.alias("kept")).unionAll(alone)
+
+
+def group(docs: DataFrame, similarity: float = SIMILARITY, weighting=WEIGHTING) -> DataFrame:
+    """doc_id, class_id (smallest id of the class) and kept, one row per row of docs with an id."""
+    return classes(docs, similarity, weighting).select("doc_id", "class_id", "kept")
 
 
-def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
+def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame, parts: Parts) -> DataFrame:
     """Steps 3 and 4: further verified links between components that share a bucket."""
-    rare = sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").transform(arrow, _rare, "id long, v long")
-    single = rare.groupBy("v").agg(F.count("*").alias("c"), F.min("id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    rows = left.join(single, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    # m <= n - u common shingles; similarity needs m >= (n1 + n2) * s / (1 + s)
+    rare = sets.join(left.select("k").distinct(), "k", "left_semi").select("k", "sh", "wt").transform(arrow, _elements, "k long, v long, w double")
+    single = rare.groupBy("v").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.min("w").alias("w")).where("c = 1").groupBy("k").agg(F.sum("w").alias("u"))
+    rows = left.join(single, "k", "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
+    # m <= n - u common weight; similarity needs m >= (n1 + n2) * s / (1 + s)
     most = (F.col("n") - F.col("u")) * F.lit((1 + similarity) / similarity)
     least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = cut(rows.join(least, "bucket").where(F.col("n") + F.col("least") <= most + 1e-6).select("bucket", "rep", "n", "u", "comp", most.alias("most")))
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy("u", "rep"))
-    hubs = rows.withColumn("rn", rank).where(F.col("rn") <= HUBS).select("bucket", "rn", F.col("rep").alias("h"), F.col("comp").alias("ch"))
-    star = rows.join(hubs, "bucket").where("rep <> h and (rn = 1 or comp <> ch)").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+    rows = cut(parts.join(rows, least).where(F.col("n") + F.col("least") <= most + 1e-6).select("bucket", "k", "n", "u", "comp"))
+
+    # the most central members: the best of each part, then the best of those
+    for keys in (["bucket", "part"], ["bucket"]):
+        best = F.row_number().over(W.partitionBy(*keys).orderBy("u", "k"))
+        hubs = (parts.deal(rows) if "part" in keys else hubs).withColumn("rn", best).where(F.col("rn") <= HUBS)
+    hubs = cut(hubs.select("bucket", "rn", F.col("k").alias("h"), F.col("comp").alias("ch")))
+    star = parts.join(rows, hubs).where("k <> h and (rn = 1 or comp <> ch)").select(F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"))
     seen = overlaps(star, sets, similarity)
     found = seen.where("ok").select("a", "b")
-    rest = cut(_with_comps(rows.drop("comp"), links.unionAll(found)))
+    rest = cut(_with_comps(rows.drop("comp"), links.unionAll(found), parts))
     if rest.isEmpty():
         return found
-    # common shingles of two members are shared with the hub, or outside it and not rare: at most min(m1, m2) + min(r1, r2)
-    rest = rest.join(hubs.where("rn = 1").select("bucket", "h"), "bucket").withColumns({"a": F.least("h", "rep"), "b": F.greatest("h", "rep")})
+    # common weight of two members is shared with the hub, or outside it and not rare: at most min(m1, m2) + min(r1, r2)
+    rest = parts.join(rest, hubs.where("rn = 1").select("bucket", "h")).withColumns({"a": F.least("h", "k"), "b": F.greatest("h", "k")})
     rest = rest.join(seen.select("a", "b", "m"), ["a", "b"], "left").withColumn("m", F.coalesce("m", "n"))
-    rest = rest.withColumn("r", F.greatest(F.lit(0), F.col("n") - F.col("m") - F.col("u")))
+    rest = rest.withColumn("r", F.greatest(F.lit(0.0), F.col("n") - F.col("m") - F.col("u")))
     # a pair is taken up in the first bucket that both share
-    own = rest.groupBy("rep").agg(F.collect_set("bucket").alias("own"))
-    rest = cut(rest.join(own, "rep").select("bucket", "rep", "n", "comp", "m", "r", "own"))
-    y = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "m", "r", "own")])
+    own = rest.groupBy("k").agg(F.collect_set("bucket").alias("own"))
+    rest = cut(rest.join(own, "k").select("bucket", "k", "n", "comp", "m", "r", "own"))
+    blocks = Parts(rest.groupBy("bucket").agg(F.count("*").alias("c")), BLOCK)
+    x = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.col("part"), blocks.number() - 1)))
+    y = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part"))))
+    y = y.select("bucket", F.col("other").alias("part"), F.col("part").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("k", "n", "comp", "m", "r", "own")])
     bound = F.lit((1 + similarity) / similarity) * (F.least("m", "m2") + F.least("r", "r2")) + 1e-6
-    far = (F.col("n") + F.col("n2") <= bound) & F.expr("rep < rep2 and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket")
-    pair = rest.join(y, "bucket").where(far)
-    return found.unionAll(verify(pair.select(F.col("rep").alias("a"), F.col("rep2").alias("b")), sets, similarity))
+    far = (F.col("n") + F.col("n2") <= bound) & F.expr("(part <> other or k < k2) and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket")
+    pair = x.join(y, ["bucket", "part", "other"]).where(far)
+    return found.unionAll(verify(pair.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")), sets, similarity))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays (the smallest id; of rows that repeat an id and text, one).
 
-    Rows whose id is not in a fixed-size bitmap of ids to check pass without a shuffle; only the others are joined."""
-    verdict = table(group(docs).select("doc_id", "kept"), "dart-verdicts")
-    doubt = verdict.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("c")).where("not kept or c > 1").select("doc_id", "kept")
+    Rows whose (id, text) is not in a fixed-size bitmap of those to check pass without a shuffle; only the others are
+    joined. Rows without an id pass, as do texts without words. An empty table stays empty."""
+    verdict = table(classes(docs).select("doc_id", "d1", "d2", "kept"), "dart-verdicts")
+    doubt = verdict.groupBy("doc_id", "d1", "d2").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("c")).where("not kept or c > 1").select("doc_id", "d1", "d2", "kept")
     doubt = cut(doubt)
-    words = spark.sparkContext.broadcast(bitmap(doubt.select("doc_id")))
-    at, names, schema = len(docs.columns), docs.columns, docs.schema
+    words = spark.sparkContext.broadcast(bitmap(doubt.select("doc_id", "d1")))
+    names, schema = docs.columns, docs.schema
+    at = len(names)
 
     def part(inside: bool):
         def run(batches):
             for b in batches:
-                hit = in_bitmap(words.value, np.asarray(b.column(at).fill_null(0)))
+                known = np.asarray(b.column(names.index("doc_id")).is_valid())
+                hit = known & in_bitmap(words.value, np.asarray(b.column(at)))
                 b = b.filter(pa.array(hit == inside))
                 yield pa.record_batch([b.column(i) for i in range(at)], names=names)
 
-        return docs.withColumn("__slot", slot(F.col("doc_id").cast("long"))).transform(arrow, run, schema)
+        keys = docs.withColumn("__slot", slot(F.col("doc_id").cast("long"), F.xxhash64("text")))
+        return keys.transform(arrow, run, schema)
 
-    checked = part(True)
-    again = checked.dropDuplicates(["doc_id", "text"]) if not doubt.where("kept").isEmpty() else checked
-    return part(False).unionByName(again.join(doubt.where("not kept").select("doc_id"), "doc_id", "left_anti"))
+    digest = [F.xxhash64("text").alias("__d1"), F.xxhash64(F.lit(7), "text").alias("__d2")]
+    checked = part(True).select("*", F.col("doc_id").cast("long").alias("__id"), *digest)
+    if not doubt.where("kept").isEmpty():
+        checked = checked.dropDuplicates(["__id", "__d1", "__d2"])
+    gone = doubt.where("not kept").select(F.col("doc_id").alias("__id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"))
+    return part(False).unionByName(checked.join(gone, ["__id", "__d1", "__d2"], "left_anti").select(*names))

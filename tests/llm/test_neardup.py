@@ -1,18 +1,24 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillspark.llm import kernels as K, neardup
 
 
-def shingle_set(text, k=5):
+def shingle_bag(text, k=5):
     w = (text or "").encode().split()
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])
 
 
-def brute(rows, similarity=0.8):
-    sets = [shingle_set(t) for _, t in rows]
+def weighted(x, y):
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def brute(rows, similarity=0.8, bag=shingle_bag):
+    sets = [bag(t) for _, t in rows]
     comp = list(range(len(rows)))
 
     def find(a):
@@ -22,13 +28,13 @@ def brute(rows, similarity=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+            if sets[i] and sets[j] and weighted(sets[i], sets[j]) >= similarity - 1e-9:
                 a, b = sorted((find(i), find(j)), key=lambda x: rows[x][0])
                 comp[b] = a
     best = {}
     for i, (k, _) in enumerate(rows):
         best[find(i)] = min(best.get(find(i), k), k)
-    return {k: best[find(i)] for i, (k, _) in enumerate(rows)}
+    return [best[find(i)] for i in range(len(rows))]
 
 
 def corpus():
@@ -58,23 +64,64 @@ def test_classes_match_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(k, t, "x", True) for k, t in rows], "doc_id long, text string, class_id string, kept boolean").repartition(5)
     got = {r.doc_id: r for r in neardup.group(docs).collect()}
-    want = brute(rows)
-    assert {k: r.class_id for k, r in got.items()} == want
+    assert [got[k].class_id for k, _ in rows] == brute(rows)
     assert all(r.kept == (r.class_id == k) for k, r in got.items())
 
 
-def test_agreement_estimates_weighted_similarity():
-    r = np.random.default_rng(1)
-    a = [f"w{i}" for i in range(200)] * 2 + ["x y z u v"] * 20
-    for weighting in ("set", "count"):
-        for cut in (10, 60):
-            b = a[:-cut] + [f"n{i}" for i in range(cut)]
-            buf, offs = K.string_buffer(pa.array([" ".join(a), " ".join(b)]))
-            sh, first = neardup.shingles(buf, offs, 5, weighting)
-            x, y = (set(sh[first[d] : first[d + 1]].tolist()) for d in (0, 1))
-            sig = neardup.signatures(sh, first, 1024)
-            assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.06
-    assert r is not None
+def fractional(sh, times):
+    """A real weight for each hash, from 0.05 to 6, times the occurrences."""
+    return times * (0.05 + 6 * (sh % np.uint64(1000)).astype(float) / 1000)
+
+
+@pytest.mark.parametrize("weighting", ["set", "count", fractional])
+@pytest.mark.parametrize("cut", [10, 60, 300])
+def test_agreement_estimates_weighted_similarity(weighting, cut):
+    a = [f"w{i}" for i in range(200)] * 2 + ["x", "y", "z", "u", "v"] * 20 + ["r"] * 300
+    b = a[:-cut] + [f"n{i}" for i in range(40)]
+    buf, offs = K.string_buffer(pa.array([" ".join(a), " ".join(b)]))
+    sh, weight, first = neardup.shingles(buf, offs, 5, weighting)
+    x, y = (dict(zip(sh[first[d] : first[d + 1]].tolist(), weight[first[d] : first[d + 1]].tolist())) for d in (0, 1))
+    want = sum(min(x.get(k, 0), y.get(k, 0)) for k in x | y) / sum(max(x.get(k, 0), y.get(k, 0)) for k in x | y)
+    sig = neardup.signatures(sh, weight, first, 2048, neardup._low(weighting))
+    assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+    own = [neardup._unpack(sh[first[d] : first[d + 1]].tobytes(), weight[first[d] : first[d + 1]].tobytes()) for d in (0, 1)]
+    m = neardup._overlap(*own)
+    assert abs(m / (own[0][1].sum() + own[1][1].sum() - m) - want) < 1e-9
+
+
+def test_fractional_weights_decide_classes(spark):
+    # the same three of forty words differ; whether that matters is up to their weights
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    buf, offs = K.string_buffer(pa.array([r[1] for r in rows]))
+    sh, _, first = neardup.shingles(buf, offs)
+    only = set(sh[first[0] : first[1]].tolist()) ^ set(sh[first[1] :].tolist())
+    heavy = lambda s, n: np.where(np.isin(s, np.array(sorted(only), np.uint64)), 30.5, 0.25)
+    assert {r.class_id for r in neardup.group(df).collect()} == {1}
+    assert {r.class_id for r in neardup.group(df, weighting=heavy).collect()} == {1, 2}
+    assert {r.class_id for r in neardup.group(df, weighting=lambda s, n: 0.25 + 0 * n).collect()} == {1}
+
+
+def test_hot_buckets_in_parts(spark, monkeypatch):
+    """One group of near copies much larger than a part: same classes, several parts and blocks."""
+    monkeypatch.setattr(neardup, "PART", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in neardup.group(docs).collect()}
+    assert [got[k] for k, _ in rows] == brute(rows)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (5, a + " x"), (5, b), (5, b), (6, b + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in neardup.group(docs).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (6, 5, False)]
+    assert sorted(tuple(r) for r in neardup.stage(spark, docs, "").collect()) == [(1, a), (5, b)]
+    none = spark.createDataFrame([(None, a), (None, a), (7, a)], "doc_id long, text string")
+    assert neardup.stage(spark, none, "").count() == 3  # rows without an id pass
 
 
 def test_empty_table_and_repeated_ids(spark):
@@ -89,4 +136,4 @@ def test_stage_keeps_one_of_each_class(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, lang string")
     out = neardup.stage(spark, docs, "")
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted({v for v in brute(rows).values()})
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute(rows)))
