@@ -1,40 +1,48 @@
-"""Operator 10: best-fit packing over the histogram of lengths.
+"""Operator 10: bulk-synchronous best-fit packing.
 
 Documents are encoded (byte-level BPE) and end with id 0. A document longer than a sequence is cut into
 pieces of SIZE tokens of which the first may be shorter; full pieces are sequences of their own, so one
 piece of a document at most (shorter than SIZE) has to be packed.
 
-Packing is best-fit by decreasing length. Lengths are integers below SIZE, so documents of one length
-and sequences with one gap are classes, held run-length encoded; at most SIZE of each exist. The sweep is
-one sequential best fit on the driver over this histogram, in place of distributed sweeps in rounds with
-conflicts resolved by rank: gaps are never a distributed table. One step
-takes the longest class left and sweeps the gaps upward from its successor (the least gap that
-is large enough): the documents with the lowest ranks of the class take the sequences of that gap, the
-others go on to the next gap, and what finds none opens new sequences; then the gaps are updated. Ranks
-within a length come from the range order of (length, salt, doc_id) and are computed in parallel: a hot
-length is spread over SALTS parts whose counts give the offsets. Each piece finds its place by its own
-rank. So all work per document is distributed; the driver sees at most SIZE * SALTS counts.
+Pieces are range-sorted by decreasing length once: the ranges are the lengths, a hot length is dealt over
+further ranges by hash, and the counts of the ranges give every piece its dense rank within its length.
+Then rounds run from the longest band of lengths to the shortest (each band reaches down to STEP of its
+longest length, or half of it where lengths are below FEW * SIZE; their number depends on SIZE only). A round:
+ 1. the gaps of the open sequences are range-sorted in the same way; a gap that holds k pieces of the
+    band's longest length offers k equal slots, one that holds a shorter piece of the band offers one;
+ 2. where the band has more pieces than slots for them, new sequences are opened, no more than needed;
+ 3. one sweep in decreasing size over slots and pieces together matches each piece with its successor, the
+    smallest slot that is large enough and not taken by a longer piece or one of lower rank: a slot opens a
+    level of a stack, a piece takes the top one. The levels follow from ranks and counts, so the sweep is a
+    window over each level by itself, and a level has at most one slot of each gap;
+ 4. the gaps are updated by what was placed, in one aggregation.
+Every piece of a band is placed in its round. The driver sees the numbers of pieces of each length and of
+sequences of each gap, at most 2 * SIZE numbers a round; pieces, gaps and matches stay distributed, and each
+round is written to the shared folder, so a lost executor costs no more than its own tasks.
 
 Edge cases: null text is empty and packs as the single id 0. Repeated rows are packed one by one; null
-ids are packed too (ranked first). An empty table gives no row. Special-token strings in a text are
-ordinary text. Other columns are ignored.
+ids are packed too. An empty table gives no row. Special-token strings in a text become their ids, as the
+vocabulary file's tokenizer has it. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
-import bisect
+import re
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import kernels as K
 from .store import arrow, table
 
-SIZE, SALTS, END = 2048, 64, 0
+SIZE, END = 2048, 0
+#: A band of lengths reaches down to STEP of its longest, below a share of FEW of a sequence to half of it.
+STEP, FEW = 0.8, 1 / 32
+#: Pieces or gaps of one size in a range.
+RANGE = 100_000
 VOCABULARY = "byte_bpe_50k.json"
 #: Larger chunks share more words, smaller ones need less memory.
 CHUNK = 3 << 20
@@ -49,23 +57,24 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(2)
 def _encoder(path: str):
-    """(encoding, bytes of each id). The merge ranks come from the vocabulary file itself."""
+    """(encoding, bytes of each id, special strings with their ids). All comes from the vocabulary file itself."""
     import json
 
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        known = json.load(f)
+    vocab, added = known["model"]["vocab"], {t["content"].encode(): t["id"] for t in known["added_tokens"]}
     # the printable stand-ins of bytes in byte-level vocabularies
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and not token.startswith("<|")}
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and token.encode() not in added}
     enc = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         size[i] = len(token)
-    return enc, size
+    return enc, size, added
 
 
 def _odd_space(buf, offs) -> np.ndarray:
@@ -85,11 +94,33 @@ def _odd_space(buf, offs) -> np.ndarray:
 
 
 def encode(buf, offs, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first): ids of document d are ids[first[d]:first[d+1]].
+    """(ids, first): ids of document d are ids[first[d]:first[d+1]]. What stands between special strings is encoded by itself."""
+    _, _, added = _encoder(path)
+    found = re.compile(b"|".join(sorted(map(re.escape, added), key=len, reverse=True))) if added else None
+    hits = [m for m in found.finditer(buf.tobytes())] if found else []
+    doc = np.searchsorted(offs, [m.start() for m in hits], "right") - 1
+    hits = [(m.start(), m.end(), added[m.group()]) for m, d in zip(hits, doc) if m.end() <= offs[d + 1]]
+    if not hits:
+        return _ordinary(buf, offs, path)
+    begin, end = (np.array(x, np.int64) for x in zip(*[h[:2] for h in hits]))
+    # pieces between all bounds; those that are special strings are emptied and get their id
+    bound = np.unique(np.concatenate([offs, begin, end]))
+    special = np.zeros(len(bound) - 1, bool)
+    special[np.searchsorted(bound, begin)] = True
+    keep = np.repeat(~special, np.diff(bound))
+    ids, first = _ordinary(buf[keep], np.concatenate([[0], np.cumsum(np.where(special, 0, np.diff(bound)))]), path)
+    at = np.searchsorted(bound, begin)
+    out = np.insert(ids, first[at], np.array([h[2] for h in hits], ids.dtype))
+    first = first + np.concatenate([[0], np.cumsum(special)])
+    return out, first[np.searchsorted(bound, offs)]
+
+
+def _ordinary(buf, offs, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same without special strings.
 
     A cut before white space that follows other text never changes the encoding, so each different
     stretch of white space and text is encoded once per chunk."""
-    enc, size = _encoder(path)
+    enc, size, _ = _encoder(path)
     _, ends, wf = K.words(buf, offs)
     odd = _odd_space(buf, offs)
     if odd.any():
@@ -151,72 +182,122 @@ def _pieces(path: str, size: int):
     return run
 
 
-def best_fit(counts: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Placement of counts[length] pieces of each length below size.
-
-    Returns (length, first rank, first sequence, offset) runs (a run ends where the next of its length
-    begins; its sequences are consecutive), and the number of sequences."""
-    runs, used = [], 0
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> [(first sequence, how many)]
-    order: list[int] = []  # gaps in use, ascending
-
-    def put(gap, group):
-        if gap:
-            if gap not in gaps:
-                bisect.insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append(group)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect.bisect_left(order, length)
-            if i < len(order):
-                gap = order[i]
-                seq, n = gaps[gap].pop()
-                take = min(n, left)
-                if take < n:
-                    gaps[gap].append((seq + take, n - take))
-                if not gaps[gap]:
-                    del gaps[gap]
-                    order.pop(i)
-                runs.append((length, rank, seq, size - gap))
-                put(gap - length, (seq, take))
-                rank, left = rank + take, left - take
+def bands(size: int = SIZE) -> list[tuple[int, int]]:
+    """(shortest, longest) length of each round, from the longest pieces to the shortest.
+
+    Down to size / 8 no band reaches over size / k, so all its pieces go k to a new sequence."""
+    out, hi = [], size - 1
+    while hi:
+        lo = int(hi * STEP) + 1 if hi > FEW * size else hi // 2 + 1
+        if hi * 8 > size:
+            lo = max(lo, size // (size // hi + 1) + 1)
+        out.append((min(lo, hi), hi))
+        hi = out[-1][0] - 1
+    return out
+
+
+def _counts(df: DataFrame, key: str) -> dict[int, int]:
+    """Rows of each value of key, of which there are at most SIZE."""
+    return {int(k): int(n) for k, n in df.groupBy(key).count().collect()}
+
+
+def _at(numbers: dict[int, int], key: Column) -> Column:
+    """The number of a key, from a literal array of at most SIZE numbers."""
+    dense = ",".join(str(numbers.get(i, 0)) for i in range(max(numbers) + 1))
+    return F.get(F.split(F.lit(dense), ",").cast("array<long>"), key.cast("int"))
+
+
+def _ranked(df: DataFrame, key: str, order: str, counts: dict[int, int]) -> DataFrame:
+    """Adds ``rank``, dense from 0 among the rows of each value of key; hot values are dealt over several ranges."""
+    ranges = {k: -(-n // RANGE) for k, n in counts.items()}
+    if max(ranges.values()) == 1:
+        return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
+    df = df.withColumn("range", F.pmod(F.xxhash64(order), _at(ranges, F.col(key))).cast("int"))
+    sizes = df.groupBy(key, "range").agg(F.count("*").alias("n"))
+    before = W.partitionBy(key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(key, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    inside = F.row_number().over(W.partitionBy(key, "range").orderBy(order)) - 1
+    return df.withColumn("rank", inside).join(sizes, [key, "range"]).withColumn("rank", F.col("rank") + F.col("skip")).drop("range", "skip")
+
+
+def levels(pieces: dict[int, int], gaps: dict[int, int], longest: int, size: int) -> tuple[int, dict[int, int], dict[int, int]]:
+    """(new sequences, gap -> level below its first slot, length -> level of its first piece) of a round.
+
+    A gap offers max(1, gap // longest) slots of equal size, rounded down.
+    Counts of pieces by length and of sequences by gap decide; gaps too small for any piece are left out."""
+    offered = lambda g: max(1, g // longest)
+    gaps = {g: n for g, n in gaps.items() if g >= min(pieces)}
+
+    def sweep():
+        events = sorted([(-(g // offered(g)), 0, g, n * offered(g)) for g, n in gaps.items()] + [(-x, 1, x, n) for x, n in pieces.items()])
+        depth, least, below, top = 0, 0, {}, {}
+        for _, kind, x, n in events:
+            if kind:
+                top[x] = depth
+                depth -= n
+                least = min(least, depth)
             else:
-                # new sequences: as many as the rest of the class fills
-                n = -(-left // (size // length))
-                put(size, (used, n))
-                used += n
-    return runs, used
+                below[x] = depth
+                depth += n
+        return least, below, top
+
+    least, below, top = sweep()
+    new = -(least // (size // longest)) if least else 0
+    if new:
+        gaps[size] = gaps.get(size, 0) + new
+        _, below, top = sweep()
+    return new, below, top
+
+
+def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
+    """Adds sequence_id and offset to pieces (length from 1 to size - 1, unique q)."""
+    spark = pieces.sparkSession
+    own, rounds = pieces.columns, bands(size)
+    counts = _counts(pieces, "length")
+    if not counts:
+        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    band = F.coalesce(*[F.when(F.col("length") >= lo, i) for i, (lo, _) in enumerate(rounds)])
+    ranked = table(_ranked(pieces.withColumn("length", F.col("length").cast("int")), "length", "q", counts).withColumn("band", band), "pack-ranked", by="band")
+    used, gaps, done = 0, None, []
+    for nth, (lo, hi) in enumerate(rounds):
+        todo = {x: counts[x] for x in range(lo, hi + 1) if x in counts}
+        if not todo:
+            continue
+        held = _counts(gaps, "gap") if gaps is not None else {}
+        longest = max(todo)
+        new, below, top = levels(todo, held, longest, size)
+        if new:
+            fresh = spark.range(used, used + new).select(F.col("id").alias("seq"), F.lit(size).alias("gap"))
+            gaps, used = fresh if gaps is None else gaps.unionAll(fresh), used + new
+            held[size] = held.get(size, 0) + new
+        # slots open a level each, pieces take the slot opened last on theirs
+        slots = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int")
+        open_ = _ranked(gaps.where(F.col("gap") >= lo), "gap", "seq", held).withColumn("k", slots).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        level = _at(below, F.col("gap")) + F.col("rank").cast("long") * F.col("k") + F.col("nth") + 1
+        open_ = open_.select(level.alias("level"), (-F.floor(F.col("gap") / F.col("k"))).cast("int").alias("at"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(ranked.select(*own).schema).alias("p"))
+        first = _at({x - lo: n for x, n in top.items()}, F.col("length") - lo)
+        take = ranked.where(F.col("band") == nth).select((first - F.col("rank")).alias("level"), (-F.col("length")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.struct(*own).alias("p"))
+        sweep = W.partitionBy("level").orderBy("at", "kind")
+        put = open_.unionAll(take).withColumn("seq", F.coalesce("seq", F.lag("seq").over(sweep))).where("kind = 1").select("seq", (-F.col("p.length")).alias("gap"), "p")
+        # one row for each open sequence: its gap, and what this round has put there, SIZE pieces at most
+        both = gaps.select("seq", "gap", F.lit(None).cast(put.schema["p"].dataType).alias("p")).unionAll(put)
+        both = both.groupBy("seq").agg(F.sum("gap").cast("int").alias("gap"), F.sort_array(F.collect_list("p")).alias("p"))
+        done.append(table(both.where("gap > 0 or size(p) > 0").withColumn("nth", F.lit(nth)), "pack-round"))
+        gaps = done[-1].where("gap > 0").select("seq", "gap")
+    placed = reduce(DataFrame.unionAll, done).where("size(p) > 0").select(F.col("seq").alias("sequence_id"), "nth", F.posexplode("p").alias("at", "p"))
+    before = W.partitionBy("sequence_id").orderBy("nth", "at").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.select("p.*", "sequence_id", "nth", "at")
+    return placed.select(*own, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
-    spark, path = docs.sparkSession, path or vocabulary_path()
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. Full pieces have negative sequence numbers."""
+    path = path or vocabulary_path()
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow, _pieces(path, size), PIECES)
-    pieces = table(pieces, "pack-pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).toArrow()
-    n = np.zeros((size + 1, SALTS), np.int64)
-    n[counts["length"].to_numpy(), counts["salt"].to_numpy()] = counts["n"].to_numpy()
-    skip = np.cumsum(n, axis=1) - n
-    whole = int(n[size].sum())
-    runs, _ = best_fit({k: int(c) for k, c in enumerate(n.sum(axis=1)) if c and 0 < k < size}, size)
-    runs = np.array(sorted([*runs, (size, 0, 0, 0)]), np.int64).reshape(-1, 4)
-    plan = spark.sparkContext.broadcast((skip, runs, whole))
-
-    def place(batches):
-        skip, runs, whole = plan.value
-        key = (runs[:, 0] << 48) + runs[:, 1]
-        for b in batches:
-            length, salt, rn = (np.asarray(b.column(i), np.int64) for i in (3, 5, 6))
-            rank = skip[length, salt] + rn - 1
-            at = np.searchsorted(key, (length << 48) + rank, "right") - 1
-            seq = runs[at, 2] + rank - runs[at, 1] + np.where(length < size, whole, 0)
-            yield pa.record_batch([*(b.column(i) for i in range(5)), pa.array(seq), pa.array(runs[at, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = pieces.withColumn("rn", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rn").transform(arrow, place, PIECES + ", sequence_id long, offset long")
+    pieces = table(pieces.withColumn("q", F.monotonically_increasing_id()), "pack-pieces")
+    full = pieces.where(F.col("length") == size).select("*", (-1 - F.col("q")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    both = place(pieces.where(F.col("length") < size), size).withColumn("length", F.col("length").cast("long")).unionByName(full)
+    return both.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
