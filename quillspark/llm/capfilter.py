@@ -2,28 +2,38 @@
 
 Unit vectors are turned by a seeded random rotation first, so that their energy is even over the
 dimensions however it lies in the input. Filter directions form a random product code: the dimensions
-are cut into BLOCKS parts, each with a codebook of WORDS Gaussian codewords; a direction is one codeword
-of each part. A vector is decoded to all directions whose inner product with it exceeds a threshold, and
-to its LEAST best ones at least, found from the scores of the parts without touching all
-WORDS ** BLOCKS directions. Vectors that share (label, dimension, direction) are compared exactly, in
-double precision.
+are cut into two parts, each with a codebook of Gaussian codewords; a direction is one codeword of each
+part. A vector is decoded to all directions whose inner product with it exceeds a threshold, and to a
+least number of best ones, found from the scores of the parts without touching all directions. Vectors
+that share (label, dimension, direction) are compared exactly, in double precision.
+
+The code grows with the vectors: PER_VECTOR directions for each vector of the largest label, so a bucket's
+chance members, and with them the comparisons of a vector, grow far slower than the vectors (with Gaussian
+vectors below the square root); the directions a vector is decoded to grow with the eighth root of the code,
+which holds the recall. Codewords are held to MOST a part for memory; beyond that only comparisons grow.
 
 Equal vectors are collapsed first and counted with their number. A bucket is dealt into blocks of about
 BLOCK vectors and every pair of blocks is a task of its own, so a hot bucket spreads. A task multiplies
 its two blocks (many small buckets are taken in one vectorised step), counts a link only in the smallest
-direction that both ends share (so once), and returns per vector its links and the smallest id it reaches inside the task: output is linear in the
-input, whatever the number of links. Components are then formed from these.
+direction that both ends share (so once), and returns per vector its links and the smallest number it reaches
+inside the task: output is linear in the input, whatever the number of links. Components are formed from these.
 
-Recall of the filters at the threshold is above 0.99 with the defaults; every reported link is exact.
+Recall of the filters at the threshold is above 0.99 at every size; every reported link is exact.
 
-Edge cases: vectors that are null, zero, or hold a null or non-finite component, and rows without a
-label, link with nothing. Rows without vec_id are left out. Vectors of different lengths are not
-compared. An empty table gives no row. Other columns are ignored.
+Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component, and rows without a
+label, link with nothing. Vectors are scaled by their largest component before their length is taken, so
+tiny and huge ones do not under- or overflow. Rows that repeat a vec_id are vectors of their own: they are
+answered one by one and only linked by what they hold. Rows without vec_id are compared like others; their
+component_id is null if no vector with an id is reached. Vectors of different lengths are not compared. An
+empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from math import log2
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +43,11 @@ from .graph import components
 from .store import arrow, cut, table
 
 COSINE = 0.93
-BLOCKS, WORDS, SEED = 2, 1024, 20240229
-#: Directions a vector is decoded to, on average.
-FILTERS = 96
-#: Directions a vector is decoded to at least.
-LEAST = 64
+SEED = 20240229
+#: Directions for each vector of the largest label, and codewords of a part at least and at most.
+PER_VECTOR, FEWEST, MOST = 180, 256, 1 << 17
+#: Directions a vector is decoded to on average with a code of 2**20, and the share of that it gets at least.
+FILTERS, LEAST = 64, 2 / 3
 #: Vectors of fewer dimensions are turned into a space of so many.
 WIDE = 64
 BLOCK = 512
@@ -45,15 +55,30 @@ BLOCK = 512
 SMALL = 32
 
 
-@lru_cache(8)
-def _code(dim: int) -> tuple[np.ndarray, np.ndarray, float]:
-    r = np.random.default_rng(SEED + dim)
-    half = max(1, dim // BLOCKS)
-    a, b = r.standard_normal((WORDS, half)), r.standard_normal((WORDS, dim - half))
-    # threshold of a standard normal that FILTERS of WORDS ** 2 directions exceed on average
-    from statistics import NormalDist
+class Code(NamedTuple):
+    """words: codewords of each part; mean and least: directions a vector is decoded to."""
+
+    words: int
+    mean: int
+    least: int
 
-    return a, b, NormalDist().inv_cdf(1 - FILTERS / WORDS**BLOCKS)
+
+def code(vectors: int) -> Code:
+    """The code for so many vectors of one label."""
+    words = FEWEST
+    while words * words < PER_VECTOR * vectors and words < MOST:
+        words *= 2
+    mean = round(FILTERS * 2 ** max(0.0, (2 * log2(words) - 20) / 8))
+    return Code(words, mean, round(LEAST * mean))
+
+
+@lru_cache(8)
+def _books(dim: int, words: int, mean: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Codewords of both parts, and the threshold of a standard normal that ``mean`` directions exceed on average."""
+    r = np.random.default_rng([SEED, dim])
+    half = max(1, dim // 2)
+    a, b = r.standard_normal((words, half)), r.standard_normal((words, dim - half))
+    return a, b, NormalDist().inv_cdf(1 - mean / words**2)
 
 
 @lru_cache(8)
@@ -64,27 +89,26 @@ def _rotation(dim: int) -> np.ndarray:
     return (q * np.where(np.diag(r) < 0, -1.0, 1.0))[:dim]
 
 
-def _best(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The LEAST directions of largest inner product; each is among the LEAST best codewords of both parts."""
-    i, j = (np.argpartition(-v, LEAST - 1)[:LEAST] for v in (s, t))
-    top = np.argpartition(-(s[i, None] + t[None, j]).ravel(), LEAST - 1)[:LEAST]
-    return i[top // LEAST] * WORDS + j[top % LEAST]
+def _best(s: np.ndarray, t: np.ndarray, least: int) -> np.ndarray:
+    """The ``least`` directions of largest inner product; each is among the ``least`` best codewords of both parts."""
+    i, j = (np.argpartition(-v, least - 1)[:least] for v in (s, t))
+    top = np.argpartition(-(s[i, None] + t[None, j]).ravel(), least - 1)[:least]
+    return i[top // least] * len(t) + j[top % least]
 
 
-def decode(x: np.ndarray) -> list[np.ndarray]:
-    """Direction numbers exceeding the threshold, and the LEAST best ones at least, ascending, for each unit row of x."""
+def decode(x: np.ndarray, c: Code) -> list[np.ndarray]:
+    """Direction numbers exceeding the threshold, and the c.least best ones at least, ascending, for each unit row of x."""
     x = x @ _rotation(x.shape[1])
-    a, b, least = _code(x.shape[1])
-    one, two = x[:, : a.shape[1]] @ a.T, x[:, a.shape[1] :] @ b.T
-    best = two.max(axis=1, initial=-np.inf)
+    a, b, level = _books(x.shape[1], c.words, c.mean)
     out = []
-    for s, t, m in zip(one, two, best):
-        i = np.flatnonzero(s >= least - m)
-        row, col = np.nonzero(s[i, None] + t[None] >= least)
-        found = i[row] * WORDS + col
-        if len(found) < LEAST:
-            found = _best(s, t)
-        out.append(np.sort(found))
+    for lo in range(0, len(x), 64):
+        one, two = x[lo : lo + 64, : a.shape[1]] @ a.T, x[lo : lo + 64, a.shape[1] :] @ b.T
+        for s, t in zip(one, two):
+            # only codewords that reach the level with the best one of the other part
+            i, j = np.flatnonzero(s >= level - t.max()), np.flatnonzero(t >= level - s.max())
+            row, col = np.nonzero(s[i, None] + t[None, j] >= level)
+            found = i[row] * c.words + j[col]
+            out.append(np.sort(found if len(found) >= c.least else _best(s, t, c.least)))
     return out
 
 
@@ -96,17 +120,21 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     for dim in np.unique(n[n > 0]):
         at = np.flatnonzero(n == dim)
         x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         out.append((at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))))
     return out
 
 
-def _filters(batches):
-    for b in batches:
-        lists: list = [None] * b.num_rows
-        for at, x in _matrix(b.column(0)):
-            for i, f in zip(at, decode(x)):
-                lists[i] = f
-        yield pa.record_batch([*b.columns[1:], b.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["id", "label", "w", "x", "filters"])
+def _filters(c: Code):
+    def run(batches):
+        for b in batches:
+            lists: list = [None] * b.num_rows
+            for at, x in _matrix(b.column(0)):
+                for i, f in zip(at, decode(x, c)):
+                    lists[i] = f
+            yield pa.record_batch([*b.columns[1:], b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["k", "group", "w", "x", "filters"])
+
+    return run
 
 
 def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +160,9 @@ def _pairs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _small(cosine, t, x, begin, size):
     """Links of many groups of at most SMALL rows at once; x holds the unit vector of each row."""
-    ids, w, f, side, cross = (t[c].to_numpy() for c in ("id", "w", "f", "block", "cross"))
+    ids, w, f, group, side, cross = (t[c].to_numpy() for c in ("k", "w", "h", "group", "block", "cross"))
     a, b = _pairs(begin, size)
-    ok = (f[a] == f[b]) & (~cross[a] | (side[a] != side[b]))
+    ok = (f[a] == f[b]) & (group[a] == group[b]) & (~cross[a] | (side[a] != side[b]))
     a, b = a[ok], b[ok]
     ok = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
     a, b = a[ok], b[ok]
@@ -142,7 +170,9 @@ def _small(cosine, t, x, begin, size):
         return None
     values, lengths = _ragged(t["before"])
     (i, u), (j, v) = _spread(values, lengths, a), _spread(values, lengths, b)
-    span = WORDS**BLOCKS
+    # directions by their place among those known here, so (pair, direction) is one number
+    known, code_of = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, span = code_of[: len(u)], code_of[len(u) :], max(1, len(known))
     first = np.ones(len(a), bool)
     first[np.intersect1d(i * span + u, j * span + v, assume_unique=True) // span] = False
     links = np.zeros(len(ids), np.int64)
@@ -160,8 +190,8 @@ def _small(cosine, t, x, begin, size):
 
 def _large(cosine, t, x):
     """Links of one group of up to two blocks."""
-    ids, w, f, side, cross = (t[c].to_numpy() for c in ("id", "w", "f", "block", "cross"))
-    link = (x @ x.T >= cosine) & (f[:, None] == f[None])
+    ids, w, f, group, side, cross = (t[c].to_numpy() for c in ("k", "w", "h", "group", "block", "cross"))
+    link = (x @ x.T >= cosine) & (f[:, None] == f[None]) & (group[:, None] == group[None])
     np.fill_diagonal(link, False)
     if cross[0]:
         link &= side[:, None] != side[None]
@@ -206,7 +236,7 @@ def _compare(cosine):
         def emit(tables):
             for got in whole(pa.concat_tables(tables)) if tables else ():
                 if got is not None:
-                    yield pa.record_batch([pa.array(c) for c in got], names=["id", "links", "root"])
+                    yield pa.record_batch([pa.array(c) for c in got], names=["k", "links", "root"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -226,33 +256,39 @@ def _compare(cosine):
 
 
 def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row with an id."""
+    """vec_id, n_links, component_id, kept: one row per row of vectors."""
     valid = F.col("embedding").isNotNull() & F.col("label").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
     rows = rows.withColumns({"d1": F.xxhash64("embedding"), "d2": F.xxhash64(F.lit(7), "embedding")})
     good = rows.where("ok")
-    classes = cut(good.groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")))
-    unique = good.join(classes.select(F.col("id").alias("vec_id"), "label", "d1", "d2", "w"), ["vec_id", "label", "d1", "d2"]).dropDuplicates(["vec_id", "label"])
-    named = table(unique.select("embedding", F.col("vec_id").alias("id"), "label", "w").transform(arrow, _filters, f"id long, label string, w long, x {dict(vectors.dtypes)['embedding']}, filters array<int>"), "cap-filters")
-
-    spread = named.select("id", "label", F.size("x").alias("dim"), F.explode("filters").alias("f"))
-    blocks = spread.groupBy("label", "dim", "f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1")
+    # vectors are numbered in a written table, so the numbers hold whatever is computed again
+    sizes = good.groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first(F.size("embedding")).alias("dim"))
+    classes = table(sizes.withColumn("k", F.monotonically_increasing_id()), "cap-vectors")
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    unique = good.join(classes, (good["label"] == classes["label"]) & (good["d1"] == classes["d1"]) & (good["d2"] == classes["d2"]) & good["vec_id"].eqNullSafe(classes["id"])).dropDuplicates(["k"])
+    kind = dict(vectors.dtypes)["embedding"]
+    named = table(unique.select("embedding", "k", F.xxhash64(good["label"], "dim").alias("group"), "w").transform(arrow, _filters(code(largest)), f"k long, group long, w long, x {kind}, filters array<long>"), "cap-filters")
+
+    spread = named.select("k", "group", F.explode("filters").alias("f")).select("k", "f", F.xxhash64("group", "f").alias("h"))
+    blocks = spread.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1").drop("c")
     # only numbers meet in this join; a vector then goes to the directions that others share, and knows only those
-    shared = spread.join(blocks, ["label", "dim", "f"]).groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("f", "nb"))).alias("own"))
-    member = named.drop("filters").join(shared, ["id", "label"])
+    shared = spread.join(blocks, "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "h", "nb"))).alias("own"))
+    member = named.drop("filters").join(shared, "k")
     # with each direction go the smaller ones of the vector: a link counts in the smallest that both ends share
-    member = member.select("id", "label", "w", "x", F.size("x").alias("dim"), F.transform("own", lambda o: o["f"]).alias("filters"), F.posexplode("own").alias("at", "o"))
-    member = member.withColumn("before", F.slice("filters", F.lit(1), F.col("at"))).select("id", "label", "w", "x", "dim", "before", "o.f", "o.nb")
-    block = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    member = member.select("k", "group", "w", "x", F.transform("own", lambda o: o["f"]).alias("filters"), F.posexplode("own").alias("at", "o"))
+    member = member.withColumn("before", F.slice("filters", F.lit(1), F.col("at"))).select("k", "group", "w", "x", "before", "o.h", "o.nb")
+    block = F.pmod(F.xxhash64("k"), F.col("nb")).cast("int")
     member = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    member = member.select("id", "w", "x", "before", "f", "block", (F.col("i") != F.col("j")).alias("cross"), F.xxhash64("label", "dim", "f", "i", "j").alias("task"))
-    parts = member.repartition("task").sortWithinPartitions("task").transform(arrow, _compare(cosine), "id long, links long, root long")
+    member = member.select("k", "group", "w", "x", "before", "h", "block", (F.col("i") != F.col("j")).alias("cross"), F.xxhash64("h", "i", "j").alias("task"))
+    parts = member.repartition("task").sortWithinPartitions("task").transform(arrow, _compare(cosine), "k long, links long, root long")
     parts = table(parts, "cap-links")
-    degree = parts.groupBy("id").agg(F.sum("links").alias("links"))
-    comps = components(parts.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    found = classes.join(degree, "id", "left").join(comps, "id", "left").select("label", "d1", "d2", F.coalesce("comp", "id").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
-    out = rows.drop("embedding").join(found.withColumn("ok", F.lit(True)), ["ok", "label", "d1", "d2"], "left")
-    comp = F.coalesce("comp", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (comp == F.col("vec_id")).alias("kept"))
+    degree = parts.groupBy("k").agg(F.sum("links").alias("links"))
+    comps = components(parts.where("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("k"), "comp")
+    found = classes.join(degree, "k", "left").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    least = found.groupBy("comp").agg(F.min("id").alias("component_id"))
+    found = found.join(least, "comp").select("label", "d1", "d2", F.lit(True).alias("ok"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
+    out = rows.drop("embedding").join(found, ["ok", "label", "d1", "d2"], "left")
+    comp = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), comp.eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quillspark.llm import capfilter
 
@@ -53,23 +54,48 @@ def test_links_match_brute_force(spark):
     assert capfilter.link(df.where("false")).collect() == []
 
 
-def test_recall_at_the_threshold():
-    r = np.random.default_rng(5)
-    x = r.standard_normal((2000, 64))
+def at_threshold(r, n, dim, scale=1.0):
+    x = r.standard_normal((n, dim)) * scale
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = r.standard_normal((2000, 64))
+    z = r.standard_normal((n, dim)) * scale
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
-    hit = [len(np.intersect1d(a, b)) > 0 for a, b in zip(capfilter.decode(x), capfilter.decode(y))]
-    assert np.mean(hit) >= 0.95
+    return x, 0.93 * x + np.sqrt(1 - 0.93**2) * z
+
+
+@pytest.mark.parametrize("vectors", [100, 5_000, 100_000, 2_000_000])
+def test_recall_and_chance_at_every_size(vectors):
+    """Recall holds, and the chance meetings of a vector grow no faster than a square root, as the code grows with the vectors."""
+    c = capfilter.code(vectors)
+    x, y = at_threshold(np.random.default_rng(5), 400, 64)
+    one, two = capfilter.decode(x, c), capfilter.decode(y, c)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(one, two)]) >= 0.98
+    chance = np.mean([len(np.intersect1d(one[i], two[i - k])) for i in range(400) for k in range(1, 40)])
+    assert chance * vectors <= 20 + 2 * vectors**0.5
+
+
+def test_subnormal_and_huge_vectors(spark):
+    rows = [(1, [5e-324, 0.0], 1), (2, [1e-320, 1e-324], 1), (3, [1e200, 1e199], 1), (4, [1e300, 1e299], 1), (5, [0.0, 1e-310], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilter.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b, far = [1.0, 0.1, 0.0], [1.0, 0.12, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 1), (1, a, 2), (2, b, 1), (3, b, 2)]  # one id under two labels
+    rows += [(7, far, 3), (7, a, 3), (8, b, 3)]  # one id with two vectors
+    rows += [(None, a, 4), (9, b, 4), (None, far, 4), (None, None, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in capfilter.link(df).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False), (0, 1, 9, False), (9, 1, 9, True), (0, 0, None, True), (0, 0, None, True)]
+    assert got == sorted(want, key=str)
 
 
 def test_recall_of_uneven_vectors():
     r = np.random.default_rng(6)
     cases = {"ordered": 1 / np.arange(1, 65), "padded": np.arange(64) < 32, "last": np.arange(64) >= 48, "two": np.ones(2), "eight": np.ones(8)}
     cases |= {share: np.repeat(np.sqrt([share, 1 - share]), 32) for share in (0.8, 0.9, 0.95)}
-    centres = r.standard_normal((4, 64))
+    centres, c = r.standard_normal((4, 64)), capfilter.code(10_000)
     for name, scale in (cases | {"sparse": None, "clustered": None}).items():
         if name == "clustered":
             x = centres[r.integers(0, 4, 400)] + 0.12 * r.standard_normal((400, 64))
@@ -82,6 +108,6 @@ def test_recall_of_uneven_vectors():
         z -= (z * x).sum(1, keepdims=True) * x
         z /= np.linalg.norm(z, axis=1, keepdims=True)
         y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
-        found = capfilter.decode(x)
-        assert min(map(len, found)) >= capfilter.LEAST, name
-        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(found, capfilter.decode(y))]) >= 0.95, name
+        found = capfilter.decode(x, c)
+        assert min(map(len, found)) >= c.least, name
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(found, capfilter.decode(y, c))]) >= 0.95, name
