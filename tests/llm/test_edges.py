@@ -26,6 +26,7 @@ def test_chat(spark):
         for t in range(RAND.randrange(1, 7)):
             rows.append((conv, t, "user", f"same {t}" if conv % 2 else RAND.choice("ab")))
     rows += [(100, t, "user", f"long {t}") for t in range(700)] + [(101, t, "user", f"long {t}") for t in range(500)]
+    rows += [(300 + c, RAND.randrange(3), RAND.choice("ab"), RAND.choice("xyz")) for c in range(400) for _ in range(RAND.randrange(1, 4))]  # ties within a turn
     rows += [(None, 0, "user", "x"), (200, None, None, None), (201, 0, None, None), (202, 0, "", ""), (203, 1, "a", "b"), (203, 1, "a", "b")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n long").repartition(5)
     got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat.maximal(df).collect()}
