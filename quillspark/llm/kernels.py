@@ -2,7 +2,8 @@
 
 Everything works on the raw UTF-8 buffer of an Arrow string column, so no Python object is made
 per word. A chunk holds whole documents and about ``CHUNK_BYTES`` bytes; one longer document is a
-chunk of its own, so memory is bounded by the chunk size or the longest single document.
+chunk of its own, of which only masks and word positions are held as a whole: hashes of its spans and
+sums over its bytes are taken in windows of CHUNK_BYTES.
 """
 
 from __future__ import annotations
@@ -88,9 +89,24 @@ def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, independent of where it stands."""
-    pre, inv = prefix_hashes(buf)
-    return mix((pre[ends] - pre[starts]) * inv[starts])
+    """64-bit hash of each byte span, independent of where it stands. Long buffers are hashed in windows."""
+    if len(buf) <= 4 * CHUNK_BYTES:
+        pre, inv = prefix_hashes(buf)
+        return mix((pre[ends] - pre[starts]) * inv[starts])
+    out, carry, mask = np.zeros(len(starts), U64), U64(0), (1 << 64) - 1
+    by_start, by_end = (np.argsort(x, kind="stable") if len(x) and (np.diff(x) < 0).any() else np.arange(len(x)) for x in (starts, ends))
+    sorted_starts, sorted_ends = starts[by_start], ends[by_end]
+    head, back = np.zeros(len(starts), U64), np.zeros(len(starts), U64)
+    for lo in range(0, len(buf) + 1, CHUNK_BYTES):
+        pre, inv = prefix_hashes(buf[lo : lo + CHUNK_BYTES])
+        pre = pre * U64(pow(_BASE, lo, 1 << 64)) + carry
+        hi = lo + CHUNK_BYTES
+        i = by_start[slice(*np.searchsorted(sorted_starts, [lo, hi]))]
+        head[i], back[i] = pre[starts[i] - lo], inv[starts[i] - lo] * U64(pow(_INV & mask, lo, 1 << 64))
+        i = by_end[slice(*np.searchsorted(sorted_ends, [lo, hi]))]
+        out[i] = pre[ends[i] - lo]
+        carry = pre[-1] if hi <= len(buf) else carry
+    return mix((out - head) * back)
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:
@@ -112,6 +128,14 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return mix(out), pos, at
 
 
+def count(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Number of true bytes of each document, without an array of running sums."""
+    out, some = np.zeros(len(offs) - 1, np.int64), np.flatnonzero(np.diff(offs) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(mask[: offs[-1]], offs[some], dtype=np.int64)
+    return out
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[d]:first[d+1]] for each d."""
     c = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)

@@ -1,11 +1,11 @@
 """Operator 4: language identification as a mixture, fitted with expectation-maximisation.
 
 Model: one multinomial per language over hashed byte n-grams (4 bytes, white space kept as a space,
-ASCII lower-cased). Each word gets a likelihood per language, the product over the n-grams that
+ASCII lower-cased, spaces after the end of a text). Each word gets a likelihood per language, the product over the n-grams that
 begin in it. A document is a mixture: EM estimates the proportions of the languages from the word
 likelihoods. Candidate language sets are nested by estimated proportion; the set with the best
 penalised likelihood (BIC: half the log of the words for each further language) is selected and the
-proportions are re-estimated within it.
+proportions are re-estimated within it; the sets grow until no document's likelihood gains.
 
 Training reads every document of the training fold; counts are aggregated per (language, bucket)
 before the shuffle. The model has languages x 2**BITS entries, independent of the corpus size.
@@ -29,8 +29,8 @@ BITS = 15
 GRAM = 4
 SMOOTHING = 0.25
 ROUNDS, ROUNDS_WITHIN = 8, 4
-#: Sets of more languages than this are not considered.
-MOST_LANGUAGES = 4
+#: Words of one long document that EM takes at once.
+SLICE = 1 << 18
 #: A clean document's main language holds at least this share (pipeline stage).
 LEAST_SHARE = 0.3
 
@@ -40,8 +40,18 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 SCHEMA = "doc_id long, lang_pred string, score double, n_langs int, langs string, shares string"
 
 
+def _padded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk with spaces after every document, so that no n-gram reaches into the next one."""
+    if len(offs) == 2:
+        return np.concatenate([buf, np.full(GRAM - 1, 32, np.uint8)]), np.array([0, len(buf) + GRAM - 1])
+    new = offs + np.arange(len(offs)) * (GRAM - 1)
+    out = np.full(new[-1], 32, np.uint8)
+    out[np.arange(len(buf)) + np.repeat(new[:-1] - offs[:-1], np.diff(offs))] = buf
+    return out, new
+
+
 def _buckets(buf: np.ndarray) -> np.ndarray:
-    """Bucket of the n-gram that begins at each byte (the chunk is padded with spaces)."""
+    """Bucket of the n-gram that begins at each byte."""
     x = np.concatenate([_FOLD[buf], np.full(GRAM - 1, 32, np.uint8)]).astype(np.uint32)
     n, h = len(buf), np.zeros(len(buf), np.uint32)
     for j in range(GRAM):
@@ -54,13 +64,16 @@ def _count(batches):
     for b in batches:
         lang = np.asarray(b.column(1).to_pylist(), object)
         for lo, hi, buf, offs in K.chunks(b.column(0)):
-            g, doc = _buckets(buf), np.repeat(np.arange(lo, hi), np.diff(offs))
-            ink = buf > 32
+            buf, offs = _padded(buf, offs)
             names = sorted(set(lang[lo:hi]))
             code = np.searchsorted(names, lang[lo:hi].astype(str)) if names else np.zeros(0, int)
-            of = code[doc - lo][ink]
-            for i, name in enumerate(names):
-                total[name] = total.get(name, 0) + np.bincount(g[ink][of == i], minlength=1 << BITS)
+            for at in range(0, len(buf), K.CHUNK_BYTES):  # in windows: one text can be long
+                own = slice(at, at + K.CHUNK_BYTES)
+                g = _buckets(buf[at : at + K.CHUNK_BYTES + GRAM - 1])[: len(buf[own])]
+                ink = np.flatnonzero(buf[own] > 32)
+                of = code[np.searchsorted(offs, ink + at, "right") - 1]
+                for i, name in enumerate(names):
+                    total[name] = total.get(name, 0) + np.bincount(g[ink[of == i]], minlength=1 << BITS)
     for name, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
@@ -79,6 +92,8 @@ def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """EM from ``share``; languages of share 0 stay out. Returns the shares and the log-likelihood per document."""
+    if len(first) == 2 and len(like) > SLICE:
+        return _em_long(like, share, rounds)
     n = np.maximum(1, np.diff(first))[:, None]
     lo, some = first[:-1], np.diff(first) > 0
 
@@ -95,26 +110,53 @@ def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, share: np.ndarray,
     return share, per_doc(np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-30)))
 
 
+def _em_long(like: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one document, a slice of its words at a time."""
+    parts = range(0, len(like), SLICE)
+    for _ in range(rounds):
+        total = np.zeros(like.shape[1])
+        for at in parts:
+            r = like[at : at + SLICE] * share[0]
+            total += (r / np.maximum(r.sum(axis=1, keepdims=True), 1e-30)).sum(axis=0, dtype=float)
+        share = (total / len(like)).astype(np.float32)[None]
+    return share, np.array([sum(float(np.log(np.maximum(like[at : at + SLICE] @ share[0], 1e-30)).sum(dtype=float)) for at in parts)])
+
+
+def _likelihoods(buf, s, e, logp) -> np.ndarray:
+    """likelihood[word, language] over its largest, from windows of the padded chunk."""
+    like = np.empty((len(s), logp.shape[1]), np.float32)
+    cuts = np.unique(np.searchsorted(s, np.arange(0, len(buf), K.CHUNK_BYTES)))
+    for i, j in zip(cuts, [*cuts[1:], len(s)]):
+        if i == j:
+            continue
+        lo, hi = s[i], e[j - 1]
+        grams = np.concatenate([logp[_buckets(buf[lo : hi + GRAM - 1])[: hi - lo]], np.zeros((1, logp.shape[1]), np.float32)])
+        ll = np.add.reduceat(grams, np.column_stack([s[i:j], e[i:j]]).ravel() - lo, axis=0)[::2]
+        like[i:j] = np.exp(ll - ll.max(axis=1, keepdims=True))
+    return like
+
+
 def infer(buf, offs, logp) -> tuple[np.ndarray, np.ndarray]:
     """(shares[document, language], selected[document, language]) of a chunk."""
+    buf, offs = _padded(buf, offs)
     s, e, first = K.words(buf, offs)
     docs, langs = len(offs) - 1, logp.shape[1]
     if not len(s):
         return np.zeros((docs, langs)), np.zeros((docs, langs), bool)
-    grams = np.concatenate([logp[_buckets(buf)], np.zeros((1, langs), np.float32)])
-    ll = np.add.reduceat(grams, np.column_stack([s, e]).ravel(), axis=0)[::2]
-    like = np.exp(ll - ll.max(axis=1, keepdims=True)).astype(np.float32)
+    like = _likelihoods(buf, s, e, logp)
     doc = K.doc_of(first)
     share, _ = _em(like, doc, first, np.full((docs, langs), 1 / langs, np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
     cost = 0.5 * np.log(np.maximum(2, np.diff(first)))
     best, out = np.full(docs, -np.inf), share
-    for k in range(1, min(langs, MOST_LANGUAGES) + 1):
+    for k in range(1, langs + 1):
         inside = np.where(rank < k, np.maximum(share, 1e-6), 0).astype(np.float32)
         inside /= np.maximum(inside.sum(axis=1, keepdims=True), 1e-30)
         got, value = _em(like, doc, first, inside, ROUNDS_WITHIN if k > 1 else 1)
         value = value - k * cost
         better = value > best
+        if not better.any():
+            break
         best, out = np.where(better, value, best), np.where(better[:, None], got, out)
     return out, out > 0
 

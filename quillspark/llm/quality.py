@@ -86,10 +86,9 @@ def _score(model, threshold: float):
             for lo, hi, buf, offs in K.chunks(b.column(1)):
                 s, e, first, h, uni, bi, at = _grams(buf, offs)
                 n = np.diff(first)
-                begins = np.zeros(len(buf) + 1, np.int64)  # code points: bytes that are not continuations
-                np.cumsum((buf & 0xC0) != 0x80, out=begins[1:])
-                chars = K.sums(begins[e] - begins[s], first)
-                symbols = K.sums(_SYM[buf], offs)
+                # code points in words: bytes that are neither continuations nor white space
+                chars = K.count(((buf & 0xC0) != 0x80) & ~K._WS[buf], offs)
+                symbols = K.count(_SYM[buf], offs)
                 tri, pos, tf = K.windows(h, first, 3)
                 again, _ = K.dup_flags(K.doc_of(tf), tri)
                 hit = np.zeros(len(h), bool)

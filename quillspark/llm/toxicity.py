@@ -11,9 +11,9 @@ document; the marginals give token spans (marginal >= 0.5) with byte offsets, an
 of the document's largest marginal and of the sum of its marginals gives the score.
 
 Training uses a bounded sample: at most MAX_EACH labelled documents per class, chosen by hash of the
-id; scoring covers every document, map-only.
+id, and of each at most WORDS_EACH words in whole sequences; scoring covers every word, map-only.
 
-Edge cases: null, empty and wordless texts score as zero toxic tokens. Without training rows, or with
+Edge cases: of texts that repeat a labelled id one trains the model. Null, empty and wordless texts score as zero toxic tokens. Without training rows, or with
 one class only, every score is 0. Repeated rows are scored one by one; other columns are ignored.
 """
 
@@ -36,6 +36,10 @@ LOG_ODDS = 1.5
 LEVELS, FOLDS = (10.83, 15.13, 20.0, 40.0), 3
 #: Words of a training document beyond this are split over further sequences, not dropped.
 LONGEST = 256
+#: Words of a training document, at most: whole sequences, chosen by hash. Scoring takes every word.
+WORDS_EACH = 50_000
+#: Words that forward-backward takes at once when scoring.
+SLICE = 1 << 18
 STEPS, RATE, DECAY = 40, 0.5, 1e-5
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -59,8 +63,8 @@ def tokens(buf, offs):
     begin = np.zeros(n, bool)
     if n:
         begin[first[:-1][first[:-1] < n]] = True
-        nl = np.cumsum(buf == 10)
-        begin[1:] |= (nl[s[1:]] != nl[e[:-1] - 1]) | _STOP[buf[e[:-1] - 1]]
+        ends = np.flatnonzero(buf == 10)
+        begin[1:] |= (np.searchsorted(ends, s[1:]) != np.searchsorted(ends, e[:-1])) | _STOP[buf[e[:-1] - 1]]
         run = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
         begin |= run % LONGEST == 0
     return a, b, bucket, first, np.flatnonzero(begin)
@@ -107,6 +111,16 @@ def marginals(weight: np.ndarray, trans: np.ndarray, bucket: np.ndarray, starts:
     return np.clip(f[:, 1] * beta[:, 1], 0, 1), pairs, logz
 
 
+def scored(weight: np.ndarray, trans: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """P(toxic) per token, some sequences at a time, so one long text needs no more memory than its words."""
+    out, bound = np.zeros(len(bucket)), np.append(starts, len(bucket))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(bucket), SLICE)), len(starts)))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        lo, hi = bound[i], bound[j]
+        out[lo:hi] = marginals(weight, trans, bucket[lo:hi], starts[i:j] - lo)[0]
+    return out
+
+
 def train(bucket, starts, gold) -> tuple[np.ndarray, np.ndarray]:
     """Word weights (2**BITS) and transitions by AdaGrad on the conditional log-likelihood of the labelled sequences."""
     used, idx = np.unique(bucket, return_inverse=True)
@@ -152,9 +166,22 @@ def _gather(batches):
         for lo, hi, buf, offs in K.chunks(b.column(0)):
             _, _, bucket, first, starts = tokens(buf, offs)
             for d in range(hi - lo):
-                own = starts[(starts >= first[d]) & (starts < first[d + 1])] - first[d]
-                rows.append((bucket[first[d] : first[d + 1]].astype(np.int32).tobytes(), own.astype(np.int32).tobytes()))
-        yield pa.record_batch([b.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["toxic", "words", "starts"])
+                words, own = _sample(bucket[first[d] : first[d + 1]], starts[(starts >= first[d]) & (starts < first[d + 1])] - first[d])
+                rows.append((words.astype(np.int32).tobytes(), own.astype(np.int32).tobytes()))
+        yield pa.record_batch([b.column(1), b.column(2).cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "toxic", "words", "starts"])
+
+
+def _sample(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A training document: all of its sequences, or the first by hash that make up WORDS_EACH words."""
+    if len(words) <= WORDS_EACH:
+        return words, starts
+    size = np.diff(np.append(starts, len(words)))
+    key = K.mix(np.add.reduceat(K.mix(words.astype(np.uint64)), starts))
+    order = np.argsort(key, kind="stable")
+    keep = np.sort(order[np.cumsum(size[order]) <= WORDS_EACH])
+    n = size[keep]
+    at = np.arange(n.sum()) + np.repeat(starts[keep] - (np.cumsum(n) - n), n)
+    return words[at], np.cumsum(n) - n
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -162,7 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EACH) for k in (0, 1)]
     ids = pick[0].unionAll(pick[1]).withColumnsRenamed({"doc_id": "_l", "toxic": "_toxic"})
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_l")).select("text", "_toxic").transform(arrow, _gather, "toxic int, words binary, starts binary").toArrow().to_pydict()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_l")).select("text", F.col("_l").cast("long"), "_toxic").transform(arrow, _gather, "id long, toxic int, words binary, starts binary")
+    # of texts that repeat an id one is taken
+    rows = rows.groupBy("id").agg(F.min(F.struct("words", "starts", "toxic")).alias("r")).select("r.*").toArrow().to_pydict()
     toxic = np.array(rows["toxic"], np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
@@ -233,7 +262,7 @@ def _score(model):
                     spans += [""] * (hi - lo)
                     continue
                 s, e, bucket, first, starts = tokens(buf, offs)
-                p, _, _ = marginals(m["w"], m["trans"], bucket, starts)
+                p = scored(m["w"], m["trans"], bucket, starts)
                 top, total = _doc_features(p, first)
                 z = m["c"][0] + m["c"][1] * top + m["c"][2] * total
                 score += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
