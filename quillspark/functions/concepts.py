@@ -8,17 +8,18 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from .text import any_of, first_filled, once, plain, text
+from .text import any_of, once, plain, text
 
 NEAR_WINDOW, LONGEST_PATTERN = 8, 300
 # What negates a match when it stands before it with at most six words between.
 NEGATORS = ("without", "no", "not", "absence of", "lack of", "lacking", "does not", "did not", "free of")
 _NEGATED = r"(?iU)\b(?:" + "|".join(NEGATORS) + r")\b(?:\W+\w+){0,6}\W*$"
+# Fields of each scope, in order.
 _SCOPES = {
-    "title": (("crossref_title", "title"),),
+    "title": ("title", "crossref_title"),
     "abstract": ("abstract", "summary"),
     "article_type": ("article_type", "crossref_type"),
-    "metadata": ("journal", "crossref_container", "publisher", "article_type", "keywords"),
+    "metadata": ("title", "crossref_title", "abstract", "summary", "journal", "crossref_container", "article_type", "crossref_type", "keywords"),
     "title_abstract": ("title", "crossref_title", "abstract", "summary", "keywords"),
 }
 
@@ -87,16 +88,24 @@ def from_object(obj) -> Concept:
     return Concept(_slug(name or terms[0]), patterns=terms, scope=scope, weight=weight)
 
 
+def load_profile(text: str | None = None, required=(), optional=(), negative=(), year_from=None, year_to=None, require_doi=False, exclude_article_types=(), allow_regex=False) -> Profile:
+    """Profile of a JSON text and of the caller's specs, which come after those of the text; the caller's years win."""
+    data = json.loads(text) if text else {}
+    hard = data.get("hard_filters") if isinstance(data.get("hard_filters"), dict) else {}
+    groups = {}
+    for name, more in (("required", required), ("optional", optional), ("negative", negative)):
+        groups[name] = tuple(from_object(x) for x in [*data.get(name, data.get(f"{name}_concepts", [])), *more])
+    whole = lambda own, key: int(str(v)) if (v := own if own is not None else hard.get(key)) not in (None, "") else None
+    kind = lambda x: str(x).strip().lower().replace("_", "-")
+    types = [kind(x) for x in data.get("exclude_article_types", hard.get("exclude_article_types", []))]
+    types += [kind(x) for given in exclude_article_types for x in re.split("[,;|]", given) if x.strip()]
+    return Profile(**groups, year_from=whole(year_from, "year_from"), year_to=whole(year_to, "year_to"), exclude_article_types=tuple(dict.fromkeys(types)), require_doi=bool(require_doi or hard.get("require_doi", False)), allow_regex=allow_regex)
+
+
 def scoped(columns, scope: str) -> Column:
-    fields = _SCOPES.get(scope, _SCOPES["title_abstract"])
+    fields = _SCOPES.get((scope or "").lower(), _SCOPES["title_abstract"])
     have = set(columns)
-    parts = []
-    for f in fields:
-        if isinstance(f, tuple):
-            own = [x for x in f if x in have]
-            parts += [first_filled(*own)] if own else []
-        elif f in have:
-            parts.append(text(f))
+    parts = [text(f) for f in fields if f in have]
     return plain(F.concat_ws(" ", *parts)) if parts else F.lit("")
 
 

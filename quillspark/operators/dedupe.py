@@ -11,21 +11,32 @@ MERGED = {"discovery_source": "merged_discovery_sources", "discovery_provider":
 ALTERNATE = {"title": "alternate_titles", "abstract": "alternate_abstracts", "journal": "alternate_journals", "publication_year": "alternate_years", "landing_page_url": "alternate_landing_page_urls", "url": "alternate_urls", "pdf_url": "alternate_pdf_urls", "best_full_text_url": "alternate_full_text_urls", "authors": "alternate_authors"}
 
 
+# Reasons of a merge.
+REASONS = {
+    "doi": "exact DOI match",
+    "both": "normalized title with matching year and journal context",
+    "one": "normalized title with partial year/journal context",
+    "row": "unique row fallback",
+}
+
+
 def key_columns(df: DataFrame, doi_field="doi", title_field="title") -> DataFrame:
-    """Adds key_kind and key_value; rows that never merge get their own key from _ord."""
+    """Adds key_kind and key_value: DOI, else title with year or journal; rows with neither never merge and are keyed by _ord."""
     have = lambda *names: [n for n in names if n in df.columns] or [F.lit("")]
-    doi, title = T.doi(doi_field), T.title(title_field)
+    field = lambda c: T.text(c) if c in df.columns else F.lit("")
     year = T.strip(T.first_filled(*have("crossref_year", "publication_year", "year")))
     journal = T.title(T.first_filled(*have("crossref_container", "journal")))
-    df = df.withColumns({"_doi": doi, "_title": title, "_year": year, "_journal": journal}).withColumn("key_kind", F.when(F.col("_doi") != "", "doi").when(F.col("_title") == "", "row").when((F.col("_year") != "") | (F.col("_journal") != ""), "title_context").otherwise("title_without_context"))
-    value = F.when(F.col("key_kind") == "doi", F.col("_doi")).when(F.col("key_kind") == "title_context", F.concat(F.col("_title"), F.lit("|year="), F.col("_year"), F.lit("|journal="), F.col("_journal"))).when(F.col("key_kind") == "row", F.lit("")).otherwise(F.col("_title"))
-    confidence = F.when(F.col("key_kind") == "doi", "high").when(F.col("key_kind") == "title_context", F.when((F.col("_year") != "") & (F.col("_journal") != ""), "high").otherwise("medium")).when(F.col("key_kind") == "row", "unique").otherwise("low")
-    reason = (
-        F.when(F.col("key_kind") == "doi", "exact DOI match")
-        .when(F.col("key_kind") == "title_context", F.when((F.col("_year") != "") & (F.col("_journal") != ""), "normalized title with matching year and journal context").otherwise("normalized title with partial year/journal context"))
-        .when(F.col("key_kind") == "row", "unique row fallback").otherwise("normalized title only; kept separate unless caller opts into broader merging")
-    )
-    return df.withColumns({"key_value": value, "dedupe_confidence": confidence, "dedupe_reason": reason}).drop("_doi", "_title", "_year", "_journal")
+    df = df.withColumns({"_doi": T.doi(field(doi_field)), "_title": T.title(field(title_field)), "_year": year, "_journal": journal})
+    doi, context = F.col("_doi") != "", (F.col("_title") != "") & ((F.col("_year") != "") | (F.col("_journal") != ""))
+    both = (F.col("_year") != "") & (F.col("_journal") != "")
+    choose = lambda a, b, c: F.when(doi, a).when(context, b).otherwise(c)
+    why = {k: F.lit(v) for k, v in REASONS.items()}
+    return df.withColumns({
+        "key_kind": choose(F.lit("doi"), F.lit("title_context"), F.lit("row")),
+        "key_value": choose(F.col("_doi"), F.concat(F.col("_title"), F.lit("|year="), F.col("_year"), F.lit("|journal="), F.col("_journal")), F.col("_ord").cast("string")),
+        "dedupe_confidence": choose(F.lit("high"), F.when(both, "high").otherwise("medium"), F.lit("unique")),
+        "dedupe_reason": choose(why["doi"], F.when(both, why["both"]).otherwise(why["one"]), why["row"]),
+    }).drop("_doi", "_title", "_year", "_journal")
 
 
 def quality(df: DataFrame, fields) -> "F.Column":
@@ -39,33 +50,37 @@ def quality(df: DataFrame, fields) -> "F.Column":
     return score
 
 
-def _ordered(value, keep) -> "F.Column":
-    """Distinct values in order of first appearance; collects the values themselves, not the rows."""
-    pairs = F.array_sort(F.collect_list(F.when(keep, F.struct("_ord", value.alias("v")))))
-    return F.array_distinct(F.transform(pairs, lambda p: p["v"]))
-
-
 def dedupe(df: DataFrame, doi_field="doi", title_field="title") -> DataFrame:
-    """One row per key: best row (most filled, first of equals), its blanks filled by the first filled value, merged and alternate lists."""
+    """One row per key: best row (most filled, first of equals), its blanks filled by the first filled value, merged and alternate lists.
+
+    The best row and the fills are aggregates with map-side combine. The lists are made from the first place of each
+    different value of a key, so copies of a value never meet in one task; only keys of several rows take part."""
+    made = {*MERGED.values(), *ALTERNATE.values(), "duplicate_count", "dedupe_key", "dedupe_confidence", "dedupe_reason"}
+    df = df.drop(*made)  # of an earlier run
     fields = [c for c in df.columns if c != "_ord"]
     rows = key_columns(df, doi_field, title_field).withColumn("_q", quality(df, fields))
-    own = F.when(F.col("key_kind").isin("doi", "title_context"), F.lit(-1)).otherwise(F.col("_ord"))
-    rows = rows.withColumn("_own", own.cast("long"))
-    aggs = [F.count("*").cast("string").alias("duplicate_count"), F.min("_ord").alias("_ord"), F.first("dedupe_confidence").alias("dedupe_confidence"), F.first("dedupe_reason").alias("dedupe_reason")]
+    key = ["key_kind", "key_value"]
     rank = F.struct(-F.col("_q"), F.col("_ord"))
-    for c in fields:
-        filled = T.strip(c) != ""
-        aggs += [F.min_by(T.text(c), rank).alias(f"_best_{c}"), F.min_by(T.strip(c), F.when(filled, F.col("_ord"))).alias(f"_fill_{c}")]
-        if c in MERGED:
-            aggs.append(_ordered(T.strip(c), filled).alias(f"_list_{c}"))
-        if c in ALTERNATE:
-            aggs.append(_ordered(T.strip(c), filled).alias(f"_alt_{c}"))
-    out = rows.groupBy("key_kind", "key_value", "_own").agg(*aggs)
-    value = {c: F.when(T.strip(f"_best_{c}") != "", F.col(f"_best_{c}")).otherwise(T.text(f"_fill_{c}")) for c in fields}
-    cols = [F.col("_ord"), *[value[c].alias(c) for c in fields], "duplicate_count", F.concat("key_kind", F.lit(":"), "key_value").alias("dedupe_key"), "dedupe_confidence", "dedupe_reason"]
-    for c, name in MERGED.items():
-        cols.append((F.array_join(f"_list_{c}", "; ") if c in fields else F.lit("")).alias(name))
-    for c, name in ALTERNATE.items():
-        alt = F.array_join(F.array_remove(f"_alt_{c}", T.strip(value[c])), " || ") if c in fields else F.lit("")
-        cols.append(alt.alias(name))
-    return out.select(*cols)
+    fills = [F.min_by(T.strip(c), F.when(T.strip(c) != "", F.col("_ord"))).alias(f"_fill_{c}") for c in fields]
+    best = F.min_by(F.struct(*[T.text(c).alias(c) for c in fields]), rank).alias("_best")
+    heads = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_ord").alias("_ord"), F.first("dedupe_confidence").alias("dedupe_confidence"), F.first("dedupe_reason").alias("dedupe_reason"), best, *fills)
+
+    listed = [c for c in fields if c in MERGED or c in ALTERNATE]
+    value = {c: F.when(T.strip(f"_best.{c}") != "", F.col(f"_best.{c}")).otherwise(T.text(f"_fill_{c}")) for c in fields}
+    if listed:
+        many = rows.groupBy(*key).count().where("count > 1").select(*key)
+        cells = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), T.strip(c).alias("v")) for c in listed]), lambda x: x["v"] != "")
+        cells = rows.join(many, key, "left_semi").select(*key, "_ord", F.explode(cells).alias("x")).groupBy(*key, "x").agg(F.min("_ord").alias("o"))
+        lists = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x.c", "o", "x.v"))).alias("_lists"))
+        heads = heads.join(lists, key, "left")
+    else:
+        heads = heads.withColumn("_lists", F.lit(None).cast("array<struct<c:string,o:long,v:string>>"))
+
+    def values(c):
+        alone = F.filter(F.array(T.strip(f"_best.{c}")), lambda v: v != "")
+        return F.when(F.col("_lists").isNull(), alone).otherwise(F.transform(F.filter("_lists", lambda x: x["c"] == c), lambda x: x["v"]))
+
+    cols = ["_ord", *[value[c].alias(c) for c in fields], F.col("_n").cast("string").alias("duplicate_count"), F.concat("key_kind", F.lit(":"), "key_value").alias("dedupe_key"), "dedupe_confidence", "dedupe_reason"]
+    cols += [(F.array_join(values(c), "; ") if c in fields else F.lit("")).alias(name) for c, name in MERGED.items()]
+    cols += [(F.array_join(F.array_remove(values(c), T.strip(value[c])), " || ") if c in fields else F.lit("")).alias(name) for c, name in ALTERNATE.items()]
+    return heads.select(*cols)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 
-NAME_FIELDS = ("crossref_container", "journal", "container_title", "venue", "source_title")
-ISSN_FIELDS = ("crossref_issn", "issn", "issn_l", "eissn")
+# Fields that name a row's journal and its ISSNs, in order of preference.
+NAME_FIELDS = ("crossref_container", "journal", "container", "source", "source_query_name")
+ISSN_FIELDS = ("crossref_issn", "issn", "journal_issn")
 #: The dimension is broadcast only up to so many keys; beyond it the join shuffles.
 BROADCAST_KEYS = 200_000
 
@@ -29,17 +30,47 @@ def match(df: DataFrame, metrics: DataFrame) -> DataFrame:
     table = keys(metrics)
     if table.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         table = F.broadcast(table)
+    if not parts:
+        return df.withColumn("metric", F.lit(None).cast(table.schema["metric"].dataType))
     cand = df.select("_ord", F.posexplode(F.concat(*parts)).alias("pos", "k")).select("_ord", "pos", F.col("k.kind").alias("kind"), F.col("k.key").alias("key")).where("key <> ''")
     hit = cand.join(table, ["kind", "key"]).groupBy("_ord").agg(F.min_by("metric", "pos").alias("metric"))
     return df.join(hit, "_ord", "left")
 
 
+def general(x: Column) -> Column:
+    """A number with six significant digits, without trailing zeros, in the shortest of plain and exponent form."""
+    short = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    digits = F.floor(F.log10(F.abs(F.bround(x, 12)))).cast("int")
+    out = F.when(x == 0, "0")
+    for d in range(-4, 6):
+        out = out.when(digits == d, short(F.format_string(f"%.{5 - d}f", x)))
+    return out.otherwise(short(F.format_string("%.5e", x)))
+
+
+def number(c) -> Column:
+    """The double a text states; null if it is none."""
+    x = F.lower(T.strip(c))
+    return F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), x.cast("double")).when(x.rlike(r"^[+-]?(inf|infinity)$"), F.when(x.startswith("-"), -float("inf")).otherwise(float("inf"))).when(x.rlike("^[+-]?nan$"), float("nan"))
+
+
 def annotate(df: DataFrame, metrics: DataFrame, min_if: float | None = None) -> DataFrame:
+    """Adds the metric of each row's journal, and with a threshold whether it is passed (strictly) and why."""
     out = match(df, metrics)
-    value = F.when(T.strip("metric.impact_factor").rlike(r"^\d+(\.\d+)?$"), F.col("metric.impact_factor").cast("double"))
-    known = F.col("metric").isNotNull()
-    status = F.lit("") if min_if is None else F.when(~known | value.isNull(), "unverified").when(value > min_if, "pass").otherwise("fail")
-    return out.withColumns({"impact_factor": F.when(known, T.text("metric.impact_factor")).otherwise("Not verified"), "metric_year": F.when(known, T.text("metric.metric_year")).otherwise("Not available"), "metric_matched_journal": F.when(known, T.text("metric.journal")).otherwise("Not available"), "metric_filter_status": status}).drop("metric")
+    known, value = F.col("metric").isNotNull(), number("metric.impact_factor")
+    have = set(metrics.columns)
+    cell = lambda c, missing: F.when(known, T.strip(f"metric.{c}") if c in have else F.lit("")).otherwise(missing)
+    status, reason = F.when(known, F.lit("")).otherwise("unverified" if min_if is not None else ""), F.when(known, F.lit(""))
+    if min_if is not None:
+        least = F.lit(float(min_if))
+        passed = F.coalesce((value > least) & ~F.isnan(value), F.lit(False))  # a value that is no number passes nothing
+        text = F.concat(F.lit("Impact factor "), general(value), F.when(passed, " > ").otherwise(" <= "), general(least))
+        status = F.when(~known | value.isNull(), "unverified").when(passed, "pass").otherwise("fail")
+        reason = F.when(known & value.isNull(), "Metric value is not numeric").when(known, text)
+    return out.withColumns({
+        "journal_metric": cell("impact_factor", "Not verified"), "journal_metric_year": cell("metric_year", ""), "journal_metric_source": cell("metric_source", "Not available"),
+        "journal_metric_url": cell("source_url", ""), "journal_metric_confidence": cell("confidence", ""), "journal_metric_verified": F.when(known, "true").otherwise("false"),
+        "metric_filter_status": status, "metric_filter_reason": reason.otherwise("No matching verified metric record"),
+    }).drop("metric")
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +82,7 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def governance(metrics: DataFrame) -> DataFrame:
     """Findings (level, field, subject): blank governance fields, non-numeric values, keys owned by two journals."""
     blank = [metrics.where(T.strip(c) == "").select(F.lit("warning").alias("level"), F.lit(c).alias("field"), F.col("journal").alias("subject")) for c in ("metric_year", "source_url", "last_checked") if c in metrics.columns]
-    bad = metrics.where((T.strip("impact_factor") != "") & ~T.strip("impact_factor").rlike(r"^\d+(\.\d+)?$")).select(F.lit("error").alias("level"), F.lit("impact_factor").alias("field"), F.col("journal").alias("subject"))
+    bad = metrics.where((T.strip("impact_factor") != "") & number("impact_factor").isNull()).select(F.lit("error").alias("level"), F.lit("impact_factor").alias("field"), F.col("journal").alias("subject"))
     issn = F.transform(T.items("issn"), lambda x: F.struct(F.lit("issn").alias("kind"), T.issn(x).alias("key")))
     name = F.transform(F.concat(F.array("journal"), T.items("aliases")), lambda x: F.struct(F.lit("aliases").alias("kind"), T.journal(x).alias("key")))
     owned = metrics.select(T.journal("journal").alias("owner"), F.explode(F.concat(issn, name)).alias("k")).where("k.key <> ''").groupBy("k.kind", "k.key").agg(F.count_distinct("owner").alias("n")).where("n > 1")

@@ -21,8 +21,15 @@ def top(df: DataFrame, column: str, limit=12) -> DataFrame:
 
 
 def metadata_health(df: DataFrame) -> DataFrame:
-    filled = lambda *c: F.count_if(T.strip(T.first_filled(*[x for x in c if x in df.columns])) != "")
-    return df.agg(F.count("*").alias("n_rows"), filled("title").alias("with_title"), filled("crossref_doi", "doi").alias("with_doi"), F.count_if(T.doi("doi").rlike(T.DOI)).alias("with_valid_doi"), filled("publication_year", "year").alias("with_year"), filled("journal").alias("with_journal"), filled("abstract").alias("with_abstract"))
+    """One row of ten counts: rows, and rows with and without DOI, title, year and journal, and with a malformed DOI."""
+    own = lambda *c: [x for x in c if x in df.columns] or [F.lit("")]
+    doi = T.doi(T.first_filled(*own("crossref_doi", "doi")))
+    filled = {"title": ("crossref_title", "title"), "year": ("crossref_year", "publication_year", "year"), "journal": ("crossref_container", "journal")}
+    have = {"doi": doi != "", **{k: T.strip(T.first_filled(*own(*c))) != "" for k, c in filled.items()}}
+    parts = [F.count("*").alias("rows"), F.count_if((doi != "") & ~doi.rlike(T.DOI)).alias("invalid_doi")]
+    for k, ok in have.items():
+        parts += [F.count_if(ok).alias(f"with_{k}"), F.count_if(~ok).alias(f"missing_{k}")]
+    return df.agg(*parts)
 
 
 def trust_tiers(df: DataFrame) -> DataFrame:
@@ -40,15 +47,28 @@ def latest(stages: DataFrame, *keys) -> DataFrame:
     return stages.groupBy(*keys).agg(F.max_by("status", "_ord").alias("status"), F.max("_ord").alias("_ord"))
 
 
-def validate(df: DataFrame, required, optional_empty=()) -> DataFrame:
-    """(row, level, field, issue): rows count from 2; header findings have row 0."""
+def validate(df: DataFrame, required, optional_empty=(), stage: str = "") -> DataFrame:
+    """(row, level, field, issue): rows count from 2, header findings have row 0; fields of optional_empty may be blank.
+
+    A queue warns of rows that went on while access is pending, a preliminary table of rows without evidence."""
     missing = [c for c in required if c not in df.columns]
-    header = df.sparkSession.createDataFrame([(0, "FAIL", c, "missing column") for c in missing], "row long, level string, field string, issue string")
-    own = [c for c in required if c in df.columns]
-    if not own:
+    header = df.sparkSession.createDataFrame([(0, "FAIL", c, "Required column missing") for c in missing], "row long, level string, field string, issue string")
+    cell = lambda c: T.text(c) if c in df.columns else F.lit("")
+    found = [(T.strip(c).isin(*BLANKS), "FAIL", c, "Required stage field is empty/Unknown") for c in required if c in df.columns and c not in optional_empty]
+    if stage == "queue":
+        found.append(((cell("access_status") == "pending") & (cell("queue_status") != "pending"), "WARN", "access_status", "Queue status advanced while access remains pending"))
+    if stage == "preliminary":
+        found.append((T.strip(cell("evidence_pointer")).isin(*BLANKS), "WARN", "evidence_pointer", "Task-specific values still require source evidence"))
+    if not found:
         return header
-    pairs = F.array(*[F.when(T.strip(c).isin(*BLANKS), F.struct(F.lit("WARN" if c in optional_empty else "FAIL").alias("level"), F.lit(c).alias("field"), F.lit("empty value").alias("issue"))) for c in own])
-    return header.unionAll(df.select((F.col("_ord") + 2).alias("row"), F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("row", "p.level", "p.field", "p.issue"))
+    issues = T.compact([(holds, F.struct(F.lit(level).alias("level"), F.lit(c).alias("field"), F.lit(issue).alias("issue"))) for holds, level, c, issue in found])
+    return header.unionAll(df.select((F.col("_ord") + 2).alias("row"), F.explode(issues).alias("p")).select("row", "p.level", "p.field", "p.issue"))
+
+
+def verdict(issues: DataFrame) -> DataFrame:
+    """One row: n_fail, n_warn and PASS or FAIL."""
+    fails = F.count_if(F.col("level") == "FAIL")
+    return issues.agg(fails.alias("n_fail"), F.count_if(F.col("level") == "WARN").alias("n_warn"), F.when(fails == 0, "PASS").otherwise("FAIL").alias("overall"))
 
 
 def provenance(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:

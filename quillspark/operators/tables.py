@@ -7,25 +7,30 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import status as S, text as T
+from ..sources.shared import written
 from .triage import rank
 
+#: Parts of a provider's failures.
+PARTS = 64
 NUMERIC = ("triage_score", "relevance_score", "citation_count", "duplicate_count")
 
 
 def with_ord(df: DataFrame, *order) -> DataFrame:
     """Dense row numbers from 0 in the given order, without one task for all rows.
 
-    Range partitions are counted, and only the counts meet on the driver."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = sorted(rows.groupBy("_p").count().collect())
-    start, base = 0, {}
-    for p, n in counts:
-        base[p], start = start, start + n
-    if not base:
-        return df.withColumn("_ord", F.lit(0).cast("long"))
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    table = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    return rows.withColumn("_ord", inside + F.element_at(table, F.col("_p")).cast("long")).drop("_p")
+    The range-sorted rows are written once with their place in their partition, and counts and numbers are both taken
+    from that table: sampled bounds and coalesced partitions may differ from one run of a plan to the next. Only the
+    counts of the partitions meet on the driver."""
+    place = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.shiftright(place, 33).cast("int"), "_i": place.bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = written(rows, "ordered")
+    counts = dict(rows.groupBy("_p").count().collect())
+    base, start = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        base.append(str(start))
+        start += counts.get(p, 0)
+    known = F.split(F.lit(",".join(base) or "0"), ",").cast("array<long>")
+    return rows.withColumn("_ord", F.col("_i") + F.get(known, F.col("_p"))).drop("_p", "_i")
 
 
 def union_by_name(frames: dict[str, DataFrame]) -> DataFrame:
@@ -77,10 +82,15 @@ def breaker_replay(calls: DataFrame, threshold: int) -> DataFrame:
     """Replay of a provider's calls in order: after ``threshold`` failures every later call is skipped.
 
     A skipped call adds no failure, so a call is skipped exactly if threshold failures stand before it in
-    the raw log; a running count decides. Needs provider, q (order) and status."""
-    before = W.partitionBy("provider").orderBy("q").rowsBetween(W.unboundedPreceding, -1)
-    failed = F.coalesce(F.sum(S.is_failure(F.col("status")).cast("int")).over(before), F.lit(0))
-    return calls.withColumn("replayed", F.when(failed >= threshold, "skipped_circuit_breaker").otherwise(F.col("status")))
+    the raw log. Only the order of each provider's threshold-th failure is needed: it is found in two steps of
+    ``threshold`` rows a provider and part, so a provider with most of the calls is no single task. Needs
+    provider, q (order, unique for a provider) and status."""
+    failed = calls.where(S.is_failure(F.col("status"))).select("provider", "q", F.pmod(F.xxhash64("q"), F.lit(PARTS)).alias("part"))
+    first = lambda df, *keys: df.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("q"))).where(F.col("n") <= max(1, threshold))
+    last = first(first(failed, "provider", "part"), "provider").where(F.col("n") == max(1, threshold)).select(F.col("provider").alias("_p"), F.col("q").alias("_q"))
+    out = calls.join(last, F.col("provider").eqNullSafe(F.col("_p")), "left")
+    skipped = (F.col("q") > F.col("_q")) if threshold > 0 else F.lit(True)
+    return out.withColumn("replayed", F.when(skipped, "skipped_circuit_breaker").otherwise(F.col("status"))).drop("_p", "_q")
 
 
 def one_hop(edges: DataFrame, doi: str, forward=True) -> DataFrame:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts, which no built-in computes; Arrow batches."""
+    """Ratcliff-Obershelp similarity of two texts, which no built-in computes; Arrow batches.
+
+    Every row reaches Python whatever a CASE around this says; rows with a null are passed over there."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
 
     return pandas_udf(run, "double")(a, b)
 
@@ -25,34 +27,56 @@ def title_text(c) -> Column:
 
 
 def similarity(a, b) -> Column:
-    """0 if one is blank, 1 if equal, else the ratio; only the rest reaches Python."""
+    """0 if one is blank, 1 if equal, else the ratio; for all other rows its inputs are null."""
     x, y = title_text(a), title_text(b)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(ratio(x, y))
+    asked = (x != "") & (y != "") & (x != y)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(ratio(F.when(asked, x), F.when(asked, y)))
 
 
 def authority_join(df: DataFrame, authority: DataFrame, strict=False) -> DataFrame:
-    """Left join on the normalised DOI; status and mismatch text. authority: doi, title, year, journal."""
-    own = authority.select(T.doi("doi").alias("_k"), *[F.col(c).alias(f"crossref_{c}") for c in ("title", "year", "journal")]).where("_k <> ''").dropDuplicates(["_k"])
-    out = df.withColumn("_doi", T.doi("doi")).join(own, F.col("_doi") == F.col("_k"), "left")
-    limit = 0.95 if strict else 0.85
-    low = (T.text("crossref_title") != "") & (similarity("title", "crossref_title") < limit)
-    years = (T.text("crossref_year") != "") & (T.strip("publication_year") != "") & (T.strip("publication_year") != T.strip("crossref_year"))
-    mism = F.when(F.col("_k").isNotNull(), F.array_join(T.compact([(low, F.lit("title mismatch")), (years, F.concat(F.lit("year mismatch: "), T.strip("publication_year"), F.lit(" vs "), T.strip("crossref_year")))]), "; ")).otherwise("")
-    out = out.withColumn("crossref_mismatches", mism)
-    status = F.when(F.col("_doi") == "", "missing_doi").when(F.col("_k").isNull(), "lookup_failed").when(F.col("crossref_mismatches") != "", "mismatch").otherwise("verified")
-    return out.withColumn("crossref_status", status).drop("_doi", "_k")
+    """Left join on the normalised DOI; status, method and the differences found. authority: doi, title, year, journal.
+
+    Of authority rows of one DOI the first counts (by _ord where there is one, else by content)."""
+    order = F.struct(*[c for c in ("_ord", "title", "year", "journal") if c in authority.columns])
+    cells = F.struct(T.text("title").alias("crossref_title"), T.text("year").alias("crossref_year"), T.text("journal").alias("crossref_container"))
+    own = authority.select(T.doi("doi").alias("_k"), cells.alias("a"), order.alias("o")).where("_k <> ''").groupBy("_k").agg(F.min_by("a", "o").alias("a"))
+    given = lambda *names: T.strip(T.first_filled(*[n for n in names if n in df.columns])) if any(n in df.columns for n in names) else F.lit("")
+    theirs = ("crossref_title", "crossref_year", "crossref_container")
+    old = df.withColumns({"_doi": T.doi(T.first_filled(*[c for c in ("crossref_doi", "doi") if c in df.columns])), "_t": given("title"), "_y": given("publication_year"), "_j": F.lower(given("journal"))}).drop(*theirs)
+    out = old.join(own, F.col("_doi") == F.col("_k"), "left").select(*old.columns, "_k", "a.*")
+    xt, xy, xj = F.col("crossref_title"), F.col("crossref_year"), F.lower("crossref_container")
+    known = F.col("_k").isNotNull()
+    t, j = F.col("_t"), F.col("_j")
+    # similarities are columns of their own, and asked only where both texts are there
+    both = lambda a, b: similarity(F.when((a != "") & (b != ""), a), F.when((a != "") & (b != ""), b))
+    out = out.withColumns({"_st": both(t, xt), "_sj": both(j, xj)})
+    sim = F.format_string("%.2f", F.col("_st"))
+    titled, low = (t != "") & (xt != ""), F.col("_st") < 0.85
+    quoted = lambda label, a, b, n, end: F.concat(F.lit(f"{label}: input='"), F.substring(a, 1, n), F.lit("' vs crossref='"), F.substring(b, 1, n), F.lit("'"), end)
+    found = [
+        (titled & low, quoted("TITLE_MISMATCH", t, xt, 80, F.concat(F.lit(" (sim="), sim, F.lit(")")))),
+        (titled & ~low & (F.col("_st") < 0.95) & F.lit(strict), F.concat(F.lit("TITLE_MINOR_DIFF: input vs crossref (sim="), sim, F.lit(")"))),
+        ((F.col("_y") != "") & (xy != "") & (F.col("_y") != xy), F.concat(F.lit("YEAR_MISMATCH: input="), F.col("_y"), F.lit(" vs crossref="), xy)),
+        ((j != "") & (xj != "") & (j != xj) & (F.col("_sj") < 0.8), quoted("JOURNAL_MISMATCH", j, xj, 60, F.lit(""))),
+    ]
+    out = out.withColumn("crossref_mismatches", F.when(known, F.array_join(T.compact(found), "; ")).when(F.col("_doi") == "", "").otherwise("CROSSREF_LOOKUP_FAILED"))
+    status = F.when(F.col("_doi") == "", "missing_doi").when(~known, "lookup_failed").when(F.col("crossref_mismatches") != "", "mismatch").otherwise("verified")
+    out = out.withColumns({"crossref_status": status, "crossref_verified": F.when(status == "verified", "true").otherwise("false"), "crossref_lookup_method": F.when(known, "doi").otherwise(""), **{c: T.text(c) for c in theirs}})
+    return out.drop("_doi", "_k", "_t", "_y", "_j", "_st", "_sj")
 
 
 def keep_last(df: DataFrame, *keys) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(F.desc("_ord"))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The row of the largest _ord of each key: an aggregate with map-side combine."""
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "_ord").alias("r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
 def keep_first(df: DataFrame, key: str, blank_kept=True) -> DataFrame:
-    """First row of each key by _ord; blank keys are never deduplicated and take no part in the window."""
-    w = W.partitionBy(key).orderBy("_ord")
-    keyed = df.where(T.text(key) != "").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return keyed.unionByName(df.where(T.text(key) == "")) if blank_kept else keyed
+    """First row of each key by _ord, as an aggregate; blank keys are never deduplicated and take no part in it."""
+    filled = T.text(key) != ""
+    best = df.where(filled).groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), "_ord").alias("r"))
+    keyed = best.select(*[F.col(c) if c == key else F.col(f"r.{c}").alias(c) for c in df.columns])
+    return keyed.unionByName(df.where(~filled)) if blank_kept else keyed
 
 
 def reuse(df: DataFrame, prior: DataFrame, key: str, columns, statuses, status="crossref_status") -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import concepts as C, status as S, text as T
-from ..operators import dedupe as D, metrics as M, probe as P, queue as Q, report as R, tables as B, triage as G, verify as V
+from ..operators import dedupe as D, metrics as M, planning as N, probe as P, queue as Q, report as R, summary as U, tables as B, triage as G, verify as V
 from ..sources import payloads as J
 from ..sources.candidates import BRIDGE, candidates, web_leads
 
@@ -48,23 +48,32 @@ def title_normalize_keys(spark, sf):
     return candidates(spark, sf).select("_ord", T.title("title").alias("title_key"), T.journal("journal").alias("journal_key"), T.article_type("article_type").alias("type_key"))
 
 
+_CONTEXT = "'title_context:' || t || '|year=' || publication_year || '|journal=' || j"
+_CLEAN = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _kept(column: str, chosen: str) -> str:
+    """Distinct filled values of the group in order, without the chosen one."""
+    return f"array_to_string(list_filter(l_{column}, lambda x, i: list_position(l_{column}, x) = i AND x <> {chosen}), ' || ')"
+
+
 _DEDUPE = f"""{_CAND},
 k AS (SELECT *, {_DOI} AS d, {_TITLE} AS t, trim(regexp_replace(lower(journal), '[^a-z0-9]+', ' ', 'g')) AS j FROM c),
-g AS (SELECT *, CASE WHEN d <> '' THEN 'doi:' || d WHEN t = '' THEN 'row:' ELSE 'title_context:' || t || '|year=' || publication_year || '|journal=' || j END AS key,
-     (trim(title) <> '')::INT + (trim(doi) <> '')::INT + 1 + 1 + (trim(abstract) <> '')::INT + (trim(article_type) <> '')::INT + (trim(discovery_source) <> '')::INT + CASE WHEN length(trim(abstract)) > 200 THEN 3 ELSE 0 END AS q FROM k),
-r AS (SELECT *, CASE WHEN d = '' AND t = '' THEN _ord ELSE -1 END AS own FROM g)"""
+g AS (SELECT * REPLACE ({_CLEAN.format('title')} AS title), title AS raw, CASE WHEN d <> '' THEN 'doi:' || d WHEN t = '' THEN 'row:' || _ord ELSE {_CONTEXT} END AS key,
+     ({_CLEAN.format('title')} <> '')::INT + (trim(doi) <> '')::INT + 1 + 1 + ({_CLEAN.format('abstract')} <> '')::INT + (trim(article_type) <> '')::INT + (trim(discovery_source) <> '')::INT + CASE WHEN length({_CLEAN.format('abstract')}) > 200 THEN 3 ELSE 0 END AS q FROM k),
+u AS (SELECT key, min(_ord) AS _ord, count(*) AS n, {", ".join(f"arg_min({c}, (-q, _ord)) AS {c}" for c in ("raw", "title", "doi", "publication_year", "journal", "abstract"))},
+     coalesce(nullif(arg_min(article_type, (-q, _ord)), ''), arg_min(article_type, _ord) FILTER (article_type <> ''), '') AS article_type,
+     {", ".join(f"coalesce(list({c} ORDER BY _ord) FILTER ({c} <> ''), []) AS l_{c}" for c in ("title", "publication_year", "journal", "discovery_source"))} FROM g GROUP BY key)"""
 
 
 @query(f"""{_DEDUPE}
-SELECT min(_ord) AS _ord, key AS dedupe_key, CAST(count(*) AS VARCHAR) AS duplicate_count, arg_min(title, (-q, _ord)) AS best_title,
-       CASE WHEN starts_with(key, 'row:') THEN 'unique' ELSE 'high' END AS dedupe_confidence,
-       array_to_string(list_distinct_ordered, '; ') AS merged_discovery_sources
-FROM (SELECT *, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]) AS list_distinct_ordered
-      FROM (SELECT *, list(discovery_source ORDER BY _ord) OVER (PARTITION BY key, own ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM r))
-GROUP BY key, own, list_distinct_ordered""")
+SELECT _ord, key AS dedupe_key, CAST(n AS VARCHAR) AS duplicate_count, raw AS best_title, article_type, CASE WHEN starts_with(key, 'row:') THEN 'unique' ELSE 'high' END AS dedupe_confidence,
+       CASE WHEN starts_with(key, 'row:') THEN 'unique row fallback' WHEN starts_with(key, 'doi:') THEN 'exact DOI match' ELSE 'normalized title with matching year and journal context' END AS dedupe_reason,
+       array_to_string(list_filter(l_discovery_source, lambda x, i: list_position(l_discovery_source, x) = i), '; ') AS merged_discovery_sources,
+       {_kept("title", "title")} AS alternate_titles, {_kept("publication_year", "publication_year")} AS alternate_years, {_kept("journal", "journal")} AS alternate_journals, '' AS merged_source_files FROM u""")
 def dedupe_merge(spark, sf):
     out = D.dedupe(candidates(spark, sf))
-    return out.select("_ord", "dedupe_key", "duplicate_count", F.col("title").alias("best_title"), "dedupe_confidence", "merged_discovery_sources")
+    return out.select("_ord", "dedupe_key", "duplicate_count", F.col("title").alias("best_title"), "article_type", "dedupe_confidence", "dedupe_reason", "merged_discovery_sources", "alternate_titles", "alternate_years", "alternate_journals", "merged_source_files")
 
 
 @query("SELECT 'documents' AS source_file, CAST(doc_id AS VARCHAR) AS doc_id, text, lang, '' AS item_id FROM documents UNION ALL SELECT 'benchmark', '', text, '', CAST(item_id AS VARCHAR) FROM benchmark")
@@ -103,28 +112,67 @@ def concept_near(spark, sf):
     return df.select("doc_id", C.matches(c, df.columns).alias("hit"))
 
 
-@query()
+_NEGATED = "(?i)(^|[^\\p{L}\\p{M}\\p{N}_])(" + "|".join(C.NEGATORS) + ")([^\\p{L}\\p{M}\\p{N}_]+[\\p{L}\\p{M}\\p{N}_]+){0,6}[^\\p{L}\\p{M}\\p{N}_]*$"
+_INK = "'^[\\p{L}\\p{M}\\p{N}_]$'"
+
+
+def _found(term: str) -> str:
+    """Does the term stand in x as a whole word somewhere without a negator before it (n_term: lengths of what stands between its places)."""
+    n, size = f"n_{term}", len(term)
+    places = f"list_transform(range(1, len({n})), lambda i: CAST(list_sum({n}[1:i]) AS BIGINT) + (i - 1) * {size} + 1)"
+    edges = f"NOT regexp_matches(CASE WHEN p > 1 THEN substr(x, p - 1, 1) ELSE '' END, {_INK}) AND NOT regexp_matches(substr(x, p + {size}, 1), {_INK})"
+    return f"len(list_filter({places}, lambda p: {edges} AND NOT regexp_matches(substr(x, greatest(1, p - 80), least(80, p - 1)), '{_NEGATED}'))) > 0"
+
+
+_TERMS = ("the", "und", "and", "de", "idiot", "scum")
+_TRIAGED = f"""{_DEDUPE},
+v AS (SELECT *, trim(regexp_replace(regexp_replace(raw || ' ' || abstract, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS x, {_DOI} AS dd, CAST(publication_year AS INT) AS y, replace(lower(trim(article_type)), '_', '-') AS a FROM u),
+w AS (SELECT *, {", ".join(f"list_transform(string_split(lower(x), '{t}'), lambda g: length(g)) AS n_{t}" for t in _TERMS)} FROM v),
+h AS (SELECT *, {_found("the")} OR {_found("und")} AS r, {_found("and")} AS o1, {_found("de")} AS o2, {_found("idiot")} OR {_found("scum")} AS ng FROM w),
+f AS (SELECT *, list_filter([CASE WHEN title = '' THEN 'missing_title' END, CASE WHEN dd = '' THEN 'missing_doi' END, CASE WHEN y < 2019 THEN 'year_before_2019' END, CASE WHEN a = 'data-paper' THEN 'article_type_data-paper' END], lambda z: z IS NOT NULL) AS flags,
+     CASE WHEN x = '' THEN 'needs_review' WHEN r THEN CASE WHEN ng THEN 'medium' ELSE 'high' END WHEN o1 OR o2 THEN CASE WHEN ng THEN 'low' ELSE 'medium' END WHEN ng THEN 'low' ELSE 'needs_review' END AS triage_priority,
+     CASE WHEN r THEN 3.0 ELSE -1.0 END + o1::INT + o2::INT - 2 * ng::INT + CASE WHEN dd <> '' THEN 0.5 ELSE 0 END + CASE WHEN abstract <> '' THEN 0.5 ELSE 0 END AS score FROM h),
+m AS (SELECT *, CASE WHEN dd = '' OR y < 2019 OR a = 'data-paper' THEN 'blocked' WHEN len(flags) > 0 THEN 'check' ELSE 'ok' END AS metadata_status,
+     list_concat(CASE WHEN r THEN ['required:core'] ELSE [] END, CASE WHEN o1 THEN ['optional:and'] ELSE [] END, CASE WHEN o2 THEN ['optional:de'] ELSE [] END, CASE WHEN ng THEN ['negative:junk'] ELSE [] END, list_transform(flags, lambda z: 'metadata:' || z)) AS tags,
+     array_to_string(list_filter([CASE WHEN o1 THEN 'and' END, CASE WHEN o2 THEN 'de' END], lambda z: z IS NOT NULL), ', ') AS opts FROM f)"""
+
+
+@query(f"""{_TRIAGED}
+SELECT _ord, raw AS title, triage_priority, printf('%.1f', CAST(score AS DOUBLE)) AS triage_score, metadata_status, array_to_string(tags, '; ') AS semantic_tags, array_to_string(flags, '; ') AS hard_filter_flags,
+       CASE WHEN metadata_status = 'blocked' THEN 'metadata_blocked' WHEN triage_priority IN ('high', 'medium') THEN CASE WHEN metadata_status = 'ok' THEN 'ready_for_verification' ELSE 'metadata_check' END WHEN triage_priority = 'needs_review' THEN 'llm_review' ELSE 'low_priority' END AS candidate_status,
+       concat_ws('; ', CASE WHEN r THEN 'matched required: core' ELSE 'missing required: core' END, CASE WHEN opts <> '' THEN 'matched optional: ' || opts END, CASE WHEN ng THEN 'matched caller negative tags: junk' END, CASE WHEN len(flags) > 0 THEN 'metadata flags: ' || array_to_string(flags, ', ') END) AS triage_reasons,
+       CASE WHEN triage_priority = 'needs_review' OR ng OR len(flags) > 0 THEN 'true' ELSE 'false' END AS llm_review_needed,
+       row_number() OVER (ORDER BY CASE triage_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'needs_review' THEN 2 ELSE 3 END, score DESC, encode(lower(raw)), _ord) AS place FROM m""")
 def triage_score_rank(spark, sf):
-    """Flagship: deduplicate, tag, score and rank candidates."""
-    return G.order(G.triage(D.dedupe(candidates(spark, sf)), _PROFILE)).select("_ord", "title", "triage_priority", "triage_score", "metadata_status", "candidate_status", "triage_tags")
+    """Flagship: deduplicate, tag, score and rank candidates; ranks come from a range sort, not from one task."""
+    rows = G.triage(D.dedupe(candidates(spark, sf)), _PROFILE).withColumn("_first", F.col("_ord"))
+    rows = B.with_ord(rows.drop("_ord", "abstract"), G.rank("triage_priority"), F.desc(T.first_number("triage_score")), F.lower("title"), "_first")
+    return rows.select(F.col("_first").alias("_ord"), "title", "triage_priority", "triage_score", "metadata_status", "semantic_tags", "hard_filter_flags", "candidate_status", "triage_reasons", "llm_review_needed", (F.col("_ord") + 1).alias("place"))
 
 
 _META = f"""{_CAND},
-m AS (SELECT *, {_DOI} AS d, CAST(publication_year AS INT) AS y, replace(article_type, '_', '-') AS a FROM c),
-s AS (SELECT *, CASE WHEN y < 2019 OR a = 'data-paper' OR d = '' THEN 'blocked' WHEN trim(title) = '' THEN 'check' ELSE 'ok' END AS metadata_status,
+m AS (SELECT *, {_DOI} AS d, CAST(publication_year AS INT) AS y, replace(lower(CASE WHEN _ord % 5 = 0 THEN 'Data_Paper' ELSE article_type END), '_', '-') AS a FROM c),
+s AS (SELECT *, CASE WHEN y < 2019 OR a = 'data-paper' OR d = '' THEN 'blocked' WHEN trim(title) = '' THEN 'check' ELSE 'ok' END AS metadata_status, CASE WHEN _ord % 11 = 0 THEN 'lookup_failed' WHEN _ord % 4 = 0 THEN 'verified' ELSE '' END AS crossref_status,
+     CASE WHEN _ord % 13 = 0 THEN 'YEAR_MISMATCH: input=1 vs crossref=2' ELSE '' END AS crossref_mismatches, CASE WHEN _ord % 6 = 0 THEN 'Include' WHEN _ord % 6 = 1 THEN 'Backup' ELSE '' END AS decision,
      CASE WHEN _ord % 3 = 0 THEN 'high' WHEN _ord % 3 = 1 THEN 'low' ELSE '' END AS triage_priority, CAST(_ord % 8 AS VARCHAR) AS triage_score FROM m)"""
 
 
 def _triaged(spark, sf) -> DataFrame:
-    df = candidates(spark, sf)
-    flags, status = G.metadata_flags(df, _PROFILE)
-    return df.withColumns({"metadata_flags": F.array_join(flags, "; "), "metadata_status": status, "triage_priority": F.when(F.col("_ord") % 3 == 0, "high").when(F.col("_ord") % 3 == 1, "low").otherwise(""), "triage_score": (F.col("_ord") % 8).cast("string")})
+    k = lambda n: F.col("_ord") % n
+    df = candidates(spark, sf).withColumn("crossref_type", F.when(k(5) == 0, "Data_Paper").otherwise(""))
+    flags, status, whys = G.metadata_flags(df, _PROFILE)
+    return df.withColumns({
+        "hard_filter_flags": F.array_join(flags, "; "), "metadata_status": status, "metadata_reasons": F.array_join(whys, "; "),
+        "triage_priority": F.when(k(3) == 0, "high").when(k(3) == 1, "low").otherwise(""), "triage_score": k(8).cast("string"), "screening_decision": F.when(k(6) == 0, "Include").otherwise(""), "include_status": F.when(k(6) == 1, "Backup").otherwise(""),
+        "crossref_status": F.when(k(11) == 0, "lookup_failed").when(k(4) == 0, "verified").otherwise(""), "crossref_mismatches": F.when(k(13) == 0, "YEAR_MISMATCH: input=1 vs crossref=2").otherwise(""),
+    })
 
 
 @query(f"""{_META} SELECT _ord, metadata_status, concat_ws('; ', CASE WHEN trim(title) = '' THEN 'missing_title' END, CASE WHEN d = '' THEN 'missing_doi' END,
-CASE WHEN y < 2019 THEN 'year_before_2019' END, CASE WHEN a = 'data-paper' THEN 'article_type_data-paper' END) AS metadata_flags FROM s""")
+CASE WHEN y < 2019 THEN 'year_before_2019' END, CASE WHEN a = 'data-paper' THEN 'article_type_data-paper' END) AS hard_filter_flags, concat_ws('; ', CASE WHEN trim(title) = '' THEN 'title is missing' END, CASE WHEN d = '' THEN 'DOI is missing' END,
+CASE WHEN y < 2019 THEN 'publication year ' || y || ' is before 2019' END, CASE WHEN a = 'data-paper' THEN 'article type ''data-paper'' is in caller-supplied excluded types' END) AS metadata_reasons FROM s""")
 def metadata_hard_filter(spark, sf):
-    return _triaged(spark, sf).select("_ord", "metadata_status", "metadata_flags")
+    return _triaged(spark, sf).select("_ord", "metadata_status", "hard_filter_flags", "metadata_reasons")
 
 
 @query(f"{_META} SELECT _ord, triage_priority FROM s WHERE triage_priority IN ('', 'high') AND metadata_status <> 'blocked'")
@@ -132,17 +180,37 @@ def priority_selection(spark, sf):
     return G.select_by_priority(_triaged(spark, sf), ["high"]).select("_ord", "triage_priority")
 
 
-@query(f"""{_META} SELECT _ord, d AS doi, trim(regexp_replace(d, '[^a-z0-9]+', '_', 'g'), '_') AS paper_id, publication_year AS year, 'https://doi.org/' || d AS doi_url,
-CASE triage_priority WHEN 'high' THEN '1' WHEN 'low' THEN '4' ELSE CASE WHEN _ord % 8 >= 6 THEN '1' WHEN _ord % 8 >= 3 THEN '2' ELSE '3' END END AS extraction_priority
-FROM s WHERE metadata_status <> 'blocked' AND triage_priority IN ('', 'high') AND d <> ''""")
+_GATED = "CASE WHEN metadata_status = 'blocked' THEN 'metadata_blocked' WHEN crossref_mismatches <> '' OR crossref_status = 'lookup_failed' THEN 'crossref_blocked' WHEN CASE WHEN triage_priority <> '' THEN triage_priority <> 'high' ELSE decision NOT IN ('', 'Include') END THEN 'filtered' WHEN d = '' THEN 'missing_doi' ELSE '' END"
+_GATES = {"priorities": ("high", "medium"), "decisions": ("Include",)}
+
+
+@query(f"""{_META} SELECT _ord, d AS doi, publication_year, 'https://doi.org/' || d AS doi_url, 'https://doi.org/' || d AS publisher_url, title, journal, 'pending' AS queue_status, 'unknown' AS pdf_status, crossref_status, triage_score,
+'screenshots/' || trim(regexp_replace(d, '[^a-z0-9]+', '_', 'g'), '_') AS screenshot_dir, decision AS screening_decision, 'publisher_visible_text; abstract; methods_or_evidence_section; results_or_key_claim_section; evidence_pointer' AS page_required_fields,
+CASE triage_priority WHEN 'high' THEN '1' WHEN 'low' THEN '4' ELSE CASE WHEN decision = 'Include' THEN '1' WHEN decision = 'Backup' THEN '2' WHEN _ord % 8 >= 6 THEN '1' WHEN _ord % 8 >= 3 THEN '2' ELSE '3' END END AS extraction_priority
+FROM s WHERE {_GATED} = ''""")
 def queue_build(spark, sf):
-    return Q.build(_triaged(spark, sf), priorities=("high", "medium")).select("_ord", "doi", "paper_id", "year", "doi_url", "extraction_priority")
+    out = Q.build(_triaged(spark, sf), **_GATES)
+    return out.select("_ord", "doi", "publication_year", "doi_url", "publisher_url", "title", "journal", "queue_status", "pdf_status", "crossref_status", "triage_score", "screenshot_dir", "screening_decision", "page_required_fields", "extraction_priority")
 
 
-@query(f"""{_META} SELECT CASE WHEN metadata_status = 'blocked' THEN 'metadata_blocked' WHEN triage_priority NOT IN ('', 'high') THEN 'filtered' WHEN d = '' THEN 'missing_doi' ELSE '' END AS reason, count(*) AS n FROM s GROUP BY 1""")
+@query(f"{_META} SELECT {_GATED} AS reason, count(*) AS n FROM s GROUP BY 1")
 def queue_skip_reasons(spark, sf):
     df = _triaged(spark, sf)
-    return df.groupBy(Q.skip_reason(df, ("high", "medium")).alias("reason")).agg(F.count("*").alias("n"))
+    return df.groupBy(Q.skip_reason(df, **_GATES).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_META} SELECT count(*) FILTER ({_GATED} = '') AS queued, count(*) FILTER ({_GATED} = 'filtered') AS skipped_filter, count(*) FILTER ({_GATED} IN ('metadata_blocked', 'crossref_blocked')) AS skipped_metadata_blocked, count(*) FILTER ({_GATED} = 'missing_doi') AS skipped_missing_doi FROM s")
+def queue_counts(spark, sf):
+    return Q.counts(_triaged(spark, sf), **_GATES)
+
+
+@query(f"""{_META}, q AS (SELECT _ord, title, triage_score, CASE triage_priority WHEN 'high' THEN 1 ELSE CASE WHEN decision = 'Include' THEN 1 WHEN _ord % 8 >= 6 THEN 1 WHEN _ord % 8 >= 3 THEN 2 ELSE 3 END END AS e FROM s WHERE {_GATED} = '')
+SELECT _ord, row_number() OVER (ORDER BY e, CAST(triage_score AS DOUBLE) DESC, encode(lower(title)), _ord) AS place FROM q""")
+def queue_order(spark, sf):
+    """Places of the queue's rows: the sink's order, as a number."""
+    rows = Q.build(_triaged(spark, sf), **_GATES).withColumnRenamed("_ord", "_first")
+    rows = B.with_ord(rows.select("_first", "title", "triage_score", "extraction_priority"), "extraction_priority", F.desc(T.first_number("triage_score")), F.lower("title"), "_first")
+    return rows.select(F.col("_first").alias("_ord"), (F.col("_ord") + 1).alias("place"))
 
 
 @query(f"""{_CAND} SELECT 'journal' AS field, CASE WHEN trim(journal) = '' THEN '<blank>' ELSE trim(journal) END AS value, count(*) AS n FROM c GROUP BY 2
@@ -156,15 +224,17 @@ def top_values(spark, sf):
     return R.top(candidates(spark, sf), "discovery_source", 5)
 
 
-@query(f"""{_CAND} SELECT count(*) AS n_rows, count(*) FILTER (trim(title) <> '') AS with_title, count(*) FILTER (doi <> '') AS with_doi, count(*) FILTER (doi <> '') AS with_valid_doi,
-count(*) FILTER (publication_year <> '') AS with_year, count(*) FILTER (journal <> '') AS with_journal, count(*) FILTER (trim(abstract) <> '') AS with_abstract FROM c""")
+@query(f"""{_CAND}, d AS (SELECT *, {_DOI} AS dd FROM c) SELECT count(*) AS "rows", count(*) FILTER (dd <> '' AND NOT regexp_matches(dd, '^10\\.\\d{{4,9}}/\\S+$')) AS invalid_doi, count(*) FILTER (dd <> '') AS with_doi, count(*) FILTER (dd = '') AS missing_doi,
+count(*) FILTER ({_CLEAN.format('title')} <> '') AS with_title, count(*) FILTER ({_CLEAN.format('title')} = '') AS missing_title, count(*) FILTER (publication_year <> '') AS with_year, count(*) FILTER (publication_year = '') AS missing_year,
+count(*) FILTER (journal <> '') AS with_journal, count(*) FILTER (journal = '') AS missing_journal FROM d""")
 def metadata_health(spark, sf):
     return R.metadata_health(candidates(spark, sf))
 
 
-@query(f"{_META} SELECT count(*) AS discovered, 0::BIGINT AS trusted, 0::BIGINT AS metric_pass, count(*) FILTER (_ord % 2 = 0) AS queued FROM s")
+@query(f"{_META} SELECT count(*) AS discovered, count(*) FILTER (crossref_status = 'verified') AS trusted, count(*) FILTER (_ord % 7 = 0) AS metric_pass, count(*) FILTER (_ord % 2 = 0) AS queued FROM s")
 def trust_tiers(spark, sf):
-    return R.trust_tiers(_triaged(spark, sf).withColumn("queue_status", F.when(F.col("_ord") % 2 == 0, "queued").otherwise("")))
+    k = lambda n: F.col("_ord") % n == 0
+    return R.trust_tiers(_triaged(spark, sf).withColumns({"queue_status": F.when(k(2), "queued").otherwise(""), "metric_filter_status": F.when(k(7), "pass").otherwise("fail")}))
 
 
 @query(f"""{_META} SELECT CAST(_ord AS VARCHAR) AS _ord, CASE WHEN length(title) > 30 THEN rtrim(substr(title, 1, 29)) || '...' ELSE title END AS title, triage_score FROM s
@@ -183,16 +253,30 @@ def _dimension(spark, sf) -> DataFrame:
 
 
 def _venues(spark, sf) -> DataFrame:
-    p = _t(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("_ord"), F.concat(F.lit("journal of the supplier#"), F.lpad((F.col("p_partkey") % 150).cast("string"), 9, "0")).alias("journal"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lpad((F.col("p_partkey") % 97).cast("string"), 4, "0"), F.lit("-"), F.lpad((F.col("p_partkey") % 97).cast("string"), 4, "0"))).otherwise("").alias("issn"))
+    """Rows that name their journal in one of several fields, some with an ISSN in one of two."""
+    k, eight = lambda n: F.col("p_partkey") % n, F.lpad((F.col("p_partkey") % 97).cast("string"), 8, "0")
+    name = F.concat(F.lit("journal of the supplier#"), F.lpad(k(150).cast("string"), 9, "0"))
+    issn = F.concat(F.substring(eight, 1, 4), F.lit("-"), F.substring(eight, 5, 4))
+    return _t(spark, sf, "part").select(
+        F.col("p_partkey").alias("_ord"), F.when(k(3) == 0, "").otherwise(name).alias("journal"), F.when(k(3) == 0, name).otherwise("").alias("container"),
+        F.when(k(5) == 0, F.concat(F.lit("none; "), issn)).otherwise("").alias("issn"), F.when(k(5) == 1, issn).otherwise("").alias("journal_issn"),
+    )
 
 
-@query()
+_METRIC = f"""{_DIM}, i AS (SELECT issn, max(_ord) AS _ord FROM m GROUP BY 1),
+v AS (SELECT p_partkey AS _ord, p_partkey % 150 AS n, CASE WHEN p_partkey % 5 IN (0, 1) THEN lpad(CAST(p_partkey % 97 AS VARCHAR), 8, '0') END AS issn FROM part),
+j AS (SELECT v._ord, coalesce(a.impact_factor, b.impact_factor) AS f FROM v LEFT JOIN i USING (issn) LEFT JOIN m a ON a._ord = i._ord LEFT JOIN m b ON b._ord = v.n AND i._ord IS NULL),
+z AS (SELECT *, TRY_CAST(f AS DOUBLE) AS x FROM j),
+s AS (SELECT _ord, coalesce(f, 'Not verified') AS journal_metric, CASE WHEN f IS NULL OR x IS NULL THEN 'unverified' WHEN x > 3 THEN 'pass' ELSE 'fail' END AS metric_filter_status,
+     CASE WHEN f IS NULL THEN 'No matching verified metric record' WHEN x IS NULL THEN 'Metric value is not numeric' ELSE 'Impact factor ' || format('{{:g}}', x) || CASE WHEN x > 3 THEN ' > 3' ELSE ' <= 3' END END AS metric_filter_reason, f IS NOT NULL AS known FROM z)"""
+
+
+@query(f"{_METRIC} SELECT _ord, journal_metric, metric_filter_status, metric_filter_reason, CASE WHEN known THEN 'true' ELSE 'false' END AS journal_metric_verified FROM s")
 def metric_lookup_join(spark, sf):
-    return M.annotate(_venues(spark, sf), _dimension(spark, sf), 3.0).select("_ord", "metric_matched_journal", "metric_filter_status")
+    return M.annotate(_venues(spark, sf), _dimension(spark, sf), 3.0).select("_ord", "journal_metric", "metric_filter_status", "metric_filter_reason", "journal_metric_verified")
 
 
-@query()
+@query(f"{_METRIC} SELECT CASE WHEN metric_filter_status = 'pass' THEN 'pass' ELSE 'backup' END AS part, _ord FROM s")
 def metric_split(spark, sf):
     a, b = M.split(M.annotate(_venues(spark, sf), _dimension(spark, sf), 3.0))
     return a.select(F.lit("pass").alias("part"), "_ord").unionAll(b.select(F.lit("backup").alias("part"), "_ord"))
@@ -204,13 +288,21 @@ def metric_governance(spark, sf):
     return M.governance(_dimension(spark, sf))
 
 
-@query("""SELECT o_orderkey AS _ord, CASE WHEN c_custkey IS NULL THEN 'lookup_failed' WHEN CAST(1992 + o_orderkey % 7 AS VARCHAR) <> CAST(1992 + c_nationkey % 7 AS VARCHAR) THEN 'mismatch' ELSE 'verified' END AS crossref_status
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey""")
+@query("""WITH j AS (SELECT o_orderkey AS k, c_custkey IS NOT NULL AS known, 1992 + o_orderkey % 7 AS y, 1992 + c_nationkey % 7 AS xy FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey),
+r AS (SELECT *, k % 17 = 0 AS blank, known AND k % 5 = 2 AS t, known AND y <> xy AS d, known AND k % 4 = 2 AS o FROM j)
+SELECT k AS _ord, CASE WHEN blank THEN 'missing_doi' WHEN NOT known THEN 'lookup_failed' WHEN t OR d OR o THEN 'mismatch' ELSE 'verified' END AS crossref_status, NOT blank AND t AS title_differs, NOT blank AND o AS journal_differs,
+CASE WHEN NOT blank AND known AND y <> xy THEN 'YEAR_MISMATCH: input=' || y || ' vs crossref=' || xy ELSE '' END AS year_differs FROM r""")
 def authority_join_mismatch(spark, sf):
+    """Titles that are equal, nearly equal, unrelated or blank; journals that are equal, nearly equal, unrelated or blank."""
     o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer").where("c_custkey % 3 <> 0")
-    rows = o.selectExpr("o_orderkey AS _ord", "concat('10.1000/c', o_custkey) AS doi", "concat('Title ', o_custkey) AS title", "cast(1992 + o_orderkey % 7 as string) AS publication_year")
-    auth = c.selectExpr("concat('doi:10.1000/C', c_custkey) AS doi", "concat('title ', c_custkey, '.') AS title", "cast(1992 + c_nationkey % 7 as string) AS year", "'' AS journal")
-    return V.authority_join(rows, auth).select("_ord", "crossref_status")
+    title = "CASE o_orderkey % 5 WHEN 2 THEN 'Wholly other words' WHEN 3 THEN '' WHEN 4 THEN concat('a STUDY of the long efects of item ', o_custkey, '.') ELSE concat('A study of the long effects of item ', o_custkey) END AS title"
+    journal = "CASE o_orderkey % 4 WHEN 0 THEN 'Journal of Things' WHEN 1 THEN 'journal of thing' WHEN 2 THEN 'Unrelated Weekly' ELSE '' END AS journal"
+    rows = o.selectExpr("o_orderkey AS _ord", "CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('10.1000/c', o_custkey) END AS doi", title, "cast(1992 + o_orderkey % 7 as string) AS publication_year", journal)
+    auth = c.selectExpr("c_custkey AS _ord", "concat('doi:10.1000/C', c_custkey) AS doi", "concat('<i>A study</i> of the long effects of item ', c_custkey) AS title", "cast(1992 + c_nationkey % 7 as string) AS year", "'Journal of Things' AS journal")
+    auth = auth.unionAll(auth.selectExpr("_ord + 1000000", "doi", "'a later row of the DOI'", "'1900'", "''"))
+    out = V.authority_join(rows, auth)
+    m = F.col("crossref_mismatches")
+    return out.select("_ord", "crossref_status", m.contains("TITLE_MISMATCH").alias("title_differs"), m.contains("JOURNAL_MISMATCH").alias("journal_differs"), F.regexp_extract(m, r"YEAR_MISMATCH: input=\d+ vs crossref=\d+", 0).alias("year_differs"))
 
 
 @query("SELECT o_custkey, o_orderkey AS _ord FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
@@ -249,24 +341,53 @@ def page_features(spark, sf):
     return _t(spark, sf, "pages").select("page_id", P.features("html", F.lit("")).alias("features"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'blocked' WHEN page_id % 7 = 1 THEN 'server_error' WHEN page_id % 7 = 2 THEN 'network_error' WHEN page_id % 7 = 3 THEN 'blocked_url'
-WHEN NOT contains(lower(substr(html, 1, 1000)), '<html') THEN 'non_html' ELSE 'landing_page' END AS access FROM pages""")
+_ACCESS = ["blocked", "server_error", "network_error", "blocked_url", "pdf_direct", "non_html", "html_possible", "abstract_only_or_landing", "abstract_only_or_landing", "landing_page", "landing_page"]
+_HTML = {"blocked": "blocked", "pdf_direct": "not_html", "non_html": "not_html", "html_possible": "available", "abstract_only_or_landing": "available", "landing_page": "available"}
+
+
+@query(f"""WITH k AS (SELECT page_id, [{", ".join(f"'{a}'" for a in _ACCESS)}][1 + page_id % 11] AS access_status FROM pages)
+SELECT page_id, access_status, CASE access_status {" ".join(f"WHEN '{a}' THEN '{h}'" for a, h in _HTML.items())} ELSE 'unknown' END AS html_status, CASE WHEN access_status = 'pdf_direct' THEN 'found' ELSE 'unknown' END AS pdf_status, 'unknown' AS si_status,
+CASE access_status {" ".join(f"WHEN '{a}' THEN '{t}'" for a, t in P.ACCESS_ACTIONS.items())} END AS next_action FROM k""")
 def access_class(spark, sf):
-    k = F.col("page_id") % 7
+    """Every class: by status, content type and markers added to the pages."""
+    k = F.col("page_id") % 11
     status = F.when(k == 0, "403").when(k == 1, "503").when(k == 2, "").when(k == 3, "blocked_url").otherwise("200")
-    return _t(spark, sf, "pages").select("page_id", P.access(status, F.lit(""), "html").alias("access"))
+    kind = F.when(k == 4, "application/pdf").when(k == 5, "text/plain").otherwise("")
+    added = F.when(k == 6, "<p>Full Text</p>").when(k == 7, "<p>abstract, full text: subscribe</p>").when(k == 8, "<p>Abstract</p>").otherwise("")
+    page = F.when(k.isin(4, 5), "x").otherwise(F.concat(F.lit("<html>"), added, F.when(k < 9, "").otherwise(F.col("html"))))
+    return _t(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in P.access_row(status, kind, page).items()])
+
+
+_ADDED = [
+    '<META content-type="x" name="citation_pdf_url" content="/a/1.pdf"><a href="/sup">supplement</a>',
+    '<a class="b" href="dl/x.pdf?a=1&amp;b=2">Get</a>',
+    "<a href='../si/s1.zip'><b>Supporting</b> Information</a><a href=\"//cdn.example.org/p\">Download\nPDF</a>",
+    '<area href="/article/pii/S1" alt="">read as pdf here<br>',
+    '<a href="?view=more">Appendix</a>',
+    "",
+]
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_replace(url, '[?#].*$', '') AS plain, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root FROM pages),
+f AS (SELECT *, regexp_extract(plain, '^(.*/)') AS folder FROM p)
+SELECT page_id, CASE k WHEN 0 THEN root || '/a/1.pdf' WHEN 1 THEN folder || 'dl/x.pdf?a=1&b=2' WHEN 2 THEN regexp_extract(plain, '^[a-z]+:') || '//cdn.example.org/p' WHEN 3 THEN root || '/article/pii/S1' ELSE '' END AS pdf_url,
+CASE k WHEN 0 THEN root || '/sup' WHEN 2 THEN regexp_replace(folder, '[^/]+/$', '') || 'si/s1.zip' WHEN 4 THEN plain || '?view=more' ELSE '' END AS si_url,
+CASE k WHEN 0 THEN 'pdf:meta_citation_pdf_url' WHEN 1 THEN 'pdf:get' WHEN 2 THEN 'si:supporting information; pdf:download pdf' WHEN 3 THEN 'pdf:regex_fallback' WHEN 4 THEN 'si:appendix' ELSE '' END AS hints FROM f""")
+def article_links(spark, sf):
+    """Links of every kind put before the pages' own."""
+    k = F.col("page_id") % 6
+    added = F.element_at(F.array(*map(F.lit, _ADDED)), (k + 1).cast("int"))
+    pdf, si, hints = P.links(F.concat(added, "html"), "url")
+    return _t(spark, sf, "pages").select("page_id", pdf.alias("pdf_url"), si.alias("si_url"), hints.alias("hints"))
 
 
-@query()
-def article_links(spark, sf):
-    pdf, si = P.links("html", "url")
-    return _t(spark, sf, "pages").select("page_id", pdf.alias("pdf_url"), si.alias("si_url"), P.public_url("url").alias("public"))
+_FAMILY = ["pubs.acs.org", "www.nature.com", "link.springer.com", "x.elsevier.com", "onlinelibrary.wiley.com", "mdpi.com", "cell.com", "notacs.org", "www.science.org", "acs.org"]
+_FAMILIES = ["acs", "springer_nature", "springer", "elsevier", "wiley", "mdpi", "cell_press", "other_publisher", "aaas", "acs"]
 
 
-@query("""WITH h AS (SELECT page_id, regexp_replace(lower(replace(regexp_extract(url, '://([^/?#]*)', 1), 'example', CASE WHEN page_id % 2 = 0 THEN 'springer' ELSE 'example' END)), '^www\\.', '') AS d FROM pages)
-SELECT page_id, d AS domain, CASE WHEN d = '' THEN 'unknown' WHEN d = 'springer.com' OR ends_with(d, '.springer.com') THEN 'springer' ELSE 'other_publisher' END AS family FROM h""")
+@query(f"SELECT page_id, regexp_replace([{', '.join(repr(x) for x in _FAMILY)}][1 + page_id % 10], '^www\\.', '') AS domain, [{', '.join(repr(x) for x in _FAMILIES)}][1 + page_id % 10] AS family FROM pages")
 def publisher_family(spark, sf):
-    host = F.replace(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("example"), F.when(F.col("page_id") % 2 == 0, F.lit("springer")).otherwise(F.lit("example")))
+    host = F.element_at(F.array(*map(F.lit, _FAMILY)), (F.col("page_id") % 10 + 1).cast("int"))
     return _t(spark, sf, "pages").select("page_id", host.alias("h")).select("page_id", T.domain("h").alias("domain"), P.family("h").alias("family"))
 
 
@@ -300,8 +421,8 @@ def run_status(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS discovery_rank FROM lineitem")
 def rank_in_group(spark, sf):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("discovery_rank"))
+    order = (F.col("l_linenumber").cast("long") * (1 << 40) + F.col("l_partkey")).alias("_ord")
+    return B.rank_in_group(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", order), "l_orderkey").select("l_orderkey", "l_linenumber", "discovery_rank")
 
 
 @query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) > 100 THEN 'skipped_budget' ELSE o_orderstatus END AS status FROM orders")
@@ -331,10 +452,12 @@ def provenance_long(spark, sf):
     return R.provenance(candidates(spark, sf), {"title": ("crossref_title", "title"), "year": ("crossref_year", "publication_year")})
 
 
-@query(f"""{_CAND} SELECT _ord + 2 AS row, 'FAIL' AS level, 'doi' AS field, 'empty value' AS issue FROM c WHERE doi = '' UNION ALL
-SELECT _ord + 2, 'WARN', 'article_type', 'empty value' FROM c WHERE article_type = '' UNION ALL SELECT 0, 'FAIL', 'crossref_status', 'missing column'""")
+@query(f"""{_CAND} SELECT _ord + 2 AS row, 'FAIL' AS level, 'doi' AS field, 'Required stage field is empty/Unknown' AS issue FROM c WHERE doi = '' UNION ALL
+SELECT _ord + 2, 'WARN', 'access_status', 'Queue status advanced while access remains pending' FROM c WHERE _ord % 3 = 0 AND _ord % 2 = 0 UNION ALL SELECT 0, 'FAIL', 'crossref_status', 'Required column missing'""")
 def stage_validation(spark, sf):
-    return R.validate(candidates(spark, sf).drop("abstract"), ["doi", "article_type", "crossref_status"], ["article_type"])
+    k = lambda n: F.col("_ord") % n == 0
+    rows = candidates(spark, sf).drop("abstract").withColumns({"access_status": F.when(k(3), "pending").otherwise("done"), "queue_status": F.when(k(2), "checked").otherwise("pending")})
+    return R.validate(rows, ["doi", "article_type", "crossref_status"], ["article_type"], "queue")
 
 
 @query("SELECT page_id AS _ord, url AS landing_page_url, CASE WHEN page_id % 2 = 0 THEN '10.5555/p' || page_id ELSE '' END AS doi, '2021' AS publication_year FROM pages")
@@ -368,10 +491,176 @@ def _rebuilt(docs, text) -> DataFrame:
 def discovery_plan(spark, sf):
     """Plan rows of queries and providers; the few distinct queries get dense ids."""
     d = _t(spark, sf, "documents").select("lang", "source").distinct()
-    ids = d.select("lang").distinct().withColumn("query_id", F.format_string("q%03d", F.row_number().over(W.orderBy("lang"))))
+    ids = N.query_ids(d.select("lang").distinct().withColumn("_ord", F.col("lang"))).drop("_ord")
     return d.join(ids, "lang").select("lang", "source", "query_id")
 
 
 @query(f"{_CAND} SELECT discovery_source, min(_ord) AS _ord FROM c GROUP BY 1")
 def ordered_distinct(spark, sf):
     return B.ordered_distinct(candidates(spark, sf), "discovery_source")
+
+
+_TAGS = ", ".join(f"CASE WHEN {' OR '.join(f"contains(x, '{w}')" for w in words)} THEN '{tag}' END" for tag, words in N.DOMAIN_HINTS.items())
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) || CASE doc_id % 5 WHEN 0 THEN ' wastewater' WHEN 1 THEN ' clinical arxiv' ELSE '' END AS x, CASE WHEN doc_id % 2 = 0 THEN ['arxiv', 'openalex'] ELSE ['semantic_scholar'] END AS own FROM documents),
+t AS (SELECT *, list_filter([{_TAGS}], lambda z: z IS NOT NULL) AS tags FROM d),
+r AS (SELECT *, list_concat(['openalex'], CASE WHEN list_contains(own, 'semantic_scholar') OR list_has_any(tags, ['preprint_heavy', 'biomedical', 'chemistry_materials', 'environmental']) THEN ['semantic_scholar'] ELSE [] END,
+     CASE WHEN list_contains(tags, 'preprint_heavy') THEN ['arxiv'] ELSE [] END, CASE WHEN list_contains(tags, 'biomedical') THEN ['europe_pmc'] ELSE [] END) AS rec FROM t)
+SELECT doc_id, array_to_string(tags, ',') AS tags, array_to_string(list_sort(rec), ',') AS recommended, array_to_string(list_sort(list_filter(rec, lambda z: NOT list_contains(own, z))), ',') AS missing,
+CASE WHEN doc_id % 2 = 0 THEN 'openalex,arxiv' ELSE 'semantic_scholar' END AS fallback FROM r""")
+def domain_strategy(spark, sf):
+    """Domain tags of texts, suggested sources, those not selected, and the selected ones in fallback order."""
+    k = F.col("doc_id") % 5
+    x = F.concat(T.text("text"), F.when(k == 0, " wastewater").when(k == 1, " clinical arxiv").otherwise(""))
+    own = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("arxiv"), F.lit("openalex"))).otherwise(F.array(F.lit("semantic_scholar")))
+    d = _t(spark, sf, "documents").select("doc_id", N.domain_tags(x).alias("tags"), own.alias("own"))
+    d = d.withColumn("rec", N.suggested_sources(F.col("tags"), F.col("own")))
+    flat = lambda c: F.array_join(c, ",")
+    return d.select("doc_id", flat("tags").alias("tags"), flat(F.array_sort("rec")).alias("recommended"), flat(F.array_sort(N.difference(F.col("rec"), F.col("own")))).alias("missing"), flat(N.by_priority(F.col("own"))).alias("fallback"))
+
+
+@query("""WITH q AS (SELECT n_nationkey AS k, 'q' || lpad(CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR), 3, '0') AS query_id, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation)
+SELECT query_id, provider, (i - 1) * 3 + p AS q, provider = 'semantic_scholar' AND i > 7 AS skipped, CASE WHEN provider = 'semantic_scholar' THEN 50 ELSE 100 END AS max_results FROM q, (VALUES (0, 'openalex'), (1, 'semantic_scholar'), (2, 'arxiv')) v(p, provider)""")
+def call_plan(spark, sf):
+    """Queries times providers in plan order, with Semantic Scholar's limit of queries."""
+    ids = N.query_ids(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("_ord"), F.col("n_name").alias("query")))
+    return N.calls(ids.select("query_id"), ["openalex", "semantic_scholar", "arxiv"], 7, 100, 50).select("query_id", "provider", F.col("q").cast("long").alias("q"), "skipped", "max_results")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 AND event_id % 7 > 3 THEN 'skipped_rate_limit_cooldown' WHEN event_id % 4 >= 2 THEN 'skipped_circuit_breaker' WHEN event_id % 3 = 0 THEN 'skipped_cached_provider_failure' ELSE '' END AS why FROM events""")
+def call_skips(spark, sf):
+    """Precedence: cooldown, breaker, cached failure."""
+    k = lambda n: F.col("event_id") % n
+    return _t(spark, sf, "events").select("event_id", N.skip_call(F.when(k(5) == 0, k(7)), F.lit(3), k(4), 2, F.when(k(3) == 0, True)).alias("why"))
+
+
+@query(f"""WITH e AS (SELECT user_id % 9 AS provider, {_STATUS_SQL} AS status, event_id % 4 AS n FROM events), f AS (SELECT *, {S.classify_sql('status')} AS c FROM e),
+g AS (SELECT *, c IN ('auth', 'error', 'network', 'partial', 'rate_limited') AS bad FROM f), b AS (SELECT provider, bool_and(bad) AS all_failed, bool_or(bad) AS any_failed FROM g GROUP BY 1)
+SELECT provider, status, any_value(c) AS status_class, count(*) AS calls, CAST(sum(n) AS BIGINT) AS n_rows, any_value(all_failed) AS all_failed, any_value(any_failed) AS any_failed FROM g JOIN b USING (provider) GROUP BY 1, 2""")
+def provider_status_counts(spark, sf):
+    e = _t(spark, sf, "events").select((F.col("user_id") % 9).alias("provider"), _status().alias("status"), (F.col("event_id") % 4).cast("long").alias("n_rows"))
+    return U.provider_counts(e)
+
+
+@query(f"""WITH e AS (SELECT user_id AS run_id, {S.classify_sql(_STATUS_SQL)} AS c FROM events)
+SELECT run_id, CASE WHEN bool_or(c = 'rate_limited') THEN 'partial_rate_limited' WHEN bool_or(c IN ('auth', 'network', 'error', 'partial', 'skipped')) THEN 'partial_source_failure' ELSE 'completed' END AS stage_status FROM e GROUP BY 1""")
+def discovery_stage_status(spark, sf):
+    return U.discovery_status(_t(spark, sf, "events").select(F.col("user_id").alias("run_id"), _status().alias("status")))
+
+
+@query("""WITH n AS (SELECT c_custkey AS k, c_custkey % 3 AS a, c_custkey % 5 AS b, c_custkey % 7 AS q, c_custkey % 2 AS m FROM customer),
+r AS (SELECT k, list_filter([CASE WHEN a = 0 THEN 'No candidates remained after discovery/merge/deduplication.' END, CASE WHEN b = 0 THEN 'No rows reached semantic triage.' END,
+CASE WHEN q = 0 THEN CASE WHEN m = 0 THEN 'No metric-pass candidates are available under the current IF threshold.' ELSE 'No candidates reached the publisher evidence queue under the current constraints.' END END,
+CASE WHEN q < 4 THEN 'Current feasible count ' || q || ' is below requested target 4.' END], lambda z: z IS NOT NULL) AS l FROM n) SELECT k, len(l) = 0 AS feasible, array_to_string(l, ' ') AS reasons FROM r""")
+def feasibility_reasons(spark, sf):
+    k = lambda n: F.col("c_custkey") % n
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), k(3).alias("deduped"), k(5).alias("triaged"), k(7).alias("publisher_queue"), k(2).alias("metric_pass"))
+    return U.feasibility(c, 4, 3.0).select("k", "feasible", F.array_join("blocking_reasons", " ").alias("reasons"))
+
+
+_ADVICE = {"resume": "k % 2 = 0", "limited": "k % 3 = 0 OR k % 11 = 0", "cached": "k % 5 = 0", "trace": "k % 7 = 0", "verify": "k % 4 > 0 AND k % 6 = 0", "probe": "k % 8 > 0 AND k % 9 = 0", "review": "k % 8 = 0", "metrics": "k % 10 = 0 AND k % 3 > 0"}
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT k, concat_ws(' ', {", ".join(f"CASE WHEN {w} THEN '{U.ACTIONS[a]}' END" for a, w in _ADVICE.items())},
+CASE WHEN k % 13 = 0 THEN '{U.MORE_SOURCES}arxiv, europe_pmc.' END, CASE WHEN k % 12 = 0 THEN '{U.ACTIONS["synonyms"]}' END, CASE WHEN k % 14 = 0 THEN '{U.ACTIONS["stored"]}' END) AS actions FROM c""")
+def run_next_actions(spark, sf):
+    k = lambda n: F.col("k") % n
+    is0 = lambda n: (k(n) == 0).cast("int")
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k")).withColumns({
+        "partial": k(2) == 0, "n_rate_limited": is0(3), "n_cooldown": is0(11), "n_cached_failure": is0(5), "n_provider_problems": is0(7), "discovered": k(4), "trusted": k(6), "queued": k(8), "probed": k(9),
+        "metric_pass": k(10), "n_metric_rows": k(3), "missing_sources": F.when(k(13) == 0, F.array(F.lit("arxiv"), F.lit("europe_pmc"))), "single_query": k(12) == 0, "n_failures_stored": is0(14),
+    })
+    return c.select("k", F.array_join(U.next_actions(c), " ").alias("actions"))
+
+
+@query("SELECT s_suppkey AS k, format('{:g}', x) AS g FROM (SELECT s_suppkey, s_acctbal * pow(10, s_suppkey % 14 - 7) AS x FROM supplier) UNION ALL SELECT 0, '0'")
+def number_formats(spark, sf):
+    """Six significant digits without trailing zeros, plain or with an exponent."""
+    x = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") * F.pow(F.lit(10.0), (F.col("s_suppkey") % 14 - 7).cast("double"))).alias("x"))
+    return x.unionAll(spark.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("x")).select(F.col("k").cast(x.schema["k"].dataType), "x")).select("k", M.general(F.col("x")).alias("g"))
+
+
+def _customers(spark, sf) -> DataFrame:
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), (1990 + F.col("c_nationkey")).cast("int").alias("year"))
+
+
+@query("""WITH k AS (SELECT c_custkey AS k, c_name AS name, 1990 + c_nationkey AS y FROM customer)
+SELECT min(k) AS _ord, 'On ' || min_by(name, k) AS title, doi, CAST(min_by(y, k) AS VARCHAR) AS publication_year, 'Venue' AS journal, 'A; B' AS authors, 'one two  two' AS abstract FROM (SELECT *, '10.9/' || (k % 50) AS doi FROM k WHERE k % 3 > 0) GROUP BY doi
+UNION ALL SELECT k, 'On ' || name, '', CAST(y AS VARCHAR), 'Venue', 'A; B', 'one two  two' FROM k WHERE k % 3 = 0""")
+def openalex_read(spark, sf):
+    """Captured pages of works: nested fields, inverted abstracts with a gap, papers distinct by DOI, types filtered."""
+    work = F.struct(
+        F.concat(F.lit("W"), "k").alias("id"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("https://doi.org/10.9/"), F.col("k") % 50)).alias("doi"), F.concat(F.lit("On "), "name").alias("title"), F.col("year").alias("publication_year"), F.lit("article").alias("type"),
+        F.array(*[F.struct(F.struct(F.lit(a).alias("display_name")).alias("author")) for a in ("A", " ", "B")]).alias("authorships"),
+        F.struct(F.lit("u").alias("landing_page_url"), F.struct(F.lit("Venue").alias("display_name")).alias("source")).alias("primary_location"),
+        F.create_map(F.lit("two"), F.array(F.lit(1), F.lit(3)), F.lit("one"), F.array(F.lit(0))).alias("abstract_inverted_index"),
+    )
+    other = F.struct(F.concat(F.lit("X"), "k").alias("id"), F.lit(None).cast("string").alias("doi"), F.lit("Skipped").alias("title"), F.lit(1).alias("publication_year"), F.lit("dataset").alias("type"), *[F.lit(None).cast(work_type).alias(n) for n, work_type in (("authorships", "array<struct<author:struct<display_name:string>>>"), ("primary_location", "struct<landing_page_url:string,source:struct<display_name:string>>"), ("abstract_inverted_index", "map<string,array<int>>"))])
+    pages = _customers(spark, sf).select(F.col("k").alias("_ord"), F.to_json(F.struct(F.array(work, other).alias("results"))).alias("payload"))
+    return J.read("openalex", pages, types=["article"]).select("_ord", "title", "doi", "publication_year", "journal", "authors", "abstract")
+
+
+@query("""SELECT c_custkey AS _ord, 'T ' || c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '10.8/x' || c_custkey END AS doi, CAST(1990 + c_nationkey AS VARCHAR) AS publication_year,
+CASE WHEN c_custkey % 2 = 0 THEN 'V' ELSE 'J' END AS journal, 'Review;Study' AS article_type, 'Ann; Bob' AS authors FROM customer""")
+def semantic_scholar_read(spark, sf):
+    paper = F.struct(
+        F.col("k").cast("string").alias("paperId"), F.concat(F.lit("T "), "name").alias("title"), "year", F.when(F.col("k") % 2 == 0, "V").otherwise("").alias("venue"), F.struct(F.lit("J").alias("name")).alias("journal"),
+        F.struct(F.when(F.col("k") % 4 != 0, F.concat(F.lit(" 10.8/X"), "k", F.lit(" "))).alias("DOI")).alias("externalIds"), F.array(F.lit("Review"), F.lit("Study")).alias("publicationTypes"),
+        F.array(*[F.struct(F.lit(a).alias("name")) for a in ("Ann", "", "Bob")]).alias("authors"),
+    )
+    pages = _customers(spark, sf).select(F.col("k").alias("_ord"), F.to_json(F.struct(F.array(paper).alias("data"))).alias("payload"))
+    return J.read("semantic_scholar", pages).select("_ord", "title", "doi", "publication_year", "journal", "article_type", "authors")
+
+
+@query("""SELECT c_custkey AS _ord, 'a < b of ' || c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'P' || c_custkey END AS pmid, CAST(1990 + c_nationkey AS VARCHAR) AS publication_year, CASE WHEN c_custkey % 2 = 0 THEN 'free' ELSE 'first' END AS best_full_text_url, 'Doe J' AS authors
+FROM customer WHERE 1990 + c_nationkey BETWEEN 1995 AND 2010""")
+def europe_pmc_read(spark, sf):
+    """Tags and entities out of titles, identifiers and years by their fallbacks, the first open full text, years rechecked."""
+    k = F.col("k")
+    urls = F.array(F.struct(F.lit("first").alias("url"), F.lit("Subscription").alias("availability")), F.struct(F.lit("free").alias("url"), F.when(k % 2 == 0, "Open access").otherwise("Subscription").alias("availability")))
+    record = F.struct(
+        k.cast("string").alias("id"), F.lit("MED").alias("source"), F.when(k % 3 != 0, F.concat(F.lit("P"), k)).alias("pmid"), F.concat(F.lit("10.7/"), k).alias("doi"), F.concat(F.lit("<i>a</i> &lt; b of "), "name").alias("title"), F.lit("Doe J.").alias("authorString"),
+        F.when(k % 5 != 0, F.col("year").cast("string")).alias("pubYear"), F.concat("year", F.lit("-02-03")).alias("firstPublicationDate"), F.struct(urls.alias("fullTextUrl")).alias("fullTextUrlList"),
+    )
+    pages = _customers(spark, sf).select(k.alias("_ord"), F.to_json(F.struct(F.struct(F.array(record).alias("result")).alias("resultList"))).alias("payload"))
+    return J.read("europe_pmc", pages, year_from=1995, year_to=2010).select("_ord", "title", "pmid", "publication_year", "best_full_text_url", "authors")
+
+
+@query("""SELECT c_custkey AS k, '10.6/a' || c_custkey AS doi, 'T ' || c_name AS title, 'C' AS journal, '1; 2' AS issn, CAST(1990 + c_nationkey AS VARCHAR) AS year, CASE WHEN c_custkey % 2 = 0 THEN (1990 + c_nationkey) || '-3' ELSE (1990 + c_nationkey) || '-4-9' END AS date FROM customer""")
+def crossref_read(spark, sf):
+    """Partial dates: issued, else created; parts are joined as they are."""
+    k, dates = F.col("k"), lambda *p: F.struct(F.array(F.array(*p)).alias("date-parts"))
+    message = F.struct(
+        F.concat(F.lit("10.6/A"), k).alias("DOI"), F.array(F.concat(F.lit("T "), "name"), F.lit("other")).alias("title"), F.array(F.lit("C")).alias("container-title"), F.array(F.lit("1"), F.lit("2")).alias("ISSN"),
+        F.when(k % 2 == 0, dates(F.col("year"), F.lit(3))).alias("issued"), dates(F.col("year"), F.lit(4), F.lit(9)).alias("created"),
+    )
+    return J.crossref(_customers(spark, sf).select("k", F.to_json(F.struct(message.alias("message"))).alias("payload"))).select("k", "doi", "title", "journal", "issn", "year", "date")
+
+
+@query("""SELECT c_custkey AS _ord, CASE WHEN c_custkey >= 1000 THEN 'skipped_budget' WHEN c_custkey % 4 = 0 THEN 'missing_doi' WHEN c_custkey % 4 = 1 THEN 'ok' WHEN c_custkey % 4 = 2 THEN 'rate_limited' ELSE 'not_found' END AS unpaywall_status,
+CASE WHEN c_custkey < 1000 AND c_custkey % 4 = 1 THEN 'true' ELSE '' END AS is_oa, CASE WHEN c_custkey < 1000 AND c_custkey % 4 = 1 THEN 'p' || c_custkey ELSE '' END AS best_oa_pdf_url, CASE WHEN c_custkey < 1000 AND c_custkey % 4 = 1 THEN '2' ELSE '' END AS oa_locations_count FROM customer""")
+def open_access_lookup(spark, sf):
+    """Status of each row: budget, missing DOI, then the response's own or not found."""
+    c = _customers(spark, sf)
+    k = F.col("k")
+    rows = c.select(k.alias("_ord"), F.when(k % 4 != 0, F.concat(F.lit("10.5/"), k)).otherwise("").alias("doi"))
+    best = F.struct(F.concat(F.lit("p"), k).alias("url_for_pdf"), F.lit("publisher").alias("host_type"))
+    payload = F.to_json(F.struct(F.lit(True).alias("is_oa"), F.lit("gold").alias("oa_status"), best.alias("best_oa_location"), F.array(F.struct(F.lit("a").alias("url")), F.struct(F.lit("b").alias("url"))).alias("oa_locations")))
+    found = c.where("k % 4 in (1, 2)").select(F.concat(F.lit("doi:10.5/"), k).alias("doi"), F.when(k % 4 == 1, "ok").otherwise("rate_limited").alias("status"), F.when(k % 4 == 1, payload).alias("payload"))
+    return J.open_access_annotate(rows, found, "someone@example.org", most=1000).select("_ord", "unpaywall_status", "is_oa", "best_oa_pdf_url", "oa_locations_count")
+
+
+@query("""WITH p AS (SELECT page_id AS k, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, url FROM pages)
+SELECT k AS _ord, CASE WHEN k % 4 = 0 THEN 'missing_url' WHEN k % 4 = 3 THEN 'network_error' ELSE 'landing_page' END AS access_status, CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN 'https://doi.org/10.5/' || k ELSE url END AS publisher_probe_start_url,
+CASE WHEN k % 4 = 1 THEN root || '/x.pdf' WHEN k % 4 = 2 THEN 'oa.pdf' ELSE '' END AS pdf_url, CASE k % 4 WHEN 0 THEN 'unknown' WHEN 3 THEN 'not_found' ELSE 'found' END AS pdf_status, CASE k % 4 WHEN 1 THEN 'pdf:pdf' WHEN 2 THEN 'pdf:unpaywall_best_oa' ELSE '' END AS publisher_link_hints,
+CASE WHEN k % 4 IN (1, 2) THEN 'medium' ELSE 'low' END AS publisher_probe_confidence FROM p""")
+def probe_queue(spark, sf):
+    """Start URL by DOI, else by URL; the page's links, else the open-access copy."""
+    p = _t(spark, sf, "pages")
+    k = F.col("page_id") % 4
+    queue = p.select(F.col("page_id").alias("_ord"), F.when(k == 1, F.concat(F.lit("10.5/"), "page_id")).otherwise("").alias("doi"), F.when(k.isin(2, 3), F.col("url")).otherwise("").alias("publisher_url"), F.when(k == 2, "oa.pdf").otherwise("").alias("best_oa_pdf_url"))
+    start = F.when(k == 1, F.concat(F.lit("https://doi.org/10.5/"), "page_id")).otherwise(F.col("url"))
+    shown = F.concat(F.lit("<html>"), F.when(k == 1, '<a href="/x.pdf">PDF</a>').otherwise(""), "html")
+    pages = p.where(k.isin(1, 2)).select(start.alias("start_url"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("content_type"), shown.alias("body"), F.lit("").alias("error"))
+    return P.probe(queue, pages, "2024-01-01T00:00:00Z").select("_ord", "access_status", "publisher_probe_start_url", "pdf_url", "pdf_status", "publisher_link_hints", "publisher_probe_confidence")

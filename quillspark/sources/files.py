@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..operators.tables import with_ord
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +20,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric dimension rows with an order; rows without a journal are skipped by the lookup."""
-    return read_csv(spark, path).withColumn("_ord", F.monotonically_increasing_id())
+    """Metric dimension rows with the order of the file, on which the last of equal keys rests.
+
+    A file is read as one partition in the order of its lines; several files follow each other by name."""
+    rows = read_csv(spark, path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"))
+    return with_ord(rows, "_file", "_at", "_line").drop("_file", "_at", "_line")
 
 
 def read_queries(spark: SparkSession, path: str, extra=()) -> DataFrame:

@@ -10,7 +10,7 @@ WORK = "STRUCT<id STRING, doi STRING, title STRING, publication_year INT, type S
 PAPER = "STRUCT<paperId STRING, title STRING, year INT, venue STRING, abstract STRING, url STRING, journal STRUCT<name STRING>, externalIds STRUCT<DOI STRING>, publicationTypes ARRAY<STRING>, authors ARRAY<STRUCT<name STRING>>>"
 CROSSREF = "STRUCT<message: STRUCT<DOI STRING, title ARRAY<STRING>, `container-title` ARRAY<STRING>, publisher STRING, type STRING, ISSN ARRAY<STRING>, issued STRUCT<`date-parts` ARRAY<ARRAY<INT>>>, created STRUCT<`date-parts` ARRAY<ARRAY<INT>>>, `published-print` STRUCT<`date-parts` ARRAY<ARRAY<INT>>>, `published-online` STRUCT<`date-parts` ARRAY<ARRAY<INT>>>>>"
 EPMC = "STRUCT<id STRING, source STRING, pmid STRING, doi STRING, title STRING, authorString STRING, pubYear STRING, firstPublicationDate STRING, abstractText STRING, journalInfo STRUCT<journal STRUCT<title STRING>>, pubTypeList STRUCT<pubType ARRAY<STRING>>, fullTextUrlList STRUCT<fullTextUrl ARRAY<STRUCT<url STRING, availability STRING>>>>"
-OA = "STRUCT<doi STRING, is_oa BOOLEAN, oa_status STRING, best_oa_location STRUCT<url STRING, url_for_pdf STRING, license STRING, version STRING, host_type STRING>, oa_locations ARRAY<STRUCT<url STRING>>>"
+OA = "STRUCT<doi STRING, is_oa BOOLEAN, oa_status STRING, doi_url STRING, best_oa_location STRUCT<url STRING, url_for_landing_page STRING, url_for_pdf STRING, license STRING, version STRING, host_type STRING, evidence STRING, repository_institution STRING>, oa_locations ARRAY<STRUCT<url STRING>>>"
 ATOM = "entry ARRAY<STRUCT<id STRING, title STRING, summary STRING, published STRING, author ARRAY<STRUCT<name STRING>>, link ARRAY<STRUCT<_href STRING, _rel STRING, _type STRING, _title STRING>>, `arxiv:doi` STRING, `arxiv:journal_ref` STRING, category ARRAY<STRUCT<_term STRING>>>>"
 
 
@@ -29,13 +29,6 @@ def rebuild_abstract(index) -> Column:
     return F.coalesce(T.once(F.array_sort(F.flatten(words)), spaced), F.lit(""))
 
 
-def inverted_index(df: DataFrame, key: str, words) -> DataFrame:
-    """key and the inverted index of its array of words: each word with its positions, by one aggregation over all words.
-
-    key is unique; a null array gives no row."""
-    return df.select(key, F.posexplode(words).alias("p", "w")).groupBy(key, "w").agg(F.sort_array(F.collect_list("p")).alias("p")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("index"))
-
-
 def inverted_index(words) -> Column:
     """Map of each word of an array to its positions: one sort by word and position, then one pass over the runs of a word."""
 
@@ -80,9 +73,38 @@ def europe_pmc(df: DataFrame, column="payload") -> DataFrame:
     return r.select(*[c for c in r.columns if c != "w"], T.strip_tags("w.title").alias("title"), T.doi("w.doi").alias("doi"), pmid.alias("pmid"), T.first_filled("w.pubYear", F.substring("w.firstPublicationDate", 1, 4)).alias("publication_year"), T.text("w.journalInfo.journal.title").alias("journal"), F.rtrim(F.regexp_replace(T.text("w.authorString"), r"\.+$", "")).alias("authors"), T.strip_tags("w.abstractText").alias("abstract"), F.coalesce(F.array_join("w.pubTypeList.pubType", "; "), F.lit("")).alias("article_type"), best.alias("best_full_text_url"))
 
 
-def open_access(df: DataFrame, column="payload", status="status") -> DataFrame:
+def open_access(df: DataFrame, column="payload", status="status", checked_at: str = "") -> DataFrame:
+    """The 16 columns of an open-access response (status and error as captured); they follow the other columns of df."""
+    cell = lambda c: T.text(F.col(c).cast("string")) if c in df.columns else F.lit("")
     r = df.withColumn("o", F.from_json(column, OA))
-    return r.select(*[c for c in df.columns if c != column], T.doi("o.doi").alias("oa_doi"), F.coalesce(F.col("o.is_oa").cast("string"), F.lit("")).alias("is_oa"), T.text("o.oa_status").alias("oa_status"), T.text("o.best_oa_location.url").alias("best_oa_url"), T.text("o.best_oa_location.url_for_pdf").alias("best_oa_pdf_url"), T.text("o.best_oa_location.license").alias("oa_license"), F.coalesce(F.size("o.oa_locations"), F.lit(0)).alias("oa_locations_count"))
+    known = F.col(column).isNotNull() & F.col("o").isNotNull() & (cell(status) == "ok")
+    one = lambda c: F.when(known, T.text(F.col(f"o.{c}").cast("string"))).otherwise("")
+    best = lambda c: one(f"best_oa_location.{c}")
+    cols = {
+        "unpaywall_status": cell(status), "unpaywall_error": cell("error"), "unpaywall_retry_after_seconds": cell("retry_after_seconds"), "unpaywall_checked_at": F.lit(checked_at),
+        "is_oa": F.when(known, F.coalesce(F.col("o.is_oa"), F.lit(False)).cast("string")).otherwise(""), "oa_status": one("oa_status"), "oa_locations_count": F.when(known, F.coalesce(F.size("o.oa_locations"), F.lit(0)).cast("string")).otherwise(""),
+        "best_oa_url": best("url"), "best_oa_landing_url": best("url_for_landing_page"), "best_oa_pdf_url": best("url_for_pdf"), "best_oa_host_type": best("host_type"), "best_oa_version": best("version"), "best_oa_license": best("license"),
+        "best_oa_evidence": best("evidence"), "best_oa_repository_institution": best("repository_institution"), "unpaywall_doi_url": one("doi_url"),
+    }
+    return r.select(*[c for c in df.columns if c not in (column, status, "error", "retry_after_seconds", *cols)], *[c.alias(n) for n, c in cols.items()])
+
+
+def open_access_annotate(df: DataFrame, responses: DataFrame, email: str = "", checked_at: str = "", most: int | None = None) -> DataFrame:
+    """Rows (with _ord) and their open-access columns. responses: doi, status, payload and optionally error, retry_after_seconds.
+
+    Rows beyond ``most`` are marked as over the budget, those without a DOI as missing it; without an e-mail address nothing is asked."""
+    doi = T.doi(T.first_filled(*[c for c in ("crossref_doi", "doi") if c in df.columns]))
+    flat = open_access(responses.select(T.doi("doi").alias("_k"), *[c for c in responses.columns if c != "doi"]), checked_at=checked_at)
+    made = [c for c in flat.columns if c != "_k"]
+    one = flat.groupBy("_k").agg(F.min(F.struct(*made)).alias("_r"))
+    over = (F.col("_ord") >= most) if most is not None else F.lit(False)
+    own = F.when(over, "skipped_budget").when(F.col("_d") == "", "missing_doi").when(F.lit(not email), "skipped_missing_email")
+    rows = df.drop(*made).withColumn("_d", doi).join(one, F.col("_d") == F.col("_k"), "left")
+    cols = {c: F.when(own.isNull(), T.text(f"_r.{c}")).otherwise("") for c in made}
+    cols["unpaywall_status"] = F.coalesce(own, F.when(F.col("_r").isNull(), "not_found").otherwise(F.col("_r.unpaywall_status")))
+    cols["unpaywall_error"] = F.when(over, "").when(F.col("_d") == "", "DOI is missing").when(F.lit(not email), "no e-mail address is set").when(F.col("_r").isNull(), "DOI not found").otherwise(T.text("_r.unpaywall_error"))
+    cols["unpaywall_checked_at"] = F.lit(checked_at)
+    return rows.select(*[c for c in df.columns if c not in made], *[c.alias(n) for n, c in cols.items()])
 
 
 def arxiv(df: DataFrame, column="payload") -> DataFrame:
@@ -110,3 +132,34 @@ def providers(names: str | list[str] | None) -> list[str]:
         if key and key not in out:
             out.append(key)
     return out or ["openalex"]
+
+
+def read(provider: str, df: DataFrame, column="payload", year_from: int | None = None, year_to: int | None = None, most: int | None = None, types=None) -> DataFrame:
+    """Rows of a provider's captured pages (payload, and _ord for the order of pages), as a search would return them.
+
+    Repeated papers are left out (the first stays; rows without a key all stay), years outside the bounds go where the
+    provider cannot filter them itself, OpenAlex types not in ``types`` go, and at most ``most`` rows stay, in order."""
+    if provider not in READERS:
+        raise ValueError(f"unknown provider {provider!r}")
+    rows = READERS[provider](df, column)
+    key = {"arxiv": T.text("arxiv_id"), "europe_pmc": T.first_filled("doi", *(["pmid"] if "pmid" in rows.columns else []), "title")}.get(provider) if provider in ("arxiv", "europe_pmc") else T.text("doi")
+    if types and provider == "openalex" and not {"*", "all", "none"} & set(types):
+        rows = rows.where(T.text("article_type").isin(*types))
+    if provider in ("arxiv", "europe_pmc") and (year_from is not None or year_to is not None):
+        y = F.when(T.strip("publication_year").rlike(r"^\d{4}"), F.substring(T.strip("publication_year"), 1, 4).cast("int"))
+        rows = rows.where(y.isNull() | y.between(year_from if year_from is not None else 0, year_to if year_to is not None else 9999))
+    order, keyed = F.struct("_ord", "pos"), rows.withColumn("_key", key)
+    first = keyed.where("_key <> ''").groupBy("_key").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    rows = first.unionByName(keyed.where("_key = ''").drop("_key"))
+    return rows if most is None else rows.orderBy("_ord", "pos").limit(most)
+
+
+def read_many(provider: str, df: DataFrame, column="payload", **options) -> DataFrame:
+    """Rows of several queries' pages (query_id, _ord, payload): papers are distinct over all queries, the first query keeps them."""
+    return read(provider, df, column, **options)
+
+
+def capabilities(spark) -> DataFrame:
+    """The registry: provider, role, alias names, and whether it can be searched for discovery."""
+    rows = [(p, "discovery", sorted(a for a, n in ALIASES.items() if n == p), True) for p in READERS] + [("crossref", "verification", [], False), ("unpaywall", "open access", [], False)]
+    return spark.createDataFrame(rows, "provider string, role string, aliases array<string>, discovery boolean")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators.dedupe import dedupe
+from ..operators.dedupe import dedupe, key_columns
 
 
 def first_seen(stream: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -14,15 +14,23 @@ def first_seen(stream: DataFrame, time: str = "ts", delay: str = "10 minutes") -
     return stream.withColumn("_key", key).withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+BUCKETS = 64
+
+
 def upsert_batches(stream: DataFrame, folder: str, checkpoint: str):
-    """foreachBatch sink: each batch is deduplicated with what the folder holds and written as a new version."""
+    """foreachBatch sink: rows are appended by bucket of their key, so a batch writes no more than it brings.
+
+    A batch that runs again replaces its own files only. ``current`` merges what the folder holds."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        own = batch
-        if epoch:
-            old = spark.read.parquet(f"{folder}/v{epoch - 1}")
-            own = old.select(*batch.columns).unionByName(batch)
-        dedupe(own).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        keyed = key_columns(batch)
+        bucket = F.pmod(F.xxhash64("key_kind", "key_value"), F.lit(BUCKETS)).cast("int")
+        rows = keyed.select(*batch.columns, bucket.alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/epoch={epoch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per key over all batches so far, with counts and lists of all its rows."""
+    return dedupe(spark.read.option("basePath", folder).parquet(f"{folder}/epoch=*").drop("epoch", "bucket"))
