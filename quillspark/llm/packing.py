@@ -17,7 +17,7 @@ longest length, or half of it where lengths are below FEW * SIZE; their number d
     window over each level by itself, and a level has at most one slot of each gap;
  4. the gaps are updated by what was placed, in one aggregation.
 Every piece of a band is placed in its round. The driver sees the numbers of pieces of each length and of
-sequences of each gap, at most 2 * SIZE numbers a round; pieces, gaps and matches stay distributed, and each
+sequences of each gap and range, at most 2 * (SIZE + RANGES) numbers a round; pieces, gaps and matches stay distributed, and each
 round is written to the shared folder, so a lost executor costs no more than its own tasks.
 
 Edge cases: null text is empty and packs as the single id 0. Repeated rows are packed one by one; null
@@ -41,8 +41,8 @@ from .store import arrow, table
 SIZE, END = 2048, 0
 #: A band of lengths reaches down to STEP of its longest, below a share of FEW of a sequence to half of it.
 STEP, FEW = 0.8, 1 / 32
-#: Pieces or gaps of one size in a range.
-RANGE = 100_000
+#: Pieces or gaps of one size in a range at least, and ranges beside one for each size at most.
+RANGE, RANGES = 1_000, 1_000
 VOCABULARY = "byte_bpe_50k.json"
 #: Larger chunks share more words, smaller ones need less memory.
 CHUNK = 3 << 20
@@ -197,27 +197,32 @@ def bands(size: int = SIZE) -> list[tuple[int, int]]:
 
 
 def _counts(df: DataFrame, key: str) -> dict[int, int]:
-    """Rows of each value of key, of which there are at most SIZE."""
+    """Rows of each value of key, of which there are at most SIZE + RANGES."""
     return {int(k): int(n) for k, n in df.groupBy(key).count().collect()}
 
 
 def _at(numbers: dict[int, int], key: Column) -> Column:
-    """The number of a key, from a literal array of at most SIZE numbers."""
+    """The number of a key, from a literal array of at most SIZE + RANGES numbers."""
     dense = ",".join(str(numbers.get(i, 0)) for i in range(max(numbers) + 1))
     return F.get(F.split(F.lit(dense), ",").cast("array<long>"), key.cast("int"))
 
 
 def _ranked(df: DataFrame, key: str, order: str, counts: dict[int, int]) -> DataFrame:
-    """Adds ``rank``, dense from 0 among the rows of each value of key; hot values are dealt over several ranges."""
-    ranges = {k: -(-n // RANGE) for k, n in counts.items()}
+    """Adds ``rank``, dense from 0 among the rows of each value of key; hot values are dealt over several ranges.
+
+    A range holds RANGE rows, or a RANGES-th of all rows if that is more, so there are at most SIZE + RANGES of them."""
+    most = max(RANGE, -(-sum(counts.values()) // RANGES))
+    ranges = {k: -(-n // most) for k, n in sorted(counts.items())}
     if max(ranges.values()) == 1:
         return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
-    df = df.withColumn("range", F.pmod(F.xxhash64(order), _at(ranges, F.col(key))).cast("int"))
-    sizes = df.groupBy(key, "range").agg(F.count("*").alias("n"))
-    before = W.partitionBy(key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(key, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    inside = F.row_number().over(W.partitionBy(key, "range").orderBy(order)) - 1
-    return df.withColumn("rank", inside).join(sizes, [key, "range"]).withColumn("rank", F.col("rank") + F.col("skip")).drop("range", "skip")
+    first = dict(zip(ranges, np.cumsum([0, *ranges.values()]).tolist()))
+    df = df.withColumn("range", (_at(first, F.col(key)) + F.pmod(F.xxhash64(order), _at(ranges, F.col(key)))).cast("int"))
+    n, skip = _counts(df, "range"), {}
+    for k, own in ranges.items():
+        sizes = [n.get(first[k] + i, 0) for i in range(own)]
+        skip |= dict(zip(range(first[k], first[k] + own), np.cumsum([0, *sizes]).tolist()))
+    inside = F.row_number().over(W.partitionBy("range").orderBy(order)) - 1
+    return df.withColumn("rank", inside + _at(skip, F.col("range"))).drop("range")
 
 
 def levels(pieces: dict[int, int], gaps: dict[int, int], longest: int, size: int) -> tuple[int, dict[int, int], dict[int, int]]:
