@@ -90,7 +90,7 @@ def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, independent of where it stands. Long buffers are hashed in windows."""
-    if len(buf) <= 4 * CHUNK_BYTES:
+    if len(buf) <= CHUNK_BYTES:
         pre, inv = prefix_hashes(buf)
         return mix((pre[ends] - pre[starts]) * inv[starts])
     out, carry, mask = np.zeros(len(starts), U64), U64(0), (1 << 64) - 1

@@ -61,16 +61,35 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
-#: Rows of an Arrow batch, so that a Python worker holds a few MB of texts at a time.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch, so that a Python worker holds a few MB of texts at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def _lean(f):
+    """f, and when its input is used up, free memory goes back to the system: workers live on for other stages."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows.
-
-    Spark reads the limit when the lazy result runs, so it stays set in the session; a smaller limit of the caller's is left."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    """mapInArrow in batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes.
+
+    Spark reads the limits when the lazy result runs, so they stay set in the session; smaller ones of the caller's are left."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}", None)
+        now = int(now) if now and now.lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df.mapInArrow(_lean(f), schema)
