@@ -16,15 +16,16 @@ frequencies. Weights count to 2**-LOW; scale them so that usual ones are about 1
 
 Grouping, without all pairs inside a bucket:
  1. equal texts are one class (128-bit digest, map-side combine) with a number of its own;
- 2. classes with equal band hashes share a bucket; each is verified against the bucket's first member, and
-    components are formed from the verified links;
+ 2. classes with equal band hashes share a bucket; each is verified against the bucket's member of the
+    smallest id (of a group of copies most often the text they were made from), and components are formed from the verified links;
  3. in buckets that still hold several components, shingles that no other document there has bound a
     member's similarity; members that cannot reach the threshold leave, the rest is verified against
     the four most central members;
  4. only pairs of members of different components that a second bound (by what either shares with the
     most central member) still allows are verified one by one, each in the first bucket both share.
-Verified links are weighted Jaccard similarities >= the threshold, computed from the 64-bit hashes and
-weights of all shingles, so the components are those of the link graph over all candidate pairs.
+Verified links are weighted Jaccard similarities >= the threshold, computed from the weights of all shingles
+and 48 bits of their hashes (two different shingles of a pair of texts of n words meet by chance with
+probability n * n / 2**48, which would add the weight of one), so the components are those of the link graph over all candidate pairs.
 
 Hot buckets: a fixed table of SLOTS numbers says over how many parts the buckets of a slot are dealt;
 members are dealt by hash, what is known of a bucket (a row or HUBS rows) goes to each of its parts, and
@@ -203,16 +204,24 @@ def _sets(words, weighting):
                 sh, weight, first = shingles(buf, offs, WORDS, weighting)
                 for d in range(hi - lo):
                     own = weight[first[d] : first[d + 1]]
-                    sets.append(sh[first[d] : first[d + 1]].tobytes())
+                    sets.append(_pack(sh[first[d] : first[d + 1]]))
                     weights.append(b"" if (own == 1).all() else own.tobytes())
             yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], names=["rep", "d1", "d2", "sh", "wt"])
 
     return run
 
 
-def _unpack(x: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-    sh = np.frombuffer(x, np.uint64)
-    return sh, np.frombuffer(w, np.float64) if w else np.ones(len(sh))
+def _pack(sh: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; the order stays."""
+    return np.ascontiguousarray((sh >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(x, w) -> tuple[np.ndarray, np.ndarray]:
+    six = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    sh = np.zeros((len(six), 8), np.uint8)
+    sh[:, :6] = six
+    sh = sh.view(np.uint64).ravel()
+    return sh, np.frombuffer(w, np.float64) if len(w) else np.ones(len(sh))
 
 
 def _overlap(a, b) -> float:
@@ -230,13 +239,11 @@ def _overlap(a, b) -> float:
 def _check(similarity):
     def run(batches):
         for b in batches:
-            common, linked, kept = [], [], None
-            for x, v, y, w in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
-                if kept is None or kept[0] is not x:
-                    kept = (x, _unpack(x, v))
-                other = _unpack(y, w)
-                m = _overlap(kept[1], other)
-                common.append(m), linked.append(m > 0 and m >= similarity * (kept[1][1].sum() + other[1].sum() - m) - 1e-9)
+            common, linked = [], []
+            for x, v, y, w in zip(*(b.column(i) for i in range(2, 6))):
+                one, two = _unpack(x.as_buffer(), v.as_buffer()), _unpack(y.as_buffer(), w.as_buffer())
+                m = _overlap(one, two)
+                common.append(m), linked.append(m > 0 and m >= similarity * (one[1].sum() + two[1].sum() - m) - 1e-9)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(common, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "m", "ok"])
 
     return run
@@ -244,9 +251,9 @@ def _check(similarity):
 
 def _elements(batches):
     for b in batches:
-        for k, x, w in zip(*(b.column(i).to_pylist() for i in range(3))):
-            sh, weight = _unpack(x, w)
-            yield pa.record_batch([pa.array(np.full(len(sh), k)), pa.array(sh.view(np.int64)), pa.array(weight)], names=["k", "v", "w"])
+        for k, x, w in zip(*(b.column(i) for i in range(3))):
+            sh, weight = _unpack(x.as_buffer(), w.as_buffer())
+            yield pa.record_batch([pa.array(np.full(len(sh), k.as_py())), pa.array(sh.view(np.int64)), pa.array(weight)], names=["k", "v", "w"])
 
 
 def overlaps(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -295,6 +302,11 @@ class Parts:
         return self.deal(members).join(self.every(known), ["bucket", "part", *more]).drop("part")
 
 
+def _alike(n: str, m: str, similarity: float) -> Column:
+    """Totals of two documents that can reach the similarity, which is the smaller over the larger total at most."""
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
+
+
 def _with_comps(members: DataFrame, links: DataFrame, parts: Parts) -> DataFrame:
     """Members of buckets that hold more than one component."""
     comps = components(links).select(F.col("id").alias("k"), "comp")
@@ -316,16 +328,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting=WEIGHTING
     reps = table(first.withColumn("k", F.monotonically_increasing_id()), "dart-texts")
     copies, reps = Parts(reps.select(F.col("d1").alias("bucket"), "c"), PART), reps.drop("c")
     own = sig.select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "bands").join(reps, ["rep", "d1", "d2"]).dropDuplicates(["k"])
-    entries = table(own.select("k", "n", F.explode("bands").alias("bucket")).distinct(), "dart-entries")
-    shared = cut(entries.groupBy("bucket").agg(F.min("k").alias("hub"), F.count("*").alias("c")).where("c > 1"))
+    entries = table(own.select("k", "rep", "n", F.explode("bands").alias("bucket")), "dart-entries")
+    shared = cut(entries.groupBy("bucket").agg(F.min(F.struct("rep", "k", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("h.k").alias("hub"), F.col("h.n").alias("hub_n"), "c"))
     parts = Parts(shared, PART)
-    members = table(parts.join(entries, shared.select("bucket", "hub")).select("bucket", "k", "n", "hub"), "dart-buckets")
+    members = table(parts.join(entries, shared.drop("c")).select("bucket", "k", "n", "hub", "hub_n"), "dart-buckets")
     wanted = reps.join(members.select("k").distinct(), "k")
     words = spark.sparkContext.broadcast(bitmap(wanted.select("rep", "d1")))
     picked = rows.withColumn("s", slot("doc_id", "d1")).transform(arrow, _sets(words, weighting), "rep long, d1 long, d2 long, sh binary, wt binary")
     sets = table(picked.join(wanted, ["rep", "d1", "d2"]).select("k", "sh", "wt").dropDuplicates(["k"]), "dart-sets")
 
-    links = verify(members.where("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")), sets, similarity)
+    links = verify(members.where("k <> hub").where(_alike("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("k").alias("b")), sets, similarity)
     left = cut(_with_comps(members, links, parts).select("bucket", "k", "n", "comp"))
     if not left.isEmpty():
         links = cut(links.unionAll(_cross(left, sets, similarity, links, parts)))
@@ -357,8 +369,9 @@ def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame
     for keys in (["bucket", "part"], ["bucket"]):
         best = F.row_number().over(W.partitionBy(*keys).orderBy("u", "k"))
         hubs = (parts.deal(rows) if "part" in keys else hubs).withColumn("rn", best).where(F.col("rn") <= HUBS)
-    hubs = cut(hubs.select("bucket", "rn", F.col("k").alias("h"), F.col("comp").alias("ch")))
-    star = parts.join(rows, hubs).where("k <> h and (rn = 1 or comp <> ch)").select(F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"))
+    hubs = cut(hubs.select("bucket", "rn", F.col("k").alias("h"), F.col("comp").alias("ch"), F.col("n").alias("hn")))
+    # the first hub meets every member, as its common weight bounds their similarities
+    star = parts.join(rows, hubs).where(F.expr("k <> h and (rn = 1 or comp <> ch)") & ((F.col("rn") == 1) | _alike("n", "hn", similarity))).select(F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"))
     seen = overlaps(star, sets, similarity)
     found = seen.where("ok").select("a", "b")
     rest = cut(_with_comps(rows.drop("comp"), links.unionAll(found), parts))
@@ -376,7 +389,7 @@ def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame
     y = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part"))))
     y = y.select("bucket", F.col("other").alias("part"), F.col("part").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("k", "n", "comp", "m", "r", "own")])
     bound = F.lit((1 + similarity) / similarity) * (F.least("m", "m2") + F.least("r", "r2")) + 1e-6
-    far = (F.col("n") + F.col("n2") <= bound) & F.expr("(part <> other or k < k2) and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket")
+    far = (F.col("n") + F.col("n2") <= bound) & _alike("n", "n2", similarity) & F.expr("(part <> other or k < k2) and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket")
     pair = x.join(y, ["bucket", "part", "other"]).where(far)
     return found.unionAll(verify(pair.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")), sets, similarity))
 

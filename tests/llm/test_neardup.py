@@ -84,7 +84,7 @@ def test_agreement_estimates_weighted_similarity(weighting, cut):
     want = sum(min(x.get(k, 0), y.get(k, 0)) for k in x | y) / sum(max(x.get(k, 0), y.get(k, 0)) for k in x | y)
     sig = neardup.signatures(sh, weight, first, 2048, neardup._low(weighting))
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
-    own = [neardup._unpack(sh[first[d] : first[d + 1]].tobytes(), weight[first[d] : first[d + 1]].tobytes()) for d in (0, 1)]
+    own = [neardup._unpack(neardup._pack(sh[first[d] : first[d + 1]]), weight[first[d] : first[d + 1]].tobytes()) for d in (0, 1)]
     m = neardup._overlap(*own)
     assert abs(m / (own[0][1].sum() + own[1][1].sum() - m) - want) < 1e-9
 
