@@ -9,7 +9,7 @@ from quillspark.llm.store import table
 
 #: (name, function): each takes (spark, docs, sf_dir); its result is written as Parquet and read again for the next.
 STAGES = [("quality", quality.stage), ("language", language.stage), ("neardup", neardup.stage), ("packing", packing.stage)]
-#: Trained models and sketches are not expressible in SQL; tests/llm compares with a brute-force version.
+#: Trained models and sketches are not expressible in SQL; tests/llm/test_plain.py compares every stage with plain loops.
 ORACLE_SQL = None
 
 
