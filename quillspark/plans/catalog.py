@@ -471,19 +471,10 @@ def json_flatten(spark, sf):
     return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z ]', '', 'g') AS rebuilt FROM documents")
-def inverted_text_rebuild(spark, sf):
-    """The first 200 characters, as its SQL says; inverted_text_rebuild_whole has no such limit."""
-    return _rebuilt(_t(spark, sf, "documents"), F.substring("text", 1, 200))
-
-
 @query("SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS rebuilt FROM documents")
-def inverted_text_rebuild_whole(spark, sf):
-    return _rebuilt(_t(spark, sf, "documents"), F.col("text"))
-
-
-def _rebuilt(docs, text) -> DataFrame:
-    df = docs.select("doc_id", F.split(F.regexp_replace(F.lower(text), "[^a-z ]", ""), " ", -1).alias("w"))
+def inverted_text_rebuild(spark, sf):
+    """Inverted index of every whole text and the text rebuilt from it."""
+    df = _t(spark, sf, "documents").select("doc_id", F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ", -1).alias("w"))
     return df.select("doc_id", J.inverted_index("w").alias("index")).select("doc_id", J.rebuild_abstract("index").alias("rebuilt"))
 
 
