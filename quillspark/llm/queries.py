@@ -1,10 +1,10 @@
-"""Queries op1 to op10 and their DuckDB SQL. Each reads its whole table and calls its operator."""
+"""Queries op1 to op13 and their DuckDB SQL. Each reads its whole table and calls its operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import capfilter, chat, language, licenses, neardup, packing, pieces, quality, toxicity, urlfilter
+from . import capfilter, chat, decontam, divergence, elkan, language, licenses, neardup, packing, pieces, quality, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,17 @@ def op10_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op3_licenses, op4_language, op5_toxicity, op6_chat, op7_urls, op8_embeddings, op9_pieces, op10_packing)}
-ORACLES = {"op3_licenses": licenses.oracle(), "op6_chat": chat.ORACLE, "op7_urls": urlfilter.oracle()}
+def op11_centroids(spark, sf_dir):
+    return elkan.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark, sf_dir):
+    return decontam.digest(decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op3_licenses, op4_language, op5_toxicity, op6_chat, op7_urls, op8_embeddings, op9_pieces, op10_packing, op11_centroids, op12_divergence, op13_decontamination)}
+ORACLES = {"op3_licenses": licenses.oracle(), "op6_chat": chat.ORACLE, "op7_urls": urlfilter.oracle(), "op11_centroids": elkan.oracle(), "op12_divergence": divergence.ORACLE, "op13_decontamination": decontam.ORACLE}
