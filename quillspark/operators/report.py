@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import status as S, text as T
 
@@ -20,16 +20,21 @@ def top(df: DataFrame, column: str, limit=12) -> DataFrame:
     return df.groupBy(T.strip(column).alias("value")).agg(F.count("*").alias("n"), F.min("_ord").alias("first")).orderBy(F.desc("n"), "first").limit(limit)
 
 
-def metadata_health(df: DataFrame) -> DataFrame:
-    """One row of ten counts: rows, and rows with and without DOI, title, year and journal, and with a malformed DOI."""
+def health_columns(df: DataFrame) -> dict[str, Column]:
+    """Ten aggregates: rows, rows with and without DOI, title, year and journal, and with a malformed DOI."""
     own = lambda *c: [x for x in c if x in df.columns] or [F.lit("")]
     doi = T.doi(T.first_filled(*own("crossref_doi", "doi")))
     filled = {"title": ("crossref_title", "title"), "year": ("crossref_year", "publication_year", "year"), "journal": ("crossref_container", "journal")}
     have = {"doi": doi != "", **{k: T.strip(T.first_filled(*own(*c))) != "" for k, c in filled.items()}}
-    parts = [F.count("*").alias("rows"), F.count_if((doi != "") & ~doi.rlike(T.DOI)).alias("invalid_doi")]
+    out = {"rows": F.count(F.lit(1)), "invalid_doi": F.count_if((doi != "") & ~doi.rlike(T.DOI))}
     for k, ok in have.items():
-        parts += [F.count_if(ok).alias(f"with_{k}"), F.count_if(~ok).alias(f"missing_{k}")]
-    return df.agg(*parts)
+        out |= {f"with_{k}": F.count_if(ok), f"missing_{k}": F.count_if(~ok)}
+    return out
+
+
+def metadata_health(df: DataFrame) -> DataFrame:
+    """One row of the ten counts."""
+    return df.agg(*[c.alias(k) for k, c in health_columns(df).items()])
 
 
 def trust_tiers(df: DataFrame) -> DataFrame:
@@ -71,13 +76,36 @@ def verdict(issues: DataFrame) -> DataFrame:
     return issues.agg(fails.alias("n_fail"), F.count_if(F.col("level") == "WARN").alias("n_warn"), F.when(fails == 0, "PASS").otherwise("FAIL").alias("overall"))
 
 
-def provenance(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """Long form (record_key, field, value, source, trust); fields: output field -> (verified column, own column)."""
-    doi = T.doi(T.first_filled(*[c for c in ("crossref_doi", "doi") if c in df.columns]))
-    year = T.first_filled(*[c for c in ("crossref_year", "publication_year", "year") if c in df.columns])
-    key = F.when(doi != "", F.concat(F.lit("doi:"), doi)).otherwise(F.concat(F.lit("row:"), F.col("_ord").cast("string"), F.lit(":title:"), T.title("title"), F.lit("|year:"), year))
-    rows = []
-    for name, (verified, own) in fields.items():
-        v = T.text(verified) if verified in df.columns else F.lit("")
-        rows.append(F.struct(F.lit(name).alias("field"), F.when(v != "", v).otherwise(T.text(own)).alias("value"), F.when(v != "", "crossref").otherwise(T.first_filled("discovery_source")).alias("source"), F.when(v != "", "verified").otherwise("discovery").alias("trust")))
-    return df.select(key.alias("record_key"), F.explode(F.array(*rows)).alias("p")).select("record_key", "p.*").where("value <> ''")
+def _record_key(df: DataFrame) -> Column:
+    own = lambda *names: T.first_filled(*[n for n in names if n in df.columns])
+    doi, year = T.doi(own("crossref_doi", "doi")), T.strip(own("crossref_year", "publication_year", "year"))
+    return F.when(doi != "", F.concat(F.lit("doi:"), doi)).otherwise(F.concat(F.lit("row:"), F.col("_ord").cast("string"), F.lit(":title:"), F.lower(T.squeeze(own("crossref_title", "title"))), F.lit("|year:"), year))
+
+
+def _sources(df: DataFrame) -> dict[str, tuple[Column, Column, Column]]:
+    """(value, source, trust) of each field of the provenance."""
+    cell = lambda *names: T.first_filled(*[n for n in names if n in df.columns]) if any(n in df.columns for n in names) else F.lit("")
+    out = {}
+    for name, verified, own, form in (("title", "crossref_title", ("title",), T.text), ("doi", "crossref_doi", ("doi",), T.doi), ("journal", "crossref_container", ("journal",), T.text), ("publication_year", "crossref_year", ("publication_year", "year"), T.text)):
+        known = cell(verified) != ""
+        out[name] = (F.when(known, form(cell(verified))).otherwise(form(cell(*own))), F.when(known, "crossref").otherwise(T.first_filled(cell("discovery_source"), F.lit("candidate"))), F.when(known, "bibliographic_verified").otherwise("candidate"))
+    link = cell("best_oa_pdf_url", "best_oa_landing_url", "best_oa_url")
+    out["abstract"] = (cell("abstract"), T.first_filled(cell("discovery_source"), F.lit("candidate")), F.lit("candidate"))
+    out["oa_link"] = (link, F.when(link != "", "unpaywall").otherwise(""), F.when(link != "", "access_hint").otherwise(""))
+    out["journal_metric"] = (cell("journal_metric"), cell("journal_metric_source"), F.when(cell("journal_metric_verified") == "true", "verified_local_metric").otherwise("not_verified"))
+    out["publisher_access"] = (cell("access_status"), cell("publisher_probe_method"), cell("publisher_probe_confidence"))
+    return out
+
+
+def provenance(df: DataFrame, fields=("title", "doi", "journal", "publication_year", "abstract", "oa_link", "journal_metric", "publisher_access")) -> DataFrame:
+    """Long form (record_key, field, value, source, trust) of rows with _ord: every field of every row, blank ones too."""
+    known = _sources(df)
+    rows = [F.struct(F.lit(f).alias("field"), *[c.alias(n) for n, c in zip(("value", "source", "trust"), known[f])]) for f in fields]
+    return df.select(_record_key(df).alias("record_key"), F.explode(F.array(*rows)).alias("p")).select("record_key", "p.*")
+
+
+def provenance_records(df: DataFrame) -> DataFrame:
+    """(_ord, record): one JSON object a row, with its key, title and the provenance of all fields."""
+    cells = F.struct(*[F.struct(*[c.alias(n) for n, c in zip(("value", "source", "trust"), x)]).alias(f) for f, x in _sources(df).items()])
+    title = T.first_filled(*[c for c in ("crossref_title", "title") if c in df.columns])
+    return df.select("_ord", F.to_json(F.struct(_record_key(df).alias("record_key"), title.alias("title"), cells.alias("fields"))).alias("record"))

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import status as S, text as T
-from . import report as R
+from ..sources import storage
 
 # Reasons why a run does not reach what was asked.
 NO_CANDIDATES = "No candidates remained after discovery/merge/deduplication."
@@ -47,18 +41,21 @@ ADAPTERS = [
     ("browser_page", "external_optional", ("javascript_page_opening", "screenshot_capture", "visible_text_extraction"), "Requires an Agent/browser integration; must respect publisher access controls."),
     ("pdf_extraction", "external_optional", ("pdf_text", "table_extraction", "supplementary_materials"), "Only on accessible PDFs and supplements; not part of this library."),
 ]
-# Configuration sections, keys and the types they take (n: may be null).
+# Configuration keys and the JSON types that they take.
 CONFIG = {
-    "channels": {k: "bool" for k in ("openalex", "semantic_scholar", "arxiv", "europe_pmc", "crossref", "unpaywall", "journal_metrics", "publisher_probe")},
-    "api": {k: "str" for k in ("openalex_api_key_env", "openalex_mailto_env", "crossref_mailto_env", "unpaywall_email_env", "contact_email_env", "openalex_work_types")},
-    "limits": {
-        "max_results_per_query": "int", "semantic_query_limit": "int n", "semantic_max_results": "int n", "publisher_probe_limit": "int n", "publisher_probe_sleep": "int float", "strict_discovery": "bool",
-        "parallel_providers": "bool", "provider_workers": "int n", "provider_failure_threshold": "int n", "provider_rate_limit_cooldown_seconds": "int float", "unpaywall_sleep": "int float",
-        "crossref_checkpoint_interval": "int", "unpaywall_checkpoint_interval": "int", "time_budget_seconds": "int float n", "max_crossref_rows": "int n", "max_unpaywall_rows": "int n", "max_publisher_probe_rows": "int n",
-    },
-    "outputs": {"default_output_dir": "str", "screenshot_root": "str"},
-    "cache": {"enabled": "bool", "cache_dir": "str", "ttl_days": "int float", "provider_failure_ttl_seconds": "int float"},
-    "evidence": {"require_doi_for_queue": "bool", "queue_priorities": "str", "include_metadata_blocked": "bool", "queue_strict_only": "bool", "unknown_value": "str"},
+    "channels.openalex": ("boolean",), "channels.semantic_scholar": ("boolean",), "channels.arxiv": ("boolean",), "channels.europe_pmc": ("boolean",),
+    "channels.crossref": ("boolean",), "channels.unpaywall": ("boolean",), "channels.journal_metrics": ("boolean",), "channels.publisher_probe": ("boolean",),
+    "api.openalex_api_key_env": ("string",), "api.openalex_mailto_env": ("string",), "api.crossref_mailto_env": ("string",), "api.unpaywall_email_env": ("string",),
+    "api.contact_email_env": ("string",), "api.openalex_work_types": ("string",),
+    "limits.max_results_per_query": ("integer",), "limits.semantic_query_limit": ("integer", "null"), "limits.semantic_max_results": ("integer", "null"),
+    "limits.publisher_probe_limit": ("integer", "null"), "limits.publisher_probe_sleep": ("integer", "number"), "limits.strict_discovery": ("boolean",),
+    "limits.parallel_providers": ("boolean",), "limits.provider_workers": ("integer", "null"), "limits.provider_failure_threshold": ("integer", "null"),
+    "limits.provider_rate_limit_cooldown_seconds": ("integer", "number"), "limits.unpaywall_sleep": ("integer", "number"), "limits.crossref_checkpoint_interval": ("integer",),
+    "limits.unpaywall_checkpoint_interval": ("integer",), "limits.time_budget_seconds": ("integer", "number", "null"), "limits.max_crossref_rows": ("integer", "null"),
+    "limits.max_unpaywall_rows": ("integer", "null"), "limits.max_publisher_probe_rows": ("integer", "null"),
+    "outputs.default_output_dir": ("string",), "outputs.screenshot_root": ("string",),
+    "cache.enabled": ("boolean",), "cache.cache_dir": ("string",), "cache.ttl_days": ("integer", "number"), "cache.provider_failure_ttl_seconds": ("integer", "number"),
+    "evidence.require_doi_for_queue": ("boolean",), "evidence.queue_priorities": ("string",), "evidence.include_metadata_blocked": ("boolean",), "evidence.queue_strict_only": ("boolean",), "evidence.unknown_value": ("string",),
 }
 DISCOVERY = ("openalex", "semantic_scholar", "arxiv", "europe_pmc")
 
@@ -130,85 +127,51 @@ def ordered_checks(checks: list[tuple[str, str, str]]) -> list[tuple[str, str, s
     return sorted(checks, key=lambda c: (rank.get(c[1], 3), c[0], c[2]))
 
 
-def _fits(value, kinds: str) -> bool:
-    have = {"bool": bool, "int": int, "float": float, "str": str}
-    return any(value is None if k == "n" else isinstance(value, have[k]) for k in kinds.split())
+#: Name of each JSON type in messages.
+_NAMES = {"boolean": "bool", "integer": "int", "number": "float", "string": "str", "null": "NoneType", "object": "dict", "array": "list"}
+
+
+def _kind(x) -> str:
+    """JSON type of a parsed value."""
+    if x is None:
+        return "null"
+    return next(k for t, k in ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (dict, "object"), (list, "array")) if isinstance(x, t))
+
+
+def settings(data: dict) -> dict[str, object]:
+    """section.key -> value for the sections of a configuration that are objects."""
+    return {f"{s}.{k}": v for s, own in data.items() if isinstance(own, dict) for k, v in own.items()}
 
 
 def config_checks(data) -> list[tuple[str, str, str]]:
     """(name, level, message) for a configuration: types are errors, unknown keys warnings, negative limits errors."""
-    if not isinstance(data, dict):
+    if _kind(data) != "object":
         return [("config", "error", "configuration must be an object")]
-    out = [("config", "ok", "loaded")]
-    for section, own in data.items():
-        if section not in CONFIG:
-            out.append(("config", "warning", f"unknown top-level section: {section}"))
-        elif not isinstance(own, dict):
-            out.append(("config", "error", f"section {section!r} must be an object"))
-        else:
-            for key, value in own.items():
-                if key not in CONFIG[section]:
-                    out.append(("config", "warning", f"unknown key: {section}.{key}"))
-                elif not _fits(value, CONFIG[section][key]):
-                    names = " or ".join("NoneType" if k == "n" else k for k in CONFIG[section][key].split())
-                    out.append(("config", "error", f"{section}.{key} must be {names}, got {type(value).__name__}"))
-    part = lambda s: data.get(s) if isinstance(data.get(s), dict) else None
-    channels = part("channels") if "channels" in data else {}
-    if channels is not None and not any(channels.get(c) for c in DISCOVERY):
-        out.append(("config", "warning", "all discovery channels are disabled"))
-    for section, label in (("limits", "{}"), ("cache", "cache.{}")):
-        for key, value in (part(section) or {}).items():
-            if "int" in CONFIG[section].get(key, "") and isinstance(value, (int, float)) and not isinstance(value, bool) and value < 0:
-                out.append(("config", "error", f"{label.format(key)} must not be negative"))
-    return out
-
-
-# --- files of a run: driver-side, each holds a few aggregated rows ---
-
-
-def write_text(path, text: str) -> Path:
-    """Write beside the target and rename, so readers see the old text or the new one."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    beside.write_text(text, encoding="utf-8")
-    os.replace(beside, path)
-    return path
-
-
-def read_json(path) -> dict:
-    """The object of a JSON file; a missing, malformed or other one is empty."""
-    try:
-        data = json.loads(Path(path).read_text(encoding="utf-8-sig"))
-    except (OSError, ValueError):
-        return {}
-    return data if isinstance(data, dict) else {}
-
-
-def file_sha256(path) -> str:
-    """Digest of a file, read in pieces; empty for a missing one."""
-    if not Path(path).is_file():
-        return ""
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while piece := f.read(1 << 20):
-            h.update(piece)
-    return h.hexdigest()
-
-
-def artifact_index(folder) -> dict:
-    """The catalogue of a run's files with tier, reading order, existence and digest."""
-    names = [(tier, file) for tier, files in ARTIFACTS.items() for file in files]
-    rows = []
-    for i, (tier, file) in enumerate(names, 1):
-        path = Path(folder) / file
-        rows.append({"name": file.rsplit(".", 1)[0], "tier": tier, "read_order": i, "path": str(path), "exists": path.exists(), "sha256": file_sha256(path)})
-    here = [r for r in rows if r["exists"]]
-    return {"schema_version": 1, "by_tier": {t: [r["name"] for r in here if r["tier"] == t] for t in ARTIFACTS if any(r["tier"] == t for r in here)}, "read_order": [r["name"] for r in here], "artifacts": rows}
-
-
-def _table(title: str, rows: list[tuple]) -> list[str]:
-    return [f"## {title}", "", "| Value | Count |", "|---|---|", *[f"| {v} | {n} |" for v, n in rows], ""]
+    sections, given = {k.split(".")[0] for k in CONFIG}, settings(data)
+    # a boolean is also a whole number, as in the configuration's own language
+    fits = lambda k, v: _kind(v) in CONFIG[k] or _kind(v) == "boolean" and "integer" in CONFIG[k]
+    number = lambda v: _kind(v) in ("integer", "number")
+    rules = [
+        ("warning", [f"unknown top-level section: {s}" for s in data if s not in sections]),
+        ("error", [f"section {s!r} must be an object" for s in data if s in sections and _kind(data[s]) != "object"]),
+        ("warning", [f"unknown key: {k}" for k in given if k.split(".")[0] in sections and k not in CONFIG]),
+        ("error", [f"{k} must be {' or '.join(_NAMES[t] for t in CONFIG[k])}, got {_NAMES[_kind(v)]}" for k, v in given.items() if k in CONFIG and not fits(k, v)]),
+        ("warning", ["all discovery channels are disabled"] if _kind(data.get("channels", {})) == "object" and not any(given.get(f"channels.{c}") for c in DISCOVERY) else []),
+        ("error", [f"{k.removeprefix('limits.')} must not be negative" for k, v in given.items() if k.startswith(("limits.", "cache.")) and "integer" in CONFIG.get(k, ()) and number(v) and v < 0]),
+    ]
+    return [("config", "ok", "loaded")] + [("config", level, text) for level, texts in rules for text in texts]
+
+
+def artifact_index(spark, folder: str, rows: dict[str, int] | None = None) -> dict:
+    """The catalogue of a run's files with tier, reading order, existence, size, rows where they are known, and digest."""
+    out = []
+    for i, (tier, file) in enumerate(((tier, file) for tier, files in ARTIFACTS.items() for file in files), 1):
+        path, name = f"{folder}/{file}", file.rsplit(".", 1)[0]
+        here = storage.exists(spark, path)
+        out.append({"name": name, "tier": tier, "read_order": i, "path": path, "exists": here, "rows": (rows or {}).get(name) if here else None, "size": storage.size(spark, path) if here else None, "sha256": storage.sha256(spark, path) if here else ""})
+    there = [r for r in out if r["exists"]]
+    tiers = {t: [r["name"] for r in there if r["tier"] == t] for t in ARTIFACTS}
+    return {"schema_version": 1, "by_tier": {t: names for t, names in tiers.items() if names}, "read_order": [r["name"] for r in there], "artifacts": out}
 
 
 def feasibility_text(counts: dict[str, int], reasons: list[str], target: int | None = None, warnings=()) -> str:
@@ -216,24 +179,3 @@ def feasibility_text(counts: dict[str, int], reasons: list[str], target: int | N
     lines += ["Blocking reasons:", *[f"- {r}" for r in reasons]] if reasons else ["The current constraints appear feasible from the available candidate set."]
     lines += ["", "## Configuration Warnings", "", *[f"- {w}" for w in warnings]] if warnings else []
     return "\n".join(lines) + "\n"
-
-
-def processing_text(stages: dict[str, DataFrame], manifest: dict) -> str:
-    """Markdown over all stages: rows, histograms of their status columns, and metadata health. One aggregation a stage."""
-    lines = ["# Processing Report", "", f"Run: `{manifest.get('run_id', '')}`", f"Status: `{manifest.get('run_status', 'unknown')}`", ""]
-    for name, df in stages.items():
-        lines += [f"# {name}", ""]
-        own = [c for c in ("triage_priority", "candidate_status", "metadata_status", "crossref_status", "metric_filter_status", "access_status", "queue_status") if c in df.columns]
-        if own:
-            rows = R.histograms(df, own, blank="empty").collect()
-            for c in own:
-                lines += _table(c, sorted(((r.value, r.n) for r in rows if r.field == c), key=lambda x: (-x[1], x[0])))
-        if "title" in df.columns:
-            health = R.metadata_health(df).first().asDict()
-            lines += _table("metadata health", list(health.items()))
-    return "\n".join(lines) + "\n"
-
-
-def provider_text(trace: DataFrame) -> str:
-    rows = provider_counts(trace).orderBy("provider", "status").collect()
-    return "\n".join(["# Discovery Report", "", "| Provider | Status | Class | Calls | Rows |", "|---|---|---|---|---|", *[f"| {r.provider} | {r.status} | {r.status_class} | {r.calls} | {r.n_rows} |" for r in rows], ""])

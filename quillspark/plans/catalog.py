@@ -445,11 +445,22 @@ def citation_one_hop(spark, sf):
     return B.one_hop(edges, "1").groupBy(F.col("doi").cast("long").alias("doi_key")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{_CAND}, k AS (SELECT *, CASE WHEN {_DOI} <> '' THEN 'doi:' || {_DOI} ELSE 'row:' || _ord || ':title:' || {_TITLE} || '|year:' || publication_year END AS record_key FROM c)
-SELECT record_key, 'title' AS field, title AS value, discovery_source AS source, 'discovery' AS trust FROM k WHERE title <> '' UNION ALL
-SELECT record_key, 'year', publication_year, discovery_source, 'discovery' FROM k""")
+_SPACED = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+
+
+@query(f"""{_CAND}, k AS (SELECT *, {_DOI} AS d, CASE WHEN _ord % 3 = 0 THEN 'Seen: ' || title ELSE '' END AS vt, CASE WHEN _ord % 4 = 0 THEN '10.7/V' || _ord ELSE '' END AS vd, CASE WHEN _ord % 5 = 0 THEN 'https://x.org/' || _ord ELSE '' END AS link, CASE WHEN _ord % 7 = 0 THEN '' ELSE discovery_source END AS src FROM c),
+r AS (SELECT *, CASE WHEN vd <> '' THEN 'doi:' || lower(vd) WHEN d <> '' THEN 'doi:' || d ELSE 'row:' || _ord || ':title:' || {_SPACED.format("CASE WHEN vt <> '' THEN vt ELSE title END")} || '|year:' || publication_year END AS record_key, CASE WHEN src = '' THEN 'candidate' ELSE src END AS own FROM k)
+SELECT record_key, 'title' AS field, CASE WHEN vt <> '' THEN vt ELSE title END AS value, CASE WHEN vt <> '' THEN 'crossref' ELSE own END AS source, CASE WHEN vt <> '' THEN 'bibliographic_verified' ELSE 'candidate' END AS trust FROM r
+UNION ALL SELECT record_key, 'doi', CASE WHEN vd <> '' THEN lower(vd) ELSE d END, CASE WHEN vd <> '' THEN 'crossref' ELSE own END, CASE WHEN vd <> '' THEN 'bibliographic_verified' ELSE 'candidate' END FROM r
+UNION ALL SELECT record_key, 'journal', journal, own, 'candidate' FROM r UNION ALL SELECT record_key, 'publication_year', publication_year, own, 'candidate' FROM r UNION ALL SELECT record_key, 'abstract', abstract, own, 'candidate' FROM r
+UNION ALL SELECT record_key, 'oa_link', link, CASE WHEN link <> '' THEN 'unpaywall' ELSE '' END, CASE WHEN link <> '' THEN 'access_hint' ELSE '' END FROM r
+UNION ALL SELECT record_key, 'journal_metric', '', '', 'not_verified' FROM r UNION ALL SELECT record_key, 'publisher_access', '', '', '' FROM r""")
 def provenance_long(spark, sf):
-    return R.provenance(candidates(spark, sf), {"title": ("crossref_title", "title"), "year": ("crossref_year", "publication_year")})
+    """Every field of every row, some of them verified, some without a source."""
+    k = lambda n: F.col("_ord") % n == 0
+    when = lambda n, x: F.when(k(n), x).otherwise("")
+    rows = candidates(spark, sf).withColumns({"crossref_title": when(3, F.concat(F.lit("Seen: "), "title")), "crossref_doi": when(4, F.concat(F.lit("10.7/V"), "_ord")), "best_oa_url": when(5, F.concat(F.lit("https://x.org/"), "_ord")), "discovery_source": F.when(k(7), "").otherwise(F.col("discovery_source"))})
+    return R.provenance(rows)
 
 
 @query(f"""{_CAND} SELECT _ord + 2 AS row, 'FAIL' AS level, 'doi' AS field, 'Required stage field is empty/Unknown' AS issue FROM c WHERE doi = '' UNION ALL
