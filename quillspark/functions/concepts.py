@@ -49,43 +49,75 @@ class Profile:
 
 
 def _slug(x: str) -> str:
-    return re.sub("[^a-zA-Z0-9]+", "_", x).strip("_")[:50] or "concept"
+    return re.sub("[^a-zA-Z0-9]+", "_", x.strip().lower()).strip("_")[:50] or "concept"
+
+
+def _terms(x) -> tuple[str, ...]:
+    """Terms of a list, or of a text that is split at | and ; (all of it where that leaves none)."""
+    if isinstance(x, list):
+        return tuple(s for s in (str(v).strip() for v in x) if s)
+    return tuple(s for s in map(str.strip, re.split("[|;]", x)) if s) or (x,)
 
 
 def parse_spec(spec: str) -> Concept:
-    """``name=term|term`` (or with a colon), a bare list of terms, or a JSON object."""
-    if spec.strip().startswith("{"):
-        return from_object(json.loads(spec))
+    """``name=term|term`` (or with a colon), a bare list of terms, or a JSON object. A name without terms is a concept of the empty term, which every text has."""
+    spec = (spec or "").strip()
+    if not spec:
+        raise ValueError("empty concept specification")
+    if spec.startswith("{") and isinstance(given := _parsed(spec), dict):
+        return from_object(given)
     at = min((i for i in (spec.find("="), spec.find(":")) if i > 0), default=-1)
-    name, rest = (spec[:at].strip(), spec[at + 1 :]) if at > 0 else ("", spec)
-    terms = tuple(t for t in (x.strip() for x in re.split(r"[|;]", rest)) if t)
-    if not terms:
-        raise ValueError(f"concept without terms: {spec!r}")
-    return Concept(_slug(name or terms[0]), patterns=terms)
+    rest = spec[at + 1 :].strip() if at > 0 else spec
+    terms = _terms(rest)
+    return Concept(_slug(spec[:at] if at > 0 else terms[0]), patterns=terms)
+
+
+def _parsed(text: str):
+    """A text that looks like JSON and is, else the text."""
+    if text.strip()[:1] not in ("{", "["):
+        return text
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
+def _children(x) -> tuple[Concept, ...]:
+    return tuple(from_object(v) for v in (x if isinstance(x, list) else [] if x is None else [x]))
 
 
 def from_object(obj) -> Concept:
-    """all_of, any_of, not, near, not_near or plain terms, in this order of precedence."""
+    """all_of, any_of, not, near, not_near or plain terms, in this order of precedence; name or label names it.
+
+    near takes a text (terms at commas, | and ;), a list, or an object of terms and window."""
+    obj = _parsed(obj) if isinstance(obj, str) else obj
     if isinstance(obj, str):
         return parse_spec(obj)
-    scope, weight, name = obj.get("scope", "title_abstract"), obj.get("weight"), obj.get("name", "")
-    for key, op in (("all_of", "all"), ("any_of", "any"), ("not", "not")):
-        if key in obj:
-            own = obj[key] if isinstance(obj[key], list) else [obj[key]]
-            kids = tuple(from_object(x) for x in own)
-            return Concept(_slug(name or kids[0].name), op, children=kids, scope=scope, weight=weight)
-    for key, op in (("near", "near"), ("not_near", "not_near")):
-        if key in obj:
-            own = obj[key]["terms"] if isinstance(obj[key], dict) else obj[key]
-            window = int((obj[key].get("window") if isinstance(obj[key], dict) else obj.get("window")) or NEAR_WINDOW)
-            if len(own) < 2:
-                raise ValueError("near needs two terms or more")
-            return Concept(_slug(name or own[0]), op, tuple(own), scope=scope, weight=weight, window=window)
-    terms = obj.get("patterns") or obj.get("terms") or obj.get("term") or []
-    terms = tuple([terms] if isinstance(terms, str) else terms)
+    if not isinstance(obj, dict):
+        raise ValueError(f"a concept is a text or an object, not {type(obj).__name__}")
+    same = {"name": _slug(str(obj.get("name") or obj.get("label") or "concept")), "scope": str(obj.get("scope") or "title_abstract"), "weight": float(obj["weight"]) if "weight" in obj else None}
+    window = lambda x: max(1, int(x.get("window") or NEAR_WINDOW))
+    op = next((k for k in ("all_of", "any_of", "not", "near", "not_near") if k in obj), "")
+    if op in ("all_of", "any_of", "not"):
+        kids = _children(obj[op])
+        if not kids:
+            raise ValueError(f"concept {same['name']!r} has nothing in {op}")
+        return Concept(op=op.removesuffix("_of"), children=kids, window=window(obj), **same)
+    if op:
+        own = obj[op]
+        at = own if isinstance(own, dict) else obj
+        own = own.get("terms") if isinstance(own, dict) else own
+        if not isinstance(own, (str, list)):
+            raise ValueError(f"{op} of concept {same['name']!r} is neither a text nor a list")
+        terms = _terms(own.replace(",", "|") if isinstance(own, str) else own)
+        if len(terms) < 2:
+            raise ValueError(f"{op} of concept {same['name']!r} needs two terms or more")
+        return Concept(op=op, patterns=terms, window=window(at), **same)
+    own = next((obj[k] for k in ("patterns", "terms", "term") if k in obj), [])
+    terms = _terms(own) if isinstance(own, (str, list)) else ()
     if not terms:
-        raise ValueError("concept without terms")
-    return Concept(_slug(name or terms[0]), patterns=terms, scope=scope, weight=weight)
+        raise ValueError(f"concept {same['name']!r} has no terms")
+    return Concept(patterns=terms, **same)
 
 
 def load_profile(text: str | None = None, required=(), optional=(), negative=(), year_from=None, year_to=None, require_doi=False, exclude_article_types=(), allow_regex=False) -> Profile:
@@ -123,7 +155,9 @@ def java_pattern(term: str, allow_regex: bool = False) -> str:
 
 
 def basic_match(x: Column, pattern: str) -> Column:
-    """Some match whose 80 characters before it do not end in a negator and at most six words."""
+    """Some match whose 80 characters before it do not end in a negator and at most six words. The empty pattern matches every text."""
+    if pattern == "(?iU)":
+        return F.lit(True)
     parts = F.struct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("hits"), F.split(x, pattern, -1).alias("gaps"))
 
     def free(s: Column) -> Column:

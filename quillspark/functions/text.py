@@ -77,7 +77,7 @@ def items(c) -> Column:
 
 
 def slug(c, default="concept") -> Column:
-    x = F.substring(F.regexp_replace(F.regexp_replace(text(c), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""), 1, 50)
+    x = F.substring(F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 50)
     return F.when(x == "", default).otherwise(x)
 
 
@@ -108,6 +108,11 @@ def strip_tags(c) -> Column:
     return squeeze(x)
 
 
+def clean(c) -> Column:
+    """Provider text: tags out without a trace, the common entities unescaped, white space collapsed."""
+    return strip_tags(F.regexp_replace(text(c), "<[^>]+>", ""))
+
+
 def domain(c) -> Column:
     return F.regexp_replace(F.lower(text(c)), r"^www\.", "")
 

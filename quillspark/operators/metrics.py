@@ -79,14 +79,50 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def governance(metrics: DataFrame) -> DataFrame:
-    """Findings (level, field, subject): blank governance fields, non-numeric values, keys owned by two journals."""
-    blank = [metrics.where(T.strip(c) == "").select(F.lit("warning").alias("level"), F.lit(c).alias("field"), F.col("journal").alias("subject")) for c in ("metric_year", "source_url", "last_checked") if c in metrics.columns]
-    bad = metrics.where((T.strip("impact_factor") != "") & number("impact_factor").isNull()).select(F.lit("error").alias("level"), F.lit("impact_factor").alias("field"), F.col("journal").alias("subject"))
-    issn = F.transform(T.items("issn"), lambda x: F.struct(F.lit("issn").alias("kind"), T.issn(x).alias("key")))
-    name = F.transform(F.concat(F.array("journal"), T.items("aliases")), lambda x: F.struct(F.lit("aliases").alias("kind"), T.journal(x).alias("key")))
-    owned = metrics.select(T.journal("journal").alias("owner"), F.explode(F.concat(issn, name)).alias("k")).where("k.key <> ''").groupBy("k.kind", "k.key").agg(F.count_distinct("owner").alias("n")).where("n > 1")
-    out = bad.unionAll(owned.select(F.lit("error").alias("level"), F.col("kind").alias("field"), F.concat("key", F.lit(" maps to both")).alias("subject")))
-    for b in blank:
-        out = out.unionAll(b)
-    return out
+# Columns of a metric dimension, and those of them that may not be blank.
+REQUIRED = ("journal", "aliases", "issn", "impact_factor", "metric_year", "metric_source", "source_url", "last_checked", "confidence")
+GOVERNED = ("metric_year", "metric_source", "source_url", "last_checked", "confidence")
+
+
+def _quoted(c: Column) -> Column:
+    """A text in quotes, as messages show it."""
+    x = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    return F.when(F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"')), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def governance(metrics: DataFrame, require_numeric=False) -> DataFrame:
+    """Findings (level, row, field, message) on a dimension with _ord from 0; row is that of the file, whose header is row 1.
+
+    Missing columns and values that are no numbers are errors; so is each change of the journal, as it is written, that owns a
+    normalised name or ISSN, in the order of the rows. Blank fields are warnings; a row without a journal gives one and is
+    not looked at further."""
+    from pyspark.sql import Window as W
+
+    have = set(metrics.columns)
+    cell = lambda c: T.strip(c) if c in have else F.lit("")
+    rows = metrics.select((F.col("_ord") + 2).alias("row"), *[cell(c).alias(c) for c in REQUIRED])
+    at = F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(" "), F.col("journal"), F.lit(": "))
+    finding = lambda level, field, message: F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), message.alias("message"))
+    named, factor = F.col("journal") != "", F.col("impact_factor")
+    checks = [(~named, finding("warning", "journal", F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(": journal is blank"))))]
+    checks += [(named & (F.col(c) == ""), finding("warning", c, F.concat(at, F.lit(f"{c} is blank")))) for c in GOVERNED]
+    asked = F.lit(True) if require_numeric else factor != ""
+    checks.append((named & asked & number("impact_factor").isNull(), finding("error", "impact_factor", F.concat(at, F.lit("impact_factor is not numeric: "), _quoted(factor)))))
+    own = rows.select("row", F.explode(T.compact(checks)).alias("f")).select("f.level", "row", "f.field", "f.message")
+    keyed = lambda kind, values, key: F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), key(x).alias("key")))
+    names = keyed("journal", F.concat(F.array("journal"), T.items("aliases")), T.journal)
+    issns = keyed("issn", T.items("issn"), T.issn)
+    owners = rows.where(named).select("row", "journal", F.explode(F.concat(names, issns)).alias("k")).select("row", "journal", "k.*").where("key <> ''")
+    before = F.lag("journal").over(W.partitionBy("kind", "key").orderBy("row", "i"))
+    clash = owners.withColumn("before", before).where("before <> journal")
+    label = F.when(F.col("kind") == "issn", "ISSN ").otherwise("normalized journal name ")
+    both = clash.select(F.lit("error").alias("level"), "row", F.col("kind").alias("field"), F.concat(label, _quoted(F.col("key")), F.lit(" maps to both "), _quoted(F.col("before")), F.lit(" and "), _quoted(F.col("journal"))).alias("message"))
+    lost = [c for c in REQUIRED if c not in have]
+    header = metrics.sparkSession.createDataFrame([("error", 1, "", f"missing required columns: {', '.join(lost)}")] if lost else [], "level string, row long, field string, message string")
+    return header.unionByName(own).unionByName(both)
+
+
+def governance_status(findings: DataFrame) -> DataFrame:
+    """One row: n_errors, n_warnings and error, warning or ok."""
+    errors, warnings = F.count_if(F.col("level") == "error"), F.count_if(F.col("level") == "warning")
+    return findings.agg(errors.alias("n_errors"), warnings.alias("n_warnings"), F.when(errors > 0, "error").when(warnings > 0, "warning").otherwise("ok").alias("status"))

@@ -23,7 +23,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def title_text(c) -> Column:
-    return F.regexp_replace(F.lower(T.strip_tags(c)), r"\.+$", "")
+    """Title as it is compared: no tags, lower case, no full stops at the end, white space collapsed."""
+    x = F.regexp_replace(F.lower(T.strip(F.regexp_replace(T.text(c), "<[^>]+>", ""))), r"\.+$", "")
+    return F.regexp_replace(x, r"(?U)\s+", " ")
 
 
 def similarity(a, b) -> Column:

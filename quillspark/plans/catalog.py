@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import concepts as C, status as S, text as T
 from ..operators import dedupe as D, metrics as M, planning as N, probe as P, queue as Q, report as R, summary as U, tables as B, triage as G, verify as V
-from ..sources import payloads as J
+from ..sources import pages as A, payloads as J
 from ..sources.candidates import BRIDGE, candidates, web_leads
+from ..sources.shared import folder
+from ..streaming import calls as L
+from . import views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -282,16 +287,36 @@ def metric_split(spark, sf):
     return a.select(F.lit("pass").alias("part"), "_ord").unionAll(b.select(F.lit("backup").alias("part"), "_ord"))
 
 
-@query(f"""{_DIM} SELECT 'error' AS level, 'impact_factor' AS field, journal AS subject FROM m WHERE impact_factor = 'n/a'
-UNION ALL SELECT 'error', 'issn', issn || ' maps to both' FROM m GROUP BY issn HAVING count(DISTINCT journal) > 1""")
+_KEYED = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), '\\b(the|journal|of)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH m AS (SELECT s_suppkey AS k, s_suppkey + 1 AS "row", CASE s_suppkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'The Journal of S' || (s_suppkey // 20) WHEN 2 THEN 'Journal S' || (s_suppkey // 20) ELSE 'Title ' || s_suppkey END AS journal,
+     CASE WHEN s_suppkey % 10 = 5 THEN ['Shared', 'A' || s_suppkey] ELSE [] END AS aliases, lpad(CAST(s_suppkey % 90 AS VARCHAR), 8, '0') AS issn, CASE WHEN s_suppkey % 7 = 0 THEN 'n/a' WHEN s_suppkey % 7 = 1 THEN '' ELSE '1.5' END AS f, s_suppkey % 3 = 0 AS nosource, s_suppkey % 4 = 0 AS unsure FROM supplier),
+n AS (SELECT * FROM m WHERE journal <> ''),
+o AS (SELECT 'journal' AS field, "row", journal, 0 AS i, {_KEYED.format("journal")} AS key FROM n UNION ALL SELECT 'journal', "row", journal, i, {_KEYED.format("aliases[i]")} FROM (SELECT *, unnest(range(1, len(aliases) + 1)) AS i FROM n) UNION ALL SELECT 'issn', "row", journal, 0, issn FROM n),
+c AS (SELECT *, lag(journal) OVER (PARTITION BY field, key ORDER BY "row", i) AS before FROM o WHERE key <> '')
+SELECT 'error' AS level, "row", field, CASE field WHEN 'issn' THEN 'ISSN ' ELSE 'normalized journal name ' END || '''' || key || ''' maps to both ''' || before || ''' and ''' || journal || '''' AS message FROM c WHERE before <> journal
+UNION ALL SELECT 'error', "row", 'impact_factor', 'row ' || "row" || ' ' || journal || ': impact_factor is not numeric: ' || chr(39) || 'n/a' || chr(39) FROM n WHERE f = 'n/a'
+UNION ALL SELECT 'warning', "row", 'journal', 'row ' || "row" || ': journal is blank' FROM m WHERE journal = ''
+UNION ALL SELECT 'warning', "row", 'metric_source', 'row ' || "row" || ' ' || journal || ': metric_source is blank' FROM n WHERE nosource
+UNION ALL SELECT 'warning', "row", 'confidence', 'row ' || "row" || ' ' || journal || ': confidence is blank' FROM n WHERE unsure
+UNION ALL SELECT 'warning', "row", 'last_checked', 'row ' || "row" || ' ' || journal || ': last_checked is blank' FROM n
+UNION ALL SELECT 'error', 1, '', 'missing required columns: last_checked'""")
 def metric_governance(spark, sf):
-    return M.governance(_dimension(spark, sf))
+    """Shared names that differ as written, shared ISSNs and aliases, texts for numbers, blanks, rows without a journal, a missing column."""
+    k = F.col("s_suppkey")
+    journal = F.when(k % 10 == 0, "").when(k % 10 == 1, F.concat(F.lit("The Journal of S"), F.expr("s_suppkey div 20"))).when(k % 10 == 2, F.concat(F.lit("Journal S"), F.expr("s_suppkey div 20"))).otherwise(F.concat(F.lit("Title "), k))
+    dim = _t(spark, sf, "supplier").select(
+        (k - 1).alias("_ord"), journal.alias("journal"), F.when(k % 10 == 5, F.concat(F.lit("Shared; A"), k)).otherwise("").alias("aliases"), F.lpad((k % 90).cast("string"), 8, "0").alias("issn"),
+        F.when(k % 7 == 0, "n/a").when(k % 7 == 1, "").otherwise("1.5").alias("impact_factor"), F.lit("2023").alias("metric_year"), F.when(k % 3 == 0, " ").otherwise("JCR").alias("metric_source"), F.lit("u").alias("source_url"), F.when(k % 4 == 0, "").otherwise("high").alias("confidence"),
+    )
+    return M.governance(dim)
 
 
 @query("""WITH j AS (SELECT o_orderkey AS k, c_custkey IS NOT NULL AS known, 1992 + o_orderkey % 7 AS y, 1992 + c_nationkey % 7 AS xy FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey),
-r AS (SELECT *, k % 17 = 0 AS blank, known AND k % 5 = 2 AS t, known AND y <> xy AS d, known AND k % 4 = 2 AS o FROM j)
+r AS (SELECT *, k % 17 = 0 AS blank, k % 17 <> 0 AND known AND k % 5 = 2 AS t, known AND y <> xy AS d, k % 17 <> 0 AND known AND k % 4 = 2 AS o FROM j)
 SELECT k AS _ord, CASE WHEN blank THEN 'missing_doi' WHEN NOT known THEN 'lookup_failed' WHEN t OR d OR o THEN 'mismatch' ELSE 'verified' END AS crossref_status, NOT blank AND t AS title_differs, NOT blank AND o AS journal_differs,
-CASE WHEN NOT blank AND known AND y <> xy THEN 'YEAR_MISMATCH: input=' || y || ' vs crossref=' || xy ELSE '' END AS year_differs FROM r""")
+CASE WHEN NOT blank AND known AND y <> xy THEN 'YEAR_MISMATCH: input=' || y || ' vs crossref=' || xy ELSE '' END AS year_differs, blank AND NOT t AND NOT o AS no_doi, CASE WHEN NOT blank AND o THEN 'JOURNAL_MISMATCH: input=''unrelated weekly'' vs crossref=''journal of things' || chr(39) ELSE '' END AS journal_text FROM r""")
 def authority_join_mismatch(spark, sf):
     """Titles that are equal, nearly equal, unrelated or blank; journals that are equal, nearly equal, unrelated or blank."""
     o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer").where("c_custkey % 3 <> 0")
@@ -302,7 +327,29 @@ def authority_join_mismatch(spark, sf):
     auth = auth.unionAll(auth.selectExpr("_ord + 1000000", "doi", "'a later row of the DOI'", "'1900'", "''"))
     out = V.authority_join(rows, auth)
     m = F.col("crossref_mismatches")
-    return out.select("_ord", "crossref_status", m.contains("TITLE_MISMATCH").alias("title_differs"), m.contains("JOURNAL_MISMATCH").alias("journal_differs"), F.regexp_extract(m, r"YEAR_MISMATCH: input=\d+ vs crossref=\d+", 0).alias("year_differs"))
+    return out.select("_ord", "crossref_status", m.contains("TITLE_MISMATCH").alias("title_differs"), m.contains("JOURNAL_MISMATCH").alias("journal_differs"), F.regexp_extract(m, r"YEAR_MISMATCH: input=\d+ vs crossref=\d+", 0).alias("year_differs"), (m == "NO_DOI").alias("no_doi"), F.regexp_extract(m, "JOURNAL_MISMATCH:.*", 0).alias("journal_text"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, '10.1000/c' || c_custkey AS doi, md5(CAST(c_custkey AS VARCHAR)) AS title, CAST(1992 + c_nationkey % 7 AS VARCHAR) AS y FROM customer),
+r AS (SELECT o_orderkey AS o, o_custkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '10.1000/C' || o_custkey END AS raw, CASE WHEN o_orderkey % 28 = 0 THEN 'abc' WHEN o_orderkey % 12 = 0 THEN md5('x' || o_orderkey) ELSE md5(CAST(o_custkey AS VARCHAR)) END AS title, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(1992 + o_orderkey % 7 AS VARCHAR) END AS y FROM orders),
+j AS (SELECT r.*, c.doi, c.title AS ct, c.y AS cy, raw <> '' AND r.k % 11 = 0 AS again, raw <> '' AND r.k % 7 = 0 AS hit, raw <> '' AND r.k % 13 = 0 AND r.k % 7 <> 0 AS failed, r.k % 3 <> 0 AND c.doi IS NOT NULL AS known FROM r LEFT JOIN c ON c.k = r.k),
+s AS (SELECT *, CASE WHEN again THEN 'verified' WHEN o >= 12000 THEN 'skipped_budget' WHEN failed THEN 'rate_limited' WHEN raw = '' THEN CASE WHEN known AND title = ct AND (y = '' OR y = cy) THEN 'title_recovered' ELSE 'title_lookup_failed' END WHEN hit THEN 'verified' WHEN NOT known THEN 'lookup_failed' WHEN y <> '' AND y <> cy THEN 'mismatch' ELSE 'verified' END AS st FROM j)
+SELECT o AS _ord, st AS crossref_status, CASE WHEN again THEN 'doi:' || doi WHEN st = 'title_recovered' THEN doi ELSE raw END AS doi, CASE st WHEN 'skipped_budget' THEN 'SKIPPED_BY_MAX_ROWS_BUDGET' WHEN 'rate_limited' THEN 'CROSSREF_RATE_LIMITED' WHEN 'title_lookup_failed' THEN 'NO_DOI_TITLE_LOOKUP_FAILED' WHEN 'lookup_failed' THEN 'CROSSREF_LOOKUP_FAILED' WHEN 'mismatch' THEN 'YEAR_MISMATCH: input=' || y || ' vs crossref=' || cy ELSE '' END AS crossref_mismatches,
+CASE WHEN again THEN 'kept' WHEN st IN ('verified', 'mismatch', 'title_recovered') THEN ct ELSE '' END AS crossref_title, CASE WHEN again THEN '' WHEN st = 'title_recovered' THEN 'title_search' WHEN st IN ('verified', 'mismatch') THEN 'doi' ELSE '' END AS crossref_lookup_method,
+CASE WHEN again OR st = 'skipped_budget' THEN '' WHEN hit THEN 'hit' WHEN st IN ('verified', 'mismatch', 'title_recovered') THEN 'store' ELSE 'miss' END AS crossref_cache_status, CASE WHEN st = 'title_recovered' THEN '1.000' ELSE '' END AS crossref_title_similarity, CASE WHEN st = 'title_recovered' THEN CASE WHEN y <> '' THEN 'high' ELSE 'medium' END ELSE '' END AS crossref_recovered_doi_confidence,
+CASE WHEN st = 'rate_limited' THEN '30' ELSE '' END AS crossref_retry_after_seconds, again AS crossref_reused FROM s""")
+def verification_run(spark, sf):
+    """Verification with everything it takes: an earlier output, a cache, failures, a budget, and titles for rows without a DOI."""
+    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
+    rows = o.selectExpr("o_orderkey AS _ord", "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('10.1000/C', o_custkey) END AS doi", "CASE WHEN o_orderkey % 28 = 0 THEN 'abc' WHEN o_orderkey % 12 = 0 THEN md5(concat('x', o_orderkey)) ELSE md5(cast(o_custkey as string)) END AS title", "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE cast(1992 + o_orderkey % 7 as string) END AS publication_year")
+    auth = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS _ord", "concat('10.1000/c', c_custkey) AS doi", "md5(cast(c_custkey as string)) AS title", "cast(1992 + c_nationkey % 7 as string) AS year")
+    prior = c.where("c_custkey % 11 = 0").selectExpr("c_custkey AS _ord", "concat('doi:10.1000/c', c_custkey) AS doi", "'verified' AS crossref_status", "'kept' AS crossref_title")
+    key = V.cache_key("doi", F.concat(F.lit("10.1000/c"), "c_custkey")).alias("key")
+    cache = c.where("c_custkey % 7 = 0").select(key, F.lit("verified").alias("status"), F.to_json(F.struct(F.concat(F.lit("10.1000/c"), "c_custkey").alias("crossref_doi"), F.md5(F.col("c_custkey").cast("string")).alias("crossref_title"))).alias("value"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), F.lit("2025-01-01").cast("timestamp").alias("expires_at"))
+    stale = cache.withColumns({"updated_at": F.lit("2024-01-02").cast("timestamp"), "expires_at": F.lit("2024-01-03").cast("timestamp"), "value": F.lit("{}")})
+    failed = c.where("c_custkey % 13 = 0").selectExpr("concat('10.1000/c', c_custkey) AS doi", "'rate_limited' AS status", "'30' AS retry_after_seconds")
+    out = V.verify(rows, auth, title_lookup=True, prior=prior, cache=cache.unionAll(stale), now=F.lit("2024-06-01").cast("timestamp"), ttl_seconds=86400.0, max_rows=12000, failures=failed)
+    return out.select("_ord", "crossref_status", "doi", "crossref_mismatches", "crossref_title", "crossref_lookup_method", "crossref_cache_status", "crossref_title_similarity", "crossref_recovered_doi_confidence", "crossref_retry_after_seconds", "crossref_reused")
 
 
 @query("SELECT o_custkey, o_orderkey AS _ord FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
@@ -408,6 +455,43 @@ def circuit_breaker_replay(spark, sf):
     return B.breaker_replay(calls, 2).select("event_id", "replayed")
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS u, event_type AS qt, {_STATUS_SQL} AS st, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id % 3 = 0 AS some FROM events),
+f AS (SELECT *, {S.classify_sql("st")} AS c, {S.classify_sql("st")} IN ('auth', 'error', 'network', 'partial', 'rate_limited') AS fails FROM e),
+s AS (SELECT u, 0 AS n, CAST(-1 AS BIGINT) AS event_id, '' AS status, false AS made, 0 AS failures, CAST(0 AS DOUBLE) AS until, MAP {{'': CAST(0 AS DOUBLE)}} AS failed FROM (SELECT DISTINCT u FROM f)
+ UNION ALL SELECT f.u, f.n, f.event_id, CASE d.why WHEN '' THEN f.st ELSE d.why END, d.why = '', s.failures + CASE WHEN d.why = '' AND f.fails THEN 1 ELSE 0 END, CASE WHEN d.why = '' AND f.c = 'rate_limited' THEN f.at + 20000 ELSE s.until END,
+  CASE WHEN d.why = '' AND NOT f.some AND f.c IN ('rate_limited', 'network') THEN map_from_entries(list_concat(list_filter(map_entries(s.failed), lambda x: x.key <> f.qt), [{{'key': f.qt, 'value': f.at + CASE f.c WHEN 'rate_limited' THEN 20000 ELSE 30000 END}}])) ELSE s.failed END
+ FROM s JOIN f ON f.u = s.u AND f.n = s.n + 1, LATERAL (SELECT CASE WHEN s.until > f.at THEN 'skipped_rate_limit_cooldown' WHEN s.failures >= 5 THEN 'skipped_circuit_breaker' WHEN coalesce(element_at(s.failed, f.qt)[1], 0) > f.at THEN 'skipped_cached_provider_failure' ELSE '' END AS why) d)
+SELECT event_id, status, made FROM s WHERE n > 0""")
+def call_control(spark, sf):
+    """Cooldown, breaker and cached failures over the calls of each user, in the order of their times, decided by a stateful stream."""
+    e = _t(spark, sf, "events")
+    rows = e.select(
+        F.lit("run").alias("run_id"), F.col("user_id").cast("string").alias("provider"), F.col("event_id").cast("string").alias("query_id"), F.col("event_type").alias("query"), F.col("event_id").alias("q"), F.col("ts").cast("timestamp").alias("at"), F.lit(10).alias("max_results"),
+        _status().alias("status"), (F.col("event_id") % 3 == 0).cast("int").alias("returned_count"),
+    )
+    out = L.run(rows, f"{folder(spark)}/calls-{uuid.uuid4().hex}", threshold=5, cooldown_seconds=20000, failure_ttl_seconds=30000)
+    return out.select(F.col("q").alias("event_id"), "status", "made")
+
+
+@query("""WITH w AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, 1992 + o_orderkey % 7 AS y, CASE WHEN o_orderkey % 3 = 0 THEN 'review' ELSE 'article' END AS t, 'd' || (o_orderkey % 40) AS d FROM orders WHERE o_custkey < 300),
+m AS (SELECT *, (n - 1) // 5 AS page, (n - 1) % 5 AS pos FROM w WHERE y BETWEEN 1993 AND 1997 AND t = 'article'),
+u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY c, d ORDER BY n) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n) AS place FROM u)
+SELECT 'q' || c AS query_id, '10.1/' || d AS doi, 'Work ' || k AS title, CAST(y AS VARCHAR) AS publication_year, CAST(place AS INTEGER) AS discovery_rank FROM r WHERE place <= 6 AND c BETWEEN 50 AND 250""")
+def captured_pages(spark, sf):
+    """Pages of five works a query, written by Spark, read through the data source with the request's bounds and cap, and pushed filters on queries."""
+    from pyspark.sql import Window as W
+
+    o = _t(spark, sf, "orders").where("o_custkey < 300").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
+    work = F.struct(F.concat(F.lit("https://doi.org/10.1/D"), F.col("o_orderkey") % 40).alias("doi"), F.concat(F.lit("Work "), "o_orderkey").alias("title"), (1992 + F.col("o_orderkey") % 7).alias("publication_year"), F.when(F.col("o_orderkey") % 3 == 0, "review").otherwise("article").alias("type"))
+    pages = o.groupBy(F.lit("openalex").alias("provider"), F.concat(F.lit("q"), "o_custkey").alias("query"), F.expr("(n - 1) div 5 + 1").alias("page")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("n", work.alias("w")))), lambda x: x["w"]).alias("results"))).alias("text"))
+    path = f"{folder(spark)}/capture-{uuid.uuid4().hex}"
+    pages.repartition("query", "page").write.partitionBy("provider", "query", "page").text(path)
+    wanted = [f"q{i}" for i in range(50, 251)]
+    out = A.search(spark, path, "openalex", only={"query_id": wanted}, year_from=1993, year_to=1997, types="article", max_results=6)
+    return out.select("query_id", "doi", "title", "publication_year", "discovery_rank")
+
+
 @query("SELECT conv_id, arg_max(role, turn) AS status, max(turn) AS _ord FROM conversations GROUP BY conv_id")
 def latest_per_stage(spark, sf):
     rows = _t(spark, sf, "conversations").select("conv_id", F.col("role").alias("status"), F.col("turn").alias("_ord"))
@@ -615,18 +699,28 @@ def semantic_scholar_read(spark, sf):
     return J.read("semantic_scholar", pages).select("_ord", "title", "doi", "publication_year", "journal", "article_type", "authors")
 
 
-@query("""SELECT c_custkey AS _ord, 'a < b of ' || c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'P' || c_custkey END AS pmid, CAST(1990 + c_nationkey AS VARCHAR) AS publication_year, CASE WHEN c_custkey % 2 = 0 THEN 'free' ELSE 'first' END AS best_full_text_url, 'Doe J' AS authors
-FROM customer WHERE 1990 + c_nationkey BETWEEN 1995 AND 2010""")
+_EPMC_FORMS = ['["x", "<b>y</b>"]', '"review"', '{"pubType": ["a", "", "b"]}', '{"pubType": "one"}', "null", "[]"]
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 1990 + c_nationkey AS y, c_name AS name FROM customer),
+r AS (SELECT *, CASE k % 5 WHEN 0 THEN CAST(y AS VARCHAR) WHEN 1 THEN CAST(y AS VARCHAR) WHEN 2 THEN CAST(y + 1 AS VARCHAR) WHEN 3 THEN CAST(y + 2 AS VARCHAR) ELSE '' END AS year FROM c)
+SELECT k AS _ord, 'a < b' || name AS title, CASE WHEN k % 3 <> 0 THEN 'P' || k ELSE CAST(k AS VARCHAR) END AS pmid, year AS publication_year, CASE k % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'only' WHEN 2 THEN 'first' ELSE '' END AS best_full_text_url, 'Doe J' AS authors,
+CASE k % 6 WHEN 0 THEN 'x;y' WHEN 1 THEN 'review' WHEN 2 THEN 'a;b' WHEN 3 THEN 'one' ELSE 'from list' END AS article_type, 'https://europepmc.org/article/MED/' || k AS landing_page_url, 'MED:' || k AS europe_pmc_id, CAST(k % 50 AS VARCHAR) AS cited_by_count, 'source=MED; isOpenAccess=Y; hasFullText=; inEPMC=N' AS source_note
+FROM r WHERE year = '' OR CAST(year AS INT) BETWEEN 1995 AND 2010""")
 def europe_pmc_read(spark, sf):
-    """Tags and entities out of titles, identifiers and years by their fallbacks, the first open full text, years rechecked."""
+    """Fields that are a text, an object or a list, and their fallbacks; tags and entities out of titles; years rechecked."""
     k = F.col("k")
-    urls = F.array(F.struct(F.lit("first").alias("url"), F.lit("Subscription").alias("availability")), F.struct(F.lit("free").alias("url"), F.when(k % 2 == 0, "Open access").otherwise("Subscription").alias("availability")))
-    record = F.struct(
-        k.cast("string").alias("id"), F.lit("MED").alias("source"), F.when(k % 3 != 0, F.concat(F.lit("P"), k)).alias("pmid"), F.concat(F.lit("10.7/"), k).alias("doi"), F.concat(F.lit("<i>a</i> &lt; b of "), "name").alias("title"), F.lit("Doe J.").alias("authorString"),
-        F.when(k % 5 != 0, F.col("year").cast("string")).alias("pubYear"), F.concat("year", F.lit("-02-03")).alias("firstPublicationDate"), F.struct(urls.alias("fullTextUrl")).alias("fullTextUrlList"),
+    kind = F.element_at(F.array(*map(F.lit, _EPMC_FORMS)), (k % 6 + 1).cast("int"))
+    year = F.col("year").cast("string")
+    dates = F.when(k % 5 == 0, F.format_string('"pubYear": %d', F.col("year"))).when(k % 5 == 1, F.format_string('"pubYear": "", "yearOfPublication": "%s"', year)).when(k % 5 == 2, F.format_string('"firstPublicationDate": {"dateOfPublication": "%d May"}', F.col("year") + 1)).when(k % 5 == 3, F.format_string('"journalInfo": {"printPublicationDate": "", "dateOfPublication": "%d-02"}', F.col("year") + 2)).otherwise('"journalInfo": "n/a"')
+    urls = F.when(k % 4 == 0, '{"fullTextUrl": [{"url": "first", "availabilityCode": "S"}, "text", {"url": "", "availabilityCode": "OA"}, {"url": "open", "availabilityCode": "OA"}]}').when(k % 4 == 1, '{"fullTextUrl": {"url": "only"}}').when(k % 4 == 2, '{"fullTextUrl": [{"availabilityCode": "OA"}, {"url": "first"}]}').otherwise('"none"')
+    record = F.concat(
+        F.lit('{"resultList": {"result": [{"id": '), k, F.lit(', "source": "MED", "title": "a &lt; <i>b</i>'), "name", F.lit('", "authorString": "Doe J.", "isOpenAccess": "Y", "inEPMC": "N", "doi": "10.7/'), k, F.lit('", "citedByCount": '), k % 50,
+        F.when(k % 3 != 0, F.concat(F.lit(', "pmid": "P'), k, F.lit('"'))).otherwise(""), F.lit(', "pubType": '), kind, F.lit(', "pubTypeList": {"pubType": ["from", "list"]}, '), dates, F.lit(', "fullTextUrlList": '), urls, F.lit("}]}}"),
     )
-    pages = _customers(spark, sf).select(k.alias("_ord"), F.to_json(F.struct(F.struct(F.array(record).alias("result")).alias("resultList"))).alias("payload"))
-    return J.read("europe_pmc", pages, year_from=1995, year_to=2010).select("_ord", "title", "pmid", "publication_year", "best_full_text_url", "authors")
+    record = F.replace(record, F.lit('["from", "list"]'), F.lit('"from list"'))
+    pages = _customers(spark, sf).select(k.alias("_ord"), record.alias("payload"))
+    return J.read("europe_pmc", pages, year_from=1995, year_to=2010).select("_ord", "title", "pmid", "publication_year", "best_full_text_url", "authors", "article_type", "landing_page_url", "europe_pmc_id", "cited_by_count", "source_note")
 
 
 @query("""SELECT c_custkey AS k, '10.6/a' || c_custkey AS doi, 'T ' || c_name AS title, 'C' AS journal, '1; 2' AS issn, CAST(1990 + c_nationkey AS VARCHAR) AS year, CASE WHEN c_custkey % 2 = 0 THEN (1990 + c_nationkey) || '-3' ELSE (1990 + c_nationkey) || '-4-9' END AS date FROM customer""")
@@ -666,3 +760,12 @@ def probe_queue(spark, sf):
     shown = F.concat(F.lit("<html>"), F.when(k == 1, '<a href="/x.pdf">PDF</a>').otherwise(""), "html")
     pages = p.where(k.isin(1, 2)).select(start.alias("start_url"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("content_type"), shown.alias("body"), F.lit("").alias("error"))
     return P.probe(queue, pages, "2024-01-01T00:00:00Z").select("_ord", "access_status", "publisher_probe_start_url", "pdf_url", "pdf_status", "publisher_link_hints", "publisher_probe_confidence")
+
+
+@query(ORACLES["triage_score_rank"])
+def triage_sql(spark, sf):
+    """The rows of triage_score_rank from the stages' views, in SQL."""
+    V_ = views.register(spark, candidates(spark, sf), _PROFILE, prefix=f"v{uuid.uuid4().hex[:8]}_")
+    rows = spark.sql(f"SELECT *, _ord AS _first, triage_rank(triage_priority) AS r, first_number(triage_score) AS n FROM {V_['triaged_candidates']} WHERE normalize_title(title) IS NOT NULL").drop("_ord", "abstract")
+    rows = B.with_ord(rows, "r", F.desc("n"), F.lower("title"), "_first")
+    return rows.select(F.col("_first").alias("_ord"), "title", "triage_priority", "triage_score", "metadata_status", "semantic_tags", "hard_filter_flags", "candidate_status", "triage_reasons", "llm_review_needed", (F.col("_ord") + 1).alias("place"))

@@ -1,7 +1,8 @@
 """Captured provider pages as a Spark data source: ``spark.read.format("captured_pages")``.
 
 A capture is one response a file, ``<path>/<provider>/<query id>/page-<n>.json`` (``.xml`` for Atom); ``page-<n>.error.json``
-holds what ended a query: status, error, http_status, transient, retry_after_seconds. A task reads whole queries,
+holds what ended a query: status, error, http_status, transient, retry_after_seconds. Folders that Spark wrote as
+``provider=/query=/page=/part-*`` with a line of text each are read too. A task reads whole queries,
 since paging is sequential: pages in order until one is empty or short, the provider's page limit or ``max_results`` is
 reached. Rows are records (one JSON or XML text each) with their year and type beside them, so filters on provider, query,
 page, year and type can be pushed into the reader: provider and query leave out whole partitions, the others records that then
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual
@@ -133,9 +135,9 @@ class PagesReader(DataSourceReader):
         wanted = P.providers(self.options["providers"]) if self.options.get("providers") else list(P.READERS)
         found: dict[tuple[str, str], list[tuple[int, str]]] = {}
         for info in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
-            m = re.search(r"/([^/]+)/([^/]+)/page-(\d+)(\.error)?\.(json|xml)$", info.path)
-            if m and m[1] in wanted and self._passes({"provider": m[1], "query_id": m[2]}, ("provider", "query_id")):
-                found.setdefault((m[1], m[2]), []).append((int(m[3]), info.path))
+            m = re.search(r"/([^/]+)/([^/]+)/page-(\d+)(?:\.error)?\.(?:json|xml)$", info.path) or re.search(r"/provider=([^/]+)/query=([^/]+)/page=(\d+)/part-[^/]*$", info.path)
+            if m and m[1] in wanted and self._passes({"provider": m[1], "query_id": unquote(m[2])}, ("provider", "query_id")):
+                found.setdefault((m[1], unquote(m[2])), []).append((int(m[3]), info.path))
         queries = [(p, q, sorted(pages)) for (p, q), pages in sorted(found.items(), key=lambda x: (wanted.index(x[0][0]), x[0][1]))]
         return [_Query(queries[i : i + PER_TASK]) for i in range(0, len(queries), PER_TASK)] or [_Query([])]
 
@@ -168,7 +170,7 @@ class PagesReader(DataSourceReader):
                 if ".error." in path.rpartition("/")[2]:
                     end = json.loads(text)
                     break
-                own, last = _atom_records(text) if path.endswith(".xml") else _json_records(provider, text)
+                own, last = _atom_records(text) if provider == "arxiv" else _json_records(provider, text)
             except (ValueError, SyntaxError, AttributeError, TypeError) as e:
                 end = {"status": "response_parse_error", "error": f"{type(e).__name__}: {e}", "transient": True}
                 break
@@ -236,11 +238,11 @@ def load(spark: SparkSession, path: str, only: dict | None = None, **options) ->
 _WRAP = {"openalex": ('{"results":[', "]}"), "semantic_scholar": ('{"data":[', "]}"), "europe_pmc": ('{"resultList":{"result":[', "]}}"), "arxiv": ("<feed>", "</feed>")}
 
 
-def search(spark: SparkSession, path: str, provider: str, **request) -> DataFrame:
+def search(spark: SparkSession, path: str, provider: str, only: dict | None = None, **request) -> DataFrame:
     """Candidate rows of one provider's queries (query_id, place, the provider's columns), as its searches would return them."""
     (provider,) = P.providers(provider)
     head, tail = _WRAP[provider]
-    records = load(spark, path, providers=provider, **request)
+    records = load(spark, path, only, providers=provider, **request)
     paged = records.select("query_id", F.col("place").alias("discovery_rank"), F.concat(F.lit(head), "record", F.lit(tail)).alias("payload"))
     return P.READERS[provider](paged).drop("pos")
 

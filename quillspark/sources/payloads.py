@@ -9,7 +9,6 @@ from ..functions import text as T
 WORK = "STRUCT<id STRING, doi STRING, title STRING, publication_year INT, type STRING, authorships ARRAY<STRUCT<author: STRUCT<display_name STRING>>>, primary_location STRUCT<landing_page_url STRING, source STRUCT<display_name STRING>>, abstract_inverted_index MAP<STRING, ARRAY<INT>>>"
 PAPER = "STRUCT<paperId STRING, title STRING, year INT, venue STRING, abstract STRING, url STRING, journal STRUCT<name STRING>, externalIds STRUCT<DOI STRING>, publicationTypes ARRAY<STRING>, authors ARRAY<STRUCT<name STRING>>>"
 CROSSREF = "STRUCT<message: STRUCT<DOI STRING, title ARRAY<STRING>, `container-title` ARRAY<STRING>, publisher STRING, type STRING, ISSN ARRAY<STRING>, issued STRUCT<`date-parts` ARRAY<ARRAY<INT>>>, created STRUCT<`date-parts` ARRAY<ARRAY<INT>>>, `published-print` STRUCT<`date-parts` ARRAY<ARRAY<INT>>>, `published-online` STRUCT<`date-parts` ARRAY<ARRAY<INT>>>>>"
-EPMC = "STRUCT<id STRING, source STRING, pmid STRING, doi STRING, title STRING, authorString STRING, pubYear STRING, firstPublicationDate STRING, abstractText STRING, journalInfo STRUCT<journal STRUCT<title STRING>>, pubTypeList STRUCT<pubType ARRAY<STRING>>, fullTextUrlList STRUCT<fullTextUrl ARRAY<STRUCT<url STRING, availability STRING>>>>"
 OA = "STRUCT<doi STRING, is_oa BOOLEAN, oa_status STRING, doi_url STRING, best_oa_location STRUCT<url STRING, url_for_landing_page STRING, url_for_pdf STRING, license STRING, version STRING, host_type STRING, evidence STRING, repository_institution STRING>, oa_locations ARRAY<STRUCT<url STRING>>>"
 ATOM = "entry ARRAY<STRUCT<id STRING, title STRING, summary STRING, published STRING, author ARRAY<STRUCT<name STRING>>, link ARRAY<STRUCT<_href STRING, _rel STRING, _type STRING, _title STRING>>, `arxiv:doi` STRING, `arxiv:journal_ref` STRING, category ARRAY<STRUCT<_term STRING>>>>"
 
@@ -65,12 +64,73 @@ def crossref(df: DataFrame, column="payload") -> DataFrame:
     return r.select(*[c for c in df.columns if c != column], T.doi("m.DOI").alias("doi"), T.strip_tags(first("m.title")).alias("title"), first("m.`container-title`").alias("journal"), T.text("m.publisher").alias("publisher"), T.text("m.type").alias("type"), F.coalesce(F.array_join("m.ISSN", "; "), F.lit("")).alias("issn"), year.alias("year"), date.alias("date"))
 
 
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    """Part of a variant; null where it is absent or of another kind."""
+    return F.try_variant_get(v, f"$.{path}", kind)
+
+
+def _filled(v: Column) -> Column:
+    """The variant, or null if it is blank: null, an empty text, list or object, 0 or false."""
+    return F.when(~F.coalesce(F.to_json(v), F.lit("null")).isin("null", '""', "[]", "{}", "0", "false"), v)
+
+
+def _is(v: Column, mark: str) -> Column:
+    """Is the variant a list ([) or an object ({)?"""
+    return F.coalesce(F.to_json(v).startswith(mark), F.lit(False))
+
+
+def _listed(v: Column) -> Column:
+    """A variant as a list of variants: its own items, or itself alone, or nothing."""
+    own = F.try_variant_get(v, "$", "array<variant>")
+    return F.coalesce(F.when(_is(v, "["), own).when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
+
+
+def crossref_authority(df: DataFrame, column="payload") -> DataFrame:
+    """Captured works as authority rows: doi, title, journal, publisher, type, year, issn (the first), url, created, published; all other columns stay."""
+    m = F.try_parse_json(F.col(column))
+    v = lambda path: _at(F.col("m"), f"message.{path}")
+    text = lambda path: T.text(F.try_variant_get(F.col("m"), f"$.message.{path}", "string"))
+    head = lambda path: T.strip(F.try_variant_get(F.get(_listed(v(path)), F.lit(0)), "$", "string"))
+
+    def parts(path):
+        return F.get(F.try_variant_get(F.col("m"), f"$.message['{path}']['date-parts']", "array<array<string>>"), F.lit(0))
+
+    date = lambda x: F.coalesce(F.array_join(F.filter(x, lambda p: p.isNotNull()), "-"), F.lit(""))
+    year = T.first_filled(*[F.when(~F.get(parts(k), F.lit(0)).isin("", "0"), F.get(parts(k), F.lit(0))) for k in ("issued", "created", "published-print", "published-online")])
+    published = date(F.coalesce(parts("published-print"), parts("published-online")))
+    rows = df.withColumn("m", m).where(v("DOI").isNotNull() | v("title").isNotNull())
+    cells = {"doi": T.doi(text("DOI")), "title": head("title"), "journal": head("['container-title']").alias("journal"), "publisher": text("publisher"), "type": text("type"), "year": year, "issn": head("ISSN"), "url": text("URL"), "created": date(parts("created")), "published": published}
+    return rows.select(*[c for c in df.columns if c not in (column, *cells)], *[c.alias(n) for n, c in cells.items()])
+
+
 def europe_pmc(df: DataFrame, column="payload") -> DataFrame:
-    r = df.select(*[c for c in df.columns if c != column], F.posexplode(F.from_json(column, f"STRUCT<resultList: STRUCT<result: ARRAY<{EPMC}>>>")["resultList"]["result"]).alias("pos", "w"))
-    urls = F.coalesce("w.fullTextUrlList.fullTextUrl", F.array().cast("array<struct<url:string,availability:string>>"))
-    best = F.coalesce(F.get(F.filter(urls, lambda u: F.lower(u["availability"]).isin("open access", "free")), F.lit(0))["url"], F.get(urls, F.lit(0))["url"], F.lit(""))
-    pmid = T.first_filled("w.pmid", F.when(F.col("w.source") == "MED", F.col("w.id")))
-    return r.select(*[c for c in r.columns if c != "w"], T.strip_tags("w.title").alias("title"), T.doi("w.doi").alias("doi"), pmid.alias("pmid"), T.first_filled("w.pubYear", F.substring("w.firstPublicationDate", 1, 4)).alias("publication_year"), T.text("w.journalInfo.journal.title").alias("journal"), F.rtrim(F.regexp_replace(T.text("w.authorString"), r"\.+$", "")).alias("authors"), T.strip_tags("w.abstractText").alias("abstract"), F.coalesce(F.array_join("w.pubTypeList.pubType", "; "), F.lit("")).alias("article_type"), best.alias("best_full_text_url"))
+    """Records as candidate rows. Publication types, full-text links and dates may be a text, an object or a list."""
+    records = F.try_variant_get(F.try_parse_json(F.col(column)), "$.resultList.result", "array<variant>")
+    r = df.select(*[c for c in df.columns if c != column], F.posexplode(records).alias("pos", "w"))
+    w = F.col("w")
+    cell = lambda path: T.clean(_at(w, path, "string"))
+    kinds = F.coalesce(_filled(_at(w, "pubType")), _filled(_at(w, "pubTypeList")))
+    kinds = F.when(_is(kinds, "{"), _at(kinds, "pubType")).otherwise(kinds)
+    types = F.array_join(F.filter(F.transform(_listed(kinds), lambda x: T.clean(F.try_variant_get(x, "$", "string"))), lambda x: x != ""), ";")
+    urls = F.filter(F.transform(_listed(_at(w, "fullTextUrlList.fullTextUrl")), lambda u: F.struct(_at(u, "url", "string").alias("url"), _at(u, "availabilityCode", "string").alias("code"))), lambda u: T.text(u["url"]) != "")
+    best = F.coalesce(F.get(F.filter(urls, lambda u: u["code"] == "OA"), F.lit(0))["url"], F.get(urls, F.lit(0))["url"], F.lit(""))
+    either = lambda k: F.when(_is(_at(w, k), "{"), T.first_filled(_at(w, f"{k}.printPublicationDate", "string"), _at(w, f"{k}.dateOfPublication", "string"))).otherwise(_at(w, k, "string"))
+    dates = [cell(k) for k in ("pubYear", "yearOfPublication")] + [T.clean(either(k)) for k in ("firstPublicationDate", "electronicPublicationDate", "journalInfo")]
+    year = F.coalesce(*[F.when(F.length(x) >= 4, F.substring(x, 1, 4)) for x in dates], F.lit(""))
+    source, own, doi = cell("source"), cell("id"), T.doi(cell("doi"))
+    pmid = F.when(cell("pmid") != "", cell("pmid")).when(F.upper(source) == "MED", own).otherwise("")
+    landing = F.when((source != "") & (own != ""), F.concat(F.lit("https://europepmc.org/article/"), _quoted(source), F.lit("/"), _quoted(own))).when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise("")
+    note = F.concat(F.lit("source="), source, F.lit("; isOpenAccess="), cell("isOpenAccess"), F.lit("; hasFullText="), cell("hasFullText"), F.lit("; inEPMC="), cell("inEPMC"))
+    cells = {
+        "title": cell("title"), "doi": doi, "publication_year": year, "journal": cell("journalTitle"), "abstract": cell("abstractText"), "article_type": types, "cited_by_count": cell("citedByCount"), "authors": F.regexp_replace(cell("authorString"), r"\.+$", ""),
+        "landing_page_url": landing, "url": landing, "best_full_text_url": best, "pmid": pmid, "pmcid": cell("pmcid"), "europe_pmc_id": F.when((source != "") & (own != ""), F.concat(source, F.lit(":"), own)).otherwise(own), "discovery_source": F.lit("europe_pmc"), "source_note": note,
+    }
+    return r.select(*[c for c in r.columns if c != "w"], *[c.alias(n) for n, c in cells.items()])
+
+
+def _quoted(c: Column) -> Column:
+    """Percent-encoded part of a path; / stays."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("*"), F.lit("%2A"))
 
 
 def open_access(df: DataFrame, column="payload", status="status", checked_at: str = "") -> DataFrame:

@@ -142,7 +142,7 @@ def test_authority_rules(spark):
     df = spark.createDataFrame(rows, "_ord long, doi string, title string, publication_year string, journal string")
     auth = spark.createDataFrame([(1, "10.1/a", "later", "1", ""), (0, "10.1/A", "The Blue Kite Flies", "2000", "Kite Weekly")], "_ord long, doi string, title string, year string, journal string")
     got = {r._ord: (r.crossref_status, r.crossref_mismatches) for r in V.authority_join(df, auth).collect()}
-    assert got == {0: ("verified", ""), 1: ("verified", ""), 2: ("mismatch", "JOURNAL_MISMATCH: input='sailing and boats' vs crossref='kite weekly'"), 3: ("mismatch", "YEAR_MISMATCH: input=2001 vs crossref=2000"), 4: ("missing_doi", ""), 5: ("lookup_failed", "CROSSREF_LOOKUP_FAILED")}
+    assert got == {0: ("verified", ""), 1: ("verified", ""), 2: ("mismatch", "JOURNAL_MISMATCH: input='sailing and boats' vs crossref='kite weekly'"), 3: ("mismatch", "YEAR_MISMATCH: input=2001 vs crossref=2000"), 4: ("missing_doi", "NO_DOI"), 5: ("lookup_failed", "CROSSREF_LOOKUP_FAILED")}
     strict = {r._ord: r.crossref_mismatches for r in V.authority_join(df, auth, strict=True).collect()}
     assert strict[3].startswith("TITLE_MINOR_DIFF: input vs crossref (sim=0.89); YEAR")
 
@@ -171,3 +171,39 @@ def test_profile_loader():
 @pytest.mark.parametrize("href, want", [("../a", "http://h/a"), ("./a/../b?c#d", "http://h/x/b?c#d"), ("/p/./q/..", "http://h/p/"), ("?k=1", "http://h/x/y?k=1"), ("#f", "http://h/x/y?z#f"), ("//o/a", "http://o/a"), ("mailto:x", "mailto:x"), ("", ""), ("../../../a", "http://h/a")])
 def test_absolute_urls(spark, href, want):
     assert one(spark, P.absolute(F.lit("http://h/x/y?z"), "v"), v=href) == want
+
+
+def test_concept_objects():
+    f = C.from_object
+    assert f({"near": "alpha, beta", "label": "Close By"}) == C.Concept("close_by", "near", ("alpha", "beta"))
+    assert f({"terms": "a|b; c"}).patterns == ("a", "b", "c") and f({"term": ["x ", " ", 3]}).patterns == ("x", "3")
+    assert f({"near": ["a", "b"], "window": 0}).window == C.NEAR_WINDOW and f({"near": ["a", "b"], "window": -4}).window == 1
+    assert f({"not_near": {"terms": ["a", "b"], "window": 3}}).window == 3
+    assert f({"all_of": ["A=x", {"any_of": "y"}], "weight": "2"}) == C.Concept("concept", "all", children=(C.Concept("a", patterns=("x",)), C.Concept("concept", "any", children=(C.Concept("y", patterns=("y",)),))), weight=2.0)
+    assert f('{"name": "J", "patterns": "p"}') == C.Concept("j", patterns=("p",)) and f("{no json").patterns == ("{no json",)
+    assert C.parse_spec("core=").patterns == ("",) and C.parse_spec("A b").name == "a_b"
+    for bad in ('["x"]', {"near": "alone"}, {"all_of": []}, {"not": None}, {"near": 3}, {"terms": " "} | {"terms": []}, {"terms": 5}, 7, ""):
+        try:
+            f(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+def test_empty_terms_and_commas_in_near(spark):
+    df = spark.createDataFrame([("alpha then beta",), ("alpha",), ("",)], "abstract string")
+    near, any_text = C.from_object({"near": "alpha, beta"}), C.parse_spec("core=")
+    assert [tuple(r) for r in df.select(C.matches(near, df.columns), C.matches(any_text, df.columns)).collect()] == [(True, True), (False, True), (False, False)]
+
+
+def test_sql_functions_say_what_the_columns_say(spark):
+    from quillspark.plans import views
+
+    rows = ["The Journal of X &amp; Y", "A-b  c", "1234-567x", "", None, "3.5", " -2e3 ", "x1", "high", "low", "needs_review"]
+    df = spark.createDataFrame([(i, r, "", "t") for i, r in enumerate(rows)], "_ord long, title string, doi string, abstract string")
+    names = views.register(spark, df, C.Profile(required=(C.parse_spec("t"),)))
+    assert list(names) == ["candidates", "deduped_candidates", "triaged_candidates", "selected_candidates", "publisher_queue"]
+    for r in spark.sql("SELECT normalize_title(title) a, normalize_issn(title) b, normalize_journal(title) c, first_number(title) d, triage_rank(title) e, title FROM candidates").select("*", T.title("title").alias("a2"), T.issn("title").alias("b2"), T.journal("title").alias("c2"), T.first_number("title").alias("d2")).collect():
+        assert (r.a, r.b, r.c, r.d) == (r.a2, r.b2, r.c2, r.d2), r.title
+    plan = spark.sql("SELECT count(*) FROM triaged_candidates WHERE _ord = 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert "triage_reasons" not in plan  # columns that the query does not read are not computed
