@@ -15,7 +15,7 @@ from .curate import stages
 FUNCTIONS = {
     "normalize_title(x STRING) RETURNS STRING": r"trim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]+', ' '))",
     "normalize_issn(x STRING) RETURNS STRING": r"regexp_replace(upper(coalesce(x, '')), '[^0-9X]', '')",
-    "normalize_journal(x STRING) RETURNS STRING": r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(x, '')), '&amp;|&', ' and '), '[^a-z0-9]+', ' '), '\\\\b(the|journal|of)\\\\b', ' '), ' +', ' '))",
+    "normalize_journal(x STRING) RETURNS STRING": r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(x, '')), '&amp;|&', ' and '), '[^a-z0-9]+', ' '), '\\b(the|journal|of)\\b', ' '), ' +', ' '))",
     "first_number(x STRING) RETURNS DOUBLE": r"CASE WHEN trim(coalesce(x, '')) RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' THEN CAST(trim(x) AS DOUBLE) ELSE 0.0 END",
     "triage_rank(x STRING) RETURNS INT": "CASE x " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in G.RANK.items()) + " ELSE 99 END",
 }
