@@ -108,15 +108,40 @@ def test_training_climbs_the_likelihood():
         assert np.isclose((value(up) - value(down)) / (2 * eps), (gold - p)[bucket == k].sum(), atol=1e-6)
 
 
-def test_long_training_documents_are_sampled_by_sequence(monkeypatch):
-    monkeypatch.setattr(toxicity, "WORDS_EACH", 20)
+def test_sequences_without_known_words_are_looked_up(monkeypatch):
     monkeypatch.setattr(toxicity, "SLICE", 7)
-    w, starts = np.arange(50), np.arange(0, 50, 5)
-    got, own = toxicity._sample(w, starts)
-    assert len(got) == 20 and len(own) == 4 and all((got[a] % 5 == 0) and (np.diff(got[a : a + 5]) == 1).all() for a in own)
     r = np.random.default_rng(1)
-    bucket, weight, trans = r.integers(0, 50, 50), r.normal(size=50), r.normal(size=(2, 2))
-    assert np.allclose(toxicity.scored(weight, trans, bucket, starts), toxicity.marginals(weight, trans, bucket, starts)[0])
+    bucket, starts, trans = r.integers(0, 50, 120), np.array([0, 5, 6, 20, 21, 22, 40, 90, 100]), r.normal(size=(2, 2))
+    known = np.arange(50) < 4
+    weight = np.where(known, r.normal(size=50), -1.3)
+    want = toxicity.marginals(weight, trans, bucket, starts)[0]
+    assert np.allclose(toxicity.scored(weight, trans, bucket, starts), want) and np.allclose(toxicity.scored(weight, trans, bucket, starts, known, toxicity._alone(-1.3, trans, 60)), want)
+    assert len(toxicity.scored(weight, trans, bucket[:0], starts[:0], known, None)) == 0
+
+
+def test_counted_sequences_are_their_copies():
+    """Sequences that count several times have the gradient of so many copies; folds that a model leaves out have none."""
+    r = np.random.default_rng(2)
+    own = [r.integers(0, 4, n) for n in (3, 1, 5, 2)]
+    times, toxic, fold = np.array([2, 3, 1, 2]), np.array([1, 0, 1, 1]), np.array([0, 1, 2, 0])
+    f = toxicity.Fields.new(np.array([[True, False, True], [False, True, True]]), np.array([-1, 0]))
+    f.w, f.trans = r.normal(size=f.w.shape), r.normal(size=f.trans.shape)
+    flat = lambda seqs: (np.concatenate(seqs), np.cumsum([0] + [len(s) for s in seqs])[:-1])
+    got = f.gradient(*flat(own), toxic, fold, times)
+    copies = np.repeat(np.arange(4), times)
+    assert np.allclose(got, f.gradient(*flat([own[i] for i in copies]), toxic[copies], fold[copies], np.ones(len(copies), int)))
+    assert np.allclose(got[1], f.gradient(*flat([own[i] for i in (1, 2)]), toxic[[1, 2]], fold[[1, 2]], times[[1, 2]])[1])
+
+
+def test_parts_train_the_same_field(spark, monkeypatch):
+    rows = [(i, words("en", 30) + (" vile rot. " if i % 3 == 0 else " fine. ") + words("en", 10), int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "STEPS", 6)
+    one = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    monkeypatch.setattr(toxicity, "PART_TOKENS", 400)
+    many = toxicity.fit(docs.repartition(5), docs.select("doc_id", "toxic"))
+    assert one["known"].sum() >= 2 and np.array_equal(one["known"], many["known"])
+    assert np.allclose(one["w"], many["w"], atol=1e-4) and np.allclose(one["trans"], many["trans"], atol=1e-6) and np.allclose(one["c"], many["c"], atol=1e-4)
 
 
 def test_memory_of_a_text_of_24_mb():
