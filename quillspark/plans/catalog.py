@@ -388,23 +388,42 @@ def page_features(spark, sf):
     return _t(spark, sf, "pages").select("page_id", P.features("html", F.lit("")).alias("features"))
 
 
-_ACCESS = ["blocked", "server_error", "network_error", "blocked_url", "pdf_direct", "non_html", "html_possible", "abstract_only_or_landing", "abstract_only_or_landing", "landing_page", "landing_page"]
 _HTML = {"blocked": "blocked", "pdf_direct": "not_html", "non_html": "not_html", "html_possible": "available", "abstract_only_or_landing": "available", "landing_page": "available"}
 
 
-@query(f"""WITH k AS (SELECT page_id, [{", ".join(f"'{a}'" for a in _ACCESS)}][1 + page_id % 11] AS access_status FROM pages)
+@query(f"""WITH p AS (SELECT page_id, page_id % 11 AS k, CASE WHEN page_id % 11 IN (4, 5) THEN repeat(' ', 1000) || html WHEN page_id % 11 = 6 THEN '<html><p>Full Text</p>' || html WHEN page_id % 11 = 7 THEN '<html><p>abstract, full text: subscribe</p>' || html WHEN page_id % 11 = 8 THEN '<html><p>Abstract</p>' || html ELSE '<html>' || html END AS page FROM pages),
+a AS (SELECT page_id, CASE WHEN k = 0 THEN 'blocked' WHEN k = 1 THEN 'server_error' WHEN k = 2 THEN 'network_error' WHEN k = 3 THEN 'blocked_url' WHEN NOT contains(lower(substr(page, 1, 1000)), '<html') THEN CASE WHEN k = 4 THEN 'pdf_direct' ELSE 'non_html' END
+ WHEN regexp_matches(page, '(?i)\\b(full text|materials and methods|experimental|supporting information)\\b') AND NOT regexp_matches(page, '(?i)\\b(purchase|rent|subscribe|institutional access|access through your institution)\\b') THEN 'html_possible'
+ WHEN regexp_matches(page, '(?i)\\babstract\\b') THEN 'abstract_only_or_landing' ELSE 'landing_page' END AS access_status FROM p)
 SELECT page_id, access_status, CASE access_status {" ".join(f"WHEN '{a}' THEN '{h}'" for a, h in _HTML.items())} ELSE 'unknown' END AS html_status, CASE WHEN access_status = 'pdf_direct' THEN 'found' ELSE 'unknown' END AS pdf_status, 'unknown' AS si_status,
-CASE access_status {" ".join(f"WHEN '{a}' THEN '{t}'" for a, t in P.ACCESS_ACTIONS.items())} END AS next_action FROM k""")
+CASE access_status {" ".join(f"WHEN '{a}' THEN '{t}'" for a, t in P.ACCESS_ACTIONS.items())} END AS next_action FROM a""")
 def access_class(spark, sf):
-    """Every class: by status, content type and markers added to the pages."""
+    """Every class, by status, content type and the whole pages with markers put before some."""
     k = F.col("page_id") % 11
     status = F.when(k == 0, "403").when(k == 1, "503").when(k == 2, "").when(k == 3, "blocked_url").otherwise("200")
     kind = F.when(k == 4, "application/pdf").when(k == 5, "text/plain").otherwise("")
     added = F.when(k == 6, "<p>Full Text</p>").when(k == 7, "<p>abstract, full text: subscribe</p>").when(k == 8, "<p>Abstract</p>").otherwise("")
-    page = F.when(k.isin(4, 5), "x").otherwise(F.concat(F.lit("<html>"), added, F.when(k < 9, "").otherwise(F.col("html"))))
+    page = F.when(k.isin(4, 5), F.concat(F.lit(" " * 1000), "html")).otherwise(F.concat(F.lit("<html>"), added, "html"))
     return _t(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in P.access_row(status, kind, page).items()])
 
 
+# Hosts and whether they are public.
+_HOSTS = [
+    ("localhost", False), ("a.local", False), ("127.1", False), ("2130706433", False), ("0x7f.0.0.1", False), ("0177.0.0.1", False), ("10.255.0.3:8080", False), ("172.31.9.9", False), ("172.32.9.9", True), ("192.168.1.1.", False),
+    ("user:pw@169.254.169.254", False), ("8.8.8.8", True), ("134744072", True), ("[::1]", False), ("[::ffff:10.0.0.1]:80", False), ("[::ffff:808:808]", True), ("[fe80::1%25eth0]", False), ("[2001:db8::1]", False), ("[2606:4700::1111]", True), ("300.1.1.1", False), ("example.org", True), ("x.1.example", True), ("", False), ("224.0.0.251", False),
+]
+
+
+@query(f"SELECT page_id, [{', '.join(str(p).lower() for _, p in _HOSTS)}][1 + page_id % {len(_HOSTS)}] AND page_id % 7 <> 0 AS public, page_id % 7 <> 1 AND regexp_matches(url, '(?i)^https?://[a-z]') AS own FROM pages")
+def url_safety(spark, sf):
+    """Hosts as names and addresses in every form before the pages' own paths, with other schemes; and the pages' own URLs."""
+    k = F.col("page_id")
+    host = F.element_at(F.array(*[F.lit(h) for h, _ in _HOSTS]), (k % len(_HOSTS) + 1).cast("int"))
+    made = F.concat(F.when(k % 7 == 0, "ftp://").otherwise("HTTP://"), host, F.lit("/"), F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""))
+    own = F.when(k % 7 == 1, F.concat(F.lit("file:"), "url")).otherwise(F.col("url"))
+    return _t(spark, sf, "pages").select("page_id", P.public_url(made).alias("public"), P.public_url(own).alias("own"))
+
+
 _ADDED = [
     '<META content-type="x" name="citation_pdf_url" content="/a/1.pdf"><a href="/sup">supplement</a>',
     '<a class="b" href="dl/x.pdf?a=1&amp;b=2">Get</a>',

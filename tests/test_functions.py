@@ -207,3 +207,16 @@ def test_sql_functions_say_what_the_columns_say(spark):
         assert (r.a, r.b, r.c, r.d) == (r.a2, r.b2, r.c2, r.d2), r.title
     plan = spark.sql("SELECT count(*) FROM triaged_candidates WHERE _ord = 3")._jdf.queryExecution().optimizedPlan().toString()
     assert "triage_reasons" not in plan  # columns that the query does not read are not computed
+
+
+def test_public_urls_and_probes_of_others(spark):
+    from quillspark.operators import probe as P
+
+    cases = {"http://127.0.0.1/x": False, "https://1.2.3/": True, "http://1.2.70000/": False, "http://0300.0250.1.1/": False, "http://0xc0a80101/": False, "https://[2001:4860:4860::8888]:443/": True, "http://[2001:10::1]/": False, "http://[::ffff:7f00:1]/": False, "http://user@[::]/": False, "http://9.9.9.9./": True, "http:///x": False, "gopher://a.org": False, "http://100.64.0.1/": True, "http://08.1.1.1/": False}
+    df = spark.createDataFrame([*cases.items()], "u string, ok boolean")
+    assert [r.u for r in df.where(P.public_url("u") != df.ok).collect()] == []
+    queue = spark.createDataFrame([(0, "", "http://10.0.0.1/a"), (1, "", "https://pub.example.org/b"), (2, "", "https://pub.example.org/c")], "_ord long, doi string, publisher_url string")
+    page = lambda start, url: (start, url, "200", "text/html", "<html>full text " + "x" * 600_000 + " abstract", "")
+    pages = spark.createDataFrame([page("http://10.0.0.1/a", "http://10.0.0.1/a"), page("https://pub.example.org/b", "https://pub.example.org/b"), page("https://pub.example.org/c", "http://169.254.169.254/")], "start_url string, url string, status string, content_type string, body string, error string")
+    got = [(r.access_status, r.http_status, r.page_features) for r in P.probe(queue, pages, "now").orderBy("_ord").collect()]
+    assert got == [("blocked_url", "blocked_url", ""), ("html_possible", "200", "html; fulltext_marker"), ("blocked_url", "blocked_url", "")]
