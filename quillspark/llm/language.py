@@ -197,7 +197,9 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognised language (``und``, or no language with LEAST_SHARE) go."""
+    """Pipeline stage: documents without a recognised language (``und``, or no language with LEAST_SHARE) go.
+
+    All columns of the others stay, whatever their names. Equal rows get the same verdict; an empty table stays empty."""
     import regex
 
     model = spark.sparkContext.broadcast(fit(training_fold(docs)))

@@ -398,13 +398,21 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays (the smallest id; of rows that repeat an id and text, one).
 
     Rows whose (id, text) is not in a fixed-size bitmap of those to check pass without a shuffle; only the others are
-    joined. Rows without an id pass, as do texts without words. An empty table stays empty."""
+    joined. Rows without an id pass, as do texts without words. An empty table stays empty, and of equal rows one stays. Columns may have
+    any names; those that this stage adds for itself differ from them."""
     verdict = table(classes(docs).select("doc_id", "d1", "d2", "kept"), "dart-verdicts")
     doubt = verdict.groupBy("doc_id", "d1", "d2").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("c")).where("not kept or c > 1").select("doc_id", "d1", "d2", "kept")
     doubt = cut(doubt)
     words = spark.sparkContext.broadcast(bitmap(doubt.select("doc_id", "d1")))
     names, schema = docs.columns, docs.schema
-    at = len(names)
+    at, taken = len(names), {n.lower() for n in docs.columns}
+
+    def own(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    mark, num, d1, d2 = (own(n) for n in ("__slot", "__id", "__d1", "__d2"))
 
     def part(inside: bool):
         def run(batches):
@@ -414,12 +422,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 b = b.filter(pa.array(hit == inside))
                 yield pa.record_batch([b.column(i) for i in range(at)], names=names)
 
-        keys = docs.withColumn("__slot", slot(F.col("doc_id").cast("long"), F.xxhash64("text")))
+        keys = docs.withColumn(mark, slot(F.col("doc_id").cast("long"), F.xxhash64("text")))
         return keys.transform(arrow, run, schema)
 
-    digest = [F.xxhash64("text").alias("__d1"), F.xxhash64(F.lit(7), "text").alias("__d2")]
-    checked = part(True).select("*", F.col("doc_id").cast("long").alias("__id"), *digest)
+    digest = [F.xxhash64("text").alias(d1), F.xxhash64(F.lit(7), "text").alias(d2)]
+    checked = part(True).select("*", F.col("doc_id").cast("long").alias(num), *digest)
     if not doubt.where("kept").isEmpty():
-        checked = checked.dropDuplicates(["__id", "__d1", "__d2"])
-    gone = doubt.where("not kept").select(F.col("doc_id").alias("__id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"))
-    return part(False).unionByName(checked.join(gone, ["__id", "__d1", "__d2"], "left_anti").select(*names))
+        checked = checked.dropDuplicates([num, d1, d2])
+    gone = doubt.where("not kept").select(F.col("doc_id").alias(num), F.col("d1").alias(d1), F.col("d2").alias(d2))
+    return part(False).unionByName(checked.join(gone, [num, d1, d2], "left_anti").select(*names))

@@ -40,7 +40,7 @@ from .store import arrow, table
 
 SIZE, END = 2048, 0
 #: A band of lengths reaches down to STEP of its longest, below a share of FEW of a sequence to half of it.
-STEP, FEW = 0.8, 1 / 32
+STEP, FEW, WHOLE = 0.8, 1 / 32, 4
 #: Pieces or gaps of one size in a range at least, and ranges beside one for each size at most.
 RANGE, RANGES = 1_000, 1_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -185,12 +185,14 @@ def _pieces(path: str, size: int):
 def bands(size: int = SIZE) -> list[tuple[int, int]]:
     """(shortest, longest) length of each round, from the longest pieces to the shortest.
 
-    Down to size / 8 no band reaches over size / k, so all its pieces go k to a new sequence."""
+    Down to size / 8 no band reaches over size / k, so all its pieces go k to a new sequence; down to size / WHOLE such a class of
+    pieces is one band, as no gap that one of them leaves behind holds another beyond the k."""
     out, hi = [], size - 1
     while hi:
         lo = int(hi * STEP) + 1 if hi > FEW * size else hi // 2 + 1
         if hi * 8 > size:
-            lo = max(lo, size // (size // hi + 1) + 1)
+            least = size // (size // hi + 1) + 1
+            lo = least if hi * WHOLE > size else max(lo, least)
         out.append((min(lo, hi), hi))
         hi = out[-1][0] - 1
     return out
@@ -306,5 +308,5 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the packed pieces."""
+    """Last pipeline stage: the packed pieces. Only doc_id and text are read, so other columns may have any names; equal rows are packed each; an empty table gives no row."""
     return pack(docs)

@@ -124,7 +124,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go, all columns of the others stay.
+    """Pipeline stage: rejected documents go, all columns of the others stay, whatever their names. Equal rows get the same verdict; an empty table stays empty.
 
     The verdict is computed beside the row, so no join (and no shuffle of texts) is needed."""
     trusted = trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))

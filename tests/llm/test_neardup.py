@@ -137,3 +137,12 @@ def test_stage_keeps_one_of_each_class(spark):
     out = neardup.stage(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute(rows)))
+
+
+def test_stage_leaves_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 5, "a", 7, 8), (2, text + " end", 6, "b", 7, 8), (3, "other words of its own", 7, "c", 7, 8), (3, "other words of its own", 7, "c", 7, 8), (None, None, 8, "d", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __slot int, __D1 string, __id int, __d2_ int")
+    out = neardup.stage(spark, df, "")
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r["__slot"], r["__D1"]) for r in out.collect()) == [(0, 8, "d"), (1, 5, "a"), (3, 7, "c")]
+    assert neardup.stage(spark, df.where("false"), "").collect() == []
