@@ -9,8 +9,8 @@ from ..functions import text as T
 # Fields that name a row's journal and its ISSNs, in order of preference.
 NAME_FIELDS = ("crossref_container", "journal", "container", "source", "source_query_name")
 ISSN_FIELDS = ("crossref_issn", "issn", "journal_issn")
-#: The dimension is broadcast only up to so many keys; beyond it the join shuffles.
-BROADCAST_KEYS = 200_000
+#: The dimension is broadcast only up to so many keys and bytes of keys and metric rows; beyond it the join shuffles.
+BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def keys(metrics: DataFrame) -> DataFrame:
@@ -28,7 +28,9 @@ def match(df: DataFrame, metrics: DataFrame) -> DataFrame:
     parts = [F.transform(T.items(c), lambda x: F.struct(F.lit("issn").alias("kind"), T.issn(x).alias("key"))) for c in own[0]]
     parts += [F.array(F.struct(F.lit("name").alias("kind"), T.journal(c).alias("key"))) for c in own[1]]
     table = keys(metrics)
-    if table.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    size = F.octet_length("key") + F.octet_length(F.to_json("metric"))
+    n, total = table.limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= BROADCAST_KEYS and total <= BROADCAST_BYTES:
         table = F.broadcast(table)
     if not parts:
         return df.withColumn("metric", F.lit(None).cast(table.schema["metric"].dataType))

@@ -220,3 +220,22 @@ def test_public_urls_and_probes_of_others(spark):
     pages = spark.createDataFrame([page("http://10.0.0.1/a", "http://10.0.0.1/a"), page("https://pub.example.org/b", "https://pub.example.org/b"), page("https://pub.example.org/c", "http://169.254.169.254/")], "start_url string, url string, status string, content_type string, body string, error string")
     got = [(r.access_status, r.http_status, r.page_features) for r in P.probe(queue, pages, "now").orderBy("_ord").collect()]
     assert got == [("blocked_url", "blocked_url", ""), ("html_possible", "200", "html; fulltext_marker"), ("blocked_url", "blocked_url", "")]
+
+
+def test_query_lists_keep_their_order(spark, tmp_path):
+    from quillspark.sources import files
+
+    (tmp_path / "q.txt").write_text("# heading\n second  \n\nfirst\nsecond\n" + "\n".join(f"line {i}" for i in range(1200)))
+    got = [(r.query_id, r["query"]) for r in files.read_queries(spark, f"{tmp_path}/q.txt", ["first", "more", "more"]).orderBy("_ord").collect()]
+    assert got[:3] == [("q001", "second"), ("q002", "first"), ("q003", "line 0")] and got[-1] == ("q1203", "more") and len(got) == 1203
+
+
+def test_dimensions_are_broadcast_by_keys_and_bytes(spark, monkeypatch):
+    from quillspark.operators import metrics as M
+
+    dim = spark.createDataFrame([(i, f"J{i}", "", "", str(i)) for i in range(50)], "_ord long, journal string, aliases string, issn string, impact_factor string")
+    rows = spark.createDataFrame([(i, f"j{i}") for i in range(60)], "_ord long, journal string")
+    plan = lambda: M.match(rows, dim)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan()
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 100)
+    assert "strategy=broadcast" not in plan() and M.annotate(rows, dim).where("journal_metric_verified = 'true'").count() == 50
