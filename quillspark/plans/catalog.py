@@ -191,11 +191,13 @@ _GATES = {"priorities": ("high", "medium"), "decisions": ("Include",)}
 
 @query(f"""{_META} SELECT _ord, d AS doi, publication_year, 'https://doi.org/' || d AS doi_url, 'https://doi.org/' || d AS publisher_url, title, journal, 'pending' AS queue_status, 'unknown' AS pdf_status, crossref_status, triage_score,
 'screenshots/' || trim(regexp_replace(d, '[^a-z0-9]+', '_', 'g'), '_') AS screenshot_dir, decision AS screening_decision, 'publisher_visible_text; abstract; methods_or_evidence_section; results_or_key_claim_section; evidence_pointer' AS page_required_fields,
-CASE triage_priority WHEN 'high' THEN '1' WHEN 'low' THEN '4' ELSE CASE WHEN decision = 'Include' THEN '1' WHEN decision = 'Backup' THEN '2' WHEN _ord % 8 >= 6 THEN '1' WHEN _ord % 8 >= 3 THEN '2' ELSE '3' END END AS extraction_priority
+CASE triage_priority WHEN 'high' THEN '1' WHEN 'low' THEN '4' ELSE CASE WHEN decision = 'Include' THEN '1' WHEN decision = 'Backup' THEN '2' WHEN _ord % 8 >= 6 THEN '1' WHEN _ord % 8 >= 3 THEN '2' ELSE '3' END END AS extraction_priority,
+discovery_source, triage_priority, metadata_status, crossref_mismatches, concat_ws('; ', CASE WHEN trim(title) = '' THEN 'missing_title' END, CASE WHEN d = '' THEN 'missing_doi' END, CASE WHEN y < 2019 THEN 'year_before_2019' END, CASE WHEN a = 'data-paper' THEN 'article_type_data-paper' END) AS hard_filter_flags, 'pending' AS access_status, 'pending' AS html_status, 'unknown' AS si_status, 'publisher_page_or_better' AS evidence_target_grade, '{Q.NEXT_ACTION}' AS next_action, '{Q.NOTES}' AS notes,
+'' AS candidate_status, '' AS semantic_tags, '' AS triage_reasons, '' AS crossref_verified, '' AS relevance_score, '' AS journal_metric, '' AS metric_filter_status, '' AS is_oa, '' AS oa_status, '' AS best_oa_url, '' AS unpaywall_status, '' AS resolved_url, '' AS pdf_url, '' AS si_url, 'publisher_landing_page; abstract_or_summary; article_sections_available; task_requested_fields; evidence_pointer; pdf_url; si_url' AS fields_needed
 FROM s WHERE {_GATED} = ''""")
 def queue_build(spark, sf):
     out = Q.build(_triaged(spark, sf), **_GATES)
-    return out.select("_ord", "doi", "publication_year", "doi_url", "publisher_url", "title", "journal", "queue_status", "pdf_status", "crossref_status", "triage_score", "screenshot_dir", "screening_decision", "page_required_fields", "extraction_priority")
+    return out.select("_ord", "doi", "publication_year", "doi_url", "publisher_url", "title", "journal", "queue_status", "pdf_status", "crossref_status", "triage_score", "screenshot_dir", "screening_decision", "page_required_fields", "extraction_priority", "discovery_source", "triage_priority", "metadata_status", "crossref_mismatches", "hard_filter_flags", "access_status", "html_status", "si_status", "evidence_target_grade", "next_action", "notes", "candidate_status", "semantic_tags", "triage_reasons", "crossref_verified", "relevance_score", "journal_metric", "metric_filter_status", "is_oa", "oa_status", "best_oa_url", "unpaywall_status", "resolved_url", "pdf_url", "si_url", "fields_needed")
 
 
 @query(f"{_META} SELECT {_GATED} AS reason, count(*) AS n FROM s GROUP BY 1")
