@@ -72,6 +72,8 @@ SENTENCES = {
     "BSDSOURCE": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BSDBINARY": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "BSDENDORSE": "neither the name of * nor the names of its contributors may be used to endorse or promote products",
+    "BSDNAMES": "must not be used to endorse or promote products derived from this software",
+    "BSDCALLED": "products derived from this software may not be called",
     "BSDASIS": "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "BSDLIABLE": "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     # other permissive licences
@@ -96,6 +98,10 @@ RULES = [
     ("BSD-3-Clause", ("BSDHEAD", "BSDPROVIDED", "BSDSOURCE", "BSDBINARY", "BSDENDORSE")),
     ("BSD-3-Clause", ("BSDHEAD", "BSDPROVIDED", "BSDENDORSE")),
     ("BSD-3-Clause", ("BSDHEAD", "BSDENDORSE")),
+    ("LicenseRef-BSD-Named", ("BSDHEAD", "BSDPROVIDED", "BSDSOURCE", "BSDBINARY", "BSDNAMES")),
+    ("LicenseRef-BSD-Named", ("BSDHEAD", "BSDPROVIDED", "BSDSOURCE", "BSDNAMES")),
+    ("LicenseRef-BSD-Named", ("BSDHEAD", "BSDPROVIDED", "BSDNAMES")),
+    ("LicenseRef-BSD-Named", ("BSDHEAD", "BSDNAMES")),
     ("BSD-2-Clause", ("BSDHEAD", "BSDPROVIDED", "BSDSOURCE", "BSDBINARY", "BSDASIS", "BSDLIABLE")),
     ("BSD-2-Clause", ("BSDHEAD", "BSDPROVIDED", "BSDSOURCE", "BSDBINARY")),
     ("AGPL-3.0-or-later", ("AGNUFREE", "GNUV3", "GPLLATER", "GNUHOPE", "GNUCOPY")),

@@ -123,3 +123,11 @@ def test_sentences_of_the_caller(spark):
 def test_cues_cover_every_sentence():
     own = licenses.cues(licenses.SENTENCES.values())
     assert all(set(own) & set(s.split()) for s in licenses.SENTENCES.values())
+
+
+def test_bsd_texts_with_other_endorsement_clauses_are_not_bsd_2(spark):
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions, and the following disclaimer.\n"
+    names = '3. The name "X" must not be used to endorse or promote products derived from this software without prior written permission.\n4. Products derived from this software may not be called "X".\n'
+    df = spark.createDataFrame([(1, head + names), (2, head), (3, head + "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n" + names)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert got == {1: "LicenseRef-BSD-Named", 2: "BSD-2-Clause", 3: "LicenseRef-BSD-Named"}
