@@ -108,3 +108,13 @@ def test_a_killed_stage_goes_on_within_it(spark, tmp_path):
     assert len(done) == 10 and same == sig and fingerprint(again) == fingerprint(whole)
     none, _ = Run(spark, f"{tmp_path}/c", "r").batched("verified", source.where("false"), f, 10, counters=counters)
     assert none.count() == 0 and none.columns == ["id", "t", "double"]
+
+
+def test_written_tables_are_removed_on_request(spark):
+    from quillspark.sources import shared
+
+    shared.clean(spark)
+    df = shared.written(spark.range(5), "some")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 5 and storage.exists(spark, path)
+    assert shared.clean(spark) == 1 and not storage.exists(spark, path) and shared.clean(spark) == 0
