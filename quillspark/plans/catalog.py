@@ -773,13 +773,13 @@ SELECT k AS _ord, CASE WHEN k % 4 = 0 THEN 'missing_url' WHEN k % 4 = 3 THEN 'ne
 CASE WHEN k % 4 = 1 THEN root || '/x.pdf' WHEN k % 4 = 2 THEN 'oa.pdf' ELSE '' END AS pdf_url, CASE k % 4 WHEN 0 THEN 'unknown' WHEN 3 THEN 'not_found' ELSE 'found' END AS pdf_status, CASE k % 4 WHEN 1 THEN 'pdf:pdf' WHEN 2 THEN 'pdf:unpaywall_best_oa' ELSE '' END AS publisher_link_hints,
 CASE WHEN k % 4 IN (1, 2) THEN 'medium' ELSE 'low' END AS publisher_probe_confidence FROM p""")
 def probe_queue(spark, sf):
-    """Start URL by DOI, else by URL; the page's links, else the open-access copy."""
+    """Start URL by DOI, else by URL; the row's own fetch and the links of its page, else the open-access copy."""
     p = _t(spark, sf, "pages")
     k = F.col("page_id") % 4
     queue = p.select(F.col("page_id").alias("_ord"), F.when(k == 1, F.concat(F.lit("10.5/"), "page_id")).otherwise("").alias("doi"), F.when(k.isin(2, 3), F.col("url")).otherwise("").alias("publisher_url"), F.when(k == 2, "oa.pdf").otherwise("").alias("best_oa_pdf_url"))
     start = F.when(k == 1, F.concat(F.lit("https://doi.org/10.5/"), "page_id")).otherwise(F.col("url"))
     shown = F.concat(F.lit("<html>"), F.when(k == 1, '<a href="/x.pdf">PDF</a>').otherwise(""), "html")
-    pages = p.where(k.isin(1, 2)).select(start.alias("start_url"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("content_type"), shown.alias("body"), F.lit("").alias("error"))
+    pages = p.where(k.isin(1, 2)).select(F.col("page_id").alias("_ord"), start.alias("start_url"), "url", F.lit("200").alias("status"), F.lit("text/html").alias("content_type"), shown.alias("body"), F.lit("").alias("error"))
     return P.probe(queue, pages, "2024-01-01T00:00:00Z").select("_ord", "access_status", "publisher_probe_start_url", "pdf_url", "pdf_status", "publisher_link_hints", "publisher_probe_confidence")
 
 
