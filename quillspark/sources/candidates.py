@@ -39,8 +39,8 @@ LEAD_HEADERS = {"title": ("title", "result_title", "name"), "url": ("url", "link
 
 
 def web_leads(df: DataFrame, query: str = "") -> DataFrame:
-    """Lead rows: first filled header, DOI from doi, title, url or snippet, year from any of them. Needs _ord."""
+    """Lead rows: first filled header, DOI from doi, title, url or snippet, year from year, title, snippet or url, in this order. Needs _ord."""
     have = {k: [c for c in v if c in df.columns] for k, v in LEAD_HEADERS.items()}
     pick = {k: T.strip(T.first_filled(*v)) if v else F.lit("") for k, v in have.items()}
-    year = T.year(pick["year"], pick["title"], pick["url"], pick["snippet"])
+    year = T.year(pick["year"], pick["title"], pick["snippet"], pick["url"])  # what the engine says of the page before what its address may hold by chance
     return df.select("_ord", pick["title"].alias("title"), T.find_doi(pick["doi"], pick["title"], pick["url"], pick["snippet"]).alias("doi"), F.coalesce(year.cast("string"), F.lit("")).alias("publication_year"), pick["snippet"].alias("abstract"), pick["url"].alias("landing_page_url"), F.lit("websearch").alias("discovery_source"), F.lit(query).alias("discovery_query"), (F.col("_ord") + 1).cast("string").alias("discovery_rank"), F.lit("lead_unverified").alias("candidate_status"))
