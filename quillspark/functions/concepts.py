@@ -154,8 +154,10 @@ def java_pattern(term: str, allow_regex: bool = False) -> str:
     return "(?iU)" + (rf"\b{body}\b" if re.fullmatch(r"[A-Za-z0-9_\s-]+", term) else body)
 
 
-def basic_match(x: Column, pattern: str) -> Column:
-    """Some match whose 80 characters before it do not end in a negator and at most six words. The empty pattern matches every text."""
+def basic_match(x: Column, pattern: str, raw: bool = False) -> Column:
+    """Some match whose 80 characters before it do not end in a negator and at most six words. The empty pattern matches every text.
+
+    Mostly the first match is such a one; all of them are looked at only where it is not (and for raw expressions, whose groups may have numbers)."""
     if pattern == "(?iU)":
         return F.lit(True)
     parts = F.struct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("hits"), F.split(x, pattern, -1).alias("gaps"))
@@ -168,7 +170,8 @@ def basic_match(x: Column, pattern: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(s["hits"]) - 1), F.struct(F.lit("").alias("tail"), F.lit(False).alias("ok")), step)["ok"]
 
-    return F.when(x.rlike(pattern), once(parts, free)).otherwise(False)
+    first = F.lit(False) if raw else ~F.right(F.regexp_extract(x, rf"(?s)\A(.*?)(?-s:{pattern})", 1), F.lit(80)).rlike(_NEGATED)
+    return F.when(x.rlike(pattern), F.when(first, True).otherwise(once(parts, free))).otherwise(False)
 
 
 def _where(tokens: Column, at: Column, phrase: Column, n: int) -> Column:
@@ -192,15 +195,22 @@ def near_match(x: Column, terms, window: int) -> Column:
     return once(once(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), groups), close)
 
 
-def matches(concept: Concept, columns, allow_regex: bool = False) -> Column:
+def scopes(concepts) -> set[str]:
+    """Scopes that the concepts and their parts read."""
+    return {s for c in concepts for s in ({c.scope} if not c.children else scopes(c.children))}
+
+
+def matches(concept: Concept, columns, allow_regex: bool = False, texts: dict[str, Column] | None = None) -> Column:
+    """Does the concept hold? texts may have the text of each scope as a column, computed once for all concepts."""
     if concept.op in ("all", "any", "not"):
-        kids = [matches(k, columns, allow_regex) for k in concept.children]
+        kids = [matches(k, columns, allow_regex, texts) for k in concept.children]
         if concept.op == "all":
             return ~any_of(~k for k in kids)
         return any_of(kids) if concept.op == "any" else ~any_of(kids)
-    x = scoped(columns, concept.scope)
+    x = (texts or {}).get(concept.scope)
+    x = scoped(columns, concept.scope) if x is None else x
     if concept.op == "near":
         return (x != "") & near_match(x, concept.patterns, concept.window)
     if concept.op == "not_near":
         return (x != "") & ~near_match(x, concept.patterns, concept.window)
-    return (x != "") & any_of(basic_match(x, java_pattern(p, allow_regex)) for p in concept.patterns)
+    return (x != "") & any_of(basic_match(x, java_pattern(p, allow_regex), re.sub("<[^>]+>", " ", p).strip().startswith("re:")) for p in concept.patterns)

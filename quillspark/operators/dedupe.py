@@ -39,11 +39,10 @@ def key_columns(df: DataFrame, doi_field="doi", title_field="title") -> DataFram
     }).drop("_doi", "_title", "_year", "_journal")
 
 
-def quality(df: DataFrame, fields) -> "F.Column":
-    """One point for each filled cell, three for an abstract or summary of over 200 characters."""
+def quality(stripped: dict[str, F.Column]) -> "F.Column":
+    """One point for each filled cell, three for an abstract or summary of over 200 characters; of the trimmed cells by field."""
     score = F.lit(0)
-    for c in fields:
-        x = T.strip(c)
+    for c, x in stripped.items():
         score = score + F.when(x != "", 1).otherwise(0)
         if c.lower() in ("abstract", "summary"):
             score = score + F.when(F.length(x) > 200, 3).otherwise(0)
@@ -53,32 +52,28 @@ def quality(df: DataFrame, fields) -> "F.Column":
 def dedupe(df: DataFrame, doi_field="doi", title_field="title") -> DataFrame:
     """One row per key: best row (most filled, first of equals), its blanks filled by the first filled value, merged and alternate lists.
 
-    The best row and the fills are aggregates with map-side combine. The lists are made from the first place of each
-    different value of a key, so copies of a value never meet in one task; only keys of several rows take part."""
+    The best row and the fills are aggregates with map-side combine. Each list is made from the first place of each
+    different value of a key, so copies of a value never meet in one task, and is a left join of its own on the key: Spark
+    leaves out those whose columns are not read. Trimmed cells are computed once."""
     made = {*MERGED.values(), *ALTERNATE.values(), "duplicate_count", "dedupe_key", "dedupe_confidence", "dedupe_reason"}
     df = df.drop(*made)  # of an earlier run
     fields = [c for c in df.columns if c != "_ord"]
-    rows = key_columns(df, doi_field, title_field).withColumn("_q", quality(df, fields))
+    own = {c: f"_strip_{c}" for c in fields}
+    rows = key_columns(df, doi_field, title_field).withColumns({n: T.strip(c) for c, n in own.items()})
     key = ["key_kind", "key_value"]
-    rank = F.struct(-F.col("_q"), F.col("_ord"))
-    fills = [F.min_by(T.strip(c), F.when(T.strip(c) != "", F.col("_ord"))).alias(f"_fill_{c}") for c in fields]
-    best = F.min_by(F.struct(*[T.text(c).alias(c) for c in fields]), rank).alias("_best")
+    rank = F.struct(-quality({c: F.col(n) for c, n in own.items()}), F.col("_ord"))
+    fills = [F.min_by(n, F.when(F.col(n) != "", F.col("_ord"))).alias(f"_fill_{c}") for c, n in own.items()]
+    best = F.min_by(F.struct(*[T.text(c).alias(c) for c in fields], *[(F.col(n) != "").alias(n) for n in own.values()]), rank).alias("_best")
     heads = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_ord").alias("_ord"), F.first("dedupe_confidence").alias("dedupe_confidence"), F.first("dedupe_reason").alias("dedupe_reason"), best, *fills)
 
-    listed = [c for c in fields if c in MERGED or c in ALTERNATE]
-    value = {c: F.when(T.strip(f"_best.{c}") != "", F.col(f"_best.{c}")).otherwise(T.text(f"_fill_{c}")) for c in fields}
-    if listed:
-        many = rows.groupBy(*key).count().where("count > 1").select(*key)
-        cells = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), T.strip(c).alias("v")) for c in listed]), lambda x: x["v"] != "")
-        cells = rows.join(many, key, "left_semi").select(*key, "_ord", F.explode(cells).alias("x")).groupBy(*key, "x").agg(F.min("_ord").alias("o"))
-        lists = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x.c", "o", "x.v"))).alias("_lists"))
-        heads = heads.join(lists, key, "left")
-    else:
-        heads = heads.withColumn("_lists", F.lit(None).cast("array<struct<c:string,o:long,v:string>>"))
+    value = {c: F.when(F.col(f"_best.{n}"), F.col(f"_best.{c}")).otherwise(T.text(f"_fill_{c}")) for c, n in own.items()}
+    for c, n in own.items():
+        if c in MERGED or c in ALTERNATE:
+            first = rows.where(F.col(n) != "").groupBy(*key, F.col(n).alias("v")).agg(F.min("_ord").alias("o"))
+            heads = heads.join(first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias(f"_list_{c}")), key, "left")
 
     def values(c):
-        alone = F.filter(F.array(T.strip(f"_best.{c}")), lambda v: v != "")
-        return F.when(F.col("_lists").isNull(), alone).otherwise(F.transform(F.filter("_lists", lambda x: x["c"] == c), lambda x: x["v"]))
+        return F.coalesce(F.col(f"_list_{c}.v"), F.array().cast("array<string>"))
 
     cols = ["_ord", *[value[c].alias(c) for c in fields], F.col("_n").cast("string").alias("duplicate_count"), F.concat("key_kind", F.lit(":"), "key_value").alias("dedupe_key"), "dedupe_confidence", "dedupe_reason"]
     cols += [(F.array_join(values(c), "; ") if c in fields else F.lit("")).alias(name) for c, name in MERGED.items()]

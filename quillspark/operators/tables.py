@@ -18,10 +18,12 @@ NUMERIC = ("triage_score", "relevance_score", "citation_count", "duplicate_count
 def with_ord(df: DataFrame, *order) -> DataFrame:
     """Dense row numbers from 0 in the given order, without one task for all rows.
 
-    The range-sorted rows are written once with their place in their partition, and counts and numbers are both taken
+    The rows are written once before they are dealt out, since the sample for the bounds would compute them once more. The
+    range-sorted rows are written once with their place in their partition, and counts and numbers are both taken
     from that table: sampled bounds and coalesced partitions may differ from one run of a plan to the next. Only the
     counts of the partitions meet on the driver."""
     place = F.monotonically_increasing_id()
+    df = written(df, "unordered")
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.shiftright(place, 33).cast("int"), "_i": place.bitwiseAND(F.lit((1 << 33) - 1))})
     rows = written(rows, "ordered")
     counts = dict(rows.groupBy("_p").count().collect())

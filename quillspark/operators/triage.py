@@ -70,13 +70,16 @@ def _tagged(names: Column, kind: str) -> Column:
 
 
 def triage(df: DataFrame, p: C.Profile) -> DataFrame:
-    """Adds the 13 triage columns. Each concept is one boolean column, computed once."""
+    """Adds the 13 triage columns. Each text and each concept is one column, computed once."""
     groups = {"required": p.required, "optional": p.optional, "negative": p.negative}
     base = df.columns
     hits = {(g, i): f"_{g}_{i}" for g, own in groups.items() for i in range(len(own))}
     flags, status, whys = metadata_flags(df, p)
-    made = {hits[g, i]: C.matches(c, base, p.allow_regex) for g, own in groups.items() for i, c in enumerate(own)}
-    df = df.withColumns({**made, "_flags": flags, "_whys": whys, "_status": status, "_text": C.scoped(base, "title_abstract")})
+    # the text of every scope once, for all concepts that read it
+    texts = {s: f"_text_{i}" for i, s in enumerate(sorted(C.scopes(c for own in groups.values() for c in own) | {"title_abstract"}))}
+    df = df.withColumns({**{n: C.scoped(base, s) for s, n in texts.items()}, "_flags": flags, "_whys": whys, "_status": status})
+    made = {hits[g, i]: C.matches(c, base, p.allow_regex, {s: F.col(n) for s, n in texts.items()}) for g, own in groups.items() for i, c in enumerate(own)}
+    df = df.withColumns(made)
     # a concept counts as matched by its name
     alike = {(g, i): T.any_of(F.col(hits[g, j]) for j, o in enumerate(own) if o.name == c.name) for g, own in groups.items() for i, c in enumerate(own)}
     col = {g: [F.col(hits[g, i]) for i in range(len(own))] for g, own in groups.items()}
@@ -98,7 +101,7 @@ def triage(df: DataFrame, p: C.Profile) -> DataFrame:
     reasons = F.array_join(T.compact(whole), "; ")
     every = [~missing_count] if p.required else []
     df = df.withColumns({
-        "triage_priority": priority(p, every, col["required"], col["optional"], col["negative"], F.col("_text")), "triage_score": F.format_string("%.1f", score),
+        "triage_priority": priority(p, every, col["required"], col["optional"], col["negative"], F.col(texts["title_abstract"])), "triage_score": F.format_string("%.1f", score),
         "semantic_tags": F.array_join(tags, "; "), "matched_required": F.array_join(names["required"], "; "), "matched_optional": F.array_join(names["optional"], "; "),
         "matched_negative": F.array_join(names["negative"], "; "), "missing_required": F.array_join(missing, "; "),
         "triage_reasons": F.when(reasons != "", reasons).otherwise("no explicit match"), "hard_filter_flags": F.array_join("_flags", "; "),
@@ -106,7 +109,7 @@ def triage(df: DataFrame, p: C.Profile) -> DataFrame:
     })
     review = (F.col("triage_priority") == "needs_review") | T.any_of(col["negative"]) | (F.size("_flags") > 0)
     df = df.withColumns({"candidate_status": candidate_status(F.col("triage_priority"), F.col("metadata_status")), "llm_review_needed": F.when(review, "true").otherwise("false")})
-    return df.drop(*made, "_flags", "_whys", "_status", "_text")
+    return df.drop(*made, *texts.values(), "_flags", "_whys", "_status")
 
 
 def counts(df: DataFrame) -> DataFrame:

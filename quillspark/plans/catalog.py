@@ -142,6 +142,10 @@ m AS (SELECT *, CASE WHEN dd = '' OR y < 2019 OR a = 'data-paper' THEN 'blocked'
      array_to_string(list_filter([CASE WHEN o1 THEN 'and' END, CASE WHEN o2 THEN 'de' END], lambda z: z IS NOT NULL), ', ') AS opts FROM f)"""
 
 
+#: Columns of the ranked rows: no others are computed, written and dealt out.
+_RANKED = ("title", "triage_priority", "triage_score", "metadata_status", "semantic_tags", "hard_filter_flags", "candidate_status", "triage_reasons", "llm_review_needed")
+
+
 @query(f"""{_TRIAGED}
 SELECT _ord, raw AS title, triage_priority, printf('%.1f', CAST(score AS DOUBLE)) AS triage_score, metadata_status, array_to_string(tags, '; ') AS semantic_tags, array_to_string(flags, '; ') AS hard_filter_flags,
        CASE WHEN metadata_status = 'blocked' THEN 'metadata_blocked' WHEN triage_priority IN ('high', 'medium') THEN CASE WHEN metadata_status = 'ok' THEN 'ready_for_verification' ELSE 'metadata_check' END WHEN triage_priority = 'needs_review' THEN 'llm_review' ELSE 'low_priority' END AS candidate_status,
@@ -151,8 +155,8 @@ SELECT _ord, raw AS title, triage_priority, printf('%.1f', CAST(score AS DOUBLE)
 def triage_score_rank(spark, sf):
     """Flagship: deduplicate, tag, score and rank candidates; ranks come from a range sort, not from one task."""
     rows = G.triage(D.dedupe(candidates(spark, sf)), _PROFILE).withColumn("_first", F.col("_ord"))
-    rows = B.with_ord(rows.drop("_ord", "abstract"), G.rank("triage_priority"), F.desc(T.first_number("triage_score")), F.lower("title"), "_first")
-    return rows.select(F.col("_first").alias("_ord"), "title", "triage_priority", "triage_score", "metadata_status", "semantic_tags", "hard_filter_flags", "candidate_status", "triage_reasons", "llm_review_needed", (F.col("_ord") + 1).alias("place"))
+    rows = B.with_ord(rows.select("_first", *_RANKED), G.rank("triage_priority"), F.desc(T.first_number("triage_score")), F.lower("title"), "_first")
+    return rows.select(F.col("_first").alias("_ord"), *_RANKED, (F.col("_ord") + 1).alias("place"))
 
 
 _META = f"""{_CAND},
@@ -789,4 +793,4 @@ def triage_sql(spark, sf):
     V_ = views.register(spark, candidates(spark, sf), _PROFILE, prefix=f"v{uuid.uuid4().hex[:8]}_")
     rows = spark.sql(f"SELECT *, _ord AS _first, triage_rank(triage_priority) AS r, first_number(triage_score) AS n FROM {V_['triaged_candidates']} WHERE normalize_title(title) IS NOT NULL").drop("_ord", "abstract")
     rows = B.with_ord(rows, "r", F.desc("n"), F.lower("title"), "_first")
-    return rows.select(F.col("_first").alias("_ord"), "title", "triage_priority", "triage_score", "metadata_status", "semantic_tags", "hard_filter_flags", "candidate_status", "triage_reasons", "llm_review_needed", (F.col("_ord") + 1).alias("place"))
+    return rows.select(F.col("_first").alias("_ord"), *_RANKED, (F.col("_ord") + 1).alias("place"))
