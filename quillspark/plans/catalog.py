@@ -791,6 +791,6 @@ def probe_queue(spark, sf):
 def triage_sql(spark, sf):
     """The rows of triage_score_rank from the stages' views, in SQL."""
     V_ = views.register(spark, candidates(spark, sf), _PROFILE, prefix=f"v{uuid.uuid4().hex[:8]}_")
-    rows = spark.sql(f"SELECT *, _ord AS _first, triage_rank(triage_priority) AS r, first_number(triage_score) AS n FROM {V_['triaged_candidates']} WHERE normalize_title(title) IS NOT NULL").drop("_ord", "abstract")
+    rows = spark.sql(f"SELECT {', '.join(_RANKED)}, _ord AS _first, triage_rank(triage_priority) AS r, first_number(triage_score) AS n FROM {V_['triaged_candidates']} WHERE normalize_title(title) IS NOT NULL")
     rows = B.with_ord(rows, "r", F.desc("n"), F.lower("title"), "_first")
     return rows.select(F.col("_first").alias("_ord"), *_RANKED, (F.col("_ord") + 1).alias("place"))
