@@ -69,9 +69,8 @@ def _at(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 
 
-def _filled(v: Column) -> Column:
-    """The variant, or null if it is blank: null, an empty text, list or object, 0 or false."""
-    return F.when(~F.coalesce(F.to_json(v), F.lit("null")).isin("null", '""', "[]", "{}", "0", "false"), v)
+#: JSON of blank variants: null, an empty text, list or object, 0 or false.
+_BLANK = ("null", '""', "[]", "{}", "0", "false")
 
 
 def _is(v: Column, mark: str) -> Column:
@@ -104,28 +103,38 @@ def crossref_authority(df: DataFrame, column="payload") -> DataFrame:
 
 
 def europe_pmc(df: DataFrame, column="payload") -> DataFrame:
-    """Records as candidate rows. Publication types, full-text links and dates may be a text, an object or a list."""
+    """Records as candidate rows. Publication types, full-text links and dates may be a text, an object or a list.
+
+    What several cells read is a column of an earlier step, so that every part of a record is read and cleaned once."""
     records = F.try_variant_get(F.try_parse_json(F.col(column)), "$.resultList.result", "array<variant>")
     r = df.select(*[c for c in df.columns if c != column], F.posexplode(records).alias("pos", "w"))
-    w = F.col("w")
-    cell = lambda path: T.clean(_at(w, path, "string"))
-    kinds = F.coalesce(_filled(_at(w, "pubType")), _filled(_at(w, "pubTypeList")))
-    kinds = F.when(_is(kinds, "{"), _at(kinds, "pubType")).otherwise(kinds)
-    types = F.array_join(F.filter(F.transform(_listed(kinds), lambda x: T.clean(F.try_variant_get(x, "$", "string"))), lambda x: x != ""), ";")
-    urls = F.filter(F.transform(_listed(_at(w, "fullTextUrlList.fullTextUrl")), lambda u: F.struct(_at(u, "url", "string").alias("url"), _at(u, "availabilityCode", "string").alias("code"))), lambda u: T.text(u["url"]) != "")
-    best = F.coalesce(F.get(F.filter(urls, lambda u: u["code"] == "OA"), F.lit(0))["url"], F.get(urls, F.lit(0))["url"], F.lit(""))
-    either = lambda k: F.when(_is(_at(w, k), "{"), T.first_filled(_at(w, f"{k}.printPublicationDate", "string"), _at(w, f"{k}.dateOfPublication", "string"))).otherwise(_at(w, k, "string"))
-    dates = [cell(k) for k in ("pubYear", "yearOfPublication")] + [T.clean(either(k)) for k in ("firstPublicationDate", "electronicPublicationDate", "journalInfo")]
-    year = F.coalesce(*[F.when(F.length(x) >= 4, F.substring(x, 1, 4)) for x in dates], F.lit(""))
-    source, own, doi = cell("source"), cell("id"), T.doi(cell("doi"))
-    pmid = F.when(cell("pmid") != "", cell("pmid")).when(F.upper(source) == "MED", own).otherwise("")
+    keep, c = [x for x in r.columns if x != "w"], lambda k: F.col(f"c.{k}")
+    texts = ("title", "journalTitle", "abstractText", "citedByCount", "authorString", "pmcid", "isOpenAccess", "hasFullText", "inEPMC", "source", "id", "doi", "pmid", "pubYear", "yearOfPublication")
+    dates = ("firstPublicationDate", "electronicPublicationDate", "journalInfo")
+    parts = {"pubType": "pubType", "pubTypeList": "pubTypeList", "links": "fullTextUrlList.fullTextUrl"} | {k: k for k in dates}
+    r = r.select(*keep, F.struct(*[T.clean(_at(F.col("w"), k, "string")).alias(k) for k in texts]).alias("c"), *[_at(F.col("w"), path).alias(f"v_{k}") for k, path in parts.items()])
+    v = lambda k: F.col(f"v_{k}")
+    r = r.withColumns({"j_pubType": F.to_json(v("pubType")), "j_pubTypeList": F.to_json(v("pubTypeList")), "l_links": _listed(v("links"))})
+    filled = lambda k: F.when(~F.coalesce(F.col(f"j_{k}"), F.lit("null")).isin(*_BLANK), F.struct(v(k).alias("v"), F.col(f"j_{k}").alias("j")))
+    r = r.withColumn("k", F.coalesce(filled("pubType"), filled("pubTypeList")))
+    r = r.withColumn("kinds", F.when(F.coalesce(F.col("k.j").startswith("{"), F.lit(False)), _at(F.col("k.v"), "pubType")).otherwise(F.col("k.v")))
+    r = r.withColumn("kinds", _listed(F.col("kinds")))
+    types = F.array_join(F.filter(F.transform("kinds", lambda x: T.clean(F.try_variant_get(x, "$", "string"))), lambda x: x != ""), ";")
+    urls = F.filter(F.transform("l_links", lambda u: F.struct(_at(u, "url", "string").alias("url"), _at(u, "availabilityCode", "string").alias("code"))), lambda u: T.text(u["url"]) != "")
+    either = lambda k: F.when(_is(v(k), "{"), T.first_filled(_at(v(k), "printPublicationDate", "string"), _at(v(k), "dateOfPublication", "string"))).otherwise(F.try_variant_get(v(k), "$", "string"))
+    r = r.select(*keep, "c", types.alias("types"), urls.alias("urls"), *[T.clean(either(k)).alias(f"d_{k}") for k in dates], T.doi(c("doi")).alias("doi"))
+    year = F.coalesce(*[F.when(F.length(x) >= 4, F.substring(x, 1, 4)) for x in (c("pubYear"), c("yearOfPublication"), *[F.col(f"d_{k}") for k in dates])], F.lit(""))
+    best = F.coalesce(F.get(F.filter("urls", lambda u: u["code"] == "OA"), F.lit(0))["url"], F.get("urls", F.lit(0))["url"], F.lit(""))
+    source, own, doi = c("source"), c("id"), F.col("doi")
+    pmid = F.when(c("pmid") != "", c("pmid")).when(F.upper(source) == "MED", own).otherwise("")
     landing = F.when((source != "") & (own != ""), F.concat(F.lit("https://europepmc.org/article/"), _quoted(source), F.lit("/"), _quoted(own))).when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise("")
-    note = F.concat(F.lit("source="), source, F.lit("; isOpenAccess="), cell("isOpenAccess"), F.lit("; hasFullText="), cell("hasFullText"), F.lit("; inEPMC="), cell("inEPMC"))
+    r = r.withColumn("landing", landing)
+    note = F.concat(F.lit("source="), source, F.lit("; isOpenAccess="), c("isOpenAccess"), F.lit("; hasFullText="), c("hasFullText"), F.lit("; inEPMC="), c("inEPMC"))
     cells = {
-        "title": cell("title"), "doi": doi, "publication_year": year, "journal": cell("journalTitle"), "abstract": cell("abstractText"), "article_type": types, "cited_by_count": cell("citedByCount"), "authors": F.regexp_replace(cell("authorString"), r"\.+$", ""),
-        "landing_page_url": landing, "url": landing, "best_full_text_url": best, "pmid": pmid, "pmcid": cell("pmcid"), "europe_pmc_id": F.when((source != "") & (own != ""), F.concat(source, F.lit(":"), own)).otherwise(own), "discovery_source": F.lit("europe_pmc"), "source_note": note,
+        "title": c("title"), "doi": doi, "publication_year": year, "journal": c("journalTitle"), "abstract": c("abstractText"), "article_type": F.col("types"), "cited_by_count": c("citedByCount"), "authors": F.regexp_replace(c("authorString"), r"\.+$", ""),
+        "landing_page_url": F.col("landing"), "url": F.col("landing"), "best_full_text_url": best, "pmid": pmid, "pmcid": c("pmcid"), "europe_pmc_id": F.when((source != "") & (own != ""), F.concat(source, F.lit(":"), own)).otherwise(own), "discovery_source": F.lit("europe_pmc"), "source_note": note,
     }
-    return r.select(*[c for c in r.columns if c != "w"], *[c.alias(n) for n, c in cells.items()])
+    return r.select(*keep, *[x.alias(n) for n, x in cells.items()])
 
 
 def _quoted(c: Column) -> Column:
@@ -202,15 +211,18 @@ def read(provider: str, df: DataFrame, column="payload", year_from: int | None =
     if provider not in READERS:
         raise ValueError(f"unknown provider {provider!r}")
     rows = READERS[provider](df, column)
+    rows = rows.select(F.inline(F.array(F.struct(*rows.columns))))  # filters stay behind the generator: cells are computed once, not again in each condition
     key = {"arxiv": T.text("arxiv_id"), "europe_pmc": T.first_filled("doi", *(["pmid"] if "pmid" in rows.columns else []), "title")}.get(provider) if provider in ("arxiv", "europe_pmc") else T.text("doi")
     if types and provider == "openalex" and not {"*", "all", "none"} & set(types):
         rows = rows.where(T.text("article_type").isin(*types))
     if provider in ("arxiv", "europe_pmc") and (year_from is not None or year_to is not None):
-        y = F.when(T.strip("publication_year").rlike(r"^\d{4}"), F.substring(T.strip("publication_year"), 1, 4).cast("int"))
+        y = F.regexp_extract(T.strip("publication_year"), r"^\d{4}", 0).try_cast("int")
         rows = rows.where(y.isNull() | y.between(year_from if year_from is not None else 0, year_to if year_to is not None else 9999))
-    order, keyed = F.struct("_ord", "pos"), rows.withColumn("_key", key)
-    first = keyed.where("_key <> ''").groupBy("_key").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-    rows = first.unionByName(keyed.where("_key = ''").drop("_key"))
+    # one pass: rows without a key are grouped by their place, so that each of them stays
+    order, keyed, row = F.struct("_ord", "pos"), rows.withColumn("_key", key), F.struct(*rows.columns)
+    none = F.col("_key") == ""
+    groups = keyed.groupBy("_key", F.when(none, order).alias("_at")).agg(F.min_by(row, order).alias("r"), F.collect_list(F.when(none, row)).alias("all"))
+    rows = groups.select(F.inline(F.when(none, F.col("all")).otherwise(F.array("r"))))
     return rows if most is None else rows.orderBy("_ord", "pos").limit(most)
 
 
