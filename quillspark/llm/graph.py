@@ -25,6 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", F.col("c").alias("comp"))
 
 
+def extended(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp) when ``edges`` (a, b) join the components ``known`` (id, comp): only edges between different ones are walked again."""
+    new = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct().join(known, "id", "left_anti")
+    label = cut(known.select("id", "comp").unionAll(new.select("id", F.col("id").alias("comp"))))
+    ends = edges.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("c"))
+    return cut(label.join(merged, "comp", "left").select("id", F.coalesce("c", "comp").alias("comp")))
+
+
 BITMAP_BITS = 26
 
 

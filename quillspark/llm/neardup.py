@@ -21,8 +21,9 @@ Grouping, without all pairs inside a bucket:
  3. in buckets that still hold several components, shingles that no other document there has bound a
     member's similarity; members that cannot reach the threshold leave, the rest is verified against
     the four most central members;
- 4. only pairs of members of different components that a second bound (by what either shares with the
-    most central member) still allows are verified one by one, each in the first bucket both share.
+ 4. only pairs of members of different components that two more bounds (by what either shares with the
+    most central member, and by their weights in each of BINS classes of hashes) still allow are verified
+    one by one, each in the first bucket both share. Components known so far are joined, not formed anew.
 Verified links are weighted Jaccard similarities >= the threshold, computed from the weights of all shingles
 and 48 bits of their hashes (two different shingles of a pair of texts of n words meet by chance with
 probability n * n / 2**48, which would add the weight of one), so the components are those of the link graph over all candidate pairs.
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import kernels as K
-from .graph import bitmap, components, in_bitmap, slot
+from .graph import bitmap, components, extended, in_bitmap, slot
 from .store import arrow, cut, table
 
 WORDS, SIMILARITY, WEIGHTING = 5, 0.8, "count"
@@ -55,6 +56,8 @@ FINE = 8
 #: Weight tiles for real weights: below 2**-LOW, then dyadic; whole numbers begin with one tile up to 1.
 LOW = 16
 HUBS = 4
+#: Classes of hashes; common weight is at most the sum of the smaller weights of each.
+BINS = 128
 #: Buckets are dealt over parts of about PART members (BLOCK where pairs are compared), MOST_PARTS at most.
 SLOTS, PART, BLOCK, MOST_PARTS = 1 << 16, 1_024, 256, 4_096
 
@@ -256,6 +259,17 @@ def _elements(batches):
             yield pa.record_batch([pa.array(np.full(len(sh), k.as_py())), pa.array(sh.view(np.int64)), pa.array(weight)], names=["k", "v", "w"])
 
 
+def _histograms(batches):
+    """Weights of each document summed over BINS classes of its hashes, never rounded down."""
+    for b in batches:
+        out = []
+        for x, w in zip(b.column(1), b.column(2)):
+            sh, weight = _unpack(x.as_buffer(), w.as_buffer())
+            out.append(np.bincount((sh % np.uint64(BINS)).astype(np.int64), weight, BINS))
+        flat = np.nextafter(np.array(out).reshape(-1).astype(np.float32), np.float32(np.inf))
+        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))], names=["k", "g"])
+
+
 def overlaps(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, m, ok): common weight of each pair, and whether its exact similarity reaches the threshold."""
     one = sets.select(F.col("k").alias("a"), F.col("sh").alias("x"), F.col("wt").alias("v"))
@@ -307,10 +321,9 @@ def _alike(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
 
 
-def _with_comps(members: DataFrame, links: DataFrame, parts: Parts) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    comps = components(links).select(F.col("id").alias("k"), "comp")
-    rows = members.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+def _with_comps(members: DataFrame, comps: DataFrame, parts: Parts) -> DataFrame:
+    """Members of buckets that hold more than one of the components (id, comp)."""
+    rows = members.join(comps.select(F.col("id").alias("k"), "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     return parts.join(rows, mixed)
 
@@ -338,10 +351,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting=WEIGHTING
     sets = table(picked.join(wanted, ["rep", "d1", "d2"]).select("k", "sh", "wt").dropDuplicates(["k"]), "dart-sets")
 
     links = verify(members.where("k <> hub").where(_alike("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("k").alias("b")), sets, similarity)
-    left = cut(_with_comps(members, links, parts).select("bucket", "k", "n", "comp"))
+    comps = components(links)
+    left = cut(_with_comps(members, comps, parts).select("bucket", "k", "n", "comp"))
     if not left.isEmpty():
-        links = cut(links.unionAll(_cross(left, sets, similarity, links, parts)))
-    named = reps.join(components(links).select(F.col("id").alias("k"), "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+        comps = _cross(left, sets, similarity, comps, parts)
+    named = reps.join(comps.select(F.col("id").alias("k"), "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     best = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.min_by(F.struct("d1", "d2"), F.struct("rep", "d1", "d2")).alias("best"))
     named = named.join(best, "comp").select(F.col("d1").alias("bucket"), "d2", "class_id", "best")
     worded = copies.join(sig.where("n > 0").select("doc_id", "d1", F.col("d1").alias("bucket"), "d2", F.col("doc_id").alias("k")), named, "d2")
@@ -355,8 +369,8 @@ def group(docs: DataFrame, similarity: float = SIMILARITY, weighting=WEIGHTING)
     return classes(docs, similarity, weighting).select("doc_id", "class_id", "kept")
 
 
-def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame, parts: Parts) -> DataFrame:
-    """Steps 3 and 4: further verified links between components that share a bucket."""
+def _cross(left: DataFrame, sets: DataFrame, similarity: float, comps: DataFrame, parts: Parts) -> DataFrame:
+    """Steps 3 and 4: the components (id, comp) joined by further verified links between those that share a bucket."""
     rare = sets.join(left.select("k").distinct(), "k", "left_semi").select("k", "sh", "wt").transform(arrow, _elements, "k long, v long, w double")
     single = rare.groupBy("v").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.min("w").alias("w")).where("c = 1").groupBy("k").agg(F.sum("w").alias("u"))
     rows = left.join(single, "k", "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
@@ -373,25 +387,27 @@ def _cross(left: DataFrame, sets: DataFrame, similarity: float, links: DataFrame
     # the first hub meets every member, as its common weight bounds their similarities
     star = parts.join(rows, hubs).where(F.expr("k <> h and (rn = 1 or comp <> ch)") & ((F.col("rn") == 1) | _alike("n", "hn", similarity))).select(F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"))
     seen = overlaps(star, sets, similarity)
-    found = seen.where("ok").select("a", "b")
-    rest = cut(_with_comps(rows.drop("comp"), links.unionAll(found), parts))
+    comps = extended(comps, seen.where("ok").select("a", "b"))
+    rest = cut(_with_comps(rows.drop("comp"), comps, parts))
     if rest.isEmpty():
-        return found
+        return comps
     # common weight of two members is shared with the hub, or outside it and not rare: at most min(m1, m2) + min(r1, r2)
     rest = parts.join(rest, hubs.where("rn = 1").select("bucket", "h")).withColumns({"a": F.least("h", "k"), "b": F.greatest("h", "k")})
     rest = rest.join(seen.select("a", "b", "m"), ["a", "b"], "left").withColumn("m", F.coalesce("m", "n"))
     rest = rest.withColumn("r", F.greatest(F.lit(0.0), F.col("n") - F.col("m") - F.col("u")))
     # a pair is taken up in the first bucket that both share
     own = rest.groupBy("k").agg(F.collect_set("bucket").alias("own"))
-    rest = cut(rest.join(own, "k").select("bucket", "k", "n", "comp", "m", "r", "own"))
+    hist = sets.join(own.select("k"), "k", "left_semi").transform(arrow, _histograms, "k long, g array<float>")
+    rest = cut(rest.join(own.join(hist, "k"), "k").select("bucket", "k", "n", "comp", "m", "r", "own", "g"))
     blocks = Parts(rest.groupBy("bucket").agg(F.count("*").alias("c")), BLOCK)
     x = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.col("part"), blocks.number() - 1)))
     y = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part"))))
-    y = y.select("bucket", F.col("other").alias("part"), F.col("part").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("k", "n", "comp", "m", "r", "own")])
+    y = y.select("bucket", F.col("other").alias("part"), F.col("part").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("k", "n", "comp", "m", "r", "own", "g")])
     bound = F.lit((1 + similarity) / similarity) * (F.least("m", "m2") + F.least("r", "r2")) + 1e-6
-    far = (F.col("n") + F.col("n2") <= bound) & _alike("n", "n2", similarity) & F.expr("(part <> other or k < k2) and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket")
+    binned = F.lit((1 + similarity) / similarity) * F.aggregate(F.zip_with("g", "g2", lambda x, y: F.least(x, y)), F.lit(0.0), lambda t, x: t + x) + 1e-6
+    far = (F.col("n") + F.col("n2") <= bound) & _alike("n", "n2", similarity) & F.expr("(part <> other or k < k2) and comp <> comp2 and array_min(array_intersect(own, own2)) = bucket") & (F.col("n") + F.col("n2") <= binned)
     pair = x.join(y, ["bucket", "part", "other"]).where(far)
-    return found.unionAll(verify(pair.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")), sets, similarity))
+    return extended(comps, verify(pair.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")), sets, similarity))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,3 +146,50 @@ def test_stage_leaves_columns_of_any_name(spark):
     out = neardup.stage(spark, df, "")
     assert out.columns == df.columns and sorted((r.doc_id or 0, r["__slot"], r["__D1"]) for r in out.collect()) == [(0, 8, "d"), (1, 5, "a"), (3, 7, "c")]
     assert neardup.stage(spark, df.where("false"), "").collect() == []
+
+
+def test_pairs_verified_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """Copies of one text just below the threshold, whose changes several share: most pairs are excluded before they are verified."""
+    import random
+
+    from quillspark.llm import neardup as N
+
+    rng, base = random.Random(5), [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for p in rng.sample(range(200), 5):
+            words[p] = f"x{p}-{rng.randrange(2)}"
+        docs.append((i, words))
+    sets = [{tuple(w[j : j + 5]) for j in range(196)} for _, w in docs]
+    root = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            m = len(sets[i] & sets[j])
+            if m >= 0.8 * (len(sets[i]) + len(sets[j]) - m):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    counts, plain = [], N.overlaps
+
+    def counted(edges, *rest):
+        counts.append(edges.distinct().count())
+        return plain(edges, *rest)
+
+    monkeypatch.setattr(N, "overlaps", counted)
+    got = N.group(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(root))
+    assert len(counts) == 3 and counts[2] < 240
+
+
+def test_components_that_are_extended(spark):
+    import random
+
+    from quillspark.llm.graph import components, extended
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(80)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long").where("a <> b")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(components(frame(edges)))
+    assert rows(extended(components(frame(edges[:50])), frame(edges[50:]))) == whole
+    assert rows(extended(components(frame(edges)), frame(edges[:0]))) == whole
