@@ -5,21 +5,21 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .store import cut
+from .store import table
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) with comp the smallest id reachable, for every end of ``edges`` (a, b).
 
     Minimum-label propagation with pointer jumping: a number of rounds logarithmic in the diameter,
-    each a join and an aggregation with map-side combine; labels are checkpointed, never collected."""
-    both = cut(edges.select("a", "b").unionAll(edges.selectExpr("b as a", "a as b")).where("a <> b").distinct())
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")))
+    each a join and an aggregation with map-side combine; labels are written and read again, never collected."""
+    both = table(edges.select("a", "b").unionAll(edges.selectExpr("b as a", "a as b")).where("a <> b").distinct(), "graph-edges")
+    label = table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "graph-labels")
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("c"))
         step = label.join(near, "id").select("id", "comp", F.least("comp", "c").alias("c"))
         jump = step.join(label.select(F.col("id").alias("c"), F.col("comp").alias("cc")), "c").select("id", "comp", F.least("c", "cc").alias("c"))
-        new = cut(jump)
+        new = table(jump, "graph-labels")
         if new.where("c <> comp").isEmpty():
             return label
         label = new.select("id", F.col("c").alias("comp"))
@@ -28,10 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
 def extended(known: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp) when ``edges`` (a, b) join the components ``known`` (id, comp): only edges between different ones are walked again."""
     new = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct().join(known, "id", "left_anti")
-    label = cut(known.select("id", "comp").unionAll(new.select("id", F.col("id").alias("comp"))))
+    label = table(known.select("id", "comp").unionAll(new.select("id", F.col("id").alias("comp"))), "graph-labels")
     ends = edges.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
     merged = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("c"))
-    return cut(label.join(merged, "comp", "left").select("id", F.coalesce("c", "comp").alias("comp")))
+    return table(label.join(merged, "comp", "left").select("id", F.coalesce("c", "comp").alias("comp")), "graph-labels")
 
 
 BITMAP_BITS = 26

@@ -275,7 +275,7 @@ def overlaps(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     one = sets.select(F.col("k").alias("a"), F.col("sh").alias("x"), F.col("wt").alias("v"))
     two = sets.select(F.col("k").alias("b"), F.col("sh").alias("y"), F.col("wt").alias("w"))
     rows = edges.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "v", "y", "w")
-    return cut(rows.transform(arrow, _check(similarity), "a long, b long, m double, ok boolean"))
+    return table(rows.transform(arrow, _check(similarity), "a long, b long, m double, ok boolean"), "dart-pairs")
 
 
 def verify(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -352,7 +352,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting=WEIGHTING
 
     links = verify(members.where("k <> hub").where(_alike("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("k").alias("b")), sets, similarity)
     comps = components(links)
-    left = cut(_with_comps(members, comps, parts).select("bucket", "k", "n", "comp"))
+    left = table(_with_comps(members, comps, parts).select("bucket", "k", "n", "comp"), "dart-left")
     if not left.isEmpty():
         comps = _cross(left, sets, similarity, comps, parts)
     named = reps.join(comps.select(F.col("id").alias("k"), "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
@@ -377,18 +377,18 @@ def _cross(left: DataFrame, sets: DataFrame, similarity: float, comps: DataFrame
     # m <= n - u common weight; similarity needs m >= (n1 + n2) * s / (1 + s)
     most = (F.col("n") - F.col("u")) * F.lit((1 + similarity) / similarity)
     least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = cut(parts.join(rows, least).where(F.col("n") + F.col("least") <= most + 1e-6).select("bucket", "k", "n", "u", "comp"))
+    rows = table(parts.join(rows, least).where(F.col("n") + F.col("least") <= most + 1e-6).select("bucket", "k", "n", "u", "comp"), "dart-left")
 
     # the most central members: the best of each part, then the best of those
     for keys in (["bucket", "part"], ["bucket"]):
         best = F.row_number().over(W.partitionBy(*keys).orderBy("u", "k"))
         hubs = (parts.deal(rows) if "part" in keys else hubs).withColumn("rn", best).where(F.col("rn") <= HUBS)
-    hubs = cut(hubs.select("bucket", "rn", F.col("k").alias("h"), F.col("comp").alias("ch"), F.col("n").alias("hn")))
+    hubs = table(hubs.select("bucket", "rn", F.col("k").alias("h"), F.col("comp").alias("ch"), F.col("n").alias("hn")), "dart-hubs")
     # the first hub meets every member, as its common weight bounds their similarities
     star = parts.join(rows, hubs).where(F.expr("k <> h and (rn = 1 or comp <> ch)") & ((F.col("rn") == 1) | _alike("n", "hn", similarity))).select(F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"))
     seen = overlaps(star, sets, similarity)
     comps = extended(comps, seen.where("ok").select("a", "b"))
-    rest = cut(_with_comps(rows.drop("comp"), comps, parts))
+    rest = table(_with_comps(rows.drop("comp"), comps, parts), "dart-rest")
     if rest.isEmpty():
         return comps
     # common weight of two members is shared with the hub, or outside it and not rare: at most min(m1, m2) + min(r1, r2)
@@ -398,7 +398,7 @@ def _cross(left: DataFrame, sets: DataFrame, similarity: float, comps: DataFrame
     # a pair is taken up in the first bucket that both share
     own = rest.groupBy("k").agg(F.collect_set("bucket").alias("own"))
     hist = sets.join(own.select("k"), "k", "left_semi").transform(arrow, _histograms, "k long, g array<float>")
-    rest = cut(rest.join(own.join(hist, "k"), "k").select("bucket", "k", "n", "comp", "m", "r", "own", "g"))
+    rest = table(rest.join(own.join(hist, "k"), "k").select("bucket", "k", "n", "comp", "m", "r", "own", "g"), "dart-rest")
     blocks = Parts(rest.groupBy("bucket").agg(F.count("*").alias("c")), BLOCK)
     x = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.col("part"), blocks.number() - 1)))
     y = blocks.deal(rest).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part"))))

@@ -193,3 +193,14 @@ def test_components_that_are_extended(spark):
     whole = rows(components(frame(edges)))
     assert rows(extended(components(frame(edges[:50])), frame(edges[50:]))) == whole
     assert rows(extended(components(frame(edges)), frame(edges[:0]))) == whole
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    """Sizes that the planner multiplies at every join are those of the files again after each round."""
+    from quillspark.llm.graph import components, extended
+
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    path = components(spark.range(23).selectExpr("id as a", "id + 1 as b"))
+    more = extended(path, spark.createDataFrame([(23, 24)], "a long, b long"))
+    assert sorted(map(tuple, more.collect())) == [(i, 0) for i in range(25)]
+    assert size(path) < 1 << 20 and size(more) < 1 << 20
